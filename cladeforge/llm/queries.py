@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cladeforge.llm import quality, simhash
+from cladeforge.llm import ann, mixing, quality, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": urls.op1_url_filters,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_nearest_neighbours": ann.op4_nearest_neighbours,
+    "op5_warc": warc.op5_warc,
+    "op6_mix_sources": mixing.op6_mix_sources,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op1_url_filters": urls.ORACLE_OP1,
     "op3_quality_rules": quality.ORACLE_OP3,
+    "op4_nearest_neighbours": ann.ORACLE_OP4,
+    "op5_warc": warc.ORACLE_OP5,
+    "op6_mix_sources": mixing.ORACLE_OP6,
 }
