@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cladeforge.llm import ann, mixing, quality, simhash, suffixes, token_files, urls, warc
+from cladeforge.llm import ann, mixing, pieces, quality, simhash, suffixes, token_files, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_nearest_neighbours": ann.op4_nearest_neighbours,
     "op5_warc": warc.op5_warc,

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cladeforge.llm.common import materialize, table
+from cladeforge.llm.mixing import stage_mix
+from cladeforge.llm.pieces import stage_pieces
 from cladeforge.llm.quality import stage_quality
 from cladeforge.llm.simhash import stage_simhash
+from cladeforge.llm.suffixes import stage_suffixes
 
 STAGES = [
     ("quality rules", stage_quality),
     ("SimHash near-dedup", stage_simhash),
+    ("suffix-array dedup", stage_suffixes),
+    ("mixing sources to target weights", stage_mix),
+    ("SentencePiece encoding and decoding", stage_pieces),
 ]
 
 
