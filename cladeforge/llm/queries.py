@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cladeforge.llm import ann, mixing, pieces, quality, simhash, suffixes, token_files, urls, warc
+from cladeforge.llm import ann, html, mixing, pieces, quality, simhash, suffixes, token_files, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_token_files": token_files.op8_token_files,
     "op9_suffix_array_dedup": suffixes.op9_suffix_array_dedup,
+    "op10_html_extraction": html.op10_html_extraction,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
