@@ -39,9 +39,9 @@ def pattern_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clade_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tree, clade, taxon, weight): event types are trees; users whose summed values fall in one of eight buckets are a clade."""
+    """(tree, clade, taxon, weight): event types are trees; users of one residue are a clade, a few by their values of the next."""
     per = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.sum("value").alias("v"), F.count("*").alias("n"))
-    return per.select(F.col("event_type").alias("tree"), (F.floor("v") % 8).cast("int").alias("clade"), F.col("user_id").alias("taxon"), "n")
+    return per.select(F.col("event_type").alias("tree"), ((F.col("user_id") + F.when(F.floor("v") % 40 == 0, 1).otherwise(0)) % 8).cast("int").alias("clade"), F.col("user_id").alias("taxon"), "n")
 
 
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ CTE = {
     "aln": """cells AS (SELECT l_linenumber AS taxon, l_orderkey AS site, CASE WHEN min(l_quantity) > 40 THEN 8 WHEN min(l_returnflag) = 'A' THEN 1 WHEN min(l_returnflag) = 'N' THEN 2 ELSE 4 END AS mask FROM lineitem GROUP BY ALL),
 aln AS (SELECT t.taxon, s.site, CAST(s.site % 4 AS INTEGER) AS part, coalesce(c.mask, 15) AS mask FROM (SELECT DISTINCT taxon FROM cells) t CROSS JOIN (SELECT DISTINCT site FROM cells) s LEFT JOIN cells c ON c.taxon = t.taxon AND c.site = s.site)""",
     "ptnlh": """ptnlh AS (SELECT l_linenumber AS tree, l_suppkey AS ptn, -ln(1 + avg(l_extendedprice)) AS lnl, (SELECT count(*) FROM lineitem x WHERE x.l_suppkey = l.l_suppkey) AS freq FROM lineitem l GROUP BY l_linenumber, l_suppkey)""",
-    "clades": """clades AS (SELECT event_type AS tree, CAST(floor(sum(value)) AS BIGINT) % 8 AS clade, user_id AS taxon, count(*) AS n FROM events GROUP BY event_type, user_id)""",
+    "clades": """clades AS (SELECT event_type AS tree, (user_id + CASE WHEN CAST(floor(sum(value)) AS BIGINT) % 40 = 0 THEN 1 ELSE 0 END) % 8 AS clade, user_id AS taxon, count(*) AS n FROM events GROUP BY event_type, user_id)""",
     "tree": """tree AS (SELECT 'r' || r_regionkey AS node, 'root' AS parent, 1.0::DOUBLE AS brlen FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, (n_nationkey + 1) / 100.0::DOUBLE FROM nation
 UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, abs(s_acctbal) / 10000 FROM supplier)""",
     "pres": """pres AS (SELECT DISTINCT l_suppkey AS taxon, p_brand AS part FROM lineitem JOIN part ON l_partkey = p_partkey)""",
