@@ -4,8 +4,9 @@ A passage is repeated if one of its windows of `width` bytes starts in a documen
 of suffixes are ever ordered, by most-significant-digit passes; groups that are equal after the last pass are exactly the
 repeated windows.
 
-The first digit of a window is its minimizer: the smallest hash of the `K`-byte strings in it. Neighbouring windows share it, so they
-travel as one string (about 3.8 bytes for each byte of text, before compression), and equal windows meet in one bucket. Inside
+The first digit of a window is its minimizer: the smallest hash of the `K`-byte strings in it. A first pass sends only hashes of minimizers
+(about 0.2 bytes for each byte of text) and learns, block by block, which of them another block holds too; the rest are groups of one
+and drop out. Neighbouring windows share a minimizer, so they travel as one string, and equal windows meet in one bucket. Inside
 a bucket the next digits are the minimizer's place in the window, then 24 and 26 bytes of text. A pass drops groups that come
 from one document only.
 
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 from cladeforge.llm.common import Powers, materialize, mix64, partitions, prefix_hash, row_blocks, span_hash, table, text_bytes
 
 WIDTH, K = 50, 16
-BLOCK = 3 << 20  # positions must fit 22 bits
-BUCKET_BYTES, GROUP_BYTES, CHUNK = 6 << 20, 12 << 20, 1 << 20
+BLOCK = 2 << 20  # positions must fit 22 bits
+BUCKET_BYTES, GROUP_BYTES, CHUNK = 6 << 20, 12 << 20, 1 << 19
 SAMPLE_DOCS, SAMPLE_CHARS, HOT_SHARE = 1024, 20_000, 0.01
 _LOW = np.uint64((1 << 22) - 1)
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -39,9 +40,9 @@ _LAST = (1 << 63) - 1  # the ident of a document without one
 
 
 def _words(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as an unsigned integer; the last 7 positions are padded."""
+    """The 8 bytes from each position as an unsigned integer (a view); the last 7 positions are padded."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ndarray((len(data),), "<u8", padded, strides=(1,)).copy()
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,))
 
 
 def _gram_hash(w: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
@@ -115,9 +116,39 @@ class Mapper:
     def __init__(self, n_buckets: int, n_groups: int, hot: np.ndarray, width: int = WIDTH) -> None:
         self.n_buckets, self.n_groups, self.hot, self.width, self.powers = n_buckets, n_groups, hot, width, Powers()
 
-    def block(self, data: np.ndarray, offsets: np.ndarray, ident: np.ndarray, key: np.ndarray, shift: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    def digits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of minimizers: the different (bucket, 32-bit value) in order, as one number; where each bucket begins; and each one's place."""
+        q = mix64(h + np.uint64(1)) >> np.uint64(16)
+        n = np.uint64(self.n_buckets)
+        code, place = np.unique((q % n << np.uint64(32)) | (q // n & np.uint64(0xFFFFFFFF)), return_inverse=True)
+        return code, np.flatnonzero(np.diff((code >> np.uint64(32)).astype(np.int64), prepend=-1)), place
+
+    def announce(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(bucket, blob of the minimizers' values) of a block."""
+        code, first, _ = self.digits(strings(data, offsets, self.width)[3])
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=False):
+            yield int(code[lo] >> np.uint64(32)), _pack(np.diff(code[lo:hi] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype("<u4"))
+
+    def _alive(self, h: np.ndarray, doc: np.ndarray, replies: dict[int, np.ndarray]) -> np.ndarray:
+        """Which strings have a minimizer that another block holds (all, where no reply came) or another document of this one."""
+        code, first, place = self.digits(h)
+        ok = np.ones(len(code), bool)
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=False):
+            bits = replies.get(int(code[lo] >> np.uint64(32)))
+            if bits is not None:
+                ok[lo:hi] = np.unpackbits(bits, count=hi - lo).astype(bool)
+        low, high = np.full(len(code), len(doc) + 1), np.full(len(code), -1)
+        np.minimum.at(low, place, doc)
+        np.maximum.at(high, place, doc)
+        return (ok | (low < high))[place]
+
+    def block(self, data: np.ndarray, offsets: np.ndarray, ident: np.ndarray, key: np.ndarray, shift: np.ndarray, replies: dict[int, np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
         """(kind, bucket or group, blob) of a block; shift: where in its document each part of a block starts."""
-        start, count, place, h, doc = strings(data, offsets, self.width)
+        found = strings(data, offsets, self.width)
+        if not len(found[0]):
+            return
+        alive = np.flatnonzero(self._alive(found[3], found[4], replies))
+        start, count, place, h, doc = (a[alive] for a in found)
         if not len(start):
             return
         at = np.searchsorted(self.hot, h) if len(self.hot) else None
@@ -287,10 +318,37 @@ def hot_minimizers(texts: list[bytes], width: int = WIDTH, share: float = HOT_SH
     return np.array(sorted(x for x, c in seen.items() if c > max(2, share * len(texts))), np.uint64)
 
 
-def _rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["__kind", "__g", "__blob"])
 
 
+def _blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Blocks of a batch of (ident, key, text), each with a name made of what is in it: (name, [bytes, offsets, idents, keys, shifts])."""
+    ids, keys = batch.column(0).fill_null(_LAST).to_numpy(), batch.column(1).to_numpy()
+    data, offsets = text_bytes(batch.column(2))
+    for lo, hi in row_blocks(offsets, BLOCK):
+        own, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        if len(own) <= BLOCK:
+            parts = [(own, offs, np.zeros(hi - lo, np.int64))]
+        else:  # a giant text in parts whose windows don't overlap
+            parts = [(p := own[at : at + BLOCK - 1], np.array([0, len(p)]), np.array([at])) for at in range(0, len(own) - width + 1, BLOCK - width)]
+        for part, o, shift in parts:
+            name = hashlib.blake2b(ids[lo:hi].tobytes() + keys[lo:hi].tobytes() + shift.tobytes(), digest_size=8).digest()
+            yield int.from_bytes(name, "little", signed=True), [part, o, ids[lo:hi], keys[lo:hi], shift]
+
+
+def _shared(blobs: list[bytes]) -> list[bytes]:
+    """For each blob of values, a bit for each value: whether another blob holds it too."""
+    values = [np.cumsum(_unpack(b)[0].astype(np.uint64)) for b in blobs]
+    flat = np.concatenate(values)
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    both, at, out = count[place] > 1, 0, []
+    for v in values:
+        out.append(np.packbits(both[at : at + len(v)]).tobytes())
+        at += len(v)
+    return out
+
+
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WIDTH, as_text: bool = False) -> DataFrame:
     """All rows and columns of `docs`, and n_bytes, n_removed, n_spans (long) and kept (binary: the bytes that stay).
 
@@ -306,20 +364,45 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     hot = hot_minimizers([bytes(r[0]) for r in chosen.collect() if r[0] is not None], width)  # SAMPLE_DOCS texts of SAMPLE_CHARS at most
     slim = docs.select(F.col(ident).cast("long").alias("i"), key.alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapper = Mapper(n_buckets, n_groups, hot, width)
         for b in batches:
-            ids = b.column(0).fill_null(_LAST).to_numpy()
-            keys = b.column(1).to_numpy()
-            data, offsets = text_bytes(b.column(2))
-            for lo, hi in row_blocks(offsets, BLOCK):
-                own, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                if len(own) <= BLOCK:
-                    yield _rows(list(mapper.block(own, offs, ids[lo:hi], keys[lo:hi], np.zeros(hi - lo, np.int64))) or [(2, 0, b"")])
-                    continue
-                for at in range(0, max(len(own) - width + 1, 1), BLOCK - width):  # a giant text in parts whose windows don't overlap
-                    part = own[at : at + BLOCK - 1]
-                    yield _rows(list(mapper.block(part, np.array([0, len(part)]), ids[lo:hi], keys[lo:hi], np.array([at]))) or [(2, 0, b"")])
+            for name, part in _blocks(b, width):
+                rows = [(bucket, name, blob) for bucket, blob in mapper.announce(part[0], part[1])]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "name", "blob"])
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(bucket: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            n = len(rows)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * n, pa.int64()), pa.array([bucket] * n, pa.int64()), pa.array(_shared([r[1] for r in rows]), pa.binary())], names=["name", "kind", "bucket", "blob"])
+
+        bucket, rows = None, []
+        for b in batches:
+            for own, name, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own != bucket and rows:
+                    yield done(bucket, rows)
+                    rows = []
+                bucket = own
+                rows.append((name, blob))
+        if rows:
+            yield done(bucket, rows)
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, part in _blocks(b, width):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([1], pa.int64()), pa.array([0], pa.int64()), pa.array([_pack(*part)], pa.binary())], names=["name", "kind", "bucket", "blob"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mapper, own, replies = Mapper(n_buckets, n_groups, hot, width), None, {}
+        for b in batches:  # by name, a block's replies before the block
+            for name, kind, bucket, blob in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+                if name != own:
+                    own, replies = name, {}
+                if kind == 0:
+                    replies[bucket] = np.frombuffer(blob.as_py(), np.uint8)
+                elif out := list(mapper.block(*_unpack(blob.as_py()), replies)):
+                    yield _rows(out)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, blobs = None, []
@@ -338,7 +421,9 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
             yield _rows(out)
 
     schema = "__kind long, __g long, __blob binary"
-    found = slim.mapInArrow(cut, schema).repartition(n_buckets, "__kind", "__g").sortWithinPartitions("__kind", "__g").mapInArrow(sort, schema)
+    replies = slim.mapInArrow(announce, "bucket long, name long, blob binary").repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(reply, "name long, kind long, bucket long, blob binary")
+    wrapped = slim.mapInArrow(wrap, "name long, kind long, bucket long, blob binary").unionByName(replies)
+    found = wrapped.repartition(n_groups, "name").sortWithinPartitions("name", "kind").mapInArrow(cut, schema).repartition(n_buckets, "__kind", "__g").sortWithinPartitions("__kind", "__g").mapInArrow(sort, schema)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
