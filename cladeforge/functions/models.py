@@ -118,3 +118,54 @@ def parse(name: str, empirical: np.ndarray | None = None, n_states: int = 4) ->
 def candidates(rates: tuple[str, ...] = ("", "+I", "+G4", "+I+G4")) -> list[str]:
     """The grid of DNA models: names, empirical frequencies where they are free, site rates."""
     return [f"{m}{'' if equal else '+F'}{r}" for m, (_, equal) in DNA.items() for r in rates]
+
+
+def from_triangle(values: list[float], freqs: list[float]) -> Model:
+    """A reversible model of any number of states from a lower-triangular list of exchangeabilities, as empirical protein models are published."""
+    n = len(freqs)
+    s = np.zeros((n, n))
+    s[np.tril_indices(n, -1)] = values
+    f = np.asarray(freqs, float) / sum(freqs)
+    return Model(rate_matrix(s + s.T, f), f)
+
+
+def codon(kappa: float, omega: float, freqs: np.ndarray | None = None, code: str = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG") -> tuple[Model, list[str]]:
+    """A model of sense codons that change one base at a time: transitions by `kappa`, changes of the amino acid by `omega`; and the codons, in T, C, A, G order."""
+    words = [a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"]
+    sense = [i for i in range(64) if code[i] != "*"]
+    s = np.zeros((len(sense), len(sense)))
+    for x, i in enumerate(sense):
+        for y, j in enumerate(sense):
+            differ = [(a, b) for a, b in zip(words[i], words[j], strict=True) if a != b]
+            if len(differ) == 1:
+                s[x, y] = (kappa if set(differ[0]) in ({"A", "G"}, {"C", "T"}) else 1.0) * (1.0 if code[i] == code[j] else omega)
+    f = np.full(len(sense), 1 / len(sense)) if freqs is None else freqs
+    return Model(rate_matrix(s, f), f), [words[i] for i in sense]
+
+
+def polymorphic(base: np.ndarray, freqs: np.ndarray, size: int, diversity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Q and stationary frequencies of populations of `size`: four fixed states, then for each pair of bases the counts 1 .. size - 1 of the first.
+
+    Mutation leaves fixed states at the base model's rates; drift moves a count up or down by k (size - k) / size. `diversity` is the share of
+    polymorphic states at equilibrium."""
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    at = {(i, j, k): 4 + p * (size - 1) + k - 1 for p, (i, j) in enumerate(pairs) for k in range(1, size)}
+    n = 4 + len(pairs) * (size - 1)
+    exchange = base / freqs[None, :]
+    pi = np.zeros(n)
+    pi[:4] = freqs
+    for i, j in pairs:
+        for k in range(1, size):
+            pi[at[i, j, k]] = freqs[i] * freqs[j] * exchange[i, j] * (1 / k + 1 / (size - k))
+    scale = diversity * pi[:4].sum() / ((1 - diversity) * pi[4:].sum())
+    pi[4:] *= scale
+    q = np.zeros((n, n))
+    for i, j in pairs:
+        for k in range(1, size):
+            drift = k * (size - k) / size
+            up, down = at.get((i, j, k + 1), i), at.get((i, j, k - 1), j)
+            q[at[i, j, k], up], q[at[i, j, k], down] = drift, drift
+        q[i, at[i, j, size - 1]] = pi[at[i, j, size - 1]] * q[at[i, j, size - 1], i] / pi[i]
+        q[j, at[i, j, 1]] = pi[at[i, j, 1]] * q[at[i, j, 1], j] / pi[j]
+    np.fill_diagonal(q, -q.sum(1))
+    return q, pi / pi.sum()

@@ -106,9 +106,8 @@ def unconstrained_lnl(pats: DataFrame) -> DataFrame:
 def pair_counts(aln: DataFrame) -> DataFrame:
     """(t1, t2, s1, s2, n): unambiguous state pairs of two taxa at one site, t1 < t2; counted on patterns."""
     pats = patterns(aln)
-    long = pats.select(F.monotonically_increasing_id().alias("p"), "freq", "states")
     pairs = F.expr("flatten(transform(states, (a, i) -> transform(filter(transform(states, (b, j) -> struct(i AS i, j AS j, a AS a, b AS b)), x -> x.j > x.i AND bit_count(x.a) = 1 AND bit_count(x.b) = 1), x -> x)))")
-    return long.select("freq", F.explode(pairs).alias("x")).groupBy(F.col("x.i").alias("t1"), F.col("x.j").alias("t2"), F.col("x.a").alias("s1"), F.col("x.b").alias("s2")).agg(F.sum("freq").alias("n"))
+    return pats.select("freq", F.explode(pairs).alias("x")).groupBy(F.col("x.i").alias("t1"), F.col("x.j").alias("t2"), F.col("x.a").alias("s1"), F.col("x.b").alias("s2")).agg(F.sum("freq").alias("n"))
 
 
 def symmetry_test(pairs: DataFrame) -> DataFrame:
@@ -226,3 +225,40 @@ def jc_distance(observed: DataFrame, n_states: int = 4) -> DataFrame:
 def distance_variance(dist: DataFrame, d: str = "d") -> DataFrame:
     """Adds the variance of each scheme: ols 1, wls first order d, Fitch-Margoliash d^2."""
     return dist.select("*", F.lit(1.0).alias("ols"), F.col(d).alias("wls1"), (F.col(d) * F.col(d)).alias("fm"))
+
+
+def marginal_symmetry(pairs: DataFrame) -> DataFrame:
+    """(t1, t2, stuart, df, p_marginal): Stuart's test of marginal symmetry, U' V^-1 U with one state left out; null where V is singular."""
+
+    def test(frame):
+        import numpy as np
+        import pandas as pd
+
+        from cladeforge.functions.numerics import chi2_sf
+
+        n = np.zeros((4, 4))
+        for a, b, k in zip(frame["s1"], frame["s2"], frame["n"], strict=True):
+            n[int(a).bit_length() - 1, int(b).bit_length() - 1] += k
+        u = (n.sum(1) - n.sum(0))[:3]
+        v = -(n + n.T)[:3, :3]
+        np.fill_diagonal(v, (n.sum(1) + n.sum(0) - 2 * np.diag(n))[:3])
+        ok = np.linalg.matrix_rank(v) == 3
+        s = float(u @ np.linalg.solve(v, u)) if ok else None
+        return pd.DataFrame({"t1": frame["t1"].iloc[:1], "t2": frame["t2"].iloc[:1], "stuart": [s], "df": [3], "p_marginal": [float(chi2_sf(s, 3)[0]) if ok else None]})
+
+    return pairs.groupBy("t1", "t2").applyInPandas(test, "t1 int, t2 int, stuart double, df int, p_marginal double")
+
+
+def codon_position_frequencies(aln: DataFrame) -> DataFrame:
+    """(position, state, share): base frequencies at each codon position (F3x4), and pooled (position null, F1x4), over unambiguous cells."""
+    k = F.row_number().over(W.partitionBy("taxon", "part").orderBy("site")) - 1
+    n = aln.withColumn("position", (k % 3).cast("int")).where(single(F.col("mask"))).groupBy("position", F.col("mask").alias("state")).agg(F.count("*").alias("n"))
+    pooled = n.groupBy("state").agg(F.sum("n").alias("n")).select(F.lit(None).cast("int").alias("position"), "state", "n")
+    return n.unionByName(pooled).select("position", "state", (F.col("n") / F.sum("n").over(W.partitionBy("position"))).alias("share"))
+
+
+def clade_identity(pats: DataFrame, clades: list[list[int]]) -> DataFrame:
+    """(clade, identity): percent of sites (whole number, rounded down) at which the unambiguous states of a clade's taxa (their places) agree."""
+    agree = [F.bit_count(F.aggregate(F.array(*(F.element_at("states", i + 1) for i in c)), F.lit(0), lambda a, x: F.when(F.bit_count(x) == 1, a.bitwiseOR(x)).otherwise(a))) <= 1 for c in clades]
+    row = pats.agg(F.sum("freq").alias("all"), *(F.sum(F.when(a, F.col("freq")).otherwise(0)).alias(f"c{i}") for i, a in enumerate(agree)))
+    return row.select("all", F.posexplode(F.array(*(f"c{i}" for i in range(len(clades))))).alias("clade", "n")).select("clade", F.floor(100 * F.col("n") / F.col("all")).alias("identity"))

@@ -97,3 +97,67 @@ def support_correlation(splits: DataFrame, half: F.Column) -> DataFrame:
     vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     r = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(F.when(vx * vy > 0, vx.cast("double") * vy))
     return m.select(F.coalesce(r, F.lit(1.0)).alias("r"))
+
+
+def weighted_tests(scores: DataFrame, variance: DataFrame) -> DataFrame:
+    """(tree, wkh, wsh): KH and SH with each difference divided by its standard error; `variance` is (t1, t2, var) with t1 < t2."""
+    s = scores.withColumn("c", F.col("lnl") - F.avg("lnl").over(W.partitionBy("tree"))).withColumn("own", F.max(F.when(F.col("rep") == 0, F.col("lnl"))).over(W.partitionBy("tree")))
+    v = variance.select("t1", "t2", "var").unionByName(variance.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "var")).where("var > 0").select(F.col("t1").alias("tree"), F.col("t2").alias("u"), (1 / F.sqrt("var")).alias("w"))
+    other = s.select(F.col("tree").alias("u"), "rep", F.col("c").alias("cu"), F.col("own").alias("ownu"))
+    x = s.select("tree", "rep", "c", "own").join(v, "tree").join(other, ["u", "rep"])
+    x = x.groupBy("tree", "rep").agg(
+        F.max((F.col("cu") - F.col("c")) * F.col("w")).alias("m"), F.max((F.col("ownu") - F.col("own")) * F.col("w")).alias("m0"),
+        F.max_by("w", F.struct("ownu", -F.col("u"))).alias("wt"), F.max_by(F.col("cu") - F.col("c"), F.struct("ownu", -F.col("u"))).alias("d"), F.max(F.col("ownu") - F.col("own")).alias("d0"),
+    )
+    return x.groupBy("tree").agg(F.avg((F.col("d") * F.col("wt") > F.col("d0") * F.col("wt")).cast("double")).alias("wkh"), F.avg((F.col("m") > F.col("m0")).cast("double")).alias("wsh"))
+
+
+#: The scale factors of the multiscale bootstrap.
+SCALES = tuple(i / 10 for i in range(5, 15))
+
+
+def approximately_unbiased(patterns: DataFrame, replicates: int = 1000, seed: int = 1) -> DataFrame:
+    """(tree, au): the multiscale bootstrap test. At each scale the share of samples in which a tree is best, then a weighted fit of
+    d sqrt(r) + c / sqrt(r) to its normal quantile; p = 1 - Phi(d - c).
+
+    A scale is one task: its samples are multinomial over the patterns, drawn with the scale's own seed. Patterns of one alignment are few, and
+    are sent to each scale's task whole."""
+    import numpy as np
+
+    trees = [r[0] for r in patterns.select("tree").distinct().orderBy("tree").collect()]
+    wide = patterns.groupBy("ptn", "freq").pivot("tree", trees).agg(F.first("lnl")).orderBy("ptn").toPandas()
+    lnl, freq = wide[[str(t) for t in trees] if str(trees[0]) in wide.columns else trees].to_numpy(float), wide["freq"].to_numpy(float)
+    lnl = np.nan_to_num(lnl)
+    spark = patterns.sparkSession
+    sent = spark.sparkContext.broadcast((lnl, freq / freq.sum(), int(freq.sum())))
+
+    def run(frames):
+        import pandas as pd
+
+        values, p, n = sent.value
+        for f in frames:
+            for i in f["id"]:
+                g = np.random.Generator(np.random.PCG64([seed, int(i)]))
+                w = g.multinomial(max(1, round(n * SCALES[i])), p, replicates)
+                best = (w @ values).argmax(1)
+                yield pd.DataFrame({"scale": SCALES[i], "tree": trees, "bp": np.bincount(best, minlength=len(trees)) / replicates})
+
+    kind = patterns.schema["tree"].dataType.simpleString()
+    shares = spark.range(len(SCALES)).repartition(len(SCALES)).mapInPandas(run, f"scale double, tree {kind}, bp double")
+
+    def fit(frame):
+        import pandas as pd
+
+        from cladeforge.functions.numerics import norm_cdf, norm_ppf
+
+        bp = frame["bp"].clip(0.5 / replicates, 1 - 0.5 / replicates).to_numpy()
+        r = frame["scale"].to_numpy()
+        z = np.array([-norm_ppf(b) for b in bp])
+        density = np.exp(-(z**2) / 2) / np.sqrt(2 * np.pi)
+        weight = density**2 * replicates / (bp * (1 - bp))
+        x = np.stack([np.sqrt(r), 1 / np.sqrt(r)], 1)
+        d, c = np.linalg.lstsq(x * np.sqrt(weight)[:, None], z * np.sqrt(weight), rcond=None)[0]
+        au = 0.0 if (frame["bp"] == 0).all() else 1 - norm_cdf(d - c)
+        return pd.DataFrame({"tree": frame["tree"].iloc[:1], "au": [float(au)]})
+
+    return shares.groupBy("tree").applyInPandas(fit, f"tree {kind}, au double")

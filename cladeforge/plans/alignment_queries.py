@@ -9,6 +9,8 @@ from cladeforge.operators import alignment as A
 from cladeforge.plans.adapters import CTE, alignment
 
 ROUND = 6
+#: Of the places of taxa: the clades whose sequences are compared.
+CLADES = [[0, 1], [2, 3], [5, 6], [4, 5, 6], [0, 1, 2, 3]]
 
 
 def r(c: str) -> F.Column:
@@ -112,6 +114,18 @@ def q_jc_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.distance_variance(A.jc_distance(A.observed_distance(alignment(spark, sf_dir))), "jc").select("t1", "t2", r("jc"), r("ols"), r("wls1"), r("fm"))
 
 
+def q_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.marginal_symmetry(A.pair_counts(alignment(spark, sf_dir)))
+
+
+def q_codon_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.codon_position_frequencies(alignment(spark, sf_dir)).select("position", "state", r("share"))
+
+
+def q_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.clade_identity(A.patterns(alignment(spark, sf_dir)), CLADES)
+
+
 _COLS = f"""WITH {CTE["aln"]},
 cols AS (SELECT part, site, list(mask ORDER BY taxon) AS states, bit_and(mask) AS shared, {", ".join(f"count(*) FILTER (mask = {s}) AS n{s}" for s in A.STATES)} FROM aln GROUP BY part, site),
 pats AS (SELECT part, states, count(*) AS freq, min(site) AS first_site, any_value(shared) <> 0 AS is_const,
@@ -132,6 +146,7 @@ d0 AS (SELECT a.t AS t1, b.t AS t2, count(*) FILTER (NOT k AND bit_count(a.mask)
 dist AS (SELECT t1, t2, CASE WHEN total > 0 THEN diff / total ELSE 9.0 END AS d FROM d0)"""
 
 QUERIES = {
+    "aln_marginal_symmetry": q_marginal, "aln_codon_positions": q_codon_positions, "aln_clade_identity": q_identity,
     "aln_partition_summary": q_partition_summary, "aln_patterns": q_patterns, "aln_site_pattern": q_site_pattern, "aln_site_gaps": q_site_gaps, "aln_sequence_frequencies": q_sequence_frequencies, "aln_composition_test": q_composition,
     "aln_empirical_frequencies": q_empirical_frequencies, "aln_unconstrained_lnl": q_unconstrained, "aln_pair_counts": q_pair_counts, "aln_symmetry_test": q_symmetry, "aln_divergence": q_divergence, "aln_missing_fraction": q_missing,
     "aln_drop_gappy_sites": q_drop_gappy, "aln_drop_uninformative": q_drop_uninformative, "aln_select_ranges": q_select_ranges, "aln_residues": q_residues, "aln_identical_sequences": q_identical, "aln_concatenate": q_concatenate,
@@ -139,7 +154,11 @@ QUERIES = {
 }
 
 _SINGLE = "bit_count(mask) = 1"
+_AGREE = [" + ".join(f"CAST(list_contains([{', '.join(f'states[{i + 1}]' for i in c)}], {s}) AS INT)" for s in A.STATES) for c in CLADES]
 ORACLES = {
+    "aln_codon_positions": f"""{_ALN}, k AS (SELECT mask AS state, CAST((row_number() OVER (PARTITION BY taxon, part ORDER BY site) - 1) % 3 AS INTEGER) AS position, mask FROM aln), n AS (SELECT position, state, count(*) AS n FROM k WHERE {_SINGLE} GROUP BY ALL),
+b AS (SELECT * FROM n UNION ALL SELECT NULL, state, sum(n) FROM n GROUP BY state) SELECT position, state, round(n / sum(n) OVER (PARTITION BY position), 6) AS share FROM b""",
+    "aln_clade_identity": f"{_COLS}, t AS (SELECT {', '.join(f'sum(freq) FILTER (({a}) <= 1) AS c{i}' for i, a in enumerate(_AGREE))}, sum(freq) AS n FROM pats) " + " UNION ALL ".join(f"SELECT {i} AS clade, CAST(floor(100 * coalesce(c{i}, 0) / n) AS BIGINT) AS identity FROM t" for i in range(len(CLADES))),
     "aln_partition_summary": f"{_COLS} SELECT part, {_SUM} FROM pats GROUP BY ROLLUP (part)",
     "aln_patterns": f"{_COLS} SELECT part, ptn, array_to_string(states, ',') AS states, freq, first_site, is_const, informative, num_chars FROM num",
     "aln_site_pattern": f"{_COLS} SELECT part, site, ptn FROM cols JOIN num USING (part, states)",

@@ -158,7 +158,22 @@ def q_jackknife(spark, sf_dir):
     return P.rell(p, P.jackknife(p, 20, "(rep * 31 + ptn * 17) % 2 = 0")).select("tree", "rep", r("lnl", 4))
 
 
+def q_weighted(spark, sf_dir):
+    return P.weighted_tests(_scores(spark, sf_dir), P.difference_variance(pattern_likelihoods(spark, sf_dir))).select("tree", r("wkh"), r("wsh"))
+
+
+def q_au(spark, sf_dir):
+    return P.approximately_unbiased(pattern_likelihoods(spark, sf_dir))
+
+
+def q_network(spark, sf_dir):
+    c = clade_members(spark, sf_dir)
+    s = S.canonical(c, S.all_taxa(c))
+    return S.network_diversity(s, c.select((F.col("taxon") % 5).alias("area"), "taxon"))
+
+
 QUERIES = {
+    "test_weighted": q_weighted, "test_au": q_au, "pd_network": q_network,
     "tree_splits": q_splits, "split_system": q_split_system, "split_consensus": q_consensus, "tree_rf_distance": q_rf, "tree_branch_score": q_branch_score, "tree_support": q_support, "tree_topologies": q_topologies,
     "split_incompatible_pairs": q_incompatible, "tree_transfer_support": q_tbe, "boot_support_correlation": q_correlation, "tree_metrics": q_metrics, "tree_clade_sizes": q_clades, "tree_patristic": q_patristic, "tree_collapse": q_collapse,
     "pd_area": q_pd, "pd_endemism": q_endemism, "pd_complementarity": q_complementarity, "pd_greedy": q_greedy_pd, "presence_summary": q_presence, "presence_overlap": q_overlap, "boot_rell": q_rell, "boot_best_tree": q_best,
@@ -183,6 +198,13 @@ d AS (SELECT *, max(c) FILTER (place = 1) OVER (PARTITION BY rep) AS c1, max(c)
 tests AS (SELECT tree, max(own) AS lnl, max(best_own - own) AS delta, avg(CASE WHEN win = 1 THEN 1.0 ELSE 0.0 END) AS bp, avg(CASE WHEN CASE WHEN place = 1 THEN c2 ELSE c1 END - c > CASE WHEN place = 1 THEN own2 ELSE best_own END - own THEN 1.0 ELSE 0.0 END) AS kh,
   avg(CASE WHEN maxc - c > best_own - own THEN 1.0 ELSE 0.0 END) AS sh, avg(ew) AS elw FROM d GROUP BY tree)"""
 ORACLES = {
+    "test_weighted": f"""{_RELL}, dif AS (SELECT a.tree AS t, b.tree AS u, a.freq AS f, a.lnl - b.lnl AS x FROM ptnlh a JOIN ptnlh b ON a.ptn = b.ptn AND a.tree <> b.tree),
+v AS (SELECT t, u, 1 / sqrt(sum(f) / (sum(f) - 1) * (sum(f * x * x) - sum(f * x) * sum(f * x) / sum(f))) AS w FROM dif GROUP BY t, u), s AS (SELECT *, lnl - avg(lnl) OVER (PARTITION BY tree) AS c, max(lnl) FILTER (rep = 0) OVER (PARTITION BY tree) AS own FROM sc),
+x AS (SELECT s.tree, s.rep, o.tree AS u, o.c - s.c AS d, o.own - s.own AS d0, o.own AS ow, w FROM s JOIN s o ON s.rep = o.rep AND s.tree <> o.tree JOIN v ON v.t = s.tree AND v.u = o.tree),
+y AS (SELECT tree, rep, max(d * w) AS m, max(d0 * w) AS m0, first(w ORDER BY ow DESC, u) AS wt, first(d ORDER BY ow DESC, u) AS dd, max(d0) AS dd0 FROM x GROUP BY tree, rep)
+SELECT tree, round(avg(CASE WHEN dd * wt > dd0 * wt THEN 1.0 ELSE 0.0 END), 6) AS wkh, round(avg(CASE WHEN m > m0 THEN 1.0 ELSE 0.0 END), 6) AS wsh FROM y GROUP BY tree""",
+    "pd_network": f"""{_SP}, w AS (SELECT m, max(weight) AS weight FROM sp GROUP BY m), area AS (SELECT CAST(taxon % 5 AS BIGINT) AS area, list(DISTINCT taxon) AS taxa FROM clades GROUP BY 1)
+SELECT area, CAST(coalesce(sum(weight) FILTER (len(list_intersect(m, taxa)) BETWEEN 1 AND len(taxa) - 1), 0) AS BIGINT) AS pd FROM area, w GROUP BY area""",
     "tree_splits": f"{_SP} SELECT tree, {_KEY}, size, weight FROM sp",
     "split_system": f"{_SYS} SELECT {_KEY}, c AS count, CAST(total AS BIGINT) AS total, round(total / k, 6) AS mean_all, round(mh, 6) AS mean_having, round(100 * c / k, 6) AS support FROM sys, nt",
     "split_consensus": f"{_SYS} SELECT {_KEY}, c AS count FROM sys, nt WHERE c > 0.2 * k",
