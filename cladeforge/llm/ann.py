@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from cladeforge.llm.common import materialize, table
+from cladeforge.llm.common import lean, materialize, table
 
 K, EVERY = 10, 100
 #: Standard deviations of the estimate that its error bound covers; bits of a query's coordinates.
@@ -142,7 +142,7 @@ def search(vectors: DataFrame, is_query: F.Column, ident: str = "vec_id", vector
                 n = [len(s) for s, _ in q.best]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([v for _, v in q.best] or [np.zeros(0, np.int64)])), pa.array(np.concatenate([s for s, _ in q.best] or [np.zeros(0)]))], names=["query_id", "vec_id", "score"])
 
-            parts.append(own.mapInArrow(near, out_schema))
+            parts.append(own.mapInArrow(lean(near), out_schema))
     if not parts:
         return spark.createDataFrame([], T.StructType.fromDDL("query_id long, rank int, vec_id long, score double"))
     found = parts[0]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch; texts of some kilobytes make the default of 10,000 rows tens of megabytes in each of four buffers.
+BATCH_ROWS = 1024
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lower the session's Arrow batches where it has Spark's default, so that a Python worker's memory stays small."""
+    if int(spark.conf.get(_ARROW_ROWS)) == 10_000:
+        spark.conf.set(_ARROW_ROWS, BATCH_ROWS)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`; a folder of our own only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -77,6 +93,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8, size, int(offs[0])) if size else np.zeros(0, np.uint8)), offs - offs[0]
 
 
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that ends by giving free memory back to the system; an idle Python worker would keep it."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def row_blocks(offsets: np.ndarray, limit: int):
     """(first, after) row ranges of about `limit` bytes; a longer row stands alone."""
     lo, n = 0, len(offsets) - 1

@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeforge.llm.common import materialize, table
+from cladeforge.llm.common import lean, materialize, small_batches, table
 
 MARK, PROBE = "▁", "\x01"
-CHUNK, LANE, CACHE_RUNS = 32_768, 128, 500_000
+CHUNK, LANE, CACHE_RUNS, BATCH = 32_768, 128, 250_000, 512
 State = tuple[int, int]  # characters of the piece beyond the boundary, the piece (-1: any, or none before it)
 Matrix = dict[State, dict[State, float]]
 
@@ -87,8 +88,8 @@ class Lattice:
         self.known: dict[str, bytes] = {}
         self._pair_key, self._pair_value = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._scores = np.array([self.value(i) for i in range(self.n)] + [self.worst if not self.bpe else 0.0])
         self._table()
-        self.out = [self._bytes_of(i) for i in range(self.n)]
 
     # pieces: an id, or n + code point for a character that is no piece
 
@@ -163,7 +164,7 @@ class Lattice:
         size = np.array([len(w) for w in words])
         n, top = len(words), int(size.max())
         chars = np.frombuffer("".join(w.ljust(top, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, top).astype(np.int64)
-        scores = np.array([self.value(i) for i in range(self.n)] + [self.worst if not self.bpe else 0.0])
+        scores = self._scores
         best = np.full((n, top + 1), -np.inf)
         last, back = np.full((n, top + 1), -1, np.int64), np.zeros((n, top + 1), np.int16)
         best[:, 0] = 0.0
@@ -199,14 +200,26 @@ class Lattice:
         begins = [0, *ends[:-1]]
         return [self.pack(piece[a:z].tolist()) if i in odd else raw[4 * a : 4 * z] for i, (a, z) in enumerate(zip(begins, ends, strict=True))]
 
-    def learn(self, runs: list[str]) -> None:
-        short = sorted((r for r in runs if len(r) <= LANE), key=len)
-        for lo in range(0, len(short), 16384):
-            some = short[lo : lo + 16384]
-            self.known.update(zip(some, self._lanes(some), strict=True))
-        for r in runs:
-            if len(r) > LANE:
-                self.known[r] = self.pack(self.long_run(r))
+    def learn(self, keys: list[str]) -> None:
+        """Encode runs: a key is what follows a run's one mark, or a mark and then the run itself."""
+        runs = [k[1:] if k[:1] == MARK else MARK + k for k in keys]
+        order = sorted(range(len(runs)), key=list(map(len, runs)).__getitem__)
+        short = [i for i in order if len(runs[i]) <= LANE]
+        for lo in range(0, len(short), 8192):
+            some = short[lo : lo + 8192]
+            self.known.update(zip([keys[i] for i in some], self._lanes([runs[i] for i in some]), strict=True))
+        for i in order[len(short) :]:
+            self.known[keys[i]] = self.pack(self.long_run(runs[i]))
+
+    def keys(self, text: str) -> list[str]:
+        """The runs of a text between its cut places, as keys."""
+        if not text:
+            return []
+        if not self.cuts:
+            return [MARK + text]
+        if text[0] == MARK and text[-1] != MARK and MARK + MARK not in text:
+            return text.split(MARK)[1:]
+        return [r[1:] if r[0] == MARK and len(r) > 1 and r[1] != MARK else MARK + r for r in self._split.split(text)]
 
     def pack(self, path: list[int]) -> bytes:
         return np.array([i for p in path for i in self.expand(p)], "<u4").tobytes()
@@ -282,15 +295,21 @@ class Lattice:
         found = [x for (over, _), x in self.walk(s[:first], lo, first, entry, True).items() if over == 0]
         return found[0] if found else None
 
-    def trace(self, s: str, lo: int, hi: int, entry: State, exit_: State, last: bool) -> bytes:
-        """The ids of the pieces that start in s[lo:hi], for a chunk whose boundary states are known."""
-        places = self.cut_places(s, lo, hi)
-        if places is None:
-            return self.pack(self.walk(s, lo, hi, entry, last)[exit_][1])
-        first, final = places
-        head = self._head(s, lo, first, entry)
-        tail = self.walk(s, final, hi, (0, -1), last)[exit_][1] if final < hi else []
-        return self.pack(head[1]) + self.runs([s[first:final]])[0] + self.pack(tail)
+    def traces(self, chunks: list[tuple[str, int, int, State, State, bool]]) -> list[bytes]:
+        """The ids of the pieces that start in each chunk s[lo:hi], its boundary states known; all chunks' words go through the lattice together."""
+        ends: list[tuple[bytes, bytes]] = []
+        middles = []
+        for s, lo, hi, entry, exit_, last in chunks:
+            places = self.cut_places(s, lo, hi)
+            if places is None:
+                ends.append((self.pack(self.walk(s, lo, hi, entry, last)[exit_][1]), b""))
+                middles.append("")
+                continue
+            first, final = places
+            head = self._head(s, lo, first, entry)
+            ends.append((self.pack(head[1]), self.pack(self.walk(s, final, hi, (0, -1), last)[exit_][1] if final < hi else [])))
+            middles.append(s[first:final])
+        return [a + m + z for (a, z), m in zip(ends, self.runs(middles), strict=True)]
 
     def run_value(self, s: str) -> float:
         return float(sum(self.value(i) if self.sp.id_to_piece(i) in self.ids else self.worst for i in np.frombuffer(self.runs([s])[0], "<u4").tolist()))
@@ -308,13 +327,24 @@ class Lattice:
 
     def runs(self, texts: list[str]) -> list[bytes]:
         """The ids of normalized texts that begin and end at cut places."""
-        split = [(self._split.split(t) if self.cuts else [t]) if t else [] for t in texts]
-        if len(self.known) > CACHE_RUNS:
-            self.known = {}
-        new = set().union(*split).difference(self.known)
+        if len(self.known) > CACHE_RUNS:  # the common runs are among the first
+            self.known = dict(islice(self.known.items(), CACHE_RUNS // 4))
+        get, out, gaps, new = self.known.get, [], [], set()
+        for t in texts:
+            keys = self.keys(t)
+            ids = list(map(get, keys))
+            if None in ids:
+                gap = [i for i, x in enumerate(ids) if x is None]
+                lost = [keys[i] for i in gap]
+                new.update(lost)
+                gaps.append((ids, gap, lost))
+            out.append(ids)
         if new:
-            self.learn(sorted(new))
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+            self.learn(list(new))
+        for ids, gap, lost in gaps:
+            for i, k in zip(gap, lost, strict=True):
+                ids[i] = self.known[k]
+        return [b"".join(x) for x in out]
 
     def normalize(self, texts: list[str]) -> list[str]:
         return self.sp.Normalize(texts)
@@ -322,6 +352,14 @@ class Lattice:
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.runs(self.normalize(texts))
 
+
+class Decoder:
+    """What each id of a model stands for."""
+
+    def __init__(self, path: str) -> None:
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.out = [self._bytes_of(i) for i in range(self.sp.get_piece_size())]
+
     def _bytes_of(self, i: int) -> bytes:
         if self.sp.is_control(i):
             return b""
@@ -374,6 +412,11 @@ def boundary_states(mats: list[Matrix]) -> list[State]:
     return states[::-1]
 
 
+def _lists(ids: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+
+
 def _unpack_states(rows: list[tuple]) -> list[Matrix]:
     mats: dict[int, Matrix] = {}
     for no, ea, et, xa, xt, v in rows:
@@ -381,22 +424,26 @@ def _unpack_states(rows: list[tuple]) -> list[Matrix]:
     return [mats[i] for i in sorted(mats)]
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """All rows and columns of `docs`, and `__ids` (binary): the ids that the model's library gives, little-endian unsigned 32-bit.
+def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK, check: bool = False, arrays: bool = False) -> DataFrame:
+    """All rows and columns of `docs`, and `__ids` (binary; with `arrays` an array of int): the ids that the model's library gives, little-endian unsigned 32-bit.
+    With `check` also `__same`: whether decoding them gives the text.
 
     Null and empty texts have no ids. Giant texts (over `chunk` characters) are encoded once for each different text, in chunks that any executor can
     take; rows that repeat one share the result. An empty table gives an empty result. A path of a model that all executors can read is needed."""
-    narrow = T.StructType([*docs.schema.fields, T.StructField("__ids", T.BinaryType())])
+    small_batches(docs.sparkSession)
+    narrow = T.StructType([*docs.schema.fields, T.StructField("__ids", T.ArrayType(T.IntegerType(), False) if arrays else T.BinaryType()), *([T.StructField("__same", T.BooleanType())] if check else [])])
     at = docs.columns.index(text)
     giant = F.length(F.coalesce(F.col(text), F.lit(""))) > chunk
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model)
+        lattice, decoder = Lattice(model), Decoder(model)
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                ids = lattice.encode([x or "" for x in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=narrow.names)
+            for lo in range(0, b.num_rows, BATCH):
+                part = b.slice(lo, BATCH)
+                texts = [x or "" for x in part.column(at).to_pylist()]
+                ids = lattice.encode(texts)
+                same = [pa.array([decoder.decode(i) == t for i, t in zip(ids, texts, strict=True)])] if check else []
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids) if arrays else pa.array(ids, pa.binary()), *same], names=narrow.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model)
@@ -437,38 +484,54 @@ def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK)
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 32):
+                rows = list(zip(*(c.to_pylist() for c in whole.slice(at, 32).columns), strict=True))
+                ids = lattice.traces([(s, *bounds(s, lo, last), (ea, et), (xa, xt), last) for _, _, s, lo, last, ea, et, xa, xt in rows])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array(ids, pa.binary())], names=["key", "no", "ids"])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([key]), _lists([b"".join(parts)]) if arrays else pa.array([b"".join(parts)], pa.binary())], names=["__key", "__ids"])
         for b in batches:
-            out = []
-            for key, no, s, lo, last, ea, et, xa, xt in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out.append((key, no, lattice.trace(s, *bounds(s, lo, last), (ea, et), (xa, xt), last)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["key", "no", "ids"])
+            for k, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if k != key and parts:
+                    yield out()
+                    parts = []
+                key = k
+                parts.append(ids)
+        if parts:
+            yield out()
 
-    done = docs.where(~giant).mapInArrow(short, narrow)
+    done = docs.where(~giant).mapInArrow(lean(short), narrow)
     key = F.sha2(F.col(text).cast("binary"), 256)
     big = docs.where(giant).withColumn("__key", key)
     texts = big.select("__key", F.col(text).alias("t")).dropDuplicates(["__key"]).select(F.col("__key").alias("key"), "t")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = materialize(texts.mapInArrow(cut, "key string, no long, s string, lo long, last boolean").repartition(n, "key", "no"), "chunks")
-    states = parts.mapInArrow(transfer, "key string, no long, ea long, et long, xa long, xt long, v double")
-    states = states.repartition(n, "key").sortWithinPartitions("key", "no").mapInArrow(settle, "key string, no long, ea long, et long, xa long, xt long")
-    paths = parts.join(states, ["key", "no"]).select("key", "no", "s", "lo", "last", "ea", "et", "xa", "xt").mapInArrow(trace, "key string, no long, ids binary")
-    whole = paths.groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("__parts"))
-    whole = whole.select("__key", F.aggregate("__parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("__ids"))
-    return done.unionByName(big.join(whole, "__key").select(*narrow.names))
+    parts = materialize(texts.mapInArrow(lean(cut), "key string, no long, s string, lo long, last boolean").repartition(n, "key", "no"), "chunks")
+    states = parts.mapInArrow(lean(transfer), "key string, no long, ea long, et long, xa long, xt long, v double")
+    states = states.repartition(n, "key").sortWithinPartitions("key", "no").mapInArrow(lean(settle), "key string, no long, ea long, et long, xa long, xt long")
+    paths = parts.join(states, ["key", "no"]).select("key", "no", "s", "lo", "last", "ea", "et", "xa", "xt").mapInArrow(lean(trace), "key string, no long, ids binary")
+    whole = paths.repartition(n, "key").sortWithinPartitions("key", "no").mapInArrow(lean(assemble), f"__key string, __ids {'array<int>' if arrays else 'binary'}")
+    whole = big.join(whole, "__key")
+    if check:
+        whole = decode(whole, model).withColumn("__same", F.col("__decoded") == F.col(text))
+    return done.unionByName(whole.select(*narrow.names))
 
 
 def decode(rows: DataFrame, model: str, ids: str = "__ids", out: str = "__decoded") -> DataFrame:
     """All rows and columns of `rows`, and the text that its ids stand for; null for null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model)
-        for b in batches:
-            at = b.schema.get_field_index(ids)
-            texts = [None if x is None else lattice.decode(x) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
+        decoder = Decoder(model)
+        for whole in batches:
+            at = whole.schema.get_field_index(ids)
+            for lo in range(0, whole.num_rows, BATCH):
+                b = whole.slice(lo, BATCH)
+                texts = [None if x is None else decoder.decode(x) for x in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def _default_model() -> str:
@@ -479,8 +542,8 @@ def _default_model() -> str:
 
 def digest(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 and round_trip: whether decoding gives the text back (a text that itself holds the mark does not)."""
-    rows = decode(encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model), model)
-    return rows.select("doc_id", (F.length("__ids") / 4).cast("long").alias("n_tokens"), F.crc32("__ids").alias("ids_crc32"), (F.col("__decoded") == F.col("text")).alias("round_trip"))
+    rows = encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model, check=True)
+    return rows.select("doc_id", (F.length("__ids") / 4).cast("long").alias("n_tokens"), F.crc32("__ids").alias("ids_crc32"), F.col("__same").alias("round_trip"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
@@ -489,17 +552,5 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str | None = None) -> DataFrame:
     """The columns of documents without the text, and its ids: n_tokens and token_ids (an array)."""
-    rows = encode(docs, model or _default_model())
-    ids = T.ArrayType(T.IntegerType(), False)
-    rest = [c for c in docs.columns if c != "text"]
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", ids)])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b.column(b.num_columns - 1).to_pylist()
-            offsets = np.cumsum([0] + [len(x) // 4 for x in raw])
-            values = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
-            arrays = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.diff(offsets), pa.int64()), arrays], names=schema.names)
-
-    return rows.select(*rest, "__ids").mapInArrow(unpack, schema)
+    rows = encode(docs, model or _default_model(), arrays=True)
+    return rows.select(*(c for c in docs.columns if c != "text"), F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("token_ids"))

@@ -13,14 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeforge.llm.common import Powers, mix64, prefix_hash, row_blocks, span_hash, table, text_bytes, word_spans
+from cladeforge.llm.common import Powers, lean, mix64, prefix_hash, row_blocks, small_batches, span_hash, table, text_bytes, word_spans
 
 #: The highest share of characters inside repeated n-grams, by n, and inside repeated lines (Rae et al. 2021).
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_LIMIT = 0.20
 #: The base rule's window, symbols, fewest words and highest share of repeated words in percent.
 REPEAT_WINDOW, SYMBOLS, MIN_WORDS, MAX_REPEAT_PERCENT = 3, "#*$%&|<>", 50, 50
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -115,6 +115,7 @@ def quality_rules(docs: DataFrame, text: str = "text", prefix: str = "q_") -> Da
     """
     from pyspark.sql import types as T
 
+    small_batches(docs.sparkSession)
     names = [*COLUMNS, *(f"covered_{n}" for n in NGRAM_LIMITS), "line_chars", "base_failed", "kept"]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + c, T.BooleanType() if c in ("base_failed", "kept") else T.LongType()) for c in names)])
     at = docs.columns.index(text)
@@ -126,7 +127,7 @@ def quality_rules(docs: DataFrame, text: str = "text", prefix: str = "q_") -> Da
                 m = _batches(b.column(at), powers)
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(m[c]) for c in names)], names=[*b.schema.names, *(prefix + c for c in names)])
 
-    return docs.mapInArrow(judge, schema)
+    return docs.mapInArrow(lean(judge), schema)
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:

@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import discard, materialize, mix64, table
+from cladeforge.llm.common import discard, lean, materialize, mix64, small_batches, table
 
-TILE, MAX_TILES, PARTNERS, ROWS = 2048, 8192, 16, 128
+TILE, MAX_TILES, PARTNERS, ROWS, COLUMNS = 2048, 2048, 16, 128, 8192
 SEED = 42
 PIECE = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, key: list[str], text: str = "text", k: int = 4
     """`key` columns and `fp`, 16 lower-case hex digits for each word of the fingerprint. Null texts count as empty: zero."""
     from pyspark.sql import types as T
 
+    small_batches(docs.sparkSession)
     docs = docs.select(*key, F.col(text).cast("binary").alias("__text"))
     schema = T.StructType([*docs.schema.fields[:-1], T.StructField("fp", T.StringType())])
 
@@ -77,7 +78,7 @@ def fingerprints(docs: DataFrame, key: list[str], text: str = "text", k: int = 4
             out = ["".join(f"{x:016x}" for x in fingerprint(t.as_py() or b"", k, words)) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], names=[*b.schema.names[:-1], "fp"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def plan_tiles(cells: np.ndarray, counts: np.ndarray, radius: int, size: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,13 +136,13 @@ def compare(one: np.ndarray, other: np.ndarray | None, radius: int) -> Iterator[
     right = one if other is None else other
     for lo in range(0, len(one), ROWS):
         left = one[lo : lo + ROWS]
-        near = np.bitwise_count(left[:, 0, None] ^ right[None, lo if other is None else 0 :, 0])
-        a, b = np.nonzero(near <= radius)
-        b = b + (lo if other is None else 0)
-        if left.shape[1] > 1 and len(a):
-            ok = np.bitwise_count(left[a] ^ right[b]).sum(1) <= radius
-            a, b = a[ok], b[ok]
-        yield a + lo, b
+        for at in range(lo if other is None else 0, len(right), COLUMNS):
+            part = right[at : at + COLUMNS]
+            a, b = np.nonzero(np.bitwise_count(left[:, 0, None] ^ part[None, :, 0]) <= radius)
+            if left.shape[1] > 1 and len(a):
+                ok = np.bitwise_count(left[a] ^ part[b]).sum(1) <= radius
+                a, b = a[ok], b[ok]
+            yield a + lo, b + at
 
 
 def links(nodes: DataFrame, radius: int, words: int = 1, tile: int = TILE) -> DataFrame:
@@ -210,8 +211,8 @@ def links(nodes: DataFrame, radius: int, words: int = 1, tile: int = TILE) -> Da
                     both = np.concatenate([own, other])
                     yield report(both, forest(len(both), ((a, b + len(own)) for a, b in compare(own, other, radius))))
 
-    tiles = nodes.select("fp").mapInArrow(deal, "tile long, fps binary").repartition(n, "tile").mapInArrow(gather, "pairs long, own boolean, fps binary")
-    return tiles.repartition(n, "pairs").sortWithinPartitions("pairs", F.col("own").desc()).mapInArrow(meet, "a string, b string")
+    tiles = nodes.select("fp").mapInArrow(lean(deal), "tile long, fps binary").repartition(n, "tile").mapInArrow(lean(gather), "pairs long, own boolean, fps binary")
+    return tiles.repartition(n, "pairs").sortWithinPartitions("pairs", F.col("own").desc()).mapInArrow(lean(meet), "a string, b string")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -246,8 +247,8 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     marks = materialize(fingerprints(docs, key, text, k, words), "fingerprints")
     nodes = materialize(marks.groupBy("fp").agg(F.min(ident).alias("least_id")), "nodes")
     roots = components(links(nodes, radius, words))
-    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    lowest = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    joined = materialize(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "rooted")
+    lowest = materialize(joined.groupBy("root").agg(F.min("least_id").alias("component_id")), "lowest")  # a table, so that the join may split a large component
     member = materialize(joined.join(lowest, "root").select("fp", "component_id"), "members")
     return marks.join(member, "fp").select(*key, "fp", "component_id")
 

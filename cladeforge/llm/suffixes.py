@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeforge.llm.common import Powers, materialize, mix64, partitions, prefix_hash, row_blocks, span_hash, table, text_bytes
+from cladeforge.llm.common import Powers, lean, materialize, mix64, partitions, prefix_hash, row_blocks, small_batches, span_hash, table, text_bytes
 
 WIDTH, K = 50, 16
 BLOCK = 2 << 20  # positions must fit 22 bits
 BUCKET_BYTES, GROUP_BYTES, CHUNK = 6 << 20, 12 << 20, 1 << 19
-SAMPLE_DOCS, SAMPLE_CHARS, HOT_SHARE = 1024, 20_000, 0.01
+SAMPLE_DOCS, SAMPLE_CHARS, HOT_SHARE, SLICE = 1024, 20_000, 0.01, 512
 _LOW = np.uint64((1 << 22) - 1)
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _LAST = (1 << 63) - 1  # the ident of a document without one
@@ -356,12 +356,12 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     Null and empty texts have no bytes. A row without ident comes after all others and never makes another lose bytes; rows that share an ident don't
     touch each other. An empty table gives an empty result. New columns are called `__n_bytes`, `__n_removed`,
     `__n_spans`, `__kept`. With `as_text` what stays is a string; where a cut parts the bytes of a character, its rest goes too."""
-    spark = docs.sparkSession
-    n_bytes = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    spark = small_batches(docs.sparkSession)
+    n_bytes, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)), F.count("*")).first()
     n_buckets, n_groups = partitions(spark, n_bytes, BUCKET_BYTES), partitions(spark, n_bytes, GROUP_BYTES)
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    chosen = docs.select(F.substring(text, 1, SAMPLE_CHARS).cast("binary").alias("t"), F.xxhash64(ident, text).alias("o")).orderBy("o").limit(SAMPLE_DOCS)
-    hot = hot_minimizers([bytes(r[0]) for r in chosen.collect() if r[0] is not None], width)  # SAMPLE_DOCS texts of SAMPLE_CHARS at most
+    chosen = docs.where(F.rand(7) < SAMPLE_DOCS / max(n_docs, 1)).select(F.substring(text, 1, SAMPLE_CHARS).cast("binary").alias("t"))
+    hot = hot_minimizers([bytes(r[0]) for r in chosen.collect() if r[0] is not None], width)  # about SAMPLE_DOCS texts of SAMPLE_CHARS at most
     slim = docs.select(F.col(ident).cast("long").alias("i"), key.alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,9 +421,9 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
             yield _rows(out)
 
     schema = "__kind long, __g long, __blob binary"
-    replies = slim.mapInArrow(announce, "bucket long, name long, blob binary").repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(reply, "name long, kind long, bucket long, blob binary")
-    wrapped = slim.mapInArrow(wrap, "name long, kind long, bucket long, blob binary").unionByName(replies)
-    found = wrapped.repartition(n_groups, "name").sortWithinPartitions("name", "kind").mapInArrow(cut, schema).repartition(n_buckets, "__kind", "__g").sortWithinPartitions("__kind", "__g").mapInArrow(sort, schema)
+    replies = slim.mapInArrow(lean(announce), "bucket long, name long, blob binary").repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(reply), "name long, kind long, bucket long, blob binary")
+    wrapped = slim.mapInArrow(lean(wrap), "name long, kind long, bucket long, blob binary").unionByName(replies)
+    found = wrapped.repartition(n_groups, "name").sortWithinPartitions("name", "kind").mapInArrow(lean(cut), schema).repartition(n_buckets, "__kind", "__g").sortWithinPartitions("__kind", "__g").mapInArrow(lean(sort), schema)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -431,7 +431,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(g)], names=[*b.schema.names, "__g"])
 
     with_key = docs.withColumn("__key", key)
-    dealt = with_key.mapInArrow(label, T.StructType([*with_key.schema.fields, T.StructField("__g", T.LongType())])).withColumn("__kind", F.lit(2).cast("long"))
+    dealt = with_key.mapInArrow(lean(label), T.StructType([*with_key.schema.fields, T.StructField("__g", T.LongType())])).withColumn("__kind", F.lit(2).cast("long"))
     both = dealt.unionByName(found, allowMissingColumns=True).repartition(n_groups, "__g").sortWithinPartitions("__g", "__kind")
     at_id, at_text, at_key, n_own = docs.columns.index(ident), docs.columns.index(text), len(docs.columns), len(docs.columns)
     out_schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("__n_bytes", "__n_removed", "__n_spans")), T.StructField("__kept", T.StringType() if as_text else T.BinaryType())])
@@ -439,7 +439,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, cuts, waiting = None, {}, []
-        for b in batches:
+        for b in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
             kind, own, blob = b.column(at_kind).to_pylist(), b.column(at_g).to_pylist(), b.column(at_blob)
             size, removed, n_spans, kept, rows = [], [], [], [], []
             ids, keys, texts = b.column(at_id), b.column(at_key), b.column(at_text).cast(pa.binary())
@@ -467,7 +467,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in range(n_own)), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())], names=out_schema.names)
 
-    return both.mapInArrow(apply, out_schema)
+    return both.mapInArrow(lean(apply), out_schema)
 
 
 def _by_document(blobs: list[bytes]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:

@@ -16,9 +16,11 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,59 +29,84 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cladeforge.llm.common import materialize, partitions, scratch_path, table
+from cladeforge.llm.common import lean, materialize, partitions, scratch_path, small_batches, table
 
 MAGIC, END_ID = b"CFTK0001", 2
 #: The dictionary: documents and characters of each that it is trained on, and its size.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 20_000, 64 << 10
 PARTITION_BYTES, SEGMENT_BYTES, LEVEL = 24 << 20, 4 << 20, 1
-CACHE_PIECES = 300_000
-_CUT = re.compile(r"(?= \S)")
+CACHE_PIECES = 1_400_000
+_ENDED = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([.,;:!?#$%&*|]+)").fullmatch
+_CUT, _PLAIN, _AFTER = re.compile(r"(?= \S)"), re.compile(r"\S+(?:\n\S+)*").fullmatch, re.compile(r" (?=[^\S ])").search
 
 
 class Encoder:
     """A byte-level BPE tokenizer that remembers the ids of the pieces it has met.
 
     Pre-tokens of the byte-level pattern never reach across the place before a space that a non-space follows, so a text's ids are
-    those of the pieces between such places. New pieces are encoded together, separated by line feeds, which stand alone as
-    pre-tokens there; pieces with other white space are encoded one by one."""
+    those of the pieces between such places. Most texts are split at their spaces; one that has white space after a space, or ends with
+    one, is split by pattern. New pieces are encoded together, separated by line feeds, which stand alone as pre-tokens there; pieces with
+    other white space are encoded one by one. A worker keeps what it has learnt for its next tasks, up to CACHE_PIECES."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        kept = sys.modules.setdefault("_cladeforge_encoders", type(sys)("_cladeforge_encoders")).__dict__
+        if path not in kept:
+            tok = Tokenizer.from_file(path)
+            tok.encode_special_tokens = True
+            kept[path] = (tok, {})
+        self.tok, self.known = kept[path]
         self.feed = self._ids("\n")
 
     def _ids(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if p.startswith(" ") and len(p.split()) == 1 and not re.search(r"\s", p[1:])]
-        for lo in range(0, len(plain), 4096):
-            some = plain[lo : lo + 4096]
-            ids = np.array(self._ids("\n".join(some) + "\n"), np.uint32)
+        """Encode new pieces: a word stands for itself after a space, one that begins with a space for what follows that."""
+        ended = [(m[1], m[2]) for p in pieces if (m := _ENDED(p))]  # a word and marks, which no pre-token joins
+        word = dict.fromkeys(w for w, _ in ended if w not in self.known)
+        mark = dict.fromkeys(" " + m for _, m in ended if " " + m not in self.known)
+        if word or mark:
+            self.learn([*word, *mark])
+        self.known.update((w + m, self.known[w] + self.known[" " + m]) for w, m in ended)
+        plain = [p for p in pieces if p not in self.known and _PLAIN(p)]
+        for lo in range(0, len(plain), 128):
+            some = plain[lo : lo + 128]
+            ids = np.array(self._ids(" " + "\n ".join(some) + "\n"), "<u4")
             cut = np.flatnonzero(ids == self.feed[0])
-            if len(self.feed) == 1 and len(cut) == len(some):
-                start = np.append(0, cut[:-1] + 1)
-                raw = ids.tobytes()
-                self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, start.tolist(), cut.tolist(), strict=True))
+            feeds = np.cumsum([1 + p.count("\n") for p in some])
+            if len(self.feed) == 1 and len(cut) == feeds[-1]:
+                raw, at = ids.tobytes(), (4 * cut[feeds - 1]).tolist()
+                self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *(x + 4 for x in at[:-1])], at, strict=True)], strict=True))
         rest = [p for p in pieces if p not in self.known]
         if rest:
-            for p, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, np.uint32).tobytes()
+            for p, e in zip(rest, self.tok.encode_batch([p[1:] if p[:1] == " " else " " + p for p in rest], add_special_tokens=False), strict=True):
+                self.known[p] = np.array(e.ids, "<u4").tobytes()
+
+    def split(self, text: str) -> list[str]:
+        words = text.split(" ")
+        if not all(words[1:]) or _AFTER(text):
+            words = _CUT.split(text)
+            words[1:] = [w[1:] for w in words[1:]]
+        words[0] = " " + words[0]
+        return words
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        split = [_CUT.split(t) for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        new = set().union(*split).difference(self.known)
+        if len(self.known) > CACHE_PIECES:  # the common pieces are among the first
+            first = dict(islice(self.known.items(), CACHE_PIECES // 4))
+            self.known.clear()
+            self.known.update(first)
+        split = [self.split(t) for t in texts]
+        own = dict.fromkeys(chain.from_iterable(split))  # the batch's own pieces: a table that stays in the processor's cache
+        own = dict(zip(own, map(self.known.get, own), strict=True))
+        new = [p for p, ids in own.items() if ids is None]
         if new:
-            self.learn(sorted(new))
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+            self.learn(new)
+            own.update(zip(new, map(self.known.__getitem__, new), strict=True))
+        return [b"".join(map(own.__getitem__, s)) for s in split]
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -139,13 +166,12 @@ def segments(data: bytes, dictionary: bytes) -> Iterator[Segment]:
 def write_files(docs: DataFrame, path: str, tokenizer: str, ident: str = "doc_id", text: str = "text", end_id: int = END_ID) -> bytes:
     """Encode `docs` into files under `path` in ascending order of `ident`, nulls last, ties by their frames; returns the dictionary,
     which is also written, to `path`-dictionary."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_bytes, n_docs = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count("*")).first()
     n = partitions(spark, n_bytes, PARTITION_BYTES)
     bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
-    chosen = [r[0] for r in rows.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
-    sample = rows.where(F.col("doc_id").isin(chosen)).select(F.substring("text", 1, SAMPLE_CHARS)).limit(2 * SAMPLE_DOCS).collect() if chosen else []
+    sample = rows.where(F.rand(7) < SAMPLE_DOCS / max(n_docs, 1)).select(F.substring("text", 1, SAMPLE_CHARS)).collect()  # about SAMPLE_DOCS
     dictionary = train_dictionary(Encoder(tokenizer).encode([r[0] for r in sample]))
     spark.createDataFrame([(bytearray(dictionary),)], "value binary").select(F.col("value").cast("string")).coalesce(1).write.text(path + "-dictionary")
     sent = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
@@ -154,8 +180,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, ident: str = "doc_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pack = Encoder(tokenizer), _coders(sent.value)[0]
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
                 ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pack.compress(x) for x in ids], pa.binary())], names=["doc_id", "n", "frame"])
 
@@ -172,11 +198,11 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, ident: str = "doc_id
         if rows:
             yield out()
 
-    frames = rows.mapInArrow(encode, "doc_id long, n long, frame binary")
+    frames = rows.mapInArrow(lean(encode), "doc_id long, n long, frame binary")
     edges = F.expr(f"array({', '.join(f'{int(x)}L' for x in bounds)})") if bounds else F.expr("array(0L)")
     to = F.when(F.col("doc_id").isNull(), n - 1).otherwise(F.least(F.lit(n - 1), F.size(F.filter(edges, lambda x: x < F.col("doc_id")))))
     frames = frames.repartitionById(n, to).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "n", "frame")
-    lines = frames.mapInArrow(lay_out, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = frames.mapInArrow(lean(lay_out), "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.text(path)  # a line feed closes each segment
     return dictionary
 
@@ -198,7 +224,7 @@ def read_files(spark: SparkSession, path: str, dictionary: bytes) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * m), pa.array(s.idents, pa.int64(), mask=s.null.astype(bool)), pa.array(own), pa.array(n), pa.array(crc, pa.int64())], names=["file", "doc_id", "own", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    found = materialize(files.mapInArrow(parse, "file string, doc_id long, own long, n_tokens long, ids_crc32 long"), "read")
+    found = materialize(files.mapInArrow(lean(parse), "file string, doc_id long, own long, n_tokens long, ids_crc32 long"), "read")
     before = found.groupBy("file").agg(F.sum("n_tokens").alias("all"))  # a row for each file
     before = before.select("file", F.coalesce(F.sum("all").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return found.join(F.broadcast(before) if _few(before) else before, "file").select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import materialize, scratch_path, table
+from cladeforge.llm.common import lean, materialize, scratch_path, table
 
 #: Payloads below so many bytes are never revisits; records in an archive at most.
 MIN_REVISIT, RECORDS = 1000, 5000
@@ -155,7 +155,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(parse, schema)
+    return files.mapInArrow(lean(parse), schema)
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return runs.repartitionByRange(n, "url_key", "ts", F.col("page_id").asc_nulls_last(), "run", "offset").mapInArrow(merge, runs.schema)
+    return runs.repartitionByRange(n, "url_key", "ts", F.col("page_id").asc_nulls_last(), "run", "offset").mapInArrow(lean(merge), runs.schema)
 
 
 def archive(pages: DataFrame, path: str, ident: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
