@@ -20,7 +20,7 @@ import sys
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +29,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cladeforge.llm.common import lean, materialize, partitions, scratch_path, small_batches, table
+from cladeforge.llm.common import Powers, lean, materialize, partitions, prefix_hash, row_blocks, scratch_path, small_batches, span_hash, table, text_bytes
 
 MAGIC, END_ID = b"CFTK0001", 2
 #: The dictionary: documents and characters of each that it is trained on, and its size.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 20_000, 64 << 10
-PARTITION_BYTES, SEGMENT_BYTES, LEVEL = 24 << 20, 4 << 20, 1
+PARTITION_BYTES, SEGMENT_BYTES, BLOCK_BYTES, LEVEL = 24 << 20, 4 << 20, 4 << 20, 1
 CACHE_PIECES = 1_400_000
-_ENDED = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([.,;:!?#$%&*|]+)").fullmatch
-_CUT, _PLAIN, _AFTER = re.compile(r"(?= \S)"), re.compile(r"\S+(?:\n\S+)*").fullmatch, re.compile(r" (?=[^\S ])").search
+#: Pieces of one word after a space: any, and with marks behind letters.
+_PLAIN, _ENDED = re.compile(rb" ?(?:[!-~]|[\xc3-\xc9][\x80-\xbf])+").fullmatch, re.compile(rb"( ?[a-zA-Z]+)([.,;:!?#$%&*|]+)").fullmatch
+#: Bytes that may follow a space at which a text is cut: neither white space nor the first byte of one.
+_AFTER_SPACE = np.ones(256, bool)
+_AFTER_SPACE[[*range(33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+_BEFORE_FEED = np.zeros(256, bool)
+_BEFORE_FEED[33:127] = True
 
 
 class Encoder:
     """A byte-level BPE tokenizer that remembers the ids of the pieces it has met.
 
     Pre-tokens of the byte-level pattern never reach across the place before a space that a non-space follows, so a text's ids are
-    those of the pieces between such places. Most texts are split at their spaces; one that has white space after a space, or ends with
-    one, is split by pattern. New pieces are encoded together, separated by line feeds, which stand alone as pre-tokens there; pieces with
-    other white space are encoded one by one. A worker keeps what it has learnt for its next tasks, up to CACHE_PIECES."""
+    those of the pieces between such places, and between a line feed and the non-spaces around it. Places are found in a batch's bytes; equal pieces of a batch meet by a 64-bit hash, and each different
+    one is looked up once by its bytes. New pieces are encoded together, separated by line feeds, which stand alone as pre-tokens there;
+    pieces with other white space are encoded one by one. A worker keeps what it has learnt for its next tasks, up to CACHE_PIECES."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,57 +61,78 @@ class Encoder:
         if path not in kept:
             tok = Tokenizer.from_file(path)
             tok.encode_special_tokens = True
-            kept[path] = (tok, {})
-        self.tok, self.known = kept[path]
+            kept[path] = (tok, {}, Powers())
+        self.tok, self.known, self.powers = kept[path]
         self.feed = self._ids("\n")
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces: a word stands for itself after a space, one that begins with a space for what follows that."""
-        ended = [(m[1], m[2]) for p in pieces if (m := _ENDED(p))]  # a word and marks, which no pre-token joins
-        word = dict.fromkeys(w for w, _ in ended if w not in self.known)
-        mark = dict.fromkeys(" " + m for _, m in ended if " " + m not in self.known)
-        if word or mark:
-            self.learn([*word, *mark])
-        self.known.update((w + m, self.known[w] + self.known[" " + m]) for w, m in ended)
-        plain = [p for p in pieces if p not in self.known and _PLAIN(p)]
+    def learn(self, pieces: list[bytes]) -> None:
+        """Encode new pieces."""
+        known = self.known
+        plain, rest = [], []
+        ended = []
+        for p in pieces:
+            if m := _ENDED(p):
+                ended.append((p, m[1], m[2]))
+            elif _PLAIN(p):
+                plain.append(p)
+            else:
+                rest.append(p)
+        plain += dict.fromkeys(x for _, w, m in ended for x in (w, m) if x not in known)  # a word and marks, which no pre-token joins
         for lo in range(0, len(plain), 128):
             some = plain[lo : lo + 128]
-            ids = np.array(self._ids(" " + "\n ".join(some) + "\n"), "<u4")
+            text = b"\n".join(some) + b"\n"
+            ids = np.array(self._ids(text.decode()), "<u4")
             cut = np.flatnonzero(ids == self.feed[0])
-            feeds = np.cumsum([1 + p.count("\n") for p in some])
-            if len(self.feed) == 1 and len(cut) == feeds[-1]:
-                raw, at = ids.tobytes(), (4 * cut[feeds - 1]).tolist()
-                self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *(x + 4 for x in at[:-1])], at, strict=True)], strict=True))
-        rest = [p for p in pieces if p not in self.known]
+            if len(self.feed) == 1 and len(cut) == len(some):
+                raw, at = ids.tobytes(), (4 * cut).tolist()
+                known.update(zip(some, [raw[a:z] for a, z in zip([0, *(x + 4 for x in at[:-1])], at, strict=True)], strict=True))
+            else:
+                rest += some
         if rest:
-            for p, e in zip(rest, self.tok.encode_batch([p[1:] if p[:1] == " " else " " + p for p in rest], add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def split(self, text: str) -> list[str]:
-        words = text.split(" ")
-        if not all(words[1:]) or _AFTER(text):
-            words = _CUT.split(text)
-            words[1:] = [w[1:] for w in words[1:]]
-        words[0] = " " + words[0]
-        return words
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
+            for p, e in zip(rest, self.tok.encode_batch([p.decode() for p in rest], add_special_tokens=False), strict=True):
+                known[p] = np.array(e.ids, "<u4").tobytes()
+        known.update((p, known[w] + known[m]) for p, w, m in ended)
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray, end: bytes = b"") -> list[bytes]:
+        """The ids of each text (concatenated UTF-8 and offsets), as little-endian unsigned 32-bit integers, each text closed by `end`."""
+        if not len(data):
+            return [end] * (len(offsets) - 1)
         if len(self.known) > CACHE_PIECES:  # the common pieces are among the first
             first = dict(islice(self.known.items(), CACHE_PIECES // 4))
             self.known.clear()
             self.known.update(first)
-        split = [self.split(t) for t in texts]
-        own = dict.fromkeys(chain.from_iterable(split))  # the batch's own pieces: a table that stays in the processor's cache
-        own = dict(zip(own, map(self.known.get, own), strict=True))
-        new = [p for p, ids in own.items() if ids is None]
-        if new:
-            self.learn(new)
-            own.update(zip(new, map(self.known.__getitem__, new), strict=True))
-        return [b"".join(map(own.__getitem__, s)) for s in split]
+        mark = np.zeros(len(data), bool)
+        np.logical_and(data[:-1] == 32, _AFTER_SPACE[data[1:]], out=mark[:-1])
+        feed = np.flatnonzero((data[1:-1] == 10) & _BEFORE_FEED[data[:-2]] & _AFTER_SPACE[data[2:]]) + 1
+        ends = np.zeros(len(data) + 1, bool)
+        ends[offsets] = True
+        feed = feed[~ends[feed] & ~ends[feed + 1]]
+        mark[feed] = mark[feed + 1] = True
+        mark[offsets[1:-1][offsets[1:-1] > 0] - 1] = False  # a space that ends its text
+        mark[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        start = np.flatnonzero(mark)
+        stop = np.append(start[1:], len(data))
+        key = span_hash(prefix_hash(data, self.powers), self.powers, start, stop)
+        _, first, place = np.unique(key, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        own = [raw[a:z] for a, z in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
+        ids = list(map(self.known.get, own))
+        if None in ids:
+            self.learn([p for p, x in zip(own, ids, strict=True) if x is None])
+            ids = list(map(self.known.__getitem__, own))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = (np.cumsum(size) - size)[place]
+        flat, count = np.frombuffer(b"".join(ids), "<u4"), size[place]
+        before = np.cumsum(count) - count
+        out = flat[np.repeat(at - before, count) + np.arange(int(count.sum()))].tobytes()
+        edge = 4 * np.append(before, len(out) // 4)[np.searchsorted(start, offsets)]
+        return [out[a:z] + end for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encode_bytes(*text_bytes(pa.array(texts, pa.string())))
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -182,7 +208,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, ident: str = "doc_id
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
+                data, offsets = text_bytes(part.column(1))
+                ids = [x for a, z in row_blocks(offsets, BLOCK_BYTES) for x in encoder.encode_bytes(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], end)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pack.compress(x) for x in ids], pa.binary())], names=["doc_id", "n", "frame"])
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
