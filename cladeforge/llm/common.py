@@ -132,7 +132,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = -(-n >> 20) << 20 if n > 1 << 20 else max(n, 2 * len(self.up))
             up, down = np.full(size, _BASE, np.uint64), np.full(size, _BASE_INV, np.uint64)
             up[0] = down[0] = 1
             self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
