@@ -111,7 +111,18 @@ def q_stream(spark, sf_dir):
     return done.select("rep", "tree", F.round("lnl", 4).alias("lnl"))
 
 
+def q_model_selection(spark, sf_dir):
+    from cladeforge.operators.selection import select
+
+    aln = alignment(spark, sf_dir)
+    f = A.empirical_frequencies(aln).first()
+    p = A.patterns(aln).groupBy("states").agg(F.sum("freq").alias("freq"))
+    taxa = [str(t) for t in taxa_of(aln)]
+    return select(spark, p, TREE, taxa, ["JC", "K80", "HKY+F", "JC+G4"], list(f)).select("model", F.round("lnl", 3).alias("lnl"), "k", "n", F.round("bic", 3).alias("bic"), "rank")
+
+
 QUERIES = {
+    "model_selection": q_model_selection,
     "parsimony_fitch": q_fitch, "lik_jc": q_likelihood, "lik_gamma_invariant": q_likelihood_gamma, "lik_site_rates": q_site_rates, "dist_ml": q_ml_distance, "tree_from_distances": q_nj, "search_parsimony": q_parsimony_search,
     "concordance_site": q_scf, "concordance_gene": q_gcf, "sim_random_trees": q_random_trees, "sim_alignment": q_simulate, "stream_best_tree": q_stream,
 }

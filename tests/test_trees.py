@@ -152,3 +152,21 @@ def test_rootstrap(spark):
     trees = spark.createDataFrame([("((a,b),(c,d));",), ("((c,d),(b,a));",), ("(a,((b,c),d));",)], "newick string")
     got = {r.split: round(r.support, 1) for r in N.rootstrap(trees, "((a,b),(c,d));").collect()}
     assert got["a,b"] == 66.7 and got["a"] == 33.3 and got["a,c,d"] == 0
+
+
+def test_sql_functions(spark):
+    from cladeforge.functions.udfs import register
+
+    register(spark)
+    r = spark.sql("SELECT chi2_sf(3.841458820694124D, 1D) AS p, newick_topology('((b:1,a),c,d);') AS t, newick_leaves('(b,a);') AS l, newick_splits('((a,b),c,d);') AS s, newick_length('(a:1,b:2);') AS n, newick_length(CAST(NULL AS STRING)) AS z").first()
+    assert r.p == pytest.approx(0.05) and r.t == "(a,b,(c,d));" and r.l == ["a", "b"] and r.s == ["a,b"] and r.n == 3 and r.z is None
+
+
+def test_model_selection_prefers_the_true_model(spark):
+    from cladeforge.operators import alignment as A
+    from cladeforge.operators.selection import select
+
+    tree = "((a:0.2,b:0.2):0.1,c:0.2,(d:0.2,e:0.3):0.1);"
+    aln = S.simulate(spark, tree, model_of("K80{6}"), 3000, seed=2).selectExpr("taxon", "site", "0 AS part", "mask")
+    rows = select(spark, A.patterns(aln), tree, list("abcde"), ["JC", "K80", "K80+G4"], [0.25] * 4).orderBy("rank").collect()
+    assert rows[0].model == "K80" and float(rows[0].fitted[4:-1]) == pytest.approx(6, rel=0.2) and rows[0].scale == pytest.approx(1, rel=0.1)
