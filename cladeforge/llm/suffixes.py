@@ -95,7 +95,7 @@ def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(len(a) for a in arrays)], "<i8").tobytes() + "".join(f"{a.dtype.str:4}" for a in arrays).encode()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=5).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
