@@ -19,7 +19,6 @@ import re
 import sys
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -143,10 +142,14 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b"".join(samples)[-size:]
 
 
-@lru_cache(2)
 def _coders(dictionary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
-    d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
+    """A compressor and a decompressor; a process keeps those of its last dictionary."""
+    kept = sys.modules.setdefault("_cladeforge_coders", type(sys)("_cladeforge_coders"))
+    if getattr(kept, "dictionary", None) != dictionary:
+        d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        kept.coders = zstandard.ZstdCompressor(level=LEVEL, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
+        kept.dictionary = dictionary
+    return kept.coders
 
 
 def pack_segment(rows: list[tuple[int | None, int, bytes]], dictionary: bytes) -> bytes:
