@@ -34,7 +34,7 @@ MAGIC, END_ID = b"CFTK0001", 2
 #: The dictionary: documents and characters of each that it is trained on, and its size.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 20_000, 64 << 10
 PARTITION_BYTES, SEGMENT_BYTES, BLOCK_BYTES, LEVEL = 24 << 20, 4 << 20, 4 << 20, 1
-CACHE_PIECES = 1_300_000
+CACHE_PIECES = 1_500_000
 #: Pieces of one word after a space: any, and with marks behind letters.
 _PLAIN, _ENDED = re.compile(rb" ?(?:[!-~]|[\xc3-\xc9][\x80-\xbf])+").fullmatch, re.compile(rb"( ?[a-zA-Z]+)([.,;:!?#$%&*|]+)").fullmatch
 #: Bytes that may follow a space at which a text is cut: neither white space nor the first byte of one.
