@@ -8,13 +8,15 @@ fingerprints cost thousands of rows, not millions. Components come from minimum
 
 What the driver holds is bounded: the counts of at most 17^4 cells and the list of tile pairs (at most
 `MAX_TILES` tiles; tiles grow with the number of fingerprints). Fingerprints and links stay in the cluster.
+
+The pipeline's stage takes tiles for a search only: texts that close fingerprints chain together are compared by their sets of shingles.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +53,23 @@ def _shingle_hashes(raw: bytes, k: int) -> Iterator[np.ndarray]:
 
 def fingerprint(raw: bytes, k: int = 4, words: int = 1) -> list[int]:
     """`words` 64-bit fingerprints of a UTF-8 text: a bit is 1 if set in over half of the shingles' values."""
+    return _majority(_shingle_hashes(raw, k), words)
+
+
+def shingle_set(raw: bytes, k: int) -> np.ndarray:
+    """The different XXH64 values of a text's k-word shingles, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(raw, k)]))
+
+
+def set_fingerprint(raw: bytes, k: int, words: int) -> list[int]:
+    """`words` fingerprints of a text's set of shingles, each counted once, and a hash of the set."""
+    own = shingle_set(raw, k)
+    return [*_majority([own], words), xxhash.xxh64_intdigest(own.tobytes(), SEED)]
+
+
+def _majority(pieces: Iterable[np.ndarray], words: int) -> list[int]:
     total, counts = 0, np.zeros((words, 64), np.int64)
-    for values in _shingle_hashes(raw, k):
+    for values in pieces:
         total += len(values)
         for w in range(words):
             part = values
@@ -65,17 +82,19 @@ def fingerprint(raw: bytes, k: int = 4, words: int = 1) -> list[int]:
     return [int(bit[2 * row > total].sum()) if total else 0 for row in counts]
 
 
-def fingerprints(docs: DataFrame, key: list[str], text: str = "text", k: int = 4, words: int = 1) -> DataFrame:
-    """`key` columns and `fp`, 16 lower-case hex digits for each word of the fingerprint. Null texts count as empty: zero."""
+def fingerprints(docs: DataFrame, key: list[str], text: str = "text", k: int = 4, words: int = 1, sets: bool = False) -> DataFrame:
+    """`key` columns and `fp`, 16 lower-case hex digits for each word of the fingerprint. Null texts count as empty: zero.
+    `sets`: of the sets of shingles, with a hash of the set as the last word."""
     from pyspark.sql import types as T
 
     small_batches(docs.sparkSession)
     docs = docs.select(*key, F.col(text).cast("binary").alias("__text"))
     schema = T.StructType([*docs.schema.fields[:-1], T.StructField("fp", T.StringType())])
+    of = set_fingerprint if sets else fingerprint
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = ["".join(f"{x:016x}" for x in fingerprint(t.as_py() or b"", k, words)) for t in b.column(b.num_columns - 1)]
+            out = ["".join(f"{x:016x}" for x in of(t.as_py() or b"", k, words)) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], names=[*b.schema.names[:-1], "fp"])
 
     return docs.mapInArrow(lean(run), schema)
@@ -131,28 +150,31 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return label
 
 
-def compare(one: np.ndarray, other: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row indices (into one, into other) of fingerprints at most `radius` bits apart; other None: within one."""
-    right = one if other is None else other
+def compare(one: np.ndarray, other: np.ndarray | None, radius: int, first: int | None = None, words: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row indices (into one, into other) of fingerprints at most `radius` bits apart, and in the first word at most `first`; other
+    None: within one. Words after the first `words` don't count."""
+    right, first, words = one if other is None else other, radius if first is None else first, words or one.shape[1]
     for lo in range(0, len(one), ROWS):
         left = one[lo : lo + ROWS]
         for at in range(lo if other is None else 0, len(right), COLUMNS):
             part = right[at : at + COLUMNS]
-            a, b = np.nonzero(np.bitwise_count(left[:, 0, None] ^ part[None, :, 0]) <= radius)
-            if left.shape[1] > 1 and len(a):
-                ok = np.bitwise_count(left[a] ^ part[b]).sum(1) <= radius
+            a, b = np.nonzero(np.bitwise_count(left[:, 0, None] ^ part[None, :, 0]) <= first)
+            if words > 1 and len(a):
+                ok = np.bitwise_count(left[a, :words] ^ part[b, :words]).sum(1) <= radius
                 a, b = a[ok], b[ok]
             yield a + lo, b + at
 
 
-def links(nodes: DataFrame, radius: int, words: int = 1, tile: int = TILE) -> DataFrame:
-    """Spanning links (a, b) between the different fingerprints `fp` of `nodes`."""
-    spark = nodes.sparkSession
+def links(nodes: DataFrame, radius: int, words: int = 1, tile: int = TILE, first_radius: int | None = None, more: int = 0) -> DataFrame:
+    """Spanning links (a, b) between the different fingerprints `fp` of `nodes`, at most `radius` bits apart and in the first word at most
+    `first_radius`. `fp` ends with `more` words that don't count."""
+    spark, width = nodes.sparkSession, words + more
+    near = radius if first_radius is None else first_radius
     part = lambda lo: F.bit_count(F.conv(F.substring("fp", lo, 4), 16, 10).cast("int"))
     cell = ((part(13) * 17 + part(9)) * 17 + part(5)) * 17 + part(1)
     seen = nodes.groupBy(cell.alias("cell")).count().collect()  # 17^4 rows at most
     cells, counts = np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], np.int64)
-    first, number, pairs = plan_tiles(cells, counts, radius, tile)
+    first, number, pairs = plan_tiles(cells, counts, near, tile)
     goes: dict[int, list[tuple[int, bool]]] = {}
     group, of, left = -1, -1, 0
     for i, j in pairs.tolist():
@@ -171,7 +193,7 @@ def links(nodes: DataFrame, radius: int, words: int = 1, tile: int = TILE) -> Da
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number, _, _ = plan.value
         for b in batches:
-            f = np.array([int(x[i : i + 16], 16) for x in b.column(0).to_pylist() for i in range(0, 16 * words, 16)], np.uint64).reshape(-1, words)
+            f = np.array([int(x[i : i + 16], 16) for x in b.column(0).to_pylist() for i in range(0, 16 * width, 16)], np.uint64).reshape(-1, width)
             c = _parts(f[:, 0])
             t = first[c] + (mix64(f[:, 0] ^ np.uint64(99)) % number[c].astype(np.uint64)).astype(np.int64)
             order = np.argsort(t, kind="stable")
@@ -192,7 +214,7 @@ def links(nodes: DataFrame, radius: int, words: int = 1, tile: int = TILE) -> Da
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         selfish, key, own = plan.value[3], None, None
-        back = lambda x: np.frombuffer(x, np.uint64).reshape(-1, words)
+        back = lambda x: np.frombuffer(x, np.uint64).reshape(-1, width)
         hexed = lambda f: pa.array(["".join(f"{v:016x}" for v in row) for row in f.tolist()], pa.string())
 
         def report(points: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
@@ -204,12 +226,12 @@ def links(nodes: DataFrame, radius: int, words: int = 1, tile: int = TILE) -> Da
                 if is_own:
                     key, own = g, back(x)
                     if g in selfish:
-                        yield report(own, forest(len(own), compare(own, None, radius)))
+                        yield report(own, forest(len(own), compare(own, None, radius, near, words)))
                 else:
                     assert g == key
                     other = back(x)
                     both = np.concatenate([own, other])
-                    yield report(both, forest(len(both), ((a, b + len(own)) for a, b in compare(own, other, radius))))
+                    yield report(both, forest(len(both), ((a, b + len(own)) for a, b in compare(own, other, radius, near, words))))
 
     tiles = nodes.select("fp").mapInArrow(lean(deal), "tile long, fps binary").repartition(n, "tile").mapInArrow(lean(gather), "pairs long, own boolean, fps binary")
     return tiles.repartition(n, "pairs").sortWithinPartitions("pairs", F.col("own").desc()).mapInArrow(lean(meet), "a string, b string")
@@ -258,16 +280,104 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
-#: Of the pipeline's stage: two words of fingerprint (128 bits) over five-word shingles; a similarity (Jaccard) of 0.8 is a
-#: cosine of 1.6 / 1.8, an angle of 0.1515 half turns, so 19 of 128 bits.
-STAGE_K, STAGE_WORDS, STAGE_RADIUS = 5, 2, 19
+#: Of the pipeline's stage: five-word shingles, and the least similarity (Jaccard) of near copies, as a fraction.
+STAGE_K, SIMILAR = 5, (4, 5)
+#: Its search: four words of fingerprint. At a similarity of 0.8 the cosine of two sets is 1.6 / 1.8 or more, so a bit differs with probability
+#: 0.1515 (0.1875 for sets of four and five shingles, the worst case): 39 to 48 of 256 bits. The radii are four deviations above the worst case.
+STAGE_WORDS, STAGE_RADIUS, STAGE_FIRST = 4, 76, 24
+#: Texts of a candidate group that are compared in one place.
+GROUP = 64
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two ascending sets reach the similarity SIMILAR."""
+    num, den = SIMILAR
+    if min(len(a), len(b)) * den < num * max(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common * den >= num * (len(a) + len(b) - common)
+
+
+def agree(dealt: DataFrame) -> DataFrame:
+    """Verified links (a, b) of `dealt` (root, part, node, sub, own, set): in each (root, part) all pairs are compared of which one at least is its
+    own, but for those that `sub` or links found before join already."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finish() -> pa.RecordBatch:
+            up = {sub: sub for _, sub, _, _ in group}
+
+            def top(x: str) -> str:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            out = []
+            for i, (node, sub, own, values) in enumerate(group):
+                for other, sub2, own2, values2 in group[:i]:
+                    if (own or own2) and (x := top(sub)) != (y := top(sub2)) and similar(values, values2):
+                        up[max(x, y)] = min(x, y)
+                        out.append((node, other))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())], names=["a", "b"])
+
+        key, group = None, []
+        for b in batches:
+            for root, part, node, sub, own, values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != (root, part):
+                    yield finish()
+                    key, group = (root, part), []
+                group.append((node, sub, own, np.frombuffer(values, np.uint64)))
+        yield finish()
+
+    dealt = dealt.select("root", "part", "node", "sub", "own", "set").repartition(n, "root", "part").sortWithinPartitions("root", "part", F.col("node") != F.col("root"), "node")
+    return dealt.mapInArrow(lean(run), "a string, b string")
+
+
+def verified(docs: DataFrame, marks: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Links (a, b) that join the texts of each candidate group `found` (node, root) as far as pairs of similar sets join them.
+
+    A group of over GROUP texts is dealt into parts. Each part compares its own texts and the group's root; then what is not joined to
+    the largest portion of its group goes to all parts, so that each pair has met or is joined."""
+    size = found.groupBy("root").agg(F.count("*").alias("size"))
+    rows = found.join(marks.groupBy(F.col("fp").alias("node")).agg(F.min("__own").alias("__own")), "node").join(size, "root")
+    rows = rows.withColumn("parts", F.expr(f"(size - 1) div {GROUP} + 1")).withColumn("mine", F.pmod(F.xxhash64("node"), "parts")).drop("size")
+    rows = rows.join(docs.select("__own", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")), "__own").drop("__own").dropDuplicates(["node"])
+    rows = rows.select("node", "root", "parts", "mine", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([shingle_set(t.as_py(), k).tobytes() for t in b.column(4)], pa.binary())], names=[*b.schema.names[:-1], "set"])
+
+    sets = materialize(rows.mapInArrow(lean(run), "node string, root string, parts long, mine long, set binary"), "sets")
+    deal = lambda df, wide: df.withColumn("part", F.explode(F.when(wide, F.expr("sequence(0L, parts - 1)")).otherwise(F.array("mine")))).withColumn("own", F.col("part") == F.col("mine"))
+    one = materialize(agree(deal(sets.withColumn("sub", F.col("node")), F.col("node") == F.col("root"))), "agree")
+    large = sets.where("parts > 1")
+    if large.isEmpty():
+        return one
+    subs = components(one).select("node", F.col("root").alias("sub"))
+    large = large.select("node", "root").join(subs, "node", "left").withColumn("sub", F.coalesce("sub", "node"))
+    portion = large.groupBy("root", "sub").agg(F.count("*").alias("n"))
+    main = portion.groupBy("root").agg(F.max(F.struct("n", "sub")).alias("most"), F.count("*").alias("subs")).where("subs > 1").select("root", F.col("most.sub").alias("main"))
+    rest = materialize(large.join(main, "root").select("node", "sub", (F.col("sub") != F.col("main")).alias("wide")), "rest")
+    return one.unionByName(agree(deal(sets.join(rest, "node"), F.col("wide"))))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, __own and component_id of each row of `docs` (doc_id, text, __own): texts of the same set of shingles, or joined by pairs of
+    texts whose sets are similar, share a component."""
+    marks = materialize(fingerprints(docs, ["doc_id", "__own"], "text", STAGE_K, STAGE_WORDS, sets=True), "fingerprints")
+    nodes = materialize(marks.select("fp").distinct(), "nodes")
+    found = components(links(nodes, STAGE_RADIUS, STAGE_WORDS, first_radius=STAGE_FIRST, more=1))
+    roots = components(verified(docs, marks, found, STAGE_K))
+    return marks.join(roots, marks.fp == roots.node, "left").select("doc_id", "__own", F.coalesce("root", "fp").alias("component_id"))
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays; of rows that share that id and text, one."""
     own = F.concat_ws(":", F.xxhash64(*docs.columns).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     keyed = docs.withColumn("__own", own)
-    groups = near_duplicates(keyed.select("doc_id", "text", "__own"), k=STAGE_K, radius=STAGE_RADIUS, words=STAGE_WORDS, also=["__own"])
+    groups = near_copies(keyed.select("doc_id", "text", "__own"))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__own")).alias("best")
     stay = groups.groupBy("component_id").agg(best).select(F.col("best.__own").alias("__own"))
     return keyed.join(stay, "__own", "left_semi").dropDuplicates(["__own"]).select(*docs.columns)

@@ -112,6 +112,33 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, DATA).collect()) == [2, 9]
 
 
+@pytest.mark.parametrize("group", [simhash.GROUP, 6])
+def test_stage_equals_brute_force_jaccard(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rnd, texts = random.Random(7), ["", None, "a b", "A  b", "a b c", "a b c d e f g h", "a b c d e f g h i", "x y z " * 40, "x y z " * 90]
+    for base in range(60):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(60, 300))]
+        texts.append(" ".join(words))
+        for _ in range(12 if base < 4 else 2):  # 2 to 7 % of the words, so similarities from 0.65 to 0.9
+            new = list(words)
+            for at in rnd.sample(range(len(words)), max(1, int(len(words) * rnd.uniform(0.01, 0.07)))):
+                new[at] = f"n{rnd.randrange(10**6)}"
+            texts.append(" ".join(new))
+
+    def shingles(t):
+        w = WORD.findall((t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+
+    sets = list(map(shingles, texts))
+    lab = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                lab = [min(lab[i], lab[j]) if x in (lab[i], lab[j]) else x for x in lab]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, DATA).collect()) == sorted(set(lab))
+
+
 # nearest neighbours
 
 
