@@ -121,12 +121,9 @@ def _turn(x: str, q: str, domain: str) -> str:
     return f"CASE WHEN {swaps} THEN {partner} ELSE {x} END"
 
 
-def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", size: str = "size", also: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """`ident`, `also`, size, source_size, target and taken for each row of `docs` (which has its word count in `size`).
-
-    Null sources are a source of their own, the last. Rows without words have taken 0. Repeated rows each have their own place
-    in the stream; a null ident comes last in its bucket. An empty table gives an empty result. Reruns agree: nothing depends
-    on the order or the number of partitions."""
+def _taken(docs: DataFrame, ident: str, source: str, size: str, also: list[str] | None, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of `docs` cut along the blocks, each piece with its place in its row and block; the slots that take each block, whole (__times)
+    or in part; and the rows without words."""
     spark, keep = docs.sparkSession, [ident, *(also or [])]
     docs = docs.select(*keep, F.col(source).alias("__source"), F.col(size).alias("size"))
     plan = plan_sources([tuple(r) for r in docs.groupBy("__source").agg(F.sum("size")).collect()], block)  # a row for each source
@@ -144,8 +141,18 @@ def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", size: st
     pieces = placed.withColumn("block", F.explode(F.expr(f"sequence(__off div {block}, (__off + size - 1) div {block})")))
     pieces = pieces.withColumn("__lo", F.greatest(F.lit(0), F.col("__off") - F.col("block") * block)).withColumn("__hi", F.least(F.lit(block), F.col("__off") + F.col("size") - F.col("block") * block))
     takes = slots(spark, plan, block).groupBy(F.col("s").alias("__s"), "block").agg(F.sum((F.col("words") == F.col("whole")).cast("long")).alias("__times"), F.sum(F.when(F.col("words") < F.col("whole"), F.col("words")).otherwise(0)).alias("__part"))
+    return pieces, takes, none
+
+
+def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", size: str = "size", also: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """`ident`, `also`, size, source_size, target and taken for each row of `docs` (which has its word count in `size`).
+
+    Null sources are a source of their own, the last. Rows without words have taken 0. Repeated rows each have their own place
+    in the stream; a null ident comes last in its bucket. An empty table gives an empty result. Reruns agree: nothing depends
+    on the order or the number of partitions."""
+    pieces, takes, none = _taken(docs, ident, source, size, also, block)
     taken = F.coalesce(F.col("__times") * (F.col("__hi") - F.col("__lo")) + F.greatest(F.lit(0), F.least("__hi", "__part") - F.col("__lo")), F.lit(0))
-    columns = [*keep, "size", "source_size", "target"]
+    columns = [ident, *(also or []), "size", "source_size", "target"]
     out = pieces.join(takes, ["__s", "block"], "left").groupBy("__s", "__b", "__row", *columns).agg(F.sum(taken).alias("taken"))
     return out.select(*columns, "taken").unionByName(none.select(*columns, F.lit(0).cast("long").alias("taken")))
 
@@ -159,19 +166,32 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(materialize(sizes, "sizes"))
 
 
+def word_ranges(docs: DataFrame, ident: str = "doc_id", source: str = "source", size: str = "size", also: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """`ident`, `also`, size and __ranges, a row for each copy that the mix takes of a row of `docs`: the (at, n) of its words that drawn
+    blocks hold, in order. Copy c holds the blocks drawn c times or more; the part of a block that the last slot takes follows its whole draws."""
+    pieces, takes, _ = _taken(docs, ident, source, size, also, block)
+    got = pieces.join(takes, ["__s", "block"]).withColumn("at", F.col("block") * block + F.col("__lo") - F.col("__off")).withColumn("n", F.col("__hi") - F.col("__lo"))
+    got = got.withColumn("part", F.greatest(F.lit(0), F.least("__hi", "__part") - F.col("__lo"))).where("__times > 0 OR part > 0")
+    keys = [ident, *(also or []), "size"]
+    held = F.sort_array(F.collect_list(F.struct("at", "n", F.col("__times").alias("times"), "part"))).alias("held")
+    got = got.groupBy("__s", "__b", "__row", *keys).agg(held, F.max(F.col("__times") + (F.col("part") > 0).cast("long")).alias("copies"))
+    got = got.withColumn("c", F.explode(F.expr("sequence(1L, copies)")))
+    ranges = "transform(filter(held, p -> p.times >= c OR (p.times = c - 1 AND p.part > 0)), p -> struct(p.at AS at, CASE WHEN p.times >= c THEN p.n ELSE p.part END AS n))"
+    return got.select(*keys, F.expr(ranges).alias("__ranges"))
+
+
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole copies, and for what is left a row with its first words, cut after
-    the last of them. Equal rows count together. n_chars is that of the row's text."""
+    """Each document as often as the mix takes words of it: a row holds the words of the blocks drawn, in order, with the white space before
+    each word; a row that holds all is the text itself. n_chars is that of the row's text."""
     keyed = docs.withColumn("__own", F.xxhash64(*docs.columns))
     sizes = materialize(keyed.select("doc_id", "source", "__own", word_count().alias("size")), "sizes")
-    taken = mix(sizes, also=["__own"]).groupBy("doc_id", "__own").agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken")).where("__taken > 0")
-    taken = taken.withColumnRenamed("doc_id", "__id")
-    one = keyed.join(taken, (keyed["__own"] == taken["__own"]) & keyed["doc_id"].eqNullSafe(taken["__id"])).drop(taken["__own"]).dropDuplicates(["__own", "doc_id"])
-    copies = F.expr("concat(array_repeat(__size, CAST(__taken div __size AS INT)), CASE WHEN __taken % __size > 0 THEN array(__taken % __size) ELSE CAST(array() AS ARRAY<BIGINT>) END)")
-    one = one.withColumn("__take", F.explode(copies))
-    head = F.expr(r"concat_ws('', slice(split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])'), 1, CAST(__take AS INT)))")
-    text = F.when(F.col("__take") < F.col("__size"), head).otherwise(F.col("text"))
-    one = one.withColumn("text", text)
+    taken = word_ranges(sizes, also=["__own"]).withColumnsRenamed({"doc_id": "__id", "size": "__size"})
+    one = keyed.dropDuplicates(["__own", "doc_id"]).join(taken, (keyed["__own"] == taken["__own"]) & keyed["doc_id"].eqNullSafe(taken["__id"])).drop(taken["__own"])
+    # the split stands outside the inner function, so that it is made once a row
+    drawn = F.expr(r"transform(array(split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])')), ws -> concat_ws('', flatten(transform(__ranges, r -> slice(ws, CAST(r.at + 1 AS INT), CAST(r.n AS INT))))))[0]")
+    drawn = F.when(F.col("__ranges")[0]["at"] > 0, F.regexp_replace(drawn, r"^[\x20\x09-\x0D]+", "")).otherwise(drawn)
+    whole = F.expr("aggregate(__ranges, 0L, (x, r) -> x + r.n) = __size")
+    one = one.withColumn("text", F.when(whole, F.col("text")).otherwise(drawn))
     if "n_chars" in docs.columns:
         one = one.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return one.select(*docs.columns)

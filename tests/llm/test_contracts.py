@@ -222,6 +222,26 @@ def test_stage_mix_takes_words(spark):
     assert got == {p.name: p.words for p in mixing.plan_sources(list(sizes.items()))}
 
 
+def test_stage_mix_emits_the_drawn_blocks(spark):
+    rnd = random.Random(4)
+    docs = [(i, " ".join(f"{i}.{j}" for j in range(rnd.choice([1, 40, 500, 4000]))), f"s{i % 4}") for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    streams = {}
+    for i, text, s in sorted(docs, key=lambda d: ((d[0] * 48271 + 12345) % mixing.P % mixing.BUCKETS, d[0])):
+        streams.setdefault(s, []).extend(text.split())
+    plan, want = mixing.plan_sources([(s, len(w)) for s, w in streams.items()]), {}
+    for r in mixing.slots(spark, plan).collect():
+        for w in streams[plan[r.s].name][r.block * mixing.BLOCK :][: r.words]:
+            want[w] = want.get(w, 0) + 1
+    got = {}
+    for r in mixing.stage_mix(spark, frame, DATA).collect():
+        own = [tuple(map(int, w.split("."))) for w in r.text.split(" ")]
+        assert all(d == r.doc_id for d, _ in own) and own == sorted(set(own))
+        for w in r.text.split(" "):
+            got[w] = got.get(w, 0) + 1
+    assert got == want
+
+
 # token files
 
 
