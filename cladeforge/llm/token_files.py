@@ -50,7 +50,8 @@ class Encoder:
     Pre-tokens of the byte-level pattern never reach across the place before a space that a non-space follows, so a text's ids are
     those of the pieces between such places, and between a line feed and the non-spaces around it. Places are found in a batch's bytes; equal pieces of a batch meet by a 64-bit hash, and each different
     one is looked up once by its bytes. New pieces are encoded together, separated by line feeds, which stand alone as pre-tokens there;
-    pieces with other white space are encoded one by one. A worker keeps what it has learnt for its next tasks, up to CACHE_PIECES."""
+    pieces with other white space are encoded one by one. Added tokens, such as `<|endoftext|>`, part a text before all else: what stands between them
+    is encoded like a text of its own. A worker keeps what it has learnt for its next tasks, up to CACHE_PIECES."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,9 +60,9 @@ class Encoder:
         kept = sys.modules.setdefault("_cladeforge_encoders", type(sys)("_cladeforge_encoders")).__dict__
         if path not in kept:
             tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
-            kept[path] = (tok, {}, Powers())
-        self.tok, self.known, self.powers = kept[path]
+            added = {t.content.encode(): np.array([i], "<u4").tobytes() for i, t in tok.get_added_tokens_decoder().items()}
+            kept[path] = (tok, {}, Powers(), added, re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) or b"(?!)"))
+        self.tok, self.known, self.powers, self.added, self.special = kept[path]
         self.feed = self._ids("\n")
 
     def _ids(self, text: str) -> list[int]:
@@ -97,6 +98,12 @@ class Encoder:
 
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray, end: bytes = b"") -> list[bytes]:
         """The ids of each text (concatenated UTF-8 and offsets), as little-endian unsigned 32-bit integers, each text closed by `end`."""
+        if self.special.search(data):
+            return self._parted(data, offsets, end)
+        return self._plain(data, offsets, end)
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray, end: bytes = b"") -> list[bytes]:
+        """encode_bytes() for texts without added tokens."""
         if not len(data):
             return [end] * (len(offsets) - 1)
         if len(self.known) > CACHE_PIECES:  # the common pieces are among the first
@@ -130,6 +137,25 @@ class Encoder:
         edge = 4 * np.append(before, len(out) // 4)[np.searchsorted(start, offsets)]
         return [out[a:z] + end for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
+    def _parted(self, data: np.ndarray, offsets: np.ndarray, end: bytes) -> list[bytes]:
+        """encode_bytes() for texts that hold added tokens."""
+        raw, edge = data.tobytes(), offsets.tolist()
+        kept, cuts, marks = [], [0], []  # bytes without added tokens, their ends, and for each part its text and what follows it
+        for i, (a, z) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            at = a
+            for m in [*self.special.finditer(raw, a, z), None]:
+                kept.append(raw[at : m.start() if m else z])
+                cuts.append(cuts[-1] + len(kept[-1]))
+                marks.append((i, self.added[m[0]] if m else end))
+                at = m.end() if m else z
+        out: list[list[bytes]] = [[] for _ in edge[1:]]
+        rest = np.frombuffer(b"".join(kept), np.uint8)
+        # without its tokens a text may read as one anew: such a token lies across parts, so each part is safe by itself
+        parts = self._plain(rest, np.array(cuts, np.int64))
+        for (i, mark), ids in zip(marks, parts, strict=True):
+            out[i] += [ids, mark]
+        return list(map(b"".join, out))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.encode_bytes(*text_bytes(pa.array(texts, pa.string())))
 

@@ -280,6 +280,20 @@ def test_pieces_give_the_tokenizers_ids(tokenizer):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_added_tokens_are_the_librarys(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    tok, enc, rnd = Tokenizer.from_file(tokenizer), token_files.Encoder(tokenizer), random.Random(3)
+    parts = ["<|endoftext|>", " ", "\n", "a", "b's", "<|", "endoftext|>", "é", "."]
+    texts = ["end of one.<|endoftext|>Start of two", "one <|endoftext|> two", "x  <|endoftext|>  y", "<|endoftext|>", "<|endo<|endoftext|>ftext|>", "", "a <|endof", "text|> b"]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(2000)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [437, 286, 530, 13, 50256, 10434, 286, 734]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+    got = token_files.store(spark.createDataFrame(list(enumerate(texts[:8])), "doc_id long, text string"), scratch_path(spark, "t"), tokenizer).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [len(w) + 1 for w in want[:8]]
+
+
 def test_segment_random_access():
     samples = [np.arange(i, i + 200, dtype="<u4").tobytes() for i in range(300)]
     d = token_files.train_dictionary(samples, 4096)
