@@ -3,7 +3,7 @@
 A page's host is judged by rules on host and path, and where no rule fits, by the link graph between hosts:
 personalised PageRank flows from trusted hosts along links, and distrust flows from blocked hosts against them (who
 links to a blocked host is suspect). Both run in one loop over pre-aggregated host edges; each round is a join and an
-aggregation with map-side combine, and is written to the shared folder every few rounds.
+aggregation with map-side combine, and is written to the shared folder every few rounds. Rounds go on until no new host is reached.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     """(kind, host, score): `seeds` (kind, host, weight) propagated over `edges` (src, dst, links).
 
     kind 'trust' flows along links, 'distrust' against them; each kind's seed weights are scaled to sum 1. The score of
-    a host without links out of it is not passed on."""
+    a host without links out of it is not passed on. There are `rounds` rounds, and more as long as they reach hosts that had no score."""
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("at"), F.col("dst").alias("host"), "links")
     both = both.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("at"), F.col("src").alias("host"), "links"))
     out = both.groupBy("kind", "at").agg(F.sum("links").alias("all"))
@@ -64,15 +64,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     score, written = base.withColumnRenamed("base", "score"), None
     if flow.isEmpty():
         rounds = 0
-    for i in range(rounds):
+    i, reached = 0, -1
+    while i < rounds or (rounds and reached >= 0):
         moved = flow.join(score.select("kind", F.col("host").alias("at"), "score"), ["kind", "at"])
         moved = moved.select("kind", "host", (F.col("share") * F.col("score") * damping).alias("score"))
         score = moved.unionByName(base.select("kind", "host", ((1 - damping) * F.col("base")).alias("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if (i + 1) % WRITE_EVERY == 0:
+        i += 1
+        if i % WRITE_EVERY == 0 or i == rounds:
             score = materialize(score, "scores")
             if written is not None:
                 discard(written)
             written = score
+            if i >= rounds - WRITE_EVERY:  # who has a score keeps it, so an equal count means equal hosts
+                n = score.count()
+                reached = -1 if n == reached else n
     return score
 
 
@@ -81,18 +86,18 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, iden
 
     Seeds are the hosts of pages that a rule judges, weighted by such pages (allow: trust, block: distrust). Without a rule, a
     page is blocked if its host's distrust exceeds `threshold` of distrust and trust together, else allowed; a host that
-    nothing reaches, an empty host and a null url are allowed. Scores are rounded to 12 places, so that the order of a sum
-    can't turn a verdict. Repeated rows are judged alike; an empty table gives an empty result."""
+    nothing reaches, an empty host and a null url are allowed. The share is rounded to 9 places, so that the order of a sum
+    can't turn a verdict; it does not depend on the table's size. Scores are given to 12 places. Repeated rows are judged alike; an empty table gives an empty result."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     judged = pages.select(F.col(ident), host.alias("host"), path.alias("path")).withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     seeds = judged.where("fit IS NOT NULL AND host <> ''").groupBy(F.when(F.col("fit.verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").alias("weight"))
     score = propagate(host_edges(pages, url, html), seeds)
-    by_kind = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)), 12).alias(kind)
+    by_kind = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     of_host = materialize(score.groupBy("host").agg(by_kind("trust"), by_kind("distrust")), "hosts")
     out = judged.join(of_host, "host", "left").fillna(0.0, ["trust", "distrust"])
-    bad = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))
+    bad = (F.col("distrust") > 0) & (F.round(F.try_divide("distrust", F.col("trust") + F.col("distrust")), 9) > threshold)
     verdict = F.coalesce(F.col("fit.verdict"), F.when(bad & (F.col("host") != ""), "block").otherwise("allow"))
-    return out.select(ident, "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
+    return out.select(ident, "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -434,6 +434,15 @@ def test_urls_awkward(spark):
     assert got == {(1, "a.org", "/x", "org/", "allow"), (2, "b.com", "/q", None, "allow"), (3, "d.com", "/de/2", "com/de/", "block"), (4, "", "", None, "allow"), (5, "", "", None, "allow"), (6, "e.com", "", None, "block"), (7, "c.net", "", None, "allow")}
 
 
+def test_urls_far_and_faint_distrust(spark):
+    link = lambda to: f"<a href='http://{to}/'>"
+    rows = [("http://bad.com/de/1", "")] + [(f"http://far{i}.net/", link(f"far{i - 1}.net" if i else "bad.com")) for i in range(20)]
+    rows += [("http://worse.com/de/1", "")] + [(f"http://faint{i}.net/", link(f"faint{i - 1}.net" if i else "worse.com")) for i in range(7)]
+    rows += [(f"http://x{i}y{j}.net/", link(f"faint{i}.net")) for i in range(7) for j in range(99)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    assert {r.verdict for r in urls.filter_urls(pages).collect()} == {"block"}
+
+
 PAGE = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href=/>Home</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; more</h1><p>one<br>two &nbsp; <b>three</b><p>four</p><aside>no</aside><section id='comments'><p>me too</p></section></article><footer>&copy; x</footer>"
 
 
