@@ -32,16 +32,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows of an Arrow batch; texts of some kilobytes make the default of 10,000 rows tens of megabytes in each of four buffers.
 BATCH_ROWS = 1024
-_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = 8 << 20
+_ARROW_ROWS, _ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Lower the session's Arrow batches where it has Spark's default, so that a Python worker's memory stays small."""
+    """Lower the session's Arrow batches where they are larger, so that a Python worker's memory stays small."""
     if int(spark.conf.get(_ARROW_ROWS)) == 10_000:
         spark.conf.set(_ARROW_ROWS, BATCH_ROWS)
+    with contextlib.suppress(Exception):  # older versions of Spark have rows only
+        if _bytes(spark.conf.get(_ARROW_BYTES)) > BATCH_BYTES:
+            spark.conf.set(_ARROW_BYTES, BATCH_BYTES)
     return spark
 
 
+def _bytes(size: str) -> int:
+    """Bytes of a size as Spark's settings give it."""
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(size.lower().rstrip("b")[-1:], 0)
+    return int(size.lower().rstrip("kmgtb")) << unit
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`; a folder of our own only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

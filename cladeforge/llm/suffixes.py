@@ -4,16 +4,16 @@ A passage is repeated if one of its windows of `width` bytes starts in a documen
 of suffixes are ever ordered, by most-significant-digit passes; groups that are equal after the last pass are exactly the
 repeated windows.
 
-The first digit of a window is its minimizer: the smallest hash of the `K`-byte strings in it. A first pass sends only hashes of minimizers
-(about 0.2 bytes for each byte of text) and learns, block by block, which of them another block holds too; the rest are groups of one
+The first digit of a window is its minimizer: the smallest hash of the `K`-byte strings in it. A first pass sends only values of minimizers
+and how many strings have them, and learns, block by block, which of them another block holds too; the rest are groups of one
 and drop out. Neighbouring windows share a minimizer, so they travel as one string, and equal windows meet in one bucket. Inside
-a bucket the next digits are the minimizer's place in the window, then 24 and 26 bytes of text. A pass drops groups that come
-from one document only.
+a bucket the next digits are the minimizer's place in the window, then the window's bytes, `DIGIT` a pass: a pass orders what is left of each
+group by its next bytes and drops groups that come from one document only.
 
-Before the shuffle, equal strings of a block of documents are reduced to the smallest ident's; the others are known to be repeated.
-Minimizers that a large share of a bounded sample of documents hold are hot: their windows travel one by one, in the bucket of the window, so
-that a passage which a third of all documents share, with different words around it, fills no bucket. The sample decides
-about routing alone, never about the result.
+Equal strings are reduced to the smallest ident's, the others being known to be repeated: in a block of documents before the shuffle, and
+again while a bucket takes its strings in, so that what a bucket holds is different text. A minimizer with more than `HOT` strings in the whole
+table is hot: its windows travel one by one, in the bucket of the window, so that a passage which a third of all documents share, with different words
+around it, fills no bucket. The first pass counts this exactly, for all blocks alike.
 """
 
 from __future__ import annotations
@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeforge.llm.common import Powers, lean, materialize, mix64, partitions, prefix_hash, row_blocks, small_batches, span_hash, table, text_bytes
+from cladeforge.llm.common import lean, mix64, partitions, small_batches, table
 
 WIDTH, K = 50, 16
 BLOCK = 2 << 20  # positions must fit 22 bits
-BUCKET_BYTES, GROUP_BYTES, CHUNK = 6 << 20, 12 << 20, 1 << 19
-SAMPLE_DOCS, SAMPLE_CHARS, HOT_SHARE, SLICE = 1024, 20_000, 0.01, 512
+BUCKET_BYTES, GROUP_BYTES, CHUNK, SLICE = 6 << 20, 12 << 20, 1 << 18, 512
+#: Bytes of strings that a bucket takes in before it reduces them; strings that make a minimizer hot; bytes of a radix pass.
+HOLD, HOT, DIGIT = 8 << 20, 1 << 14, 5
+RESERVED = ("__n_bytes", "__n_removed", "__n_spans", "__kept")
 _LOW = np.uint64((1 << 22) - 1)
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _LAST = (1 << 63) - 1  # the ident of a document without one
@@ -55,30 +57,38 @@ def strings(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[
     """Runs of windows with one minimizer: first window, number of windows, place of the minimizer, its hash, document."""
     z = np.zeros(0, np.int64)
     n = len(data) - width + 1
-    sizes = np.diff(offsets)
-    if n <= 0 or sizes.max() < width:
+    if n <= 0 or np.diff(offsets).max() < width:
         return z, z, z, z.astype(np.uint64), z
-    h = _gram_hash(_words(data), slice(None))[: len(data) - K + 1]
-    v = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
-    grams, span = width - K + 1, 1
-    while 2 * span <= grams:
-        v = np.minimum(v[: len(v) - span], v[span:])
-        span *= 2
-    if span < grams:
-        v = np.minimum(v[: len(v) - (grams - span)], v[grams - span :])
-    place = (v & _LOW).astype(np.int64)
-    valid = np.zeros(n + 1, np.int32)
-    has = sizes >= width
-    np.add.at(valid, offsets[:-1][has], 1)
-    np.add.at(valid, offsets[1:][has] - width + 1, -1)
-    valid = np.cumsum(valid[:n]) > 0
+    words, place = _words(data), np.empty(n, np.int32)
+    for lo in range(0, n, 1 << 16):  # slice by slice, so that little is held at once
+        hi = min(n, lo + (1 << 16))
+        h = _gram_hash(words[lo : hi + width - K + 8], slice(None))[: hi - lo + width - K]
+        v, grams, span = (h & ~_LOW) | np.arange(lo, lo + len(h), dtype=np.uint64), width - K + 1, 1
+        while 2 * span <= grams:
+            v = np.minimum(v[: len(v) - span], v[span:])
+            span *= 2
+        if span < grams:
+            v = np.minimum(v[: len(v) - (grams - span)], v[grams - span :])
+        place[lo:hi] = v & _LOW
+    valid = np.ones(n, bool)
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        valid[max(lo, hi - width + 1) : hi] = False
     new = valid.copy()
     new[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
     start = np.flatnonzero(new)
-    last = valid.copy()
+    last = valid
     last[:-1] &= ~valid[1:] | new[1:]
     count = np.flatnonzero(last) - start + 1
-    return start, count, place[start], h[place[start]], np.searchsorted(offsets, start, "right") - 1
+    at = place[start].astype(np.int64)
+    return start, count, at, _gram_hash(words, at), np.searchsorted(offsets, start, "right") - 1
+
+
+def _content(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each string of 8 bytes or more; strings have at most 2 * width - K bytes."""
+    h = size.astype(np.uint64)
+    for d in range(0, int(size.max()) if len(size) else 0, 8):
+        h = mix64(h * _ODD[3] + words[start + np.minimum(d, size - 8)])
+    return h
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -113,8 +123,8 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 class Mapper:
     """Turns blocks of documents into strings for the buckets, and marks what repeats inside a block."""
 
-    def __init__(self, n_buckets: int, n_groups: int, hot: np.ndarray, width: int = WIDTH) -> None:
-        self.n_buckets, self.n_groups, self.hot, self.width, self.powers = n_buckets, n_groups, hot, width, Powers()
+    def __init__(self, n_buckets: int, n_groups: int, width: int = WIDTH) -> None:
+        self.n_buckets, self.n_groups, self.width = n_buckets, n_groups, width
 
     def digits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of minimizers: the different (bucket, 32-bit value) in order, as one number; where each bucket begins; and each one's place."""
@@ -124,51 +134,52 @@ class Mapper:
         return code, np.flatnonzero(np.diff((code >> np.uint64(32)).astype(np.int64), prepend=-1)), place
 
     def announce(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(bucket, blob of the minimizers' values) of a block."""
-        code, first, _ = self.digits(strings(data, offsets, self.width)[3])
+        """(bucket, blob of the minimizers' values and how many strings have them) of a block."""
+        code, first, place = self.digits(strings(data, offsets, self.width)[3])
+        count = np.minimum(np.bincount(place, minlength=len(code)), 65_535).astype("<u2")
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=False):
-            yield int(code[lo] >> np.uint64(32)), _pack(np.diff(code[lo:hi] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype("<u4"))
+            yield int(code[lo] >> np.uint64(32)), _pack(np.diff(code[lo:hi] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype("<u4"), count[lo:hi])
 
-    def _alive(self, h: np.ndarray, doc: np.ndarray, replies: dict[int, np.ndarray]) -> np.ndarray:
-        """Which strings have a minimizer that another block holds (all, where no reply came) or another document of this one."""
+    def _known(self, h: np.ndarray, doc: np.ndarray, replies: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of strings: whether another block holds the minimizer (all, where no reply came) or another document of this one, whether it
+        is hot, and whether no reply tells."""
         code, first, place = self.digits(h)
-        ok = np.ones(len(code), bool)
+        ok, hot, open_ = np.ones(len(code), bool), np.zeros(len(code), bool), np.zeros(len(code), bool)
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=False):
             bits = replies.get(int(code[lo] >> np.uint64(32)))
-            if bits is not None:
-                ok[lo:hi] = np.unpackbits(bits, count=hi - lo).astype(bool)
+            if bits is None:
+                open_[lo:hi] = True
+            else:
+                ok[lo:hi], hot[lo:hi] = (np.unpackbits(x, count=hi - lo).astype(bool) for x in np.split(bits, 2))
         low, high = np.full(len(code), len(doc) + 1), np.full(len(code), -1)
         np.minimum.at(low, place, doc)
         np.maximum.at(high, place, doc)
-        return (ok | (low < high))[place]
+        return (ok | (low < high))[place], hot[place], open_[place]
 
     def block(self, data: np.ndarray, offsets: np.ndarray, ident: np.ndarray, key: np.ndarray, shift: np.ndarray, replies: dict[int, np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-        """(kind, bucket or group, blob) of a block; shift: where in its document each part of a block starts."""
+        """(kind, bucket or group, blob) of a block; shift: where in its document each part of a block starts.
+
+        A bucket without a reply (its block was cut otherwise when it was announced, as after the loss of an executor) may hold hot minimizers: its
+        strings travel both whole and window by window, so that they meet the others either way."""
         found = strings(data, offsets, self.width)
         if not len(found[0]):
             return
-        alive = np.flatnonzero(self._alive(found[3], found[4], replies))
-        start, count, place, h, doc = (a[alive] for a in found)
-        if not len(start):
+        alive, hot, open_ = self._known(found[3], found[4], replies)
+        whole, single = np.flatnonzero(alive & ~hot), np.flatnonzero(alive & (hot | open_))
+        if not len(whole) and not len(single):
             return
-        at = np.searchsorted(self.hot, h) if len(self.hot) else None
-        is_hot = (self.hot[np.minimum(at, len(self.hot) - 1)] == h) if len(self.hot) else np.zeros(len(h), bool)
-        if is_hot.any():
-            own, j = _spread(count[is_hot])
-            one = lambda a: np.concatenate([a[~is_hot], a[is_hot][own]])
-            begin = np.concatenate([start[~is_hot], start[is_hot][own] + j])
-            cold = int((~is_hot).sum())
-            place, h, doc = one(place), one(h), one(doc)
-            count = np.concatenate([count[~is_hot], np.ones(len(j), np.int64)])
-            start = begin
-        else:
-            cold = len(h)
+        start, count, place, h, doc = (a[whole] for a in found)
+        cold = len(whole)
+        if len(single):
+            own, j = _spread(found[1][single])
+            start, place, h, doc = (np.concatenate([a, b[single][own] + (j if i == 0 else 0)]) for i, (a, b) in enumerate(((start, found[0]), (place, found[2]), (h, found[3]), (doc, found[4]))))
+            count = np.concatenate([count, np.ones(len(j), np.int64)])
         size = count + self.width - 1
-        content = span_hash(prefix_hash(data, self.powers), self.powers, start, start + size)
-        bucket = h.copy()
-        bucket[cold:] = content[cold:]
-        bucket = (mix64(bucket + np.uint64(1)) % np.uint64(self.n_buckets)).astype(np.int64)
-        same = mix64(content + h * _ODD[2])
+        content = _content(_words(data), start, size)
+        way = h.copy()
+        way[cold:] = content[cold:]
+        bucket = (mix64(way + np.uint64(1)) % np.uint64(self.n_buckets)).astype(np.int64)
+        same = mix64(content + way * _ODD[2])
         order = np.argsort(same, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
         least = np.empty(len(order), np.int64)
@@ -221,161 +232,209 @@ def group_of(key: np.ndarray, n_groups: int) -> np.ndarray:
     return (mix64(key.view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
 
 
-def _equal_groups(keys: list[np.ndarray], ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One radix pass: an order in which items with equal keys stand together, without those whose group has one ident only;
-    and where the groups start."""
-    h = keys[0].astype(np.uint64)
-    for i, k in enumerate(keys[1:]):
-        h = mix64(h * _ODD[i % 5] + k)
-    order = np.argsort(h, kind="stable")
-    differ = np.zeros(len(order), bool)
-    for k in keys:
-        differ[1:] |= k[order[1:]] != k[order[:-1]]
-    tied = h[order[1:]] == h[order[:-1]]
-    if (tied & differ[1:]).any():  # two keys with one hash: order by the keys themselves
-        order = np.lexsort(keys[::-1])
-        differ[:] = False
-        for k in keys:
-            differ[1:] |= k[order[1:]] != k[order[:-1]]
-    differ[:1] = True
-    first = np.flatnonzero(differ)
-    if not len(first):
-        return order, first
-    own = ident[order]
+class Bucket:
+    """Takes in a bucket's blobs and reduces equal strings as it goes: what it holds is the bucket's different text."""
+
+    def __init__(self, n_groups: int, width: int = WIDTH) -> None:
+        self.n_groups, self.width = n_groups, width
+        self.held: list[list[np.ndarray]] = []
+        self.blobs: list[bytes] = []
+        self.waiting = self.size = 0
+
+    def add(self, blob: bytes) -> Iterator[tuple[int, int, bytes]]:
+        self.blobs.append(blob)
+        self.waiting += zstandard.frame_content_size(blob)
+        if self.waiting > max(HOLD, self.size):
+            yield from self._reduce()
+
+    def _reduce(self) -> Iterator[tuple[int, int, bytes]]:
+        parts = self.held + [_unpack(b) for b in self.blobs]
+        docs = np.cumsum([0] + [len(p[4]) for p in parts])
+        text, size, place, refs, ids, keys = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        size, place, refs = size.astype(np.int64), place.astype(np.int64), refs.astype(np.int64)
+        ref_doc = np.concatenate([p[6].astype(np.int64) + d for p, d in zip(parts, docs, strict=False)])
+        ref_pos = np.concatenate([p[7] for p in parts])
+        self.held, self.blobs, self.waiting = [], [], 0
+        del parts
+        at, ref_at = np.cumsum(size) - size, np.cumsum(refs) - refs
+        ident = ids[ref_doc[ref_at]]  # all places of a string are in documents of one ident
+        words = _words(text)
+        same = mix64(_content(words, at, size) + place.astype(np.uint64))
+        order = np.argsort(same)
+        first = np.flatnonzero(np.concatenate([[True], same[order[1:]] != same[order[:-1]]]))
+        least = np.empty(len(order), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(ident[order], first), np.diff(np.append(first, len(order))))
+        later = ident > least
+        if later.any():
+            which, j = _spread(refs[later])
+            ref, end = ref_at[later][which] + j, size[later][which]
+            yield from spans(ids[ref_doc[ref]], keys[ref_doc[ref]], ref_pos[ref], ref_pos[ref] + end, self.n_groups)
+            stay = ~later
+            which, j = _spread(refs[stay])
+            ref = ref_at[stay][which] + j
+            text = _gather(text, at[stay], size[stay])
+            size, place, refs = size[stay], place[stay], refs[stay]
+            used, ref_doc = np.unique(ref_doc[ref], return_inverse=True)
+            ids, keys, ref_pos = ids[used], keys[used], ref_pos[ref]
+        self.held, self.size = [[text, size, place, refs, ids, keys, ref_doc, ref_pos]], len(text) + 24 * len(size) + 32 * len(ref_pos)
+
+    def finish(self) -> Iterator[tuple[int, int, bytes]]:
+        """The repeated ranges that the bucket's strings still show, as `spans` gives them."""
+        if self.blobs:
+            yield from self._reduce()
+        text, size, place, refs, ids, keys, ref_doc, ref_pos = self.held[0]
+        ref_at = np.cumsum(refs) - refs
+        e, j = repeated_windows(text, size, place, ids[ref_doc[ref_at]], self.width)
+        if not len(e):
+            return
+        a = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (j[1:] != j[:-1] + 1)]))
+        z = np.append(a[1:], len(e)) - 1
+        run_e, run_lo, run_hi = e[a], j[a], j[z] + self.width
+        which, k = _spread(refs[run_e])
+        ref = ref_at[run_e][which] + k
+        yield from spans(ids[ref_doc[ref]], keys[ref_doc[ref]], ref_pos[ref] + run_lo[which], ref_pos[ref] + run_hi[which], self.n_groups)
+
+
+def _many(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items in the order of their keys, without those whose key only one ident has; and which group of equal keys each is in."""
+    order = np.argsort(key)
+    k, own = key[order], ident[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     many = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
     size = np.diff(np.append(first, len(order)))
-    order = order[np.repeat(many, size)]
-    size = size[many]
-    return order, np.cumsum(size) - size
+    return order[np.repeat(many, size)], np.repeat(np.arange(int(many.sum())), size[many])
 
 
-def repeated(blobs: list[bytes], n_groups: int, width: int = WIDTH) -> Iterator[tuple[int, int, bytes]]:
-    """The repeated ranges that a bucket's strings show, as `spans` gives them."""
-    parts = [_unpack(b) for b in blobs]
-    text = np.concatenate([p[0] for p in parts])
-    size = np.concatenate([p[1].astype(np.int64) for p in parts])
-    place = np.concatenate([p[2].astype(np.int64) for p in parts])
-    refs = np.concatenate([p[3].astype(np.int64) for p in parts])
-    docs = np.cumsum([0] + [len(p[4]) for p in parts])
-    ids, keys = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
-    ref_doc = np.concatenate([p[6].astype(np.int64) + d for p, d in zip(parts, docs, strict=False)])
-    ref_pos = np.concatenate([p[7] for p in parts])
-    del parts
-    ref_at = np.cumsum(refs) - refs
-    ident = ids[ref_doc[ref_at]]  # all places of a string are in documents of one ident
+def _extend(group: np.ndarray, digit: np.ndarray) -> np.ndarray:
+    """One number for each (group, digit), in their order."""
+    if int(group.max()) < 1 << (64 - 8 * DIGIT):
+        return group.astype(np.uint64) << np.uint64(8 * DIGIT) | digit
+    order = np.lexsort((digit, group))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], (group[order[1:]] != group[order[:-1]]) | (digit[order[1:]] != digit[order[:-1]])]))
+    return out
+
+
+def repeated_windows(text: np.ndarray, size: np.ndarray, place: np.ndarray, ident: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(string, window) of each window of the strings that also starts in a string with a smaller ident, in order.
+
+    Suffixes are ordered by minimizer, its place in the window, then DIGIT bytes a pass, as far as `width` bytes."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(size):
+        return none
     at = np.cumsum(size) - size
-    w = _words(np.concatenate([text, np.zeros(16, np.uint8)]))
-    h = _gram_hash(w, at + place)
-    order, first = _equal_groups([h], ident)
-    if not len(order):
-        return
-    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    words = _words(np.concatenate([text, np.zeros(16, np.uint8)]))
+    order, group = _many(_gram_hash(words, at + place), ident)
     windows = np.cumsum(size[order] - width + 1)
-    lo = 0
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    digits = [*range(0, width - DIGIT, DIGIT), width - DIGIT]
+    found, lo = [none], 0
     while lo < len(order):
         hi = int(np.searchsorted(windows, (windows[lo - 1] if lo else 0) + CHUNK, "right"))
         hi = max(hi, lo + 1)
         if hi < len(order):  # whole groups only
             back = int(np.searchsorted(group, group[hi]))
             hi = back if back > lo else int(np.searchsorted(group, group[lo], "right"))
-        own = order[lo:hi]
-        s, j = _spread(size[own] - width + 1)
-        e = own[s]
-        b, who = at[e] + j, ident[e]
-        live = np.arange(len(b))
-        where = ((group[lo:hi][s] - group[lo]) * (width + 1) + (place[e] - j)).astype(np.uint64)
-        for digits in ((0, 8, 16), (24, 32, 40, 42)):
-            cols = [where[live], *(w[b[live] + d] for d in digits)]
-            o, f = _equal_groups(cols, who[live])
+        s, j = _spread(size[order[lo:hi]] - width + 1)
+        e = order[lo:hi][s]
+        begin, who = at[e] + j, ident[e]
+        live = np.arange(len(begin))
+        g = (group[lo:hi][s] - group[lo]) * (width + 1) + (place[e] - j)
+        for d in digits:
+            if not len(live):
+                break
+            digit = words[begin[live] + d].byteswap() >> np.uint64(64 - 8 * DIGIT)
+            o, g = _many(_extend(g, digit), who[live])
             live = live[o]
-            where[live] = np.repeat(np.arange(len(f), dtype=np.uint64), np.diff(np.append(f, len(o)))) if len(o) else where[live]
         if len(live):
-            least = np.repeat(np.minimum.reduceat(who[live], f), np.diff(np.append(f, len(live))))
+            first = np.flatnonzero(np.diff(g, prepend=-1))
+            least = np.repeat(np.minimum.reduceat(who[live], first), np.diff(np.append(first, len(live))))
             live = np.sort(live[who[live] > least])
             found.append((e[live], j[live]))
         lo = hi
-    if not found:
-        return
-    e, j = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-    if not len(e):
-        return
-    new = np.concatenate([[True], (e[1:] != e[:-1]) | (j[1:] != j[:-1] + 1)])
-    a = np.flatnonzero(new)
-    z = np.append(a[1:], len(e)) - 1
-    run_e, run_lo, run_hi = e[a], j[a], j[z] + width
-    which, k = _spread(refs[run_e])
-    ref = ref_at[run_e][which] + k
-    yield from spans(ids[ref_doc[ref]], keys[ref_doc[ref]], ref_pos[ref] + run_lo[which], ref_pos[ref] + run_hi[which], n_groups)
-
-
-def hot_minimizers(texts: list[bytes], width: int = WIDTH, share: float = HOT_SHARE) -> np.ndarray:
-    """Hashes of the minimizers that over `share` of the texts hold, sorted."""
-    seen: dict[int, int] = {}
-    for t in texts:
-        for x in np.unique(strings(np.frombuffer(t, np.uint8), np.array([0, len(t)]), width)[3]).tolist():
-            seen[x] = seen.get(x, 0) + 1
-    return np.array(sorted(x for x, c in seen.items() if c > max(2, share * len(texts))), np.uint64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["__kind", "__g", "__blob"])
 
 
-def _blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Blocks of a batch of (ident, key, text), each with a name made of what is in it: (name, [bytes, offsets, idents, keys, shifts])."""
-    ids, keys = batch.column(0).fill_null(_LAST).to_numpy(), batch.column(1).to_numpy()
-    data, offsets = text_bytes(batch.column(2))
-    for lo, hi in row_blocks(offsets, BLOCK):
-        own, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        if len(own) <= BLOCK:
-            parts = [(own, offs, np.zeros(hi - lo, np.int64))]
-        else:  # a giant text in parts whose windows don't overlap
-            parts = [(p := own[at : at + BLOCK - 1], np.array([0, len(p)]), np.array([at])) for at in range(0, len(own) - width + 1, BLOCK - width)]
-        for part, o, shift in parts:
-            name = hashlib.blake2b(ids[lo:hi].tobytes() + keys[lo:hi].tobytes() + shift.tobytes(), digest_size=8).digest()
-            yield int.from_bytes(name, "little", signed=True), [part, o, ids[lo:hi], keys[lo:hi], shift]
-
-
-def _shared(blobs: list[bytes]) -> list[bytes]:
-    """For each blob of values, a bit for each value: whether another blob holds it too."""
-    values = [np.cumsum(_unpack(b)[0].astype(np.uint64)) for b in blobs]
-    flat = np.concatenate(values)
-    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-    both, at, out = count[place] > 1, 0, []
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Blocks of rows (ident, key, text), each with a name made of what is in it: (name, [bytes, offsets, idents, keys, shifts])."""
+
+    def name(*arrays: np.ndarray) -> int:
+        return int.from_bytes(hashlib.blake2b(b"".join(a.tobytes() for a in arrays), digest_size=8).digest(), "little", signed=True)
+
+    texts, ids, keys, size = [], [], [], 0
+
+    def done() -> tuple[int, list[np.ndarray]]:
+        i, k, shift = np.array(ids, np.int64), np.array(keys, np.int64), np.zeros(len(ids), np.int64)
+        return name(i, k, shift), [np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), i, k, shift]
+
+    for b in batches:
+        for i, k, t in zip(b.column(0).fill_null(_LAST).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
+            n = len(t.as_buffer()) if t.is_valid else 0
+            if n < width:
+                continue
+            if n > BLOCK:  # a giant text by itself, in parts whose windows don't overlap
+                raw = np.frombuffer(t.as_buffer(), np.uint8)
+                for at in range(0, n - width + 1, BLOCK - width):
+                    part, shift = raw[at : at + BLOCK - 1], np.array([at])
+                    yield name(np.array([i]), np.array([k]), shift), [part, np.array([0, len(part)]), np.array([i]), np.array([k]), shift]
+                continue
+            if size + n > BLOCK:
+                yield done()
+                texts, ids, keys, size = [], [], [], 0
+            texts.append(t.as_py())
+            ids.append(i)
+            keys.append(k)
+            size += n
+    if texts:
+        yield done()
+
+
+def _shared(blobs: list[bytes], hot: int) -> list[bytes]:
+    """For each blob of values, a bit for each value: whether another blob holds it too; then a bit for each: whether over `hot` strings have it."""
+    parts = [_unpack(b) for b in blobs]
+    values = [np.cumsum(p[0].astype(np.uint64)) for p in parts]
+    _, place, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    both, much = count[place] > 1, np.bincount(place, np.concatenate([p[1] for p in parts]))[place] > hot
+    at, out = 0, []
     for v in values:
-        out.append(np.packbits(both[at : at + len(v)]).tobytes())
+        out.append(np.packbits(both[at : at + len(v)]).tobytes() + np.packbits(much[at : at + len(v)]).tobytes())
         at += len(v)
     return out
 
 
-def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WIDTH, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WIDTH, as_text: bool = False, hot: int = HOT) -> DataFrame:
     """All rows and columns of `docs`, and n_bytes, n_removed, n_spans (long) and kept (binary: the bytes that stay).
 
     A byte goes if a window of `width` bytes around it also starts in a row with a smaller ident; windows lie within one row's text.
     Null and empty texts have no bytes. A row without ident comes after all others and never makes another lose bytes; rows that share an ident don't
     touch each other. An empty table gives an empty result. New columns are called `__n_bytes`, `__n_removed`,
-    `__n_spans`, `__kept`. With `as_text` what stays is a string; where a cut parts the bytes of a character, its rest goes too."""
+    `__n_spans`, `__kept` and take the place of columns of `docs` so called; other columns keep any name. With `as_text` what stays is a
+    string; where a cut parts the bytes of a character, its rest goes too. `width` is 24 at least. A minimizer with over `hot` strings is spread by window."""
+    if width < K + 8:
+        raise ValueError(f"windows of {K + 8} bytes at least")
     spark = small_batches(docs.sparkSession)
-    n_bytes, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)), F.count("*")).first()
+    docs = docs.drop(*RESERVED)
+    names = docs.columns
+    docs, ident, text = docs.toDF(*(f"c{i}" for i in range(len(names)))), f"c{names.index(ident)}", f"c{names.index(text)}"
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
     n_buckets, n_groups = partitions(spark, n_bytes, BUCKET_BYTES), partitions(spark, n_bytes, GROUP_BYTES)
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    chosen = docs.where(F.rand(7) < SAMPLE_DOCS / max(n_docs, 1)).select(F.substring(text, 1, SAMPLE_CHARS).cast("binary").alias("t"))
-    hot = hot_minimizers([bytes(r[0]) for r in chosen.collect() if r[0] is not None], width)  # about SAMPLE_DOCS texts of SAMPLE_CHARS at most
     slim = docs.select(F.col(ident).cast("long").alias("i"), key.alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapper = Mapper(n_buckets, n_groups, hot, width)
-        for b in batches:
-            for name, part in _blocks(b, width):
-                rows = [(bucket, name, blob) for bucket, blob in mapper.announce(part[0], part[1])]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "name", "blob"])
+        mapper = Mapper(n_buckets, n_groups, width)
+        for name, part in _blocks(batches, width):
+            rows = [(bucket, name, blob) for bucket, blob in mapper.announce(part[0], part[1])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "name", "blob"])
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(bucket: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
             n = len(rows)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * n, pa.int64()), pa.array([bucket] * n, pa.int64()), pa.array(_shared([r[1] for r in rows]), pa.binary())], names=["name", "kind", "bucket", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * n, pa.int64()), pa.array([bucket] * n, pa.int64()), pa.array(_shared([r[1] for r in rows], hot), pa.binary())], names=["name", "kind", "bucket", "blob"])
 
         bucket, rows = None, []
         for b in batches:
@@ -389,12 +448,11 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
             yield done(bucket, rows)
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, part in _blocks(b, width):
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([1], pa.int64()), pa.array([0], pa.int64()), pa.array([_pack(*part)], pa.binary())], names=["name", "kind", "bucket", "blob"])
+        for name, part in _blocks(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([1], pa.int64()), pa.array([0], pa.int64()), pa.array([_pack(*part)], pa.binary())], names=["name", "kind", "bucket", "blob"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapper, own, replies = Mapper(n_buckets, n_groups, hot, width), None, {}
+        mapper, own, replies = Mapper(n_buckets, n_groups, width), None, {}
         for b in batches:  # by name, a block's replies before the block
             for name, kind, bucket, blob in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
                 if name != own:
@@ -405,19 +463,20 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
                     yield _rows(out)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, blobs = None, []
+        g, bucket = None, None
         for b in batches:
-            for kind, own, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if blobs and (kind != 0 or own != g):
-                    if out := list(repeated(blobs, n_groups, width)):
+            for kind, own, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if bucket and (kind != 0 or own != g):
+                    if out := list(bucket.finish()):
                         yield _rows(out)
-                    blobs = []
+                    bucket = None
                 if kind == 0:
-                    g = own
-                    blobs.append(blob)
-                elif kind == 1:
-                    yield _rows([(kind, own, blob)])
-        if blobs and (out := list(repeated(blobs, n_groups, width))):
+                    g, bucket = own, bucket or Bucket(n_groups, width)
+                    if out := list(bucket.add(blob.as_py())):
+                        yield _rows(out)
+                else:
+                    yield _rows([(kind, own, blob.as_py())])
+        if bucket and (out := list(bucket.finish())):
             yield _rows(out)
 
     schema = "__kind long, __g long, __blob binary"
@@ -434,7 +493,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     dealt = with_key.mapInArrow(lean(label), T.StructType([*with_key.schema.fields, T.StructField("__g", T.LongType())])).withColumn("__kind", F.lit(2).cast("long"))
     both = dealt.unionByName(found, allowMissingColumns=True).repartition(n_groups, "__g").sortWithinPartitions("__g", "__kind")
     at_id, at_text, at_key, n_own = docs.columns.index(ident), docs.columns.index(text), len(docs.columns), len(docs.columns)
-    out_schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("__n_bytes", "__n_removed", "__n_spans")), T.StructField("__kept", T.StringType() if as_text else T.BinaryType())])
+    out_schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in RESERVED[:3]), T.StructField(RESERVED[3], T.StringType() if as_text else T.BinaryType())])
     at_g, at_kind, at_blob = (both.columns.index(c) for c in ("__g", "__kind", "__blob"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,7 +526,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in range(n_own)), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())], names=out_schema.names)
 
-    return both.mapInArrow(lean(apply), out_schema)
+    return both.mapInArrow(lean(apply), out_schema).toDF(*names, *RESERVED)
 
 
 def _by_document(blobs: list[bytes]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
