@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeforge.llm.common import Powers, lean, materialize, prefix_hash, small_batches, span_hash, table, text_bytes
+from cladeforge.llm.common import Powers, lean, materialize, partitions, prefix_hash, small_batches, span_hash, table, text_bytes
 
 MARK, PROBE = "▁", "\x01"
-CHUNK, LANE, CACHE_RUNS, BATCH = 32_768, 128, 250_000, 1024
+CHUNK, LANE, CACHE_RUNS, BATCH, PARTITION_CHARS = 32_768, 128, 250_000, 1024, 16 << 20
 State = tuple[int, int]  # characters of the piece beyond the boundary, the piece (-1: any, or none before it)
 Matrix = dict[State, dict[State, float]]
 
@@ -350,14 +350,13 @@ class Lattice:
                 ids[i] = self.known[k]
         return [b"".join(x) for x in out]
 
-    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray, out: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        """The ids of each text (concatenated UTF-8 and offsets), and whether they stand for its bytes, `out` being what each id stands for.
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each text (concatenated UTF-8 and offsets), for models that only put a mark before a text and for each space.
 
-        For models that only put a mark before a text and for each space. Cut places are found in the bytes; equal runs of a batch meet by a 64-bit
-        hash, and each different one is looked up, and decoded, once."""
+        Cut places are found in the bytes; equal runs of a batch meet by a 64-bit hash, and each different one is looked up once."""
         n = len(offsets) - 1
         if not len(data):
-            return [b""] * n, np.ones(n, bool)
+            return [b""] * n
         if len(self.known) > CACHE_RUNS:
             self.known = dict(islice(self.known.items(), CACHE_RUNS // 4))
         mark = data == 32
@@ -379,15 +378,12 @@ class Lattice:
             ids = list(map(self.known.__getitem__, keys))
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
-        spelt = iter(map(out.__getitem__, flat.tolist()))
-        right = np.array([b"".join(islice(spelt, k)) == r for k, r in zip(size.tolist(), runs, strict=True)])
         at, count = (np.cumsum(size) - size)[place], size[place]
         before = np.cumsum(count) - count
         all_ids = flat[np.repeat(at - before, count) + np.arange(int(count.sum()))].tobytes()
         edge = np.searchsorted(start, offsets)
         cut = 4 * np.append(before, len(all_ids) // 4)[edge]
-        wrong = np.append(0, np.cumsum(~right[place]))[edge]
-        return [all_ids[a:z] for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], wrong[1:] == wrong[:-1]
+        return [all_ids[a:z] for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
     def normalize(self, texts: list[str]) -> list[str]:
         return self.sp.Normalize(texts)
@@ -415,6 +411,12 @@ class Decoder:
         raw = b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
+    def same(self, ids: list[bytes], texts: list[bytes]) -> list[bool]:
+        """Whether each document's ids, decoded, give its text."""
+        joined = self.out.__getitem__
+        raw = (b"".join(map(joined, memoryview(x).cast("I"))) for x in ids)
+        return [(r[1:] if r[:1] == b" " else r) == t for r, t in zip(raw, texts, strict=True)]
+
 
 def combine(a: Matrix, b: Matrix) -> Matrix:
     """The max-plus product; a state of any piece meets any entry that lies as far beyond the boundary."""
@@ -484,13 +486,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK,
             for lo in range(0, b.num_rows, BATCH):
                 part = b.slice(lo, BATCH)
                 data, offsets = text_bytes(part.column(at))
-                if lattice.plain and MARK.encode() not in data.tobytes():
-                    ids, right = lattice.encode_bytes(data, offsets, decoder.out)
-                else:
-                    texts = [x or "" for x in part.column(at).to_pylist()]
-                    ids = lattice.encode(texts)
-                    right = [decoder.decode(i) == t for i, t in zip(ids, texts, strict=True)] if check else []
-                same = [pa.array(right, pa.bool_())] if check else []
+                raw = data.tobytes()
+                texts = [raw[a:z] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                ids = lattice.encode_bytes(data, offsets) if lattice.plain and MARK.encode() not in raw else lattice.encode([t.decode() for t in texts])
+                same = [pa.array(decoder.same(ids, texts), pa.bool_())] if check else []
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids) if arrays else pa.array(ids, pa.binary()), *same], names=narrow.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,7 +554,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK,
     key = F.sha2(F.col(text).cast("binary"), 256)
     big = docs.where(giant).withColumn("__key", key)
     texts = big.select("__key", F.col(text).alias("t")).dropDuplicates(["__key"]).select(F.col("__key").alias("key"), "t")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_chars = big.agg(F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0))).first()[0]
+    n = partitions(docs.sparkSession, n_chars, PARTITION_CHARS)
     parts = materialize(texts.mapInArrow(lean(cut), "key string, no long, s string, lo long, last boolean").repartition(n, "key", "no"), "chunks")
     states = parts.mapInArrow(lean(transfer), "key string, no long, ea long, et long, xa long, xt long, v double")
     states = states.repartition(n, "key").sortWithinPartitions("key", "no").mapInArrow(lean(settle), "key string, no long, ea long, et long, xa long, xt long")
