@@ -3,13 +3,14 @@
 Fingerprints of different value are dealt into tiles of about equal size, cut along the population counts of the
 four 16-bit parts of their first word. Two tiles are compared only if those counts can lie within the radius
 (the sum of the parts' count differences never exceeds the Hamming distance), then exactly, with numpy's
-exclusive-or and bit counts. A tile pair reports a spanning forest of its links, so thousands of close
-fingerprints cost thousands of rows, not millions. Components come from minimum labels with pointer jumping.
+exclusive-or and bit counts. A tile reports a spanning forest of its own links, and a tile pair only links between the trees of its
+tiles, so thousands of close fingerprints cost thousands of rows, not millions. Components come from minimum labels with pointer jumping.
 
 What the driver holds is bounded: the counts of at most 17^4 cells and the list of tile pairs (at most
 `MAX_TILES` tiles; tiles grow with the number of fingerprints). Fingerprints and links stay in the cluster.
 
-The pipeline's stage takes tiles for a search only: texts that close fingerprints chain together are compared by their sets of shingles.
+The pipeline's stage takes tiles for a search only: texts that close fingerprints chain together are compared by their sets of shingles. Its tiles are cut
+along the sizes of the sets, which similar sets share up to a factor; population counts would prune nothing at its radius.
 """
 
 from __future__ import annotations
@@ -62,9 +63,9 @@ def shingle_set(raw: bytes, k: int) -> np.ndarray:
 
 
 def set_fingerprint(raw: bytes, k: int, words: int) -> list[int]:
-    """`words` fingerprints of a text's set of shingles, each counted once, and a hash of the set."""
+    """`words` fingerprints of a text's set of shingles, each counted once, a hash of the set and its size."""
     own = shingle_set(raw, k)
-    return [*_majority([own], words), xxhash.xxh64_intdigest(own.tobytes(), SEED)]
+    return [*_majority([own], words), xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own)]
 
 
 def _majority(pieces: Iterable[np.ndarray], words: int) -> list[int]:
@@ -84,7 +85,7 @@ def _majority(pieces: Iterable[np.ndarray], words: int) -> list[int]:
 
 def fingerprints(docs: DataFrame, key: list[str], text: str = "text", k: int = 4, words: int = 1, sets: bool = False) -> DataFrame:
     """`key` columns and `fp`, 16 lower-case hex digits for each word of the fingerprint. Null texts count as empty: zero.
-    `sets`: of the sets of shingles, with a hash of the set as the last word."""
+    `sets`: of the sets of shingles, with a hash of the set and its size as the last words."""
     from pyspark.sql import types as T
 
     small_batches(docs.sparkSession)
@@ -100,10 +101,11 @@ def fingerprints(docs: DataFrame, key: list[str], text: str = "text", k: int = 4
     return docs.mapInArrow(lean(run), schema)
 
 
-def plan_tiles(cells: np.ndarray, counts: np.ndarray, radius: int, size: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each of the 17^4 cells its first tile and number of tiles, and the pairs (i <= j) of tiles to compare."""
+def plan_tiles(cells: np.ndarray, counts: np.ndarray, radius: int, size: int = TILE, flat: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the 17^4 cells its first tile and number of tiles, and the pairs (i <= j) of tiles to compare. A cell is four counts, or, if
+    `flat`, one number."""
     size = max(size, int(counts.sum()) // (MAX_TILES // 2))
-    at = np.stack([cells // 17**3, cells // 289 % 17, cells // 17 % 17, cells % 17], 1).astype(np.int64)
+    at = cells[:, None] if flat else np.stack([cells // 17**3, cells // 289 % 17, cells // 17 % 17, cells % 17], 1).astype(np.int64)
     first, number = np.zeros(17**4, np.int32), np.ones(17**4, np.int32)
     low, high, todo = [], [], [np.arange(len(cells))] if len(cells) else []
     while todo:
@@ -136,9 +138,18 @@ def _parts(word: np.ndarray) -> np.ndarray:
     return ((count(0) * 17 + count(16)) * 17 + count(32)) * 17 + count(48)
 
 
-def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest index reachable from each of n points, over links that come in portions."""
-    label = np.arange(n)
+#: Bins of set sizes for each doubling, and by how many the bins of sets of similarity 0.8 differ at most (a bin is 1/32 of its sizes at least).
+BINS, BIN_REACH = 16, 8
+
+
+def _size_bin(n: np.ndarray) -> np.ndarray:
+    e = np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1  # exact below 2^53
+    return np.where(n > 0, e * BINS + ((n.astype(np.int64) * BINS >> np.maximum(e, 0)) & (BINS - 1)), 0)
+
+
+def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray | None = None) -> np.ndarray:
+    """The smallest index reachable from each of n points, over links that come in portions; `label`: as far as it is known."""
+    label = np.arange(n) if label is None else label.copy()
     for a, b in links:
         while True:
             x, y = label[a], label[b]
@@ -165,16 +176,19 @@ def compare(one: np.ndarray, other: np.ndarray | None, radius: int, first: int |
             yield a + lo, b + at
 
 
-def links(nodes: DataFrame, radius: int, words: int = 1, tile: int = TILE, first_radius: int | None = None, more: int = 0) -> DataFrame:
+def links(nodes: DataFrame, radius: int, words: int = 1, tile: int = TILE, first_radius: int | None = None, more: int = 0, sized: bool = False) -> DataFrame:
     """Spanning links (a, b) between the different fingerprints `fp` of `nodes`, at most `radius` bits apart and in the first word at most
-    `first_radius`. `fp` ends with `more` words that don't count."""
+    `first_radius`. `fp` ends with `more` words that don't count; if `sized`, the last is a size, and sizes far apart need not be linked."""
     spark, width = nodes.sparkSession, words + more
     near = radius if first_radius is None else first_radius
     part = lambda lo: F.bit_count(F.conv(F.substring("fp", lo, 4), 16, 10).cast("int"))
     cell = ((part(13) * 17 + part(9)) * 17 + part(5)) * 17 + part(1)
+    if sized:
+        n = "CAST(conv(substring(fp, -16, 16), 16, 10) AS BIGINT)"
+        cell = F.expr(f"CASE WHEN {n} = 0 THEN 0 ELSE (length(bin({n})) - 1) * {BINS} + (shiftright({n} * {BINS}, length(bin({n})) - 1) & {BINS - 1}) END")
     seen = nodes.groupBy(cell.alias("cell")).count().collect()  # 17^4 rows at most
     cells, counts = np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], np.int64)
-    first, number, pairs = plan_tiles(cells, counts, near, tile)
+    first, number, pairs = plan_tiles(cells, counts, BIN_REACH if sized else near, tile, sized)
     goes: dict[int, list[tuple[int, bool]]] = {}
     group, of, left = -1, -1, 0
     for i, j in pairs.tolist():
@@ -194,7 +208,7 @@ def links(nodes: DataFrame, radius: int, words: int = 1, tile: int = TILE, first
         first, number, _, _ = plan.value
         for b in batches:
             f = np.array([int(x[i : i + 16], 16) for x in b.column(0).to_pylist() for i in range(0, 16 * width, 16)], np.uint64).reshape(-1, width)
-            c = _parts(f[:, 0])
+            c = _size_bin(f[:, -1]) if sized else _parts(f[:, 0])
             t = first[c] + (mix64(f[:, 0] ^ np.uint64(99)) % number[c].astype(np.uint64)).astype(np.int64)
             order = np.argsort(t, kind="stable")
             f, t = f[order], t[order]
@@ -208,30 +222,38 @@ def links(nodes: DataFrame, radius: int, words: int = 1, tile: int = TILE, first
                 have.setdefault(t, []).append(x)
         for t, xs in have.items():
             to, blob = goes[t], b"".join(sorted(xs))
+            points = np.frombuffer(blob, np.uint64).reshape(-1, width)
+            blob += forest(len(points), compare(points, None, radius, near, words)).astype("<u8").tobytes()
             for lo in range(0, len(to), 64):
                 some = to[lo : lo + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in some], pa.int64()), pa.array([own for _, own in some]), pa.array([blob] * len(some), pa.binary())], names=["pairs", "own", "fps"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         selfish, key, own = plan.value[3], None, None
-        back = lambda x: np.frombuffer(x, np.uint64).reshape(-1, width)
         hexed = lambda f: pa.array(["".join(f"{v:016x}" for v in row) for row in f.tolist()], pa.string())
 
-        def report(points: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
-            child = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([hexed(points[child]), hexed(points[label[child]])], names=["a", "b"])
+        def back(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+            """A tile's points and the roots of the trees they are in."""
+            n = len(x) // (8 * width + 8)
+            return np.frombuffer(x, np.uint64, n * width).reshape(-1, width), np.frombuffer(x, "<i8", n, 8 * width * n)
+
+        def report(points: np.ndarray, old: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
+            child = np.flatnonzero(new != old)
+            return pa.RecordBatch.from_arrays([hexed(points[child]), hexed(points[new[child]])], names=["a", "b"])
 
         for batch in batches:  # by key, the own tile first
             for g, is_own, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if is_own:
                     key, own = g, back(x)
                     if g in selfish:
-                        yield report(own, forest(len(own), compare(own, None, radius, near, words)))
+                        yield report(own[0], np.arange(len(own[0])), own[1])
                 else:
                     assert g == key
                     other = back(x)
-                    both = np.concatenate([own, other])
-                    yield report(both, forest(len(both), ((a, b + len(own)) for a, b in compare(own, other, radius, near, words))))
+                    points, old = np.concatenate([own[0], other[0]]), np.concatenate([own[1], other[1] + len(own[0])])
+                    new = forest(len(points), ((a, b + len(own[0])) for a, b in compare(own[0], other[0], radius, near, words)), old)
+                    roots = np.flatnonzero(old == np.arange(len(old)))
+                    yield report(points[roots], np.arange(len(roots)), np.searchsorted(roots, new[roots]))
 
     tiles = nodes.select("fp").mapInArrow(lean(deal), "tile long, fps binary").repartition(n, "tile").mapInArrow(lean(gather), "pairs long, own boolean, fps binary")
     return tiles.repartition(n, "pairs").sortWithinPartitions("pairs", F.col("own").desc()).mapInArrow(lean(meet), "a string, b string")
@@ -368,7 +390,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts whose sets are similar, share a component."""
     marks = materialize(fingerprints(docs, ["doc_id", "__own"], "text", STAGE_K, STAGE_WORDS, sets=True), "fingerprints")
     nodes = materialize(marks.select("fp").distinct(), "nodes")
-    found = components(links(nodes, STAGE_RADIUS, STAGE_WORDS, first_radius=STAGE_FIRST, more=1))
+    found = components(links(nodes, STAGE_RADIUS, STAGE_WORDS, first_radius=STAGE_FIRST, more=2, sized=True))
     roots = components(verified(docs, marks, found, STAGE_K))
     return marks.join(roots, marks.fp == roots.node, "left").select("doc_id", "__own", F.coalesce("root", "fp").alias("component_id"))
 
