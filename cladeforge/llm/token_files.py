@@ -219,46 +219,44 @@ def segments(data: bytes, dictionary: bytes) -> Iterator[Segment]:
 
 
 def write_files(docs: DataFrame, path: str, tokenizer: str, ident: str = "doc_id", text: str = "text", end_id: int = END_ID) -> bytes:
-    """Encode `docs` into files under `path` in ascending order of `ident`, nulls last, ties by their frames; returns the dictionary,
+    """Encode `docs` into files under `path` in ascending order of `ident`, nulls last, ties by a hash of their texts; returns the dictionary,
     which is also written, to `path`-dictionary."""
     spark = small_batches(docs.sparkSession)
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n_bytes, n_docs = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count("*")).first()
     n = partitions(spark, n_bytes, PARTITION_BYTES)
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
-    sample = rows.where(F.rand(7) < SAMPLE_DOCS / max(n_docs, 1)).select(F.substring("text", 1, SAMPLE_CHARS)).collect()  # about SAMPLE_DOCS
+    # about SAMPLE_DOCS different texts, the same in every run
+    chosen = F.pmod(F.xxhash64("text"), F.lit(max(1, n_docs // SAMPLE_DOCS))) == 0
+    sample = rows.where(chosen).select(F.substring("text", 1, SAMPLE_CHARS).alias("t")).distinct().orderBy("t").limit(2 * SAMPLE_DOCS).collect()
     dictionary = train_dictionary(Encoder(tokenizer).encode([r[0] for r in sample]))
     spark.createDataFrame([(bytearray(dictionary),)], "value binary").select(F.col("value").cast("string")).coalesce(1).write.text(path + "-dictionary")
     sent = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
     end = int(end_id).to_bytes(4, "little")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pack = Encoder(tokenizer), _coders(sent.value)[0]
+        held, size = [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([pack_segment(held, sent.value)], pa.binary())], names=["value"])
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 data, offsets = text_bytes(part.column(1))
-                ids = [x for a, z in row_blocks(offsets, BLOCK_BYTES) for x in encoder.encode_bytes(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], end)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pack.compress(x) for x in ids], pa.binary())], names=["doc_id", "n", "frame"])
-
-    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([pack_segment(rows, sent.value)], pa.binary())], names=["value"])
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows.append(row)
-                size += len(row[2]) + 25
-                if size >= SEGMENT_BYTES:
-                    yield out()
-                    rows, size = [], 0
-        if rows:
+                idents = part.column(0).to_pylist()
+                for a, z in row_blocks(offsets, BLOCK_BYTES):
+                    ids = encoder.encode_bytes(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], end)
+                    for ident, x in zip(idents[a:z], ids, strict=True):
+                        held.append((ident, len(x) // 4, pack.compress(x)))
+                        size += len(held[-1][2]) + 25
+                        if size >= SEGMENT_BYTES:
+                            yield out()
+                            held, size = [], 0
+        if held:
             yield out()
 
-    frames = rows.mapInArrow(lean(encode), "doc_id long, n long, frame binary")
-    edges = F.expr(f"array({', '.join(f'{int(x)}L' for x in bounds)})") if bounds else F.expr("array(0L)")
-    to = F.when(F.col("doc_id").isNull(), n - 1).otherwise(F.least(F.lit(n - 1), F.size(F.filter(edges, lambda x: x < F.col("doc_id")))))
-    frames = frames.repartitionById(n, to).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "n", "frame")
-    lines = frames.mapInArrow(lean(lay_out), "value binary").select(F.col("value").cast("string").alias("value"))
+    # texts are dealt out before they are encoded, as the partitioner's sample would encode them twice else; null idents go by their texts
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    lines = dealt.mapInArrow(lean(lay_out), "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.text(path)  # a line feed closes each segment
     return dictionary
 
@@ -293,8 +291,8 @@ def _few(files: DataFrame, most: int = 20_000) -> bool:
 def store(docs: DataFrame, path: str, tokenizer: str, ident: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """Write `docs` and read them back: (doc_id, start, n_tokens, ids_crc32), a row for each row of `docs`.
 
-    A null or empty text has only the end id. Rows with a null ident come last; rows that share an ident follow each other, by number of ids
-    and frame. Extra columns are ignored. An empty table writes no document and gives an empty result."""
+    A null or empty text has only the end id. Rows with a null ident come last; rows that share an ident follow each other, by a hash of their
+    texts. Extra columns are ignored. An empty table writes no document and gives an empty result."""
     return read_files(docs.sparkSession, path, write_files(docs, path, tokenizer, ident, text, end_id))
 
 
