@@ -87,7 +87,8 @@ def _content(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     """A hash of each string of 8 bytes or more; strings have at most 2 * width - K bytes."""
     h = size.astype(np.uint64)
     for d in range(0, int(size.max()) if len(size) else 0, 8):
-        h = mix64(h * _ODD[3] + words[start + np.minimum(d, size - 8)])
+        # a string's own size says how often it is mixed, whatever stands beside it
+        h = np.where(d < size, mix64(h * _ODD[3] + words[start + np.minimum(d, size - 8)]), h)
     return h
 
 
