@@ -1,10 +1,14 @@
 """Each operator against its SQL or a brute-force version, on the small tables and on fixtures of awkward rows."""
 
+import glob
+import gzip
 import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -150,6 +154,17 @@ def test_search_awkward_vectors(spark):
     assert ann.search(df.drop("v").limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_search_repeated_idents_and_clashes(spark):
+    rows = [(100, [1.0, 0.0], 1), (100, [2.0, 0.0], 2), (1, [3.0, 1.0], 3), (100, [2.0, 0.0], 2), (200, [9.0, 9.0], None)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int"), (F.col("vec_id") % 100 == 0) & (F.col("v") >= 1), k=2)
+    want = []
+    for i, (q, x, v) in enumerate(rows):
+        if q % 100 == 0 and v:
+            near = sorted((float(np.hypot(x[0] - y[0], x[1] - y[1])), c) for j, (c, y, _) in enumerate(rows) if j != i)[:2]
+            want += [(q, n, c, round(d, 9)) for n, (d, c) in enumerate(near, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got.collect()) == sorted(want)
+
+
 def test_search_recall_on_clusters(spark):
     g = np.random.default_rng(1)
     x = (g.standard_normal((20, 96))[g.integers(0, 20, 3000)] + 0.3 * g.standard_normal((3000, 96))).astype(np.float32)
@@ -176,6 +191,19 @@ def test_archives_awkward_pages(spark):
     assert {r.payload_digest for r in got if r.page_id == 6} == {hashlib.sha1(rows[5][2].encode()).hexdigest()}
 
 
+def test_index_points_into_the_archive(spark):
+    rows = [(i, f"http://a.com/{i}", f"page {i} " * (1 + 50 * (i % 7))) for i in range(200)]
+    path = scratch_path(spark, "w")
+    index = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path).collect()
+    files = {f.rsplit("/", 1)[-1]: open(f, "rb").read() for f in glob.glob(path.removeprefix("file:") + "/part-*")}
+    for r in index:
+        header, payload = warc.fetch(files[r.run], r.offset, r.length)
+        assert header["WARC-Target-URI"] == f"http://a.com/{r.page_id}" and payload.decode() == rows[r.page_id][2]
+    assert sum(gzip.decompress(x).count(b"WARC/1.1\r\n") for x in files.values()) == 200
+    ranges = warc.merge_runs(warc.read_runs(spark, path))
+    assert [r.url_key for r in ranges.collect()] == sorted(r.url_key for r in index)
+
+
 def test_loser_tree():
     rnd = random.Random(1)
     for n in range(20):
@@ -359,25 +387,80 @@ def test_suffixes_giant_text_in_parts(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute_suffixes(rows)
 
 
-def test_hot_minimizers_change_nothing():
+@pytest.mark.parametrize("hot", [2, 30])
+def test_hot_minimizers_change_nothing(spark, duck, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "BLOCK", 20_000)
+    monkeypatch.setattr(suffixes, "HOLD", 4_000)
+    rows = documents(duck)[:60]
+    passage = "the passage that half of the documents hold, word by word, in all of them"
+    rows += [(1000 + i, f"{i * i} {passage if i % 2 else ''} {i} tail of the document {i * 7}") for i in range(300)]
+    out = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot)
+    assert sorted(str(tuple(r)) for r in out.select("doc_id", "__n_bytes", "__n_removed", "__n_spans", F.sha2("__kept", 256)).collect()) == brute_suffixes(rows)
+
+
+def test_one_window_in_half_of_many_documents(spark):
+    g = np.random.default_rng(3)
+    words = g.integers(0, 1 << 40, (20_000, 8))
+    window = "0123456789 abcdefghij klmnopqrst uvwxyz ABCDEFGHIJ"
+    assert len(window) == 50
+    rows = [(i, " ".join(f"{x:010x}" for x in w[:4]) + (window if i % 2 else "") + " ".join(f"{x:010x}" for x in w[4:])) for i, w in enumerate(words.tolist())]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=500)
+    # where the windows' neighbours agree by chance, a few bytes more go
+    got = {r.k: r.n for r in got.groupBy(F.expr("CASE WHEN __n_removed = 0 THEN 0 WHEN __n_removed BETWEEN 50 AND 70 AND __n_spans = 1 THEN 1 END").alias("k")).agg(F.count("*").alias("n")).collect()}
+    assert got == {0: 10_001, 1: 9_999}
+
+
+def test_blocks_without_replies_meet_the_others():
+    """A block that was cut otherwise when it was announced sends its windows by both ways."""
     g = np.random.default_rng(0)
     texts = [bytes(g.choice(list(b"abcd "), 30).tolist()) + b"the passage that very many of the documents hold, word by word, in all of them" + bytes(g.choice(list(b"abcd "), 30).tolist()) for _ in range(60)]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
     ids, key, shift = np.arange(60), np.arange(60) * 7, np.zeros(60, np.int64)
+    mapper = suffixes.Mapper(5, 3)
+    part = lambda a, b: (data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+    announced = [dict(mapper.announce(*part(a, b))) for a, b in ((0, 25), (25, 60))]
+
+    def removed(hot, known):
+        replies = [{}, {}]
+        for bucket in set(announced[0]) | set(announced[1]):
+            who = [i for i in (0, 1) if bucket in announced[i]]
+            for i, x in zip(who, suffixes._shared([announced[i][bucket] for i in who], hot), strict=True):
+                replies[i][bucket] = np.frombuffer(x, np.uint8)
+        rows = [list(mapper.block(*part(a, b), ids[a:b], key[a:b], shift[a:b], replies[i] if known[i] else {})) for i, (a, b) in enumerate(((0, 25), (25, 60)))]
+        buckets, out = {}, []
+        for kind, to, x in itertools.chain(*rows):
+            if kind == 0:
+                out += buckets.setdefault(to, suffixes.Bucket(3)).add(x)
+            else:
+                out.append((kind, to, x))
+        for b in buckets.values():
+            out += b.finish()
+        return {(int(i), p) for _, _, x in out for i, _, at, n in zip(*suffixes._unpack(x), strict=True) for p in range(int(at), int(at + n))}
+
+    want = removed(10**9, (True, True))
+    assert want and all(removed(hot, known) == want for hot in (5, 10**9) for known in itertools.product((True, False), repeat=2))
+
+
+@pytest.mark.parametrize("width", [24, 40, 100])
+def test_suffixes_other_widths(spark, width):
+    rnd = random.Random(width)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+    rows = [(i, "".join(base[(lo := rnd.randrange(800)) : lo + rnd.randint(width - 3, width + 30)] + rnd.choice("xyz") * 3 for _ in range(4))) for i in range(30)]
+    seen, want = set(), []
+    for i, t in rows:
+        own = {t[k : k + width] for k in range(len(t) - width + 1)}
+        gone = {j for k in range(len(t) - width + 1) if t[k : k + width] in seen for j in range(k, k + width)}
+        seen |= own
+        want.append((i, len(gone)))
+    out = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width=width)
+    assert sorted((r.doc_id, r["__n_removed"]) for r in out.collect()) == want
 
-    def removed(hot):
-        rows = [list(suffixes.Mapper(5, 3, hot).block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ids[a:b], key[a:b], shift[a:b], {})) for a, b in ((0, 25), (25, 60))]
-        blobs = {}
-        for kind, g, x in itertools.chain(*rows):
-            blobs.setdefault((kind, g), []).append(x)
-        out = [x for (k, _), v in blobs.items() if k == 1 for x in v] + [b for (k, _), v in blobs.items() if k == 0 for _, _, b in suffixes.repeated(v, 3)]
-        marks = set()
-        for i, _, s, n in (zip(*suffixes._unpack(x)) for x in out for x in [x]) if False else [row for x in out for row in zip(*suffixes._unpack(x), strict=True)]:
-            marks |= {(int(i), p) for p in range(int(s), int(s + n))}
-        return marks
 
-    hot = suffixes.hot_minimizers(texts)
-    assert len(hot) and removed(hot) == removed(np.zeros(0, np.uint64))
+def test_suffixes_clashing_names(spark):
+    rows = [(1, "a" * 60, 1, 2, 3, "b", 5, "c"), (2, "b" + "a" * 60, 1, 2, 3, "b", 5, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __g int, __kind int, __key int, __blob string, __n_spans int, c1 string")
+    got = suffixes.remove_repeats(df).orderBy("doc_id").collect()
+    assert [(r["__g"], r["__kind"], r["__key"], r["__blob"], r.c1, r["__n_removed"], r["__n_spans"]) for r in got] == [(1, 2, 3, "b", "c", 0, 0), (1, 2, 3, "b", "c", 60, 1)]
 
 
 # SentencePiece
@@ -461,10 +544,145 @@ def test_host_boilerplate(spark):
     assert "contact our team" in got[9]
 
 
+class Articles(HTMLParser):
+    """An independent reading of the pages of the test tables: the text of headings and paragraphs in the article element."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.out, self.now = False, [], ""
+
+    def end(self):
+        if text := " ".join(self.now.split()):
+            self.out.append(text)
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.now += " "
+        elif tag not in ("b", "a", "i", "em", "span"):
+            if self.inside:
+                self.end()
+            self.inside |= tag == "article"
+            self.now = self.now if self.inside else ""
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a", "i", "em", "span", "br") and self.inside:
+            self.end()
+            self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        self.now += data if self.inside else ""
+
+
+def test_pages_brute(spark, duck):
+    got = {r.page_id: r.text for r in html.op10_html_extraction(spark, DATA).collect()}
+    pages = duck.sql("SELECT page_id, html FROM pages").fetchall()
+    assert len(got) == len(pages)
+    for i, page in pages:
+        reader = Articles()
+        reader.feed(page)
+        assert got[i] == "\n\n".join(reader.out), i
+
+
+def words_of(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+
+
+NOTICE = "Sign up for our daily letter and get the best stories of the week in your mail box every Monday morning for free"
+
+
+@pytest.fixture(scope="module")
+def hosts(spark):
+    """Pages of hosts without any telling class, and what is to stay of each."""
+    rnd, rows, want = random.Random(3), [], {}
+    menu = "home news sports weather culture travel about us contact imprint jobs advertise with us here"
+    near, quote = words_of(rnd, 200).split(), words_of(rnd, 60)
+    for i in range(12):
+        a, b, c = words_of(rnd, 120), words_of(rnd, 60), words_of(rnd, 5)
+        rows.append((i, f"http://a.example/{i}", f"<article><h1>{c}</h1><p>{a}</p><div>{NOTICE}</div><p>{b}</p></article>"))
+        want[i] = "\n\n".join((c, a, b))
+        rows.append((100 + i, f"http://b.example/{i}", f"<div>{menu}</div><div><p>{a}</p><p>{b}</p></div><div>{NOTICE}</div>"))
+        want[100 + i] = f"{a}\n\n{b}"
+    for i in range(40):  # near copies of one article, with and without the element
+        text = " ".join([*near[: 4 * i], f"changed{i}", *near[4 * i + 1 :]])
+        rows += [(1000 + i, f"http://c.example/{i}", f"<article><p>{text}</p></article>"), (2000 + i, f"http://d.example/{i}", f"<div><p>{text}</p></div>")]
+        want |= {1000 + i: text, 2000 + i: text}
+    for i in range(20):  # a passage that a third of the articles quote
+        parts = [words_of(rnd, 50), *([quote] if i % 3 == 0 else []), words_of(rnd, 30)]
+        rows.append((3000 + i, f"http://e.example/{i}", "<article>" + "".join(f"<p>{x}</p>" for x in parts) + "</article>"))
+        want[3000 + i] = "\n\n".join(parts)
+    rows += [rows[0]] * 3 + [(0, "http://a.example/other", f"<article>{words_of(rnd, 0)}</article>")]  # repeated rows and idents
+    return spark.createDataFrame(rows, "page_id long, url string, html string"), rows, want
+
+
+def test_host_decides(spark, hosts, monkeypatch):
+    df, rows, want = hosts
+    got = html.extract(df).collect()
+    assert len(got) == len(rows)
+    assert all(r.text == want[r.page_id] for r in got if r.text) and sum(not r.text for r in got) == 1
+    monkeypatch.setattr(html, "_stands", lambda n, pages: F.lit(False))  # without the suffix array's verdict the notice stays
+    got = {r.page_id: r.text for r in html.extract(df.where("page_id BETWEEN 1 AND 111")).collect()}
+    assert all(NOTICE in got[i] for i in [*range(1, 12), *range(100, 112)])
+
+
+def test_names_of_classes():
+    apart = lambda attrs, tag="div": html.blocks(f"<article><p>text</p><{tag} {attrs}>inner</{tag}></article>") == [(html.ARTICLE, "text"), (html.OTHER, "inner")]
+    assert all(apart(f'class="{c}"') for c in ("ad", "cookie-notice", "x comments", "site-footer", "related-posts", "share", "newsletter_box"))
+    assert not any(apart(f'class="{c}"') for c in ("has-sidebar", "with-ads", "shared", "related-work", "address", "social-history", "noticeable", "admin"))
+    assert apart('id="comments"') and not apart('id="related-work"') and not apart('id="social-security"', "h2") and not apart('class="menu"', "h2")
+    kept = '<body class="has-sidebar"><article class="post sidebar"><p>one</p></article></body>'
+    assert html.blocks(kept) == [(html.ARTICLE, "one")]
+    lost = '<div class="ad">buy<article><p>one</p></article>'  # never closed
+    assert (html.ARTICLE, "one") in html.blocks(lost) and (html.OTHER, "buy") in html.blocks(lost)
+    inside = '<article><p>one</p></article><div class="comments"><article><p>me too</p></article></div>'
+    assert [t for k, t in html.blocks(inside) if k == html.ARTICLE] == ["one"]
+
+
+@pytest.mark.parametrize("page", ["<script>" * 20_000, "<div>" * 20_000 + "x", "<a '" * 20_000, "<" * 100_000, "<p " * 50_000, "<!-- " * 20_000, "<p>a</b>" * 20_000, "<svg/>x" * 20_000])
+def test_awkward_markup_takes_linear_time(page):
+    began = time.perf_counter()
+    html.blocks(page)
+    assert time.perf_counter() - began < 5
+
+
 def test_suffix_order():
     g = np.random.default_rng(2)
-    t = g.integers(0, 3, 200)
-    order, rank = html.suffix_order(t, 5)
-    keys = [tuple(t[i : i + 5]) + ("end", i) * (i + 5 > 200) for i in range(200)]
-    assert all((rank[i] == rank[j]) == (keys[i] == keys[j]) for i in range(0, 200, 7) for j in range(200))
-    assert all(tuple(t[a : a + 5]) <= tuple(t[b : b + 5]) for a, b in zip(order, order[1:], strict=False) if max(a, b) + 5 <= 200)
+    t, at = g.integers(0, 3, 200), np.arange(0, 195)
+    order = html.suffix_order(t, at, 5)
+    assert sorted(order.tolist()) == at.tolist()
+    assert all(tuple(t[a : a + 5]) <= tuple(t[b : b + 5]) for a, b in zip(order, order[1:], strict=False))
+
+
+def test_near_copies_of_the_documents(spark, duck):
+    """The op7 query and the pipeline's stage against brute force over the whole small table."""
+    rows = [(i, t or "") for i, t in documents(duck)]
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.op7_simhash_near_dedup(spark, DATA).collect()}
+    ids = sorted(got)
+    for i, t in rows:
+        w = WORD.findall(t.translate({c: c + 32 for c in range(65, 91)}))
+        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 4]).encode(), seed=42) for k in range(max(len(w) - 3, 1))] if w else []
+        assert got[i][0] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    def groups(linked):
+        root = {i: i for i in ids}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for n, i in enumerate(ids):
+            for j in ids[:n]:
+                if linked(i, j) and top(i) != top(j):
+                    root[max(top(i), top(j))] = min(top(i), top(j))
+        return {i: top(i) for i in ids}
+
+    assert {i: c for i, (_, c) in got.items()} == groups(lambda i, j: (got[i][0] ^ got[j][0]).bit_count() <= 4)
+    sets = {i: simhash.shingle_set(t.encode(), 5) for i, t in rows}
+    stay = simhash.stage_simhash(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
+    assert {r.doc_id for r in stay.collect()} == set(groups(lambda i, j: simhash.similar(sets[i], sets[j])).values())
+
+
+def test_size_bins_reach():
+    n = np.arange(1, 20_000, dtype=np.uint64)
+    assert (simhash._size_bin(n * np.uint64(5) // np.uint64(4)) - simhash._size_bin(n) <= simhash.BIN_REACH).all()
