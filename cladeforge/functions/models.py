@@ -27,6 +27,7 @@ class Model:
     invariant: float = 0.0
     df: int = 0
     ascertainment: bool = False
+    error: float = 0.0  # the chance that a state is read as another one
 
     def __post_init__(self) -> None:
         """Reversible models are taken apart once: Q = left diag(values) right."""
@@ -40,6 +41,54 @@ class Model:
         return np.maximum(np.einsum("ik,...k,kj->...ij", left, np.exp(np.multiply.outer(np.asarray(t, float), values)), right), 0.0)
 
 
+@dataclass(frozen=True)
+class Irreversible(Model):
+    """A model whose Q is any rate matrix; where the root stands matters."""
+
+    def __post_init__(self) -> None:
+        pass
+
+    def p(self, t: float | np.ndarray) -> np.ndarray:
+        times = np.asarray(t, float)
+        out = np.array([expm(self.q * x) for x in times.ravel()]).reshape(*times.shape, *self.q.shape)
+        return np.maximum(out, 0.0)
+
+
+def expm(a: np.ndarray) -> np.ndarray:
+    """The matrix exponential, by a Taylor series of a scaled matrix and squaring."""
+    n = max(0, int(np.ceil(np.log2(max(np.abs(a).sum(1).max(), 1e-300)))) + 4)
+    x, out = a / 2**n, np.eye(len(a))
+    term = out
+    for k in range(1, 14):
+        term = term @ x / k
+        out = out + term
+    for _ in range(n):
+        out = out @ out
+    return out
+
+
+def stationary(q: np.ndarray) -> np.ndarray:
+    """The frequencies that a rate matrix leaves as they are."""
+    a = np.vstack([q.T, np.ones(len(q))])
+    return np.linalg.lstsq(a, np.append(np.zeros(len(q)), 1.0), rcond=None)[0]
+
+
+def unrestricted(rates: list[float]) -> Model:
+    """A model of twelve rates: AC AG AT CA CG CT GA GC GT TA TC TG, one substitution a time unit."""
+    q = np.zeros((4, 4))
+    q[~np.eye(4, dtype=bool)] = rates
+    np.fill_diagonal(q, -q.sum(1))
+    pi = stationary(q)
+    return Irreversible(q / -(np.diag(q) * pi).sum(), pi, df=11)
+
+
+def lie_markov_ry(a: float, b: float, c: float) -> Model:
+    """The doubly symmetric strand-and-ring family over purines (A, G) and pyrimidines (C, T): rate `a` within a pair's partner of the same kind, `b` and `c` to the two
+    states of the other kind, the nearer (A to C, G to T) first."""
+    q = np.array([[0, b, a, c], [b, 0, c, a], [a, c, 0, b], [c, a, b, 0]], float)
+    return Model(rate_matrix(4 * q, np.full(4, 0.25)), np.full(4, 0.25), df=2)
+
+
 def rate_matrix(exchange: np.ndarray, freqs: np.ndarray) -> np.ndarray:
     """Q of symmetric exchangeabilities and frequencies, scaled to one substitution a time unit."""
     q = exchange * freqs[None, :]
@@ -69,10 +118,10 @@ def _numbers(text: str) -> list[float]:
 def parse(name: str, empirical: np.ndarray | None = None, n_states: int = 4) -> Model:
     """A model of a string like `GTR{1,2,1,1,2,1}+F+I{0.1}+G4{0.5}` or `HKY{2}+R2{0.5,0.5,0.5,1.5}`; parameters in braces, defaults else.
 
-    Parts: base (a DNA name or six digits, JC2/MK for equal rates, ORDERED), +F, +FO{..}, +FQ, +I, +G, +R, +ASC."""
+    Parts: base (a DNA name or six digits, UNREST with twelve rates, JC2/MK for equal rates, ORDERED), +F, +FO{..}, +FQ, +I, +G, +R, +ASC, +E (reading errors)."""
     base, *parts = re.split(r"\+(?![^{]*\})", name)
     label = re.sub(r"\{.*", "", base).upper()
-    freqs, rates, shares, inv, df, asc = None, np.ones(1), np.ones(1), 0.0, 0, False
+    freqs, rates, shares, inv, df, asc, error = None, np.ones(1), np.ones(1), 0.0, 0, False, 0.0
     for p in parts:
         kind, values = re.sub(r"\{.*", "", p).upper(), _numbers(p)
         if kind in ("F", "FO"):
@@ -92,6 +141,8 @@ def parse(name: str, empirical: np.ndarray | None = None, n_states: int = 4) ->
             rates = rates / (shares * rates).sum() * shares.sum()
         elif kind.startswith("ASC"):
             asc = True
+        elif kind == "E":
+            error, df = (values or [0.01])[0], df + 1
         else:
             raise ValueError(f"unknown model part +{p}")
     if label in DNA or re.fullmatch(r"[0-5]{6}", label):
@@ -108,11 +159,14 @@ def parse(name: str, empirical: np.ndarray | None = None, n_states: int = 4) ->
     elif label in ("JC2", "MK", "POISSON", "GTR2"):
         freqs = np.full(n_states, 1 / n_states) if freqs is None else freqs
         q = rate_matrix(np.ones((n_states, n_states)), freqs)
+    elif label == "UNREST":
+        base_model = unrestricted(_numbers(base) or [1.0] * 12)
+        return Irreversible(base_model.q, base_model.freqs, rates / max(1 - inv, 1e-12), shares * (1 - inv), inv, df + 11, asc, error)
     elif label == "ORDERED":
         q, freqs = ordered(n_states), np.full(n_states, 1 / n_states)
     else:
         raise ValueError(f"unknown model {label}")
-    return Model(q, np.asarray(freqs, float), rates / max(1 - inv, 1e-12), shares * (1 - inv), inv, df, asc)
+    return Model(q, np.asarray(freqs, float), rates / max(1 - inv, 1e-12), shares * (1 - inv), inv, df, asc, error)
 
 
 def candidates(rates: tuple[str, ...] = ("", "+I", "+G4", "+I+G4")) -> list[str]:

@@ -21,7 +21,9 @@ def encode(sequences: DataFrame, taxon: str = "taxon", seq: str = "seq") -> Data
 
 
 def columns(aln: DataFrame) -> DataFrame:
-    """(part, site, states): each site's masks in the order of taxa."""
+    """(part, site, states): each site's masks in the order of taxa. A table that has states already is taken as it is."""
+    if "states" in aln.columns:
+        return aln.select("part", "site", "states")
     return aln.groupBy("part", "site").agg(F.transform(F.array_sort(F.collect_list(F.struct("taxon", "mask"))), lambda x: x["mask"]).alias("states"))
 
 
@@ -45,9 +47,21 @@ def patterns(aln: DataFrame, by: tuple[str, ...] = ("part",)) -> DataFrame:
     return classified(p)
 
 
+def ranked(df: DataFrame, by: list[str], key: str, name: str, buckets: int = 1024) -> DataFrame:
+    """Adds `name`: the place of each row by an integer column in its group, from 1, ties in any order.
+
+    Rows are numbered in buckets of the key's range, and a bucket starts where those before it end, so that one group is many tasks' work."""
+    span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    cut = df.join(F.broadcast(span)).withColumn("__b", F.expr(f"CAST(({key} - lo) * {buckets}D / (hi - lo + 1) AS INT)")).drop("lo", "hi")  # one row
+    size = cut.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
+    before = size.withColumn("__before", F.sum("__n").over(W.partitionBy(*by).orderBy("__b")) - F.col("__n")).drop("__n")
+    own = F.row_number().over(W.partitionBy(*by, "__b").orderBy(key))
+    return cut.withColumn("__k", own).join(before, [*by, "__b"]).withColumn(name, F.col("__before") + F.col("__k")).drop("__b", "__k", "__before")
+
+
 def numbered(pats: DataFrame) -> DataFrame:
     """Adds ptn, counting by first appearance within each partition."""
-    return pats.withColumn("ptn", F.row_number().over(W.partitionBy("part").orderBy("first_site")).cast("long") - 1)
+    return ranked(pats, ["part"], "first_site", "ptn").withColumn("ptn", F.col("ptn") - 1)
 
 
 def partition_summary(aln: DataFrame) -> DataFrame:
@@ -84,17 +98,17 @@ def composition_test(aln: DataFrame) -> DataFrame:
 
 
 def empirical_frequencies(aln: DataFrame, rounds: int = 8) -> DataFrame:
-    """(f1, f2, f4, f8): frequencies with each ambiguity dealt over its states in proportion to the last estimate, `rounds` times from 1/4."""
+    """(f1, f2, f4, f8): frequencies with each ambiguity dealt over its states in proportion to the last estimate, `rounds` times from 1/4.
+
+    The masks are counted first; the rounds are one fold over that row of 15 numbers."""
     counts = aln.groupBy("mask").agg(F.count("*").alias("n"))  # 15 rows at most
     row = counts.agg(F.map_from_entries(F.collect_list(F.struct("mask", "n"))).alias("m"))
-    n = lambda m: F.coalesce(F.element_at("m", F.lit(m)), F.lit(0)).cast("double")
-    row = row.select(*(n(m).alias(f"c{m}") for m in range(1, 16)), *(F.lit(0.25).alias(f"f{s}") for s in STATES))
-    for _ in range(rounds):
-        share = lambda s, m: F.col(f"f{s}") / sum(F.col(f"f{t}") for t in STATES if m & t)
-        new = {s: sum(F.col(f"c{m}") * share(s, m) for m in range(1, 16) if m & s) for s in STATES}
-        row = row.select(*(f"c{m}" for m in range(1, 16)), *(new[s].alias(f"g{s}") for s in STATES))
-        row = row.select(*(f"c{m}" for m in range(1, 16)), *((F.col(f"g{s}") / sum(F.col(f"g{t}") for t in STATES)).alias(f"f{s}") for s in STATES))
-    return row.select(*(f"f{s}" for s in STATES))
+    row = row.select(F.expr("transform(sequence(1, 15), k -> CAST(coalesce(element_at(m, k), 0) AS DOUBLE))").alias("c"))
+    whole = [f"aggregate(sequence(0, 3), 0D, (t, j) -> t + if((k & shiftleft(1, j)) <> 0, f[j], 0D))", "aggregate(sequence(1, 15), 0D, (g, k) -> g + if((k & shiftleft(1, i)) <> 0, c[k - 1] * f[i] / {0}, 0D))"]
+    deal = f"transform(sequence(0, 3), i -> {whole[1].format(whole[0])})"
+    scaled = f"transform(array({deal}), g -> transform(g, x -> x / aggregate(g, 0D, (a, y) -> a + y)))[0]"
+    row = row.select(F.expr(f"aggregate(sequence(1, {rounds}), array(0.25D, 0.25D, 0.25D, 0.25D), (f, r) -> {scaled})").alias("f"))
+    return row.select(*(F.col("f")[i].alias(f"f{s}") for i, s in enumerate(STATES)))
 
 
 def unconstrained_lnl(pats: DataFrame) -> DataFrame:
@@ -170,17 +184,19 @@ def residues(aln: DataFrame) -> DataFrame:
 
 
 def identical_sequences(aln: DataFrame) -> DataFrame:
-    """(taxon, kept_as): each taxon and the first taxon that has its sequence."""
-    seq = aln.groupBy("taxon").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("part", "site", "mask"))), lambda x: x["mask"].cast("string"))), 256).alias("seq"))
-    return seq.select("taxon", F.min("taxon").over(W.partitionBy("seq")).alias("kept_as"))
+    """(taxon, kept_as): each taxon and the first taxon that has its sequence. Sequences are told by their length and two sums of hashes of their cells, so
+    none is put together."""
+    own = lambda salt: F.sum(F.xxhash64("part", "site", "mask", F.lit(salt)).cast("decimal(38,0)"))
+    seq = aln.groupBy("taxon").agg(F.count("*").alias("n"), own(1).alias("a"), own(2).alias("b"))
+    return seq.select("taxon", F.min("taxon").over(W.partitionBy("n", "a", "b")).alias("kept_as"))
 
 
 def concatenate(parts: DataFrame) -> DataFrame:
     """Partitions one after the other: adds position, counting sites from 1 over (part, site)."""
     sites = parts.select("part", "site").distinct()
     size = sites.groupBy("part").agg(F.count("*").alias("n"))
-    start = size.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    place = sites.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("site"))).join(start, "part").select("part", "site", (F.col("start") + F.col("k")).alias("position"))
+    start = size.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row for each partition
+    place = ranked(sites, ["part"], "site", "k").join(start, "part").select("part", "site", (F.col("start") + F.col("k")).alias("position"))
     return parts.join(place, ["part", "site"])
 
 
@@ -262,3 +278,100 @@ def clade_identity(pats: DataFrame, clades: list[list[int]]) -> DataFrame:
     agree = [F.bit_count(F.aggregate(F.array(*(F.element_at("states", i + 1) for i in c)), F.lit(0), lambda a, x: F.when(F.bit_count(x) == 1, a.bitwiseOR(x)).otherwise(a))) <= 1 for c in clades]
     row = pats.agg(F.sum("freq").alias("all"), *(F.sum(F.when(a, F.col("freq")).otherwise(0)).alias(f"c{i}") for i, a in enumerate(agree)))
     return row.select("all", F.posexplode(F.array(*(f"c{i}" for i in range(len(clades))))).alias("clade", "n")).select("clade", F.floor(100 * F.col("n") / F.col("all")).alias("identity"))
+
+
+def add_constant(pats: DataFrame, counts: dict[int, int], part: int) -> DataFrame:
+    """Patterns (part, states, freq, first_site) with so many more sites of each constant state (a mask) in one partition; new ones come after all sites."""
+    own = pats.select("part", "states", "freq", "first_site")
+    taxa = own.agg(F.max(F.size("states")).alias("n"), F.max("first_site").alias("last"))
+    new = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(k).cast("long").alias("k")) for s, k in counts.items()))
+    more = taxa.select("n", "last", F.explode(new).alias("c")).where("c.k > 0")
+    more = more.select(F.lit(part).alias("part"), F.expr("array_repeat(c.s, n)").alias("states"), F.col("c.k").alias("freq"), (F.col("last") + 1).alias("first_site"))
+    both = own.unionByName(more).groupBy("part", "states").agg(F.sum("freq").alias("freq"), F.min("first_site").alias("first_site"))
+    return classified(both)
+
+
+def keep_taxa(aln: DataFrame, taxa: DataFrame, min_taxa: int = 1, min_chars: int = 0) -> DataFrame:
+    """The cells of the given taxa: sites with at least `min_chars` cells that are no gaps, in partitions where at least `min_taxa` taxa have data."""
+    own = aln.join(taxa.select("taxon").distinct(), "taxon", "left_semi")
+    data = (F.col("mask") != GAP).cast("long")
+    site = own.groupBy("part", "site").agg(F.sum(data).alias("n")).where(F.col("n") >= min_chars).select("part", "site")
+    part = own.where(F.col("mask") != GAP).groupBy("part").agg(F.countDistinct("taxon").alias("n")).where(F.col("n") >= min_taxa).select("part")
+    return own.join(part, "part", "left_semi").join(site, ["part", "site"], "left_semi")
+
+
+def supermatrix(presence: DataFrame) -> DataFrame:
+    """(taxon, parts, pattern): of (taxon, part) the union of taxa, how many partitions each is in, and which taxon first has the same ones."""
+    own = presence.distinct().groupBy("taxon").agg(F.array_sort(F.collect_list("part")).alias("p"))
+    return own.select("taxon", F.size("p").cast("long").alias("parts"), F.min("taxon").over(W.partitionBy("p")).alias("pattern"))
+
+
+def copy_gaps(aln: DataFrame, other: DataFrame) -> DataFrame:
+    """`aln` with gaps wherever the other alignment has one at the same taxon and site."""
+    gaps = other.where(F.col("mask") == GAP).select("taxon", "site", F.lit(True).alias("__gap")).distinct()
+    return aln.join(gaps, ["taxon", "site"], "left").withColumn("mask", F.when(F.col("__gap"), GAP).otherwise(F.col("mask"))).drop("__gap")
+
+
+def shuffled(cols: DataFrame, order: str) -> DataFrame:
+    """(part, site, from_site): a permutation of each partition's sites: those ordered by `order` (SQL, a whole number, then by site) take the places of
+    those in order."""
+    keyed = cols.select("part", "site").withColumn("__o", F.expr(order).cast("long"))
+    own = ranked(keyed.withColumn("__o", F.col("__o") * 2**31 + F.col("site")), ["part"], "__o", "k").select("part", "k", F.col("site").alias("from_site"))
+    return ranked(cols.select("part", "site"), ["part"], "site", "k").join(own, ["part", "k"]).select("part", "site", "from_site")
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n! of whole numbers: a sum of logarithms up to 20, Stirling's series beyond (its error is below 1e-12 there)."""
+    x = n.cast("double")
+    small = F.aggregate(F.sequence(F.lit(1), F.least(n.cast("int"), F.lit(20)) + 1), F.lit(0.0), lambda a, i: a + F.when(i <= n, F.log(i.cast("double"))).otherwise(0.0))
+    series = x * F.log(x) - x + 0.5 * F.log(2 * F.lit(3.141592653589793) * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, 5))
+    return F.when(n <= 20, small).otherwise(series)
+
+
+def multinomial_lnl(pats: DataFrame, expected: DataFrame) -> DataFrame:
+    """(part, lnl): ln N! - sum ln n! + sum n ln p of each partition's patterns, p being their shares in `expected` (states, freq); null where a
+    pattern is not expected at all."""
+    share = expected.groupBy("states").agg(F.sum("freq").alias("e"))
+    every = share.agg(F.sum("e").alias("all"))
+    x = pats.select("part", "states", "freq").join(share, "states", "left").join(F.broadcast(every))  # one row
+    own = F.col("freq") * F.log(F.col("e") / F.col("all")) - log_factorial(F.col("freq"))
+    n = x.groupBy("part").agg(F.sum("freq").alias("n"), F.sum(own).alias("s"), F.max(F.col("e").isNull()).alias("none"))
+    return n.select("part", F.when(~F.col("none"), log_factorial(F.col("n")) + F.col("s")).alias("lnl"))
+
+
+def unseen_constant(pats: DataFrame) -> DataFrame:
+    """(part, state): the constant states without a site in a partition, which a correction for unobserved patterns adds."""
+    each = pats.select("part").distinct().select("part", F.explode(F.array(*map(F.lit, STATES))).alias("state"))
+    seen = pats.where("is_const").where(single(F.col("const_state"))).select("part", F.col("const_state").alias("state"))
+    return each.join(seen, ["part", "state"], "left_anti")
+
+
+def expected_frequencies(scored: DataFrame) -> DataFrame:
+    """Adds expected: each pattern's likelihood times the sites of its partition."""
+    return scored.withColumn("expected", F.exp("lnl") * F.sum("freq").over(W.partitionBy("part")))
+
+
+def rebuild(pats: DataFrame, counts: DataFrame) -> DataFrame:
+    """(rep, part, site, states): alignments of (rep, part, first_site, w): each pattern w times, in the order of their first sites, sites from 1."""
+    own = pats.join(counts.where("w > 0"), ["part", "first_site"])
+    upto = F.sum("w").over(W.partitionBy("rep", "part").orderBy("first_site"))
+    placed = own.withColumn("__end", upto)
+    return placed.select("rep", "part", F.explode(F.expr("sequence(__end - w + 1, __end)")).alias("site"), "states")
+
+
+def parsimony_bounds(pats: DataFrame) -> DataFrame:
+    """(part, least, most): the fewest changes any tree can need (states less one) and the most (taxa less the commonest state), over unambiguous cells."""
+    n = [F.size(F.expr(f"filter(states, x -> x = {s})")) for s in STATES]
+    most = sum(n[1:], n[0]) - F.greatest(*n)
+    least = F.greatest(F.col("num_chars") - 1, F.lit(0))
+    return pats.groupBy("part").agg(F.sum(F.col("freq") * least).alias("least"), F.sum(F.col("freq") * most).alias("most"))
+
+
+def part_distances(pats: DataFrame, weight: str = "freq", by: str = "part") -> DataFrame:
+    """(by, t1, t2, d): JC distances of unambiguous pairs in each group of weighted patterns; 9 where they are saturated or there are none."""
+    pair = F.expr("flatten(transform(states, (a, i) -> transform(filter(transform(states, (b, j) -> struct(i AS i, j AS j, a AS a, b AS b)), x -> x.j > x.i), x -> x)))")
+    x = pats.select(by, F.col(weight).alias("w"), F.explode(pair).alias("x"))
+    both = (F.bit_count("x.a") == 1) & (F.bit_count("x.b") == 1)
+    out = x.groupBy(by, F.col("x.i").alias("t1"), F.col("x.j").alias("t2")).agg(F.sum(F.when(both & (F.col("x.a") != F.col("x.b")), F.col("w")).otherwise(0)).alias("diff"), F.sum(F.when(both, F.col("w")).otherwise(0)).alias("total"))
+    left = 1 - 4 * F.col("diff") / (3 * F.col("total"))
+    return out.select(by, "t1", "t2", F.when((F.col("total") > 0) & (left > 0), F.least(-0.75 * F.log(F.when(left > 0, left)), F.lit(9.0))).otherwise(9.0).alias("d"))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from cladeforge.functions.models import Model
 from cladeforge.functions.numerics import minimise
-from cladeforge.operators.newick import Node, parse
+from cladeforge.operators.newick import Node, parse, write
 
 N_STATES = 4
 
@@ -96,6 +96,8 @@ def partials(root: Node, tips: dict[str, np.ndarray], model: Model, lengths: dic
 
 def log_likelihoods(root: Node, tips: dict[str, np.ndarray], model: Model, lengths: dict[Node, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Per pattern the log-likelihood, and the posterior probability of each rate class (pattern, class; an invariant class last)."""
+    if model.error:
+        tips = {t: misread(x, model.error) for t, x in tips.items()}
     like, scale = partials(root, tips, model, lengths)
     by_class = (like @ model.freqs) * model.shares[:, None]
     if model.invariant:
@@ -112,6 +114,12 @@ def log_likelihoods(root: Node, tips: dict[str, np.ndarray], model: Model, lengt
     return lnl, (each / np.maximum(total, 1e-320)).T
 
 
+def misread(tip: np.ndarray, error: float) -> np.ndarray:
+    """The chance of reading one of a tip's states (0/1) from each true state, each other state being read with the same chance."""
+    k = tip.shape[1]
+    return (1 - error) * tip + error / (k - 1) * (tip.sum(1, keepdims=True) - tip)
+
+
 def tip_arrays(states: np.ndarray, taxa: list[str], n_states: int = N_STATES) -> dict[str, np.ndarray]:
     """0/1 arrays of masks (pattern, taxon)."""
     return {t: ((states[:, i, None] >> np.arange(n_states)) & 1).astype(float) for i, t in enumerate(taxa)}
@@ -171,6 +179,105 @@ def optimise_lengths(root: Node, tips: dict[str, np.ndarray], weights: np.ndarra
     return -value
 
 
+def sweep(root: Node, tips: dict[str, np.ndarray], weights: np.ndarray, model: Model, rounds: int = 3, tol: float = 1e-3) -> float:
+    """Set all branch lengths to their best, `rounds` times from the root down, and return the log-likelihood.
+
+    At each branch what lies on its two sides is at hand, so a length is tried for the price of one product of matrices. Reversible models only."""
+    shares, rates, freqs = model.shares, model.rates, model.freqs
+    both = model.invariant * (np.prod(list(tips.values()), axis=0) @ freqs) if model.invariant else 0.0
+    down: dict[Node, np.ndarray] = {}
+
+    def move(x: Node, t: float) -> np.ndarray:
+        return np.einsum("cst,cpt->cps", model.p(rates * t), down[x])
+
+    def below(x: Node) -> np.ndarray:
+        if not x.children:
+            return np.broadcast_to(tips[x.name], (len(rates), *tips[x.name].shape))
+        out = move(x.children[0], x.children[0].length)
+        for c in x.children[1:]:
+            out = out * move(c, c.length)
+        return out
+
+    def value(outside: np.ndarray, x: Node, t: float) -> float:
+        each = np.einsum("cps,cps->cp", outside, move(x, t))
+        return float(weights @ np.log(np.maximum(shares @ each + both, 1e-300)))
+
+    def visit(x: Node, outside: np.ndarray) -> None:
+        """`outside`: the likelihood of all that is not below x, with the root's frequencies, at x."""
+        for c in x.children:
+            rest = outside
+            for k in x.children:
+                if k is not c:
+                    rest = rest * move(k, k.length)
+            c.length, _ = minimise(lambda t, rest=rest, c=c: -value(rest, c, t), 1e-6, 5.0, 1e-3)
+            if c.children:
+                visit(c, np.einsum("cps,cst->cpt", rest, model.p(rates * c.length)))
+                down[c] = below(c)
+
+    last = -np.inf
+    for x in root.walk():
+        if x is not root:
+            x.length = 0.1 if x.length is None else max(x.length, 1e-6)
+    for _ in range(rounds):
+        for x in root.walk():
+            down[x] = below(x)
+        visit(root, np.broadcast_to(freqs, down[root].shape))
+        c = root.children[0]
+        rest = np.broadcast_to(freqs, down[root].shape)
+        for k in root.children[1:]:
+            rest = rest * move(k, k.length)
+        now = value(rest, c, c.length)
+        if now - last < tol:
+            break
+        last = now
+    return max(now, last)
+
+
+def scaled(tree: str, rate: float) -> str:
+    """The tree with all lengths times `rate`."""
+    root = parse(tree)
+    for x in root.walk():
+        if x.length is not None:
+            x.length *= rate
+    return write(root)
+
+
+def partition_likelihood(patterns: DataFrame, tree: str, taxa: list[str], models: dict[int, tuple[Model, float]]) -> DataFrame:
+    """(part, lnl): each partition under its own model, the tree's lengths times the partition's rate (proportional; rates 1: equal lengths)."""
+    parts = []
+    for part, (model, rate) in models.items():
+        parts.append(pattern_likelihood(patterns.where(F.col("part") == part), scaled(tree, rate), taxa, model).select("part", "freq", "lnl"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("part").agg(F.sum(F.col("freq") * F.col("lnl")).alias("lnl"))
+
+
+def mixture(patterns: DataFrame, tree: str, taxa: list[str], models: list[Model], weights: list[float]) -> DataFrame:
+    """Adds lnl and class_posterior (array: of each model) of a mixture of models across sites."""
+    schema = T.StructType([*patterns.schema.fields, T.StructField("lnl", T.DoubleType()), T.StructField("class_posterior", T.ArrayType(T.DoubleType()))])
+    at = patterns.columns.index("states")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = parse(tree)
+        for b in batches:
+            if b.num_rows:
+                states = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.int64)
+                each = np.stack([np.log(w) + log_likelihoods(root, tip_arrays(states, taxa, len(m.freqs)), m)[0] for m, w in zip(models, weights, strict=True)], 1)
+                top = each.max(1, keepdims=True)
+                e = np.exp(each - top)
+                lnl = top[:, 0] + np.log(e.sum(1))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lnl), pa.array((e / e.sum(1, keepdims=True)).tolist(), pa.list_(pa.float64()))], names=schema.names)
+
+    return patterns.mapInArrow(run, schema)
+
+
+def site_frequencies(scored: DataFrame, models: list[Model]) -> DataFrame:
+    """Adds f: the posterior mean of the classes' frequencies at each pattern (array, by state)."""
+    f = [sum(F.element_at("class_posterior", i + 1) * float(m.freqs[s]) for i, m in enumerate(models)) for s in range(len(models[0].freqs))]
+    return scored.withColumn("f", F.array(*f))
+
+
 def ml_distance(counts: np.ndarray, model: Model) -> tuple[float, float]:
     """The likeliest distance of two sequences with a matrix of state-pair counts, and the variance (of the curvature there)."""
     if counts.sum() == 0:

@@ -112,3 +112,82 @@ def network_diversity(splits: DataFrame, sets: DataFrame) -> DataFrame:
     in_split = weight.select(key().alias("s"), "weight", F.explode("members").alias("taxon")).join(sets.distinct(), "taxon").groupBy("area", "s", "weight").agg(F.count("*").alias("k"))
     parted = in_split.join(areas.select("area", F.size("taxa").alias("n")), "area").where("k < n")
     return areas.select("area").join(parted.groupBy("area").agg(F.sum("weight").alias("pd")), "area", "left").fillna(0, ["pd"])
+
+
+def branch_statistics(splits: DataFrame) -> DataFrame:
+    """(members, trees, mean, sd, low, high): the weights of each split over the trees that have it; sd is null for one tree."""
+    return splits.groupBy("members").agg(F.count("*").alias("trees"), F.avg("weight").alias("mean"), F.stddev_samp("weight").alias("sd"), F.min("weight").alias("low"), F.max("weight").alias("high"))
+
+
+def restrict(splits: DataFrame, taxa: list) -> DataFrame:
+    """(tree, members, weight): the splits that the given taxa see, those that part none of them left out, equal ones added up."""
+    keep = F.array(*map(F.lit, taxa))
+    own = splits.select("tree", F.array_intersect("members", keep).alias("m"), "weight")
+    own = own.where((F.size("m") > 0) & (F.size("m") < len(taxa)))
+    side = F.when(F.array_contains("m", taxa[0]), F.col("m")).otherwise(F.array_except(keep, "m"))
+    return own.select("tree", F.array_sort(side).alias("members"), "weight").groupBy("tree", "members").agg(F.sum("weight").alias("weight"))
+
+
+def constraint_conflicts(splits: DataFrame, constraint: list[list], taxa: list) -> DataFrame:
+    """(tree, conflicts): how many of a tree's splits, seen by the constraint's taxa, cannot stand beside one of the constraint's splits."""
+    own = restrict(splits, taxa)
+    clash = F.lit(False)
+    for c in constraint:
+        side = sorted(c) if taxa[0] in c else sorted(set(taxa) - set(c))
+        clash |= ~compatible(F.col("members"), F.array(*map(F.lit, side)), len(taxa))
+    n = own.groupBy("tree").agg(F.sum(clash.cast("long")).alias("conflicts"))
+    return splits.select("tree").distinct().join(n, "tree", "left").fillna(0, ["conflicts"])
+
+
+def circular(splits: DataFrame, order: list) -> DataFrame:
+    """Adds circular: whether a split's members stand side by side in a circular order of the taxa."""
+    place = F.array(*map(F.lit, order))
+    inside = F.transform(place, lambda t: F.array_contains("members", t).cast("int"))
+    turned = F.concat(F.slice(inside, 2, len(order)), F.slice(inside, 1, 1))
+    changes = F.aggregate(F.arrays_zip(inside.alias("a"), turned.alias("b")), F.lit(0), lambda s, x: s + F.abs(x["a"] - x["b"]))
+    return splits.withColumn("circular", changes <= 2)
+
+
+def tree_nodes(splits: DataFrame, taxa: list) -> DataFrame:
+    """(node, parent, leaves): the tree of compatible canonical splits, rooted at the first taxon: a node is a clade without that taxon, its name its members; its
+    parent the smallest clade that holds it, else `root`. Leaves are nodes too."""
+    every = F.array(*map(F.lit, taxa))
+    inner = splits.select(F.array_sort(F.array_except(every, "members")).alias("m")).where(F.size("m") > 1)
+    tips = splits.sparkSession.range(1).select(F.explode(every).alias("t")).select(F.array("t").alias("m"))
+    clade = inner.unionByName(tips).distinct().select("m", key("m").alias("node"), F.size("m").cast("long").alias("leaves"))
+    over = clade.where("leaves > 1").select(F.explode("m").alias("first"), F.col("m").alias("up"), F.col("node").alias("parent"), F.col("leaves").alias("n"))
+    held = clade.withColumn("first", F.element_at("m", 1)).join(over, "first").where((F.col("n") > F.col("leaves")) & (F.size(F.array_except("m", "up")) == 0))
+    near = held.groupBy("node").agg(F.min_by("parent", F.struct("n", "parent")).alias("parent"))
+    return clade.select("node", "leaves").join(near, "node", "left").select("node", F.coalesce("parent", F.lit("root")).alias("parent"), "leaves")
+
+
+def newick(nodes: DataFrame, tree: str = "tree") -> DataFrame:
+    """(tree, newick) of node rows (tree, node, parent, label, length), children in the order of their names; a tree's rows are one task's."""
+    kind = nodes.schema[tree].dataType.simpleString()
+
+    def build(frame):
+        import pandas as pd
+
+        from cladeforge.operators.newick import Node, write
+
+        made = {n: Node("" if label is None else label, None if length is None or length != length else float(length)) for n, label, length in zip(frame["node"], frame["label"], frame["length"], strict=True)}
+        root = Node()
+        for n, p in sorted(zip(frame["node"], frame["parent"], strict=True)):
+            made.get(p, root).children.append(made[n])
+        return pd.DataFrame({tree: frame[tree].iloc[:1], "newick": [write(root)]})
+
+    return nodes.select(tree, "node", "parent", "label", "length").groupBy(tree).applyInPandas(build, f"{tree} {kind}, newick string")
+
+
+def majority_tree(splits: DataFrame, taxa: list, threshold: float = 0.5) -> DataFrame:
+    """(tree, newick): the consensus tree of the splits in more than `threshold` of the trees (a half at least, so they fit together), its inner nodes labelled
+    by their support in percent."""
+    if threshold < 0.5:
+        raise ValueError("below a half splits may clash; take greedy_compatible first")
+    system = split_system(splits, threshold)
+    nodes = tree_nodes(system, taxa)
+    every = F.array(*map(F.lit, taxa))
+    support = system.select(F.array_sort(F.array_except(every, "members")).alias("m"), "support").select(key("m").alias("node"), "support")
+    named = nodes.join(support, "node", "left").select(F.lit(0).alias("tree"), "node", "parent", F.when(F.col("leaves") == 1, F.col("node")).otherwise(F.round("support").cast("int").cast("string")).alias("label"), F.lit(None).cast("double").alias("length"))
+    return newick(named)
+

@@ -4,19 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from cladeforge.sources.storage import discard, written
 
-def ancestors(tree: DataFrame, root: str = "root", depth: int = 64) -> DataFrame:
-    """(node, above, up): each node with itself and every node above it, the root left out; one join a level."""
-    edge = tree.select(F.col("node").alias("above"), F.col("parent").alias("next"))
-    level = tree.select("node", F.col("node").alias("above"), F.lit(0).alias("up"))
-    out = level
-    for i in range(1, depth):
-        level = level.join(edge, "above").where(F.col("next") != root).select("node", F.col("next").alias("above"), F.lit(i).alias("up"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+
+def ancestors(tree: DataFrame, root: str = "root") -> DataFrame:
+    """(node, above, up): each node with itself and every node above it, the root left out; a tree of any depth.
+
+    Paths double in length each round, so a tree of depth d takes log2(d) rounds, each written to the shared folder. A table keeps the result
+    for its next use. A cycle raises an error."""
+    if (known := getattr(tree, "_cladeforge_up", None)) is not None:
+        return known
+    hop = written(tree.where(F.col("parent") != root).select("node", F.col("parent").alias("to")), "hops")
+    paths, step, most = tree.select("node", F.col("node").alias("above"), F.lit(0).cast("long").alias("up")), 1, tree.count()
+    while not hop.isEmpty():
+        if step > most:
+            raise ValueError("the nodes and parents hold a cycle")
+        longer = hop.join(paths.withColumnRenamed("node", "to"), "to").select("node", "above", (F.col("up") + step).alias("up"))
+        new = written(paths.unionByName(longer), "paths")
+        next_hop = written(hop.join(hop.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")), "hops")
+        discard(paths)
+        discard(hop)
+        paths, hop, step = new, next_hop, 2 * step
+    tree._cladeforge_up = paths
+    return paths
 
 
 def leaves(tree: DataFrame) -> DataFrame:
@@ -43,18 +55,31 @@ def clade_sizes(tree: DataFrame) -> DataFrame:
     return n.join(size, "node")
 
 
+def node_depths(tree: DataFrame) -> DataFrame:
+    """(node, at): the path length from the root to each node."""
+    return ancestors(tree).join(tree.select(F.col("node").alias("above"), "brlen"), "above").groupBy("node").agg(F.sum("brlen").alias("at"))
+
+
 def patristic(tree: DataFrame) -> DataFrame:
-    """(a, b, d): path length between leaves below a common node (a < b); leaves that meet at the root only are not listed.
+    """(a, b, d): path length between all pairs of leaves, a < b.
+
+    A pair is made once, at the node where the two meet: siblings are paired, then the leaves below one with those below the other."""
+    depth = node_depths(tree)
+    below = leaf_paths(tree).select("leaf", F.col("node").alias("side")).join(depth.withColumnRenamed("node", "leaf"), "leaf")
+    x, y = tree.select("parent", F.col("node").alias("s1")), tree.select("parent", F.col("node").alias("s2"))
+    siblings = x.join(y, "parent").where("s1 < s2").join(depth.select(F.col("node").alias("parent"), F.col("at").alias("meet")), "parent", "left")
+    pairs = siblings.join(below.select(F.col("side").alias("s1"), F.col("leaf").alias("l1"), F.col("at").alias("d1")), "s1").join(below.select(F.col("side").alias("s2"), F.col("leaf").alias("l2"), F.col("at").alias("d2")), "s2")
+    return pairs.select(F.least("l1", "l2").alias("a"), F.greatest("l1", "l2").alias("b"), (F.col("d1") + F.col("d2") - 2 * F.coalesce("meet", F.lit(0.0))).alias("d"))
 
-    The two leaves' depths minus twice that of the node where they meet, which is the deepest branch they share."""
-    paths = leaf_paths(tree)
-    depth = paths.groupBy("leaf").agg(F.sum("brlen").alias("depth"))
-    node_depth = ancestors(tree).join(tree.select(F.col("node").alias("above"), "brlen"), "above").groupBy("node").agg(F.sum("brlen").alias("at"))
-    inner = paths.where("leaf <> node").select("leaf", "node").join(node_depth, "node")
-    pairs = inner.alias("x").join(inner.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.leaf") < F.col("y.leaf")))
-    meet = pairs.groupBy(F.col("x.leaf").alias("a"), F.col("y.leaf").alias("b")).agg(F.max("x.at").alias("at"))
-    da, db = depth.select(F.col("leaf").alias("a"), F.col("depth").alias("da")), depth.select(F.col("leaf").alias("b"), F.col("depth").alias("db"))
-    return meet.join(da, "a").join(db, "b").select("a", "b", (F.col("da") + F.col("db") - 2 * F.col("at")).alias("d"))
+
+def distances_from(tree: DataFrame, node: str) -> DataFrame:
+    """(node, d): the path length from one node to every node."""
+    depth, up = node_depths(tree), ancestors(tree)
+    own = up.where(F.col("node") == node).select("above", F.lit(True).alias("mine"))
+    start = depth.where(F.col("node") == node).select(F.col("at").alias("start"))
+    meet = up.join(own, "above").join(depth.select(F.col("node").alias("above"), F.col("at").alias("m")), "above").groupBy("node").agg(F.max("m").alias("m"))
+    every = depth.join(meet, "node", "left").join(F.broadcast(start))  # one row
+    return every.select("node", (F.col("at") + F.col("start") - 2 * F.coalesce("m", F.lit(0.0))).alias("d"))
 
 
 def collapse(tree: DataFrame, shortest: float) -> DataFrame:
@@ -91,17 +116,44 @@ def complementarity(tree: DataFrame, sets: DataFrame, given: str) -> DataFrame:
     return paths.join(base, "node", "left_anti").groupBy("area").agg(F.sum("brlen").alias("gain"))
 
 
-def greedy_diversity(tree: DataFrame, k: int) -> list[tuple[str, float]]:
-    """k leaves, each the one that adds most length to those chosen (the first by name if several do), and the length it adds.
+def greedy_diversity(tree: DataFrame, k: int) -> DataFrame:
+    """(step, leaf, gain): k leaves, each the one that adds most length to those chosen (the first by name if several do), and the length it adds.
+
+    One aggregation a step, after which the branches of the chosen leaf leave the table of paths; a step is one row, the driver holds none."""
+    paths, steps = leaf_paths(tree), []
+    for i in range(1, k + 1):
+        gains = paths.groupBy("leaf").agg(F.round(F.sum("brlen"), 9).alias("gain"))
+        best = written(gains.orderBy(F.col("gain").desc(), "leaf").limit(1).select(F.lit(i).alias("step"), "leaf", "gain"), "chosen")
+        steps.append(best)
+        taken = paths.join(F.broadcast(best.select("leaf")), "leaf", "left_semi").select("node")  # one path
+        paths = written(paths.join(taken, "node", "left_anti"), "paths")
+    out = steps[0]
+    for s in steps[1:]:
+        out = out.unionByName(s)
+    return out
+
 
-    One aggregation a step: the branches chosen so far leave the table of paths."""
-    paths, out = leaf_paths(tree), []
-    for _ in range(k):
-        best = paths.groupBy("leaf").agg(F.round(F.sum("brlen"), 9).alias("gain")).orderBy(F.col("gain").desc(), "leaf").limit(1).collect()
-        if not best:
-            break
-        out.append((best[0][0], best[0][1]))
-        took = [r[0] for r in paths.where(F.col("leaf") == best[0][0]).select("node").collect()]  # one path
-        paths = paths.where(~F.col("node").isin(took)).unionByName(paths.where(F.col("node").isin(took) & (F.col("leaf") != best[0][0])).select("leaf", "node", F.lit(0.0).alias("brlen")))
-        paths = paths.where(F.col("leaf") != best[0][0])
+def prune_shortest(tree: DataFrame, drop: int) -> DataFrame:
+    """(step, leaf, brlen): the leaves that go if the one with the shortest pendant branch (the first by name) goes `drop` times; nodes left with one
+    child join with it, and a step keeps two leaves at least."""
+    now, steps = written(tree.select("node", "parent", "brlen"), "tree"), []
+    for i in range(1, drop + 1):
+        tips = leaves(now)
+        best = written(tips.orderBy("brlen", "node").limit(1).select(F.lit(i).alias("step"), F.col("node").alias("leaf"), "brlen"), "dropped")
+        steps.append(best)
+        rest = now.join(F.broadcast(best.select(F.col("leaf").alias("node"))), "node", "left_anti")
+        parent = now.join(F.broadcast(best.select(F.col("leaf").alias("node"))), "node", "left_semi").select(F.col("parent").alias("p"))
+        kids = rest.join(F.broadcast(parent), F.col("parent") == F.col("p")).groupBy("p").agg(F.count("*").alias("n"), F.first("node").alias("only"))
+        lone = kids.where("n = 1").join(rest.select(F.col("node").alias("p"), F.col("parent").alias("over"), F.col("brlen").alias("more")), "p")  # one row or none
+        merged = rest.join(F.broadcast(lone.select(F.col("only").alias("node"), "over", "more")), "node", "left").join(F.broadcast(lone.select(F.col("p").alias("node"))), "node", "left_anti")
+        now = written(merged.select("node", F.coalesce("over", "parent").alias("parent"), (F.col("brlen") + F.coalesce("more", F.lit(0.0))).alias("brlen")), "tree")
+    out = steps[0]
+    for s in steps[1:]:
+        out = out.unionByName(s)
     return out
+
+
+def random_sets(leaf: DataFrame, count: int, k: int, order: str) -> DataFrame:
+    """(rep, leaf): `count` sets of `k` leaves, those that come first by `order`, an SQL expression of rep and leaf."""
+    every = leaf.select("leaf", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("rep")).withColumn("place", F.expr(order))
+    return every.withColumn("n", F.row_number().over(W.partitionBy("rep").orderBy("place", "leaf"))).where(F.col("n") <= k).select("rep", "leaf")

@@ -14,20 +14,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def taxa_of(aln: DataFrame) -> list[int]:
-    """The taxa of an alignment, in order: its columns, so few."""
-    return [r[0] for r in aln.select("taxon").distinct().orderBy("taxon").collect()]
+def taxa_of(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The alignment's taxa, in order: its rows, so few; one column is read."""
+    return [r[0] for r in table(spark, sf_dir, "lineitem").select("l_linenumber").distinct().orderBy("l_linenumber").collect()]
+
+
+def site_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(part, site, states): orders are sites, line numbers are taxa; a line's flag and quantity are its state, missing lines gaps.
+
+    Lines meet by order, once: cells and columns are aggregated on the same side of that exchange. The taxa are a subquery of the same plan."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("taxon"), F.col("l_orderkey").alias("site"), "l_quantity", "l_returnflag")
+    taxa = line.agg(F.array_sort(F.collect_set("taxon"))).scalar()
+    state = F.when(F.min("l_quantity") > 40, 8).when(F.min("l_returnflag") == "A", 1).when(F.min("l_returnflag") == "N", 2).otherwise(4)
+    cells = line.repartition("site").groupBy("site", "taxon").agg(state.alias("mask"))
+    by_site = cells.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("taxon", "mask"))).alias("m")).withColumn("taxa", taxa)
+    return by_site.select((F.col("site") % 4).cast("int").alias("part"), "site", F.transform("taxa", lambda t: F.coalesce(F.element_at("m", t), F.lit(GAP))).alias("states"), "taxa")
 
 
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(taxon, site, part, mask): orders are sites, line numbers are taxa; a line's flag and quantity are its state, missing lines gaps."""
-    cells = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("taxon"), F.col("l_orderkey").alias("site")).agg(
-        F.when(F.min("l_quantity") > 40, 8).when(F.min("l_returnflag") == "A", 1).when(F.min("l_returnflag") == "N", 2).otherwise(4).alias("mask")
-    )
-    taxa = F.array(*map(F.lit, taxa_of(cells)))
-    by_site = cells.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("taxon", "mask"))).alias("m"))
-    full = by_site.select("site", F.explode(F.transform(taxa, lambda t: F.struct(t.alias("taxon"), F.coalesce(F.element_at("m", t), F.lit(GAP)).alias("mask")))).alias("c"))
-    return full.select(F.col("c.taxon").alias("taxon"), "site", (F.col("site") % 4).cast("int").alias("part"), F.col("c.mask").alias("mask"))
+    """(taxon, site, part, mask): the cells of `site_columns`."""
+    cell = site_columns(spark, sf_dir).select("part", "site", F.explode(F.arrays_zip("taxa", "states")).alias("c"))
+    return cell.select(F.col("c.taxa").alias("taxon"), "site", "part", F.col("c.states").alias("mask"))
 
 
 def pattern_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeforge.operators import alignment as A
-from cladeforge.plans.adapters import CTE, alignment
+from cladeforge.plans.adapters import CTE, alignment, site_columns
 
 ROUND = 6
 #: Of the places of taxa: the clades whose sequences are compared.
@@ -18,17 +18,17 @@ def r(c: str) -> F.Column:
 
 
 def q_partition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.partition_summary(alignment(spark, sf_dir))
+    return A.partition_summary(site_columns(spark, sf_dir))
 
 
 def q_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = A.numbered(A.patterns(alignment(spark, sf_dir)))
+    p = A.numbered(A.patterns(site_columns(spark, sf_dir)))
     return p.select("part", "ptn", F.concat_ws(",", F.transform("states", lambda x: x.cast("string"))).alias("states"), "freq", "first_site", "is_const", "informative", "num_chars")
 
 
 def q_site_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = A.columns(alignment(spark, sf_dir))
-    ptn = A.numbered(A.patterns(alignment(spark, sf_dir))).select("part", "states", "ptn")
+    cols = A.columns(site_columns(spark, sf_dir))
+    ptn = A.numbered(A.patterns(site_columns(spark, sf_dir))).select("part", "states", "ptn")
     return cols.join(ptn, ["part", "states"]).select("part", "site", "ptn")
 
 
@@ -49,19 +49,19 @@ def q_empirical_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_unconstrained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.unconstrained_lnl(A.patterns(alignment(spark, sf_dir))).select("part", r("lnl"))
+    return A.unconstrained_lnl(A.patterns(site_columns(spark, sf_dir))).select("part", r("lnl"))
 
 
 def q_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.pair_counts(alignment(spark, sf_dir))
+    return A.pair_counts(site_columns(spark, sf_dir))
 
 
 def q_symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.symmetry_test(A.pair_counts(alignment(spark, sf_dir))).select("t1", "t2", r("symmetry"), "df")
+    return A.symmetry_test(A.pair_counts(site_columns(spark, sf_dir))).select("t1", "t2", r("symmetry"), "df")
 
 
 def q_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.divergence(A.pair_counts(alignment(spark, sf_dir))).select("s1", "s2", r("share"))
+    return A.divergence(A.pair_counts(site_columns(spark, sf_dir))).select("s1", "s2", r("share"))
 
 
 def q_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,15 +107,15 @@ def q_absent_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_observed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.observed_distance(alignment(spark, sf_dir)).select("t1", "t2", r("d"))
+    return A.observed_distance(site_columns(spark, sf_dir)).select("t1", "t2", r("d"))
 
 
 def q_jc_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.distance_variance(A.jc_distance(A.observed_distance(alignment(spark, sf_dir))), "jc").select("t1", "t2", r("jc"), r("ols"), r("wls1"), r("fm"))
+    return A.distance_variance(A.jc_distance(A.observed_distance(site_columns(spark, sf_dir))), "jc").select("t1", "t2", r("jc"), r("ols"), r("wls1"), r("fm"))
 
 
 def q_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.marginal_symmetry(A.pair_counts(alignment(spark, sf_dir)))
+    return A.marginal_symmetry(A.pair_counts(site_columns(spark, sf_dir)))
 
 
 def q_codon_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def q_codon_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.clade_identity(A.patterns(alignment(spark, sf_dir)), CLADES)
+    return A.clade_identity(A.patterns(site_columns(spark, sf_dir)), CLADES)
 
 
 _COLS = f"""WITH {CTE["aln"]},

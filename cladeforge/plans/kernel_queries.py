@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +11,17 @@ from cladeforge.operators import alignment as A
 from cladeforge.operators import likelihood as L
 from cladeforge.operators import newick as N
 from cladeforge.operators import search as S
-from cladeforge.plans.adapters import alignment, taxa_of
+from cladeforge.plans.adapters import alignment, site_columns, taxa_of
 from cladeforge.plans.alignment_queries import _COLS, ORACLES as _ALN_ORACLES
 from cladeforge.plans.tree_queries import _RELL, _scores
+from cladeforge.sources.storage import scratch_path
 
 TREE = "((1:0.1,2:0.2):0.05,(3:0.1,4:0.15):0.1,(5:0.2,(6:0.1,7:0.12):0.05):0.1);"
 GAMMA = "JC+I{0.1}+G4{0.7}"
 
 
 def _patterns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    aln = alignment(spark, sf_dir)
-    return A.patterns(aln), [str(t) for t in taxa_of(aln)]
+    return A.patterns(site_columns(spark, sf_dir)), [str(t) for t in taxa_of(spark, sf_dir)]
 
 
 def _total(scored: DataFrame, c: str) -> DataFrame:
@@ -54,7 +51,7 @@ def q_site_rates(spark, sf_dir):
 
 def q_ml_distance(spark, sf_dir):
     """Likeliest JC distances, one optimisation for each pair over its counts."""
-    n = A.pair_counts(alignment(spark, sf_dir))
+    n = A.pair_counts(site_columns(spark, sf_dir))
 
     def fit(frame):
         import pandas as pd
@@ -68,7 +65,7 @@ def q_ml_distance(spark, sf_dir):
 
 
 def q_nj(spark, sf_dir):
-    d = A.jc_distance(A.observed_distance(alignment(spark, sf_dir))).withColumn("aln", F.lit(0))
+    d = A.jc_distance(A.observed_distance(site_columns(spark, sf_dir))).withColumn("aln", F.lit(0))
     return S.distance_trees(d, "aln", d="jc").unionByName(S.distance_trees(d.withColumn("aln", F.lit(1)), "aln", d="jc", method="BIONJ")).unionByName(S.distance_trees(d.withColumn("aln", F.lit(2)), "aln", d="jc", method="UPGMA"))
 
 
@@ -101,7 +98,7 @@ def q_stream(spark, sf_dir):
     """The best tree of each sample, kept up while scores stream in."""
     from cladeforge.streaming.pools import best_per_sample
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}") + f"/stream-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
     scores = _scores(spark, sf_dir).select("rep", F.col("tree").cast("long").alias("tree"), "lnl")
     scores.repartition(4).write.parquet(f"{base}/in")
     out = best_per_sample(spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in"), 0.0)
@@ -116,8 +113,8 @@ def q_model_selection(spark, sf_dir):
 
     aln = alignment(spark, sf_dir)
     f = A.empirical_frequencies(aln).first()
-    p = A.patterns(aln).groupBy("states").agg(F.sum("freq").alias("freq"))
-    taxa = [str(t) for t in taxa_of(aln)]
+    p = A.patterns(site_columns(spark, sf_dir)).groupBy("states").agg(F.sum("freq").alias("freq"))
+    taxa = [str(t) for t in taxa_of(spark, sf_dir)]
     return select(spark, p, TREE, taxa, ["JC", "K80", "HKY+F", "JC+G4"], list(f)).select("model", F.round("lnl", 3).alias("lnl"), "k", "n", F.round("bic", 3).alias("bic"), "rank")
 
 

@@ -106,8 +106,7 @@ def q_complementarity(spark, sf_dir):
 
 
 def q_greedy_pd(spark, sf_dir):
-    rows = T.greedy_diversity(taxonomy(spark, sf_dir), 5)
-    return spark.createDataFrame([(i + 1, n, g) for i, (n, g) in enumerate(rows)], "step int, leaf string, gain double").select("step", "leaf", r("gain"))
+    return T.greedy_diversity(taxonomy(spark, sf_dir), 5).select("step", "leaf", r("gain"))
 
 
 def q_presence(spark, sf_dir):
@@ -197,6 +196,17 @@ b AS (SELECT *, max(c) OVER (PARTITION BY rep) AS maxc, max(lnl) OVER (PARTITION
 d AS (SELECT *, max(c) FILTER (place = 1) OVER (PARTITION BY rep) AS c1, max(c) FILTER (place = 2) OVER (PARTITION BY rep) AS c2, max(own) FILTER (place = 2) OVER (PARTITION BY rep) AS own2, exp(lnl - top) / sum(exp(lnl - top)) OVER (PARTITION BY rep) AS ew FROM b),
 tests AS (SELECT tree, max(own) AS lnl, max(best_own - own) AS delta, avg(CASE WHEN win = 1 THEN 1.0 ELSE 0.0 END) AS bp, avg(CASE WHEN CASE WHEN place = 1 THEN c2 ELSE c1 END - c > CASE WHEN place = 1 THEN own2 ELSE best_own END - own THEN 1.0 ELSE 0.0 END) AS kh,
   avg(CASE WHEN maxc - c > best_own - own THEN 1.0 ELSE 0.0 END) AS sh, avg(ew) AS elw FROM d GROUP BY tree)"""
+
+
+def _greedy_sql(k: int) -> str:
+    steps = []
+    for i in range(1, k + 1):
+        steps.append(f"g{i} AS (SELECT leaf, round(sum(brlen), 9) AS gain FROM path WHERE node NOT IN (SELECT node FROM t{i - 1}) GROUP BY leaf), b{i} AS (SELECT {i} AS step, leaf, gain FROM g{i} ORDER BY gain DESC, leaf LIMIT 1)")
+        steps.append(f"t{i} AS (SELECT node FROM t{i - 1} UNION ALL SELECT node FROM path WHERE leaf = (SELECT leaf FROM b{i}))")
+    union = " UNION ALL ".join(f"SELECT CAST(step AS INTEGER) AS step, leaf, round(gain, 6) AS gain FROM b{i}" for i in range(1, k + 1))
+    return f"{_UP}, t0 AS (SELECT node FROM path WHERE false), {', '.join(steps)} {union}"
+
+
 ORACLES = {
     "test_weighted": f"""{_RELL}, dif AS (SELECT a.tree AS t, b.tree AS u, a.freq AS f, a.lnl - b.lnl AS x FROM ptnlh a JOIN ptnlh b ON a.ptn = b.ptn AND a.tree <> b.tree),
 v AS (SELECT t, u, 1 / sqrt(sum(f) / (sum(f) - 1) * (sum(f * x * x) - sum(f * x) * sum(f * x) / sum(f))) AS w FROM dif GROUP BY t, u), s AS (SELECT *, lnl - avg(lnl) OVER (PARTITION BY tree) AS c, max(lnl) FILTER (rep = 0) OVER (PARTITION BY tree) AS own FROM sc),
@@ -222,7 +232,9 @@ SELECT round(coalesce((n * sxy - sx * sy) / sqrt(CASE WHEN (n * sxx - sx * sx) *
     "tree_metrics": f"{_UP}, p AS (SELECT leaf, sum(brlen) AS l, count(*) AS d FROM path GROUP BY leaf) SELECT (SELECT count(*) FROM tree) AS nodes, (SELECT count(*) FROM p) AS leaves, round((SELECT sum(brlen) FROM tree), 6) AS length, round((SELECT max(l) FROM p), 6) AS farthest, (SELECT max(d) FROM p) AS depth",
     "tree_clade_sizes": f"{_UP}, n AS (SELECT node, count(*) AS leaves FROM path GROUP BY node), l AS (SELECT above AS node, sum(brlen) AS length FROM up JOIN tree USING (node) GROUP BY above) SELECT node, leaves, round(length, 6) AS length FROM n JOIN l USING (node)",
     "tree_patristic": f"""{_UP}, dep AS (SELECT leaf, sum(brlen) AS d FROM path GROUP BY leaf), nd AS (SELECT up.node, sum(t.brlen) AS d FROM up JOIN tree t ON t.node = up.above GROUP BY up.node), i AS (SELECT leaf, node, d FROM path JOIN nd USING (node) WHERE leaf <> node),
-m AS (SELECT x.leaf AS a, y.leaf AS b, max(x.d) AS d FROM i x JOIN i y ON x.node = y.node AND x.leaf < y.leaf GROUP BY ALL) SELECT a, b, round(p.d + q.d - 2 * m.d, 6) AS d FROM m JOIN dep p ON p.leaf = a JOIN dep q ON q.leaf = b""",
+m AS (SELECT x.leaf AS a, y.leaf AS b, max(x.d) AS d FROM i x JOIN i y ON x.node = y.node AND x.leaf < y.leaf GROUP BY ALL)
+SELECT p.leaf AS a, q.leaf AS b, round(p.d + q.d - 2 * coalesce(m.d, 0), 6) AS d FROM dep p JOIN dep q ON p.leaf < q.leaf LEFT JOIN m ON m.a = p.leaf AND m.b = q.leaf""",
+    "pd_greedy": _greedy_sql(5),
     "tree_collapse": f"""WITH RECURSIVE {CTE["tree"]}, leaf AS (SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree)), gone AS (SELECT node, parent FROM tree WHERE brlen <= 0.1 AND node NOT IN (SELECT node FROM leaf)),
 w AS (SELECT node, parent, brlen FROM tree WHERE node NOT IN (SELECT node FROM gone) UNION ALL SELECT w.node, gone.parent, w.brlen FROM w JOIN gone ON gone.node = w.parent) SELECT node, parent, brlen FROM w WHERE parent NOT IN (SELECT node FROM gone)""",
     "pd_area": f"{_AREA} SELECT area, round(sum(brlen), 6) AS pd FROM held GROUP BY area",

@@ -204,7 +204,7 @@ def read_presence(spark: SparkSession, path: str) -> DataFrame:
 
 def read_taxonomy(spark: SparkSession, nodes: str, names: str) -> DataFrame:
     """(id, parent, rank, name) of a taxonomy dump: fields between bars, scientific names."""
-    field = lambda i: F.trim(F.element_at(F.split("value", r"\|"), i))
+    field = lambda i: F.regexp_replace(F.element_at(F.split("value", r"\|"), i), r"^\s+|\s+$", "")
     n = spark.read.text(nodes).select(field(1).cast("long").alias("id"), field(2).cast("long").alias("parent"), field(3).alias("rank"))
     m = spark.read.text(names).where(field(4) == "scientific name").select(field(1).cast("long").alias("id"), field(2).alias("name"))
     return n.join(m, "id", "left")

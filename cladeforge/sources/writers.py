@@ -29,7 +29,7 @@ def fasta(aln: DataFrame) -> DataFrame:
 def phylip(aln: DataFrame) -> DataFrame:
     """Lines (order, value): a header and a line for each taxon."""
     s = sequences(aln)
-    head = s.agg(F.lit(0).cast("long").alias("order"), F.concat(F.count("*").cast("string"), F.lit(" "), F.max(F.length("seq")).cast("string")).alias("value"))
+    head = s.agg(F.lit(-(2**63)).alias("order"), F.concat(F.count("*").cast("string"), F.lit(" "), F.max(F.length("seq")).cast("string")).alias("value"))
     return head.unionByName(s.select(F.xxhash64("taxon").alias("order"), F.concat(F.rpad(F.col("taxon").cast("string"), 10, " "), F.lit(" "), "seq").alias("value")))
 
 
@@ -64,3 +64,40 @@ def partition_lines(charsets: DataFrame) -> DataFrame:
     """NEXUS charset lines, one for each partition."""
     span = F.concat("lower", F.lit("-"), "upper", F.when(F.col("step") > 1, F.concat(F.lit("\\"), "step")).otherwise(""))
     return charsets.groupBy("part", "name").agg(F.array_join(F.array_sort(F.collect_list(span)), " ").alias("s")).select(F.concat(F.lit("  charset "), "name", F.lit(" = "), "s", F.lit(";")).alias("value"))
+
+
+def nexus(aln: DataFrame) -> DataFrame:
+    """Lines (order, value) of a NEXUS data block."""
+    s = sequences(aln)
+    size = s.agg(F.count("*").cast("string").alias("n"), F.max(F.length("seq")).cast("string").alias("k"))
+    low, high = F.lit(-(2**63)), F.lit(2**63 - 1)
+    head = size.select(low.alias("order"), F.concat(F.lit("#NEXUS\nbegin data;\n  dimensions ntax="), "n", F.lit(" nchar="), "k", F.lit(";\n  format datatype=dna missing=? gap=-;\n  matrix")).alias("value"))
+    end = size.select(high.alias("order"), F.lit("  ;\nend;").alias("value"))
+    return head.unionByName(s.select(F.xxhash64("taxon").alias("order"), F.concat(F.lit("  "), F.col("taxon").cast("string"), F.lit(" "), "seq").alias("value"))).unionByName(end)
+
+
+def _blocks(aln: DataFrame, width: int) -> DataFrame:
+    """(block, taxon, piece): sequences in pieces of `width` letters."""
+    s = sequences(aln)
+    return s.select("taxon", "seq", F.explode(F.expr(f"sequence(0, greatest(0, (length(seq) - 1) div {width}))")).alias("block")).select("block", F.col("taxon").cast("string").alias("taxon"), F.expr(f"substring(seq, CAST(block * {width} + 1 AS INT), {width})").alias("piece"))
+
+
+def clustal(aln: DataFrame, width: int = 60) -> DataFrame:
+    """Lines (order, value) of an interleaved Clustal file; an order is (block, taxon)."""
+    b = _blocks(aln, width)
+    head = b.agg(F.struct(F.lit(-1).cast("long").alias("block"), F.lit("").alias("taxon")).alias("order")).select("order", F.lit("CLUSTAL multiple alignment").alias("value"))
+    gap = b.select("block").distinct().select(F.struct(F.col("block").cast("long").alias("block"), F.lit("").alias("taxon")).alias("order"), F.lit("").alias("value"))
+    rows = b.select(F.struct(F.col("block").cast("long").alias("block"), "taxon").alias("order"), F.concat(F.rpad("taxon", 12, " "), "piece").alias("value"))
+    return head.unionByName(gap).unionByName(rows)
+
+
+def msf(aln: DataFrame, width: int = 50) -> DataFrame:
+    """Lines (order, value) of an MSF file; an order is (block, taxon)."""
+    s, b = sequences(aln), _blocks(aln, width)
+    place = lambda block, taxon: F.struct(F.lit(block).cast("long").alias("block"), taxon.alias("taxon")).alias("order")
+    size = s.agg(F.max(F.length("seq")).cast("string").alias("k"))
+    head = size.select(place(-3, F.lit("")), F.concat(F.lit("PileUp\n\n MSF: "), "k", F.lit(" Type: N Check: 0 ..\n")).alias("value"))
+    name = s.select(place(-2, F.col("taxon").cast("string")), F.concat(F.lit(" Name: "), F.col("taxon").cast("string"), F.lit(" Len: "), F.length("seq").cast("string"), F.lit(" Check: 0 Weight: 1.0")).alias("value"))
+    bar = size.select(place(-1, F.lit("")), F.lit("\n//\n").alias("value"))
+    rows = b.select(F.struct(F.col("block").cast("long").alias("block"), "taxon").alias("order"), F.concat(F.lit(" "), F.rpad("taxon", 12, " "), "piece").alias("value"))
+    return head.unionByName(name).unionByName(bar).unionByName(rows)

@@ -2,12 +2,14 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cladeforge.functions import numerics as M
 from cladeforge.functions.models import candidates, parse as model_of
 from cladeforge.operators import likelihood as L
 from cladeforge.operators import newick as N
 from cladeforge.operators import search as S
+from cladeforge.operators import trees as T
 
 TREE = "((a:0.1,b:0.2):0.05,c:0.3,(d:0.1,'e e':0.4)90:0.2);"
 
@@ -170,3 +172,62 @@ def test_model_selection_prefers_the_true_model(spark):
     aln = S.simulate(spark, tree, model_of("K80{6}"), 3000, seed=2).selectExpr("taxon", "site", "0 AS part", "mask")
     rows = select(spark, A.patterns(aln), tree, list("abcde"), ["JC", "K80", "K80+G4"], [0.25] * 4).orderBy("rank").collect()
     assert rows[0].model == "K80" and float(rows[0].fitted[4:-1]) == pytest.approx(6, rel=0.2) and rows[0].scale == pytest.approx(1, rel=0.1)
+
+
+def rows_of(spark, edges):
+    return spark.createDataFrame(edges, "node string, parent string, brlen double")
+
+
+def test_deep_trees_and_cycles(spark):
+    """A caterpillar of 200 levels; a table of ancestors goes as deep as the tree."""
+    edges = [("n0", "root", 1.0)] + [(f"n{i}", f"n{i - 1}", 1.0) for i in range(1, 200)] + [(f"l{i}", f"n{i}", 0.5) for i in range(200)]
+    tree = rows_of(spark, edges)
+    assert T.ancestors(tree).count() == 200 * 201 // 2 + sum(i + 2 for i in range(200))
+    one = T.metrics(tree).first()
+    assert (one.leaves, one.depth, one.farthest) == (200, 201, 200.5)
+    d = {(r.a, r.b): r.d for r in T.patristic(tree).collect()}
+    assert len(d) == 200 * 199 // 2 and d["l0", "l199"] == 200.0
+    with pytest.raises(ValueError):
+        T.ancestors(rows_of(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0)]))
+
+
+def test_pairs_that_meet_at_the_root(spark):
+    tree = rows_of(spark, [("x", "root", 1.0), ("y", "root", 2.0), ("a", "x", 0.5), ("b", "x", 0.25), ("c", "y", 0.125)])
+    assert {(r.a, r.b): r.d for r in T.patristic(tree).collect()} == {("a", "b"): 0.75, ("a", "c"): 3.625, ("b", "c"): 3.375}
+    assert {r.node: r.d for r in T.distances_from(tree, "a").collect()} == {"a": 0.0, "b": 0.75, "c": 3.625, "x": 0.5, "y": 3.5}
+
+
+def test_dropping_the_shortest(spark):
+    edges = [("x", "root", 1.0), ("y", "x", 0.5), ("a", "y", 0.3), ("b", "y", 0.4), ("c", "x", 0.6), ("d", "root", 0.9), ("e", "root", 0.05)]
+    parent, length = {n: p for n, p, _ in edges}, {n: v for n, _, v in edges}
+    want = []
+    for i in range(1, 5):
+        leaf = min((n for n in parent if n not in parent.values()), key=lambda n: (length[n], n))
+        want.append((i, leaf, round(length[leaf], 9)))
+        p = parent.pop(leaf)
+        kids = [n for n in parent if parent[n] == p]
+        if len(kids) == 1 and p in parent:
+            parent[kids[0]], length[kids[0]] = parent[p], length[kids[0]] + length[p]
+            del parent[p]
+    assert [(r.step, r.leaf, round(r.brlen, 9)) for r in T.prune_shortest(rows_of(spark, edges), 4).orderBy("step").collect()] == want
+
+
+def test_worked_stand():
+    """Five taxa and two genes, {0, 3, 4} and {0, 1, 2}: fifteen trees."""
+    from cladeforge.operators.search import stand
+
+    assert len(stand(["(0,3,4);", "(0,1,2);"])) == 15
+
+
+def test_majority_tree(spark):
+    from cladeforge.operators import newick as N
+    from cladeforge.operators import splits as S
+
+    trees = spark.createDataFrame([(0, "((a,b),(c,d),e);"), (1, "((a,b),(c,d),e);"), (2, "((a,b),(c,e),d);")], "tree int, newick string")
+    taxa = list("abcde")
+    clades = [(t, i, x) for t, text in ((r.tree, r.newick) for r in trees.collect()) for i, (s, _) in enumerate(N.splits(N.parse(text))) for x in s]
+    s = S.canonical(spark.createDataFrame(clades, "tree int, clade int, taxon string").withColumn("n", F.lit(1)), taxa)
+    text = S.majority_tree(s, taxa).first().newick
+    got = {frozenset(x) for x, _ in N.splits(N.parse(text))}
+    want = {frozenset(x) for x, _ in N.splits(N.parse("((a,b),(c,d),e);"))}
+    assert got == want and "67" in text and "100" in text
