@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cladeforge.functions.models import DNA, parse as model_of
 from cladeforge.functions.numerics import minimise
-from cladeforge.operators.likelihood import log_likelihoods, tip_arrays
+from cladeforge.operators.likelihood import log_likelihoods, sweep, tip_arrays
 from cladeforge.operators.newick import parse
 from cladeforge.operators.search import MAX_PATTERNS
 from cladeforge.operators.treetests import information_criteria
@@ -31,31 +31,37 @@ def _filled(name: str, rates: list[float], shape: float, invariant: float) -> st
     return "+".join([base, *out])
 
 
-def fit(name: str, tree: str, tips: dict[str, np.ndarray], weights: np.ndarray, freqs: np.ndarray, rounds: int = 3) -> tuple[float, int, float, str]:
-    """Log-likelihood, free parameters, tree scale and filled name of a model on a tree whose lengths share one scale; coordinate by coordinate."""
+def fit(name: str, tree: str, tips: dict[str, np.ndarray], weights: np.ndarray, freqs: np.ndarray, rounds: int = 4) -> tuple[float, int, float, str]:
+    """Log-likelihood, free parameters, growth of the tree's length and filled name of a model, its parameters and all branch lengths at their best; the parameters coordinate by
+    coordinate, then the lengths. With +ASC the lengths share one scale."""
     root = parse(tree)
     lengths = {x: x.length or 0.0 for x in root.walk() if x is not root}
+    whole = sum(lengths.values()) or 1.0
     code = DNA.get(name.split("+")[0].upper(), ("000000", True))[0]
-    rates, shape, invariant, scale = [1.0] * (len(set(code)) - 1), 1.0, 0.1, 1.0
+    rates, shape, invariant, best = [1.0] * (len(set(code)) - 1), 1.0, 0.1, np.inf
+    model = lambda rates, shape, invariant: model_of(_filled(name, rates, shape, invariant), freqs)
 
-    def loss(rates: list[float], shape: float, invariant: float, scale: float) -> float:
-        m = model_of(_filled(name, rates, shape, invariant), freqs)
-        return -float(weights @ log_likelihoods(root, tips, m, {x: t * scale for x, t in lengths.items()})[0])
+    def loss(rates: list[float], shape: float, invariant: float, scale: float = 1.0) -> float:
+        return -float(weights @ log_likelihoods(root, tips, model(rates, shape, invariant), {x: x.length * scale for x in lengths})[0])
 
-    best = loss(rates, shape, invariant, scale)
     for _ in range(rounds):
         before = best
-        scale, best = minimise(lambda v: loss(rates, shape, invariant, v), 0.01, 20, 1e-4)
+        if "+ASC" in name:
+            scale, best = minimise(lambda v: loss(rates, shape, invariant, v), 0.01, 20, 1e-4)
+            for x in lengths:
+                x.length *= scale
+        else:
+            best = -sweep(root, tips, weights, model(rates, shape, invariant), rounds=2)
         for i in range(len(rates)):
-            rates[i], best = minimise(lambda v, i=i: loss([*rates[:i], v, *rates[i + 1 :]], shape, invariant, scale), 0.02, 50, 1e-3)
+            rates[i], best = minimise(lambda v, i=i: loss([*rates[:i], v, *rates[i + 1 :]], shape, invariant), 0.02, 50, 1e-3)
         if "+G" in name:
-            shape, best = minimise(lambda v: loss(rates, v, invariant, scale), 0.02, 20, 1e-3)
+            shape, best = minimise(lambda v: loss(rates, v, invariant), 0.02, 20, 1e-3)
         if "+I" in name:
-            invariant, best = minimise(lambda v: loss(rates, shape, v, scale), 1e-6, 0.95, 1e-3)
+            invariant, best = minimise(lambda v: loss(rates, shape, v), 1e-6, 0.95, 1e-3)
         if before - best < 0.01:
             break
     filled = _filled(name, rates, shape, invariant)
-    return -best, model_of(filled, freqs).df + len(lengths), scale, filled
+    return -best, model_of(filled, freqs).df + len(lengths), sum(x.length for x in lengths) / whole, filled
 
 
 def select(spark: SparkSession, patterns: DataFrame, tree: str, taxa: list[str], names: list[str], freqs: list[float]) -> DataFrame:

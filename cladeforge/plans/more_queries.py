@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeforge.functions.models import Model, parse as model_of
 from cladeforge.operators import alignment as A
+from cladeforge.operators import inference as I
 from cladeforge.operators import likelihood as L
 from cladeforge.operators import newick as N
 from cladeforge.operators import search as H
@@ -229,6 +230,22 @@ def q_site_lnl(spark, sf_dir):
     return at.select("part", "site", F.round("lnl", 6).alias("lnl"), *(F.round(F.col("posterior")[i], 6).alias(f"p{i}") for i in range(5)))
 
 
+def q_likelihood_search(spark, sf_dir):
+    one = pats(spark, sf_dir).groupBy("states").agg(F.sum("freq").alias("freq"))
+    return I.likelihood_search(spark, one, names(spark, sf_dir), model_of("JC"), 2, 1).select("seed", "topology", F.round("lnl", 2).alias("lnl"))
+
+
+def q_likelihood_mapping(spark, sf_dir):
+    mapped = I.likelihood_mapping(pats(spark, sf_dir), len(names(spark, sf_dir)), model_of("JC"))
+    return I.mapping_summary(mapped, len(names(spark, sf_dir)))
+
+
+def q_least_squares(spark, sf_dir):
+    """The fixed tree's least-squares lengths for each partition's distances."""
+    d = A.part_distances(pats(spark, sf_dir)).withColumns({"t1": F.col("t1") + 1, "t2": F.col("t2") + 1})
+    return I.least_squares_trees(d, TREE, "part").select("part", F.round("rss", 6).alias("rss"))
+
+
 # files: written as text, read back
 
 
@@ -335,6 +352,7 @@ QUERIES = {
     "split_branch_statistics": q_branch_statistics, "split_restrict": q_restrict, "split_constraint": q_constraint, "split_circular": q_circular, "split_tree_nodes": q_tree_nodes, "split_majority_tree": q_majority,
     "tree_distances_from": q_distances_from, "pd_random_sets": q_random_sets, "pd_distribution": q_pd_distribution, "pd_taxa_frequency": q_taxa_frequency, "pd_prune": q_prune,
     "lik_partition": q_partition_likelihood, "lik_unrest": q_unrest, "lik_error": q_error, "lik_mixture": q_mixture, "lik_site_frequencies": q_site_frequencies, "lik_site_lnl": q_site_lnl,
+    "search_likelihood": q_likelihood_search, "quartet_mapping": q_likelihood_mapping, "tree_least_squares": q_least_squares,
     "io_phylip": q_io_phylip, "io_fasta": q_io_fasta, "io_nexus": q_io_nexus, "io_clustal": q_io_clustal, "io_msf": q_io_msf, "io_distances": q_io_distances, "io_presence": q_io_presence, "io_newick": q_io_newick,
     "io_partitions": q_io_partitions, "io_taxonomy": q_io_taxonomy, "io_dates": q_io_dates, "io_site_table": q_site_table,
 }

@@ -227,3 +227,139 @@ def read_distributions(spark: SparkSession, path: str) -> DataFrame:
     """(name, values) of lines of a name and numbers."""
     x = F.split(F.trim("value"), r"\s+")
     return spark.read.text(path).where("trim(value) <> ''").select(F.element_at(x, 1).alias("name"), F.transform(F.slice(x, 2, F.size(x)), lambda v: v.cast("double")).alias("values"))
+
+
+def _fields(spark: SparkSession, path: str, sep: str = r"[\s,]+") -> DataFrame:
+    """(x): the fields of each line that is neither empty nor a comment (#), quotes taken off."""
+    line = F.trim(F.regexp_replace("value", "#.*$", ""))
+    return spark.read.text(path).where(line != "").select(F.transform(F.split(line, sep), lambda v: F.regexp_replace(v, "^[\"']|[\"']$", "")).alias("x"))
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, chrom, pos, population, counts): allele counts (A, C, G, T) of populations by site, from a counts file: a line COUNTSFILE with its sizes, a line CHROM POS and the
+    populations, then a line for each site."""
+
+    def rows(text: str):
+        lines = [x.split() for x in text.splitlines() if x.strip() and not x.startswith("#")]
+        at = next(i for i, x in enumerate(lines) if x[0].upper() == "CHROM")
+        for x in lines[at + 1 :]:
+            if len(x) != len(lines[at]):
+                raise ValueError(f"a site of {len(x) - 2} populations where {len(lines[at]) - 2} are named")
+            for name, c in zip(lines[at][2:], x[2:], strict=True):
+                yield x[0], int(x[1]), name, [int(v) for v in c.split(",")]
+
+    return _parse(_whole(spark, path), rows, "chrom string, pos long, population string, counts array<long>")
+
+
+def population_states(counts: DataFrame, size: int) -> DataFrame:
+    """Adds state: a population's state by its counts: 0 to 3 one base only, 4 and up a pair of bases by the share of the first, rounded to k of `size`, 0 < k < size (pairs AC AG AT
+    CG CT GT); null without counts or with more than two bases."""
+    kinds = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: F.element_at("counts", i + 1) > 0)
+    i, j = F.col("kinds")[0], F.col("kinds")[1]
+    pair = (i * (7 - i) / 2 + j - i - 1).cast("int")
+    share = F.element_at("counts", i + 1) / (F.element_at("counts", i + 1) + F.element_at("counts", j + 1))
+    k = F.least(F.greatest(F.round(share * size), F.lit(1)), F.lit(size - 1)).cast("int")
+    out = counts.withColumn("kinds", kinds)
+    return out.withColumn("state", F.when(F.size("kinds") == 1, i).when(F.size("kinds") == 2, 4 + pair * (size - 1) + k - 1)).drop("kinds")
+
+
+def read_site_values(spark: SparkSession, path: str) -> DataFrame:
+    """(site, values): site-specific frequencies or rates: a site (or a range a-b) and its numbers on each line."""
+    x = _fields(spark, path)
+    ends = F.transform(F.split(F.element_at("x", 1), "-"), lambda v: v.cast("long"))
+    return x.select(F.explode(F.sequence(F.element_at(ends, 1), F.element_at(ends, -1))).alias("site"), F.transform(F.slice("x", 2, F.size("x")), lambda v: v.cast("double")).alias("values"))
+
+
+def parse_costs(text: str) -> list[list[float]]:
+    """A cost matrix: its size, then the numbers row by row, or `fitch` or `e` for unit costs. Where a detour is cheaper than a step, its price is taken."""
+    from cladeforge.operators.search import metric_closure
+
+    import numpy as np
+
+    body = [x.split() for x in text.splitlines() if x.strip()]
+    if body[0][0].lower() in ("fitch", "e"):
+        n = int(body[0][1]) if len(body[0]) > 1 else 4
+        return (1 - np.eye(n)).tolist()
+    n = int(body[0][0])
+    m = np.array([float(v) for row in body[1:] for v in row]).reshape(n, n)
+    return metric_closure(m).tolist()
+
+
+def read_costs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, a, b, cost) of a cost matrix, states from 0."""
+    return _parse(_whole(spark, path), lambda t: [(i, j, v) for i, row in enumerate(parse_costs(t)) for j, v in enumerate(row)], "a int, b int, cost double")
+
+
+def read_constraint(spark: SparkSession, path: str) -> DataFrame:
+    """(file, members): the splits of a constraint tree, which may have nodes of many children and only some of the taxa; each is the side of the first taxon."""
+    from cladeforge.operators.newick import parse, splits
+
+    def rows(text: str):
+        for (tree,) in parse_trees(text):
+            root = parse(tree)
+            taxa = sorted(root.leaves())
+            for s, _ in splits(root):
+                yield (sorted(s if taxa[0] in s else set(taxa) - set(s)),)
+
+    return _parse(_whole(spark, path), rows, "members array<string>")
+
+
+def read_diversity_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """(taxon, weight, cost): the scale of a first line of one number is each taxon's factor; then a taxon, its weight and, where given, its cost on each line."""
+    x = _whole(spark, path)
+
+    def rows(text: str):
+        lines = [y.split() for y in text.splitlines() if y.strip() and not y.startswith("#")]
+        scale = float(lines[0][0]) if len(lines[0]) == 1 else 1.0
+        for y in lines[len(lines[0]) == 1 :]:
+            yield y[0], scale * float(y[1]), float(y[2]) if len(y) > 2 else 1.0
+
+    return _parse(x, rows, "taxon string, weight double, cost double").drop("file")
+
+
+def read_food_web(spark: SparkSession, path: str) -> DataFrame:
+    """(predator, prey, weight): a directed arc on each line, its weight 1 where none is given; raises an error for a cycle, as nothing eats itself."""
+
+    def rows(text: str):
+        arcs = [y.split() for y in text.splitlines() if y.strip() and not y.startswith("#")]
+        eats: dict[str, set[str]] = {}
+        for y in arcs:
+            eats.setdefault(y[0], set()).add(y[1])
+        left = dict(eats)
+        while free := [k for k, v in left.items() if not v & left.keys()]:
+            for k in free:
+                del left[k]
+        if left:
+            raise ValueError(f"a cycle among {sorted(left)}")
+        return [(y[0], y[1], float(y[2]) if len(y) > 2 else 1.0) for y in arcs]
+
+    return _parse(_whole(spark, path), rows, "predator string, prey string, weight double").drop("file")
+
+
+def read_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """(cluster, taxon): groups of taxa for quartets, from the taxsets of a NEXUS sets block (one called `ignored` is group 0), or a Newick list, a group a tree."""
+
+    def rows(text: str):
+        sets = re.findall(r"(?is)\btaxset\s+(\S+)\s*=\s*(.*?);", text)
+        if sets:
+            n = 0
+            for name, body in sets:
+                n += name.lower() != "ignored"
+                yield from ((0 if name.lower() == "ignored" else n, t) for t in body.split())
+        else:
+            yield from ((i, t.strip()) for i, (tree,) in enumerate(parse_trees(text), 1) for t in re.findall(r"[^\s(),;]+", tree))
+
+    return _parse(_whole(spark, path), rows, "cluster int, taxon string").drop("file")
+
+
+def read_mutations(spark: SparkSession, path: str) -> DataFrame:
+    """(node, old, site, new): predefined substitutions, lines of a node and a list such as `A10G/C3T`; sites from 1."""
+    x = _fields(spark, path, r"\s+")
+    one = x.select(F.element_at("x", 1).alias("node"), F.explode(F.split(F.element_at("x", 2), "[/,]")).alias("m"))
+    part = lambda i: F.regexp_extract("m", r"^([A-Za-z])(\d+)([A-Za-z-])$", i)
+    return one.select("node", F.upper(part(1)).alias("old"), part(2).cast("long").alias("site"), F.upper(part(3)).alias("new")).where("site IS NOT NULL")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A written state (a fitted model, a pool of trees, a search): a Parquet table or, by its extension, JSON lines."""
+    return spark.read.json(path) if path.rstrip("/").endswith((".json", ".jsonl")) else spark.read.parquet(path)

@@ -101,3 +101,35 @@ def msf(aln: DataFrame, width: int = 50) -> DataFrame:
     bar = size.select(place(-1, F.lit("")), F.lit("\n//\n").alias("value"))
     rows = b.select(F.struct(F.col("block").cast("long").alias("block"), "taxon").alias("order"), F.concat(F.lit(" "), F.rpad("taxon", 12, " "), "piece").alias("value"))
     return head.unionByName(name).unionByName(bar).unionByName(rows)
+
+
+def tree_drawing(newick: str) -> str:
+    """A tree as lines of text, leaves from top to bottom in their order, a column for each level."""
+    from cladeforge.operators.newick import Node, parse
+
+    lines: list[str] = []
+
+    def draw(x: Node, first: str, rest: str) -> None:
+        if not x.children:
+            lines.append(f"{first} {x.name}")
+            return
+        for i, c in enumerate(x.children):
+            last = i == len(x.children) - 1
+            draw(c, (first if i == 0 else rest) + ("+--" if i == 0 and first else "\\--" if last else "|--" if i else "+--"), rest + ("   " if last else "|  "))
+
+    draw(parse(newick), "", "")
+    return "\n".join(lines)
+
+
+def comma_lines(table: DataFrame) -> DataFrame:
+    """Lines (order, value) of a table with its header, fields quoted where they need it; rows in the order of their fields."""
+    quote = lambda c: F.when(c.rlike('[",\n]'), F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))).otherwise(c)
+    row = F.concat_ws(",", *(quote(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in table.columns))
+    head = table.sparkSession.range(1).select(F.lit("").alias("order"), F.lit(",".join(table.columns)).alias("value"))
+    return head.unionByName(table.select(F.concat(F.lit("1"), row).alias("order"), row.alias("value")))
+
+
+def branch_table(nodes: DataFrame, rates: DataFrame) -> DataFrame:
+    """(part, node, parent, length): each branch's length in each partition, of node rows (node, parent, brlen) and partitions' rates (part, rate)."""
+    return nodes.withColumn("__one", F.lit(1)).join(rates.withColumn("__one", F.lit(1)), "__one").select("part", "node", "parent", (F.col("brlen") * F.col("rate")).alias("length"))
+

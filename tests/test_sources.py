@@ -50,3 +50,36 @@ def test_empty_alignment(spark):
     aln = spark.createDataFrame([], "taxon int, site long, part int, mask int")
     assert A.patterns(aln).count() == 0
     assert A.observed_distance(aln).count() == 0
+
+
+def test_small_readers(spark, tmp_path):
+    def at(name, text):
+        (tmp_path / name).write_text(text)
+        return f"file://{tmp_path}/{name}"
+
+    c = R.read_counts(spark, at("c.cf", "COUNTSFILE NPOP 2 NSITES 3\nCHROM POS p1 p2\n1 7 10,0,0,0 0,3,0,1\n1 8 0,0,0,0 1,1,1,0\n1 9 0,0,9,1 0,0,0,2\n"))
+    got = {(r.pos, r.population): r.state for r in R.population_states(c, 10).collect()}
+    # pairs AC AG AT CG CT GT are 0 to 5, nine states each
+    assert got == {(7, "p1"): 0, (7, "p2"): 4 + 4 * 9 + 7, (8, "p1"): None, (8, "p2"): None, (9, "p1"): 4 + 5 * 9 + 8, (9, "p2"): 3}
+    assert [tuple(r) for r in R.read_site_values(spark, at("r.txt", "# rates\n1 0.5\n2-4 1.25\n")).orderBy("site").collect()] == [(1, [0.5]), (2, [1.25]), (3, [1.25]), (4, [1.25])]
+    assert R.parse_costs("3\n0 1 5\n1 0 1\n5 1 0\n") == [[0, 1, 2], [1, 0, 1], [2, 1, 0]] and R.parse_costs("fitch 2") == [[0, 1], [1, 0]]
+    assert R.read_costs(spark, at("m.txt", "2\n0 3\n1 0\n")).where("a = 0 AND b = 1").first().cost == 3
+    assert [r.members for r in R.read_constraint(spark, at("k.nwk", "((b,c),a,d,e);")).collect()] == [["a", "d", "e"]]
+    assert sorted(map(tuple, R.read_diversity_parameters(spark, at("p.txt", "2\na 1.5\nb 1 4\n")).collect())) == [("a", 3.0, 1.0), ("b", 2.0, 4.0)]
+    assert sorted(map(tuple, R.read_food_web(spark, at("w.txt", "fox hare 0.5\nhare grass\n")).collect())) == [("fox", "hare", 0.5), ("hare", "grass", 1.0)]
+    with pytest.raises(Exception, match="cycle"):
+        R.read_food_web(spark, at("x.txt", "a b\nb c\nc a\n")).collect()
+    assert sorted(map(tuple, R.read_clusters(spark, at("q.nex", "#nexus\nbegin sets;\ntaxset one = a b;\ntaxset ignored = z;\ntaxset two = c;\nend;")).collect())) == [(0, "z"), (1, "a"), (1, "b"), (2, "c")]
+    assert sorted(map(tuple, R.read_clusters(spark, at("q.nwk", "(a,b);(c,d);")).collect())) == [(1, "a"), (1, "b"), (2, "c"), (2, "d")]
+    assert [tuple(r) for r in R.read_mutations(spark, at("u.txt", "n1 A10G/c3t\nn2 G7-\n")).orderBy("node", "site").collect()] == [("n1", "C", 3, "T"), ("n1", "A", 10, "G"), ("n2", "G", 7, "-")]
+    spark.range(3).write.parquet(f"file://{tmp_path}/state")
+    assert R.read_table(spark, f"file://{tmp_path}/state").count() == 3
+
+
+def test_small_writers(spark):
+    text = O.tree_drawing("((a,b),c);")
+    assert [x.split()[-1] for x in text.splitlines()] == ["a", "b", "c"]
+    table = spark.createDataFrame([("x,y", 1), ('say "z"', None)], "name string, n int")
+    assert [r.value for r in O.comma_lines(table).orderBy("order").collect()] == ["name,n", '"say ""z""",', '"x,y",1']
+    nodes, rates = spark.createDataFrame([("a", "root", 0.5)], "node string, parent string, brlen double"), spark.createDataFrame([(0, 1.0), (1, 2.0)], "part int, rate double")
+    assert sorted((r.part, r.length) for r in O.branch_table(nodes, rates).collect()) == [(0, 0.5), (1, 1.0)]
