@@ -13,11 +13,26 @@ DNA = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "R": 5, "Y": 10, "W": 9, "S": 6,
 GAP, STATES = 15, (1, 2, 4, 8)
 
 
-def encode(sequences: DataFrame, taxon: str = "taxon", seq: str = "seq") -> DataFrame:
-    """(taxon, site, mask) of DNA sequences, sites from 1; symbols in either case."""
-    codes = F.create_map(*(x for k, v in DNA.items() for x in (F.lit(k), F.lit(v))))
+#: Amino acids in the order of states, and symbols that stand for two of them.
+AMINO, AMINO_PAIRS = "ARNDCQEGHILKMFPSTWYV", {"B": "ND", "Z": "QE", "J": "IL"}
+#: The symbols of each kind of sequence, with their sets of states.
+ALPHABETS = {
+    "DNA": DNA, "BIN": {"0": 1, "1": 2}, "AA": {c: 1 << i for i, c in enumerate(AMINO)} | {k: sum(1 << AMINO.index(c) for c in v) for k, v in AMINO_PAIRS.items()},
+    "MORPH": {c: 1 << i for i, c in enumerate("0123456789ABCDEFGHIJ")},
+}
+STATES_OF = {"DNA": 4, "BIN": 2, "AA": 20, "MORPH": 20}
+
+
+def gap_of(n_states: int) -> int:
+    """The mask of a cell that may be any state."""
+    return (1 << n_states) - 1
+
+
+def encode(sequences: DataFrame, taxon: str = "taxon", seq: str = "seq", kind: str = "DNA") -> DataFrame:
+    """(taxon, site, mask) of sequences of a kind (DNA, AA, BIN, MORPH), sites from 1; symbols in either case, unknown ones gaps."""
+    codes = F.create_map(*(x for k, v in ALPHABETS[kind].items() for x in (F.lit(k), F.lit(v))))
     cells = sequences.select(taxon, F.posexplode(F.split(F.upper(seq), "")).alias("pos", "c")).where("c <> ''")
-    return cells.select(taxon, (F.col("pos") + 1).cast("long").alias("site"), F.coalesce(F.element_at(codes, F.col("c")), F.lit(GAP)).alias("mask"))
+    return cells.select(taxon, (F.col("pos") + 1).cast("long").alias("site"), F.coalesce(F.element_at(codes, F.col("c")), F.lit(gap_of(STATES_OF[kind]))).alias("mask"))
 
 
 def columns(aln: DataFrame) -> DataFrame:
@@ -31,20 +46,21 @@ def single(mask: Column) -> Column:
     return F.bit_count(mask) == 1
 
 
-def classified(cols: DataFrame) -> DataFrame:
+def classified(cols: DataFrame, n_states: int = 4) -> DataFrame:
     """Adds is_const (the masks share a state), informative (two unambiguous states seen twice), num_chars and const_state (a mask)."""
-    shared = F.aggregate("states", F.lit(GAP), lambda a, x: a.bitwiseAND(x))
-    count = [F.size(F.expr(f"filter(states, x -> x = {s})")) for s in STATES]
-    return cols.select(
-        "*", (shared != 0).alias("is_const"), shared.alias("const_state"),
-        (sum((c >= 2).cast("int") for c in count) >= 2).alias("informative"), sum((c >= 1).cast("int") for c in count).cast("long").alias("num_chars"),
-    )
+    shared = F.aggregate("states", F.lit(gap_of(n_states)), lambda a, x: a.bitwiseAND(x))
+    seen = F.expr("array_sort(filter(states, x -> bit_count(x) = 1))")
+    out = cols.withColumn("__seen", seen)
+    twice = F.expr("array_distinct(filter(__seen, (x, i) -> i > 0 AND __seen[i - 1] = x))")
+    return out.select(
+        *cols.columns, (shared != 0).alias("is_const"), shared.alias("const_state"), (F.size(twice) >= 2).alias("informative"), F.size(F.array_distinct("__seen")).cast("long").alias("num_chars")
+    )
 
 
-def patterns(aln: DataFrame, by: tuple[str, ...] = ("part",)) -> DataFrame:
+def patterns(aln: DataFrame, by: tuple[str, ...] = ("part",), n_states: int = 4) -> DataFrame:
     """Distinct columns: (part, states, freq, first_site) and their classes."""
     p = columns(aln).groupBy(*by, "states").agg(F.count("*").alias("freq"), F.min("site").alias("first_site"))
-    return classified(p)
+    return classified(p, n_states)
 
 
 def ranked(df: DataFrame, by: list[str], key: str, name: str, buckets: int = 1024) -> DataFrame:
@@ -64,9 +80,9 @@ def numbered(pats: DataFrame) -> DataFrame:
     return ranked(pats, ["part"], "first_site", "ptn").withColumn("ptn", F.col("ptn") - 1)
 
 
-def partition_summary(aln: DataFrame) -> DataFrame:
+def partition_summary(aln: DataFrame, n_states: int = 4) -> DataFrame:
     """Sites, patterns, constant, informative and variable sites of each partition, and of all (part null)."""
-    p = patterns(aln)
+    p = patterns(aln, n_states=n_states)
     total = lambda c: F.sum(F.when(c, F.col("freq")).otherwise(0))
     return p.rollup("part").agg(
         F.sum("freq").alias("sites"), F.count("*").alias("patterns"), total(F.col("is_const")).alias("constant"), total(F.col("informative")).alias("informative"),
@@ -84,8 +100,9 @@ def sequence_frequencies(aln: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("taxon")))
 
 
-def composition_test(aln: DataFrame) -> DataFrame:
+def composition_test(aln: DataFrame, n_states: int = 4) -> DataFrame:
     """Per taxon chi2 = N sum (f_j - f_tj)^2 / f_j against the alignment's frequencies, its df, and the percentage of gaps or ambiguity."""
+    STATES = tuple(1 << i for i in range(n_states))  # noqa: N806
     n = aln.groupBy("taxon").agg(*(F.sum((F.col("mask") == s).cast("long")).alias(f"n{s}") for s in STATES), F.count("*").alias("cells"))
     own = sum(F.col(f"n{s}") for s in STATES)
     whole = n.agg(*(F.sum(f"n{s}").alias(f"a{s}") for s in STATES))
@@ -220,9 +237,9 @@ def translate(aln: DataFrame) -> DataFrame:
     return out.select("taxon", "part", "codon", F.when(F.col("n") == 3, F.substring(F.lit(CODE), F.col("i") + 1, F.lit(1))).otherwise("X").alias("aa"))
 
 
-def observed_distance(aln: DataFrame) -> DataFrame:
+def observed_distance(aln: DataFrame, n_states: int = 4) -> DataFrame:
     """(t1, t2, d): differing sites over sites that are constant or unambiguous in both; 9.0 without any. t1 < t2 count taxa from 0."""
-    pats = patterns(aln)
+    pats = patterns(aln, n_states=n_states)
     pair = F.expr("flatten(transform(states, (a, i) -> transform(filter(transform(states, (b, j) -> struct(i AS i, j AS j, a AS a, b AS b)), x -> x.j > x.i), x -> x)))")
     x = pats.select("freq", "is_const", F.explode(pair).alias("x"))
     both = (F.bit_count("x.a") == 1) & (F.bit_count("x.b") == 1)

@@ -142,10 +142,11 @@ def score_patterns(patterns: DataFrame, tree: str, taxa: list[str], model: Model
 
 
 def site_rates(scored: DataFrame, model: Model) -> DataFrame:
-    """Adds rate: the posterior mean of the site-rate classes, and category: the likeliest one (from 1)."""
+    """Adds rate: the posterior mean of the site-rate classes, and category: the likeliest one (from 1), the first of those that agree to nine digits."""
     rates = [float(r) for r in model.rates] + ([0.0] if model.invariant else [])
     mean = sum(F.element_at("posterior", i + 1) * r for i, r in enumerate(rates))
-    return scored.withColumn("rate", mean).withColumn("category", F.array_position("posterior", F.array_max("posterior")))
+    near = F.transform("posterior", lambda x: F.round(x, 9))
+    return scored.withColumn("rate", mean).withColumn("category", F.array_position(near, F.array_max(near)))
 
 
 def ancestral(root: Node, tips: dict[str, np.ndarray], model: Model, node: Node) -> np.ndarray:

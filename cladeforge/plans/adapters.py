@@ -19,21 +19,24 @@ def taxa_of(spark: SparkSession, sf_dir: str) -> list[int]:
     return [r[0] for r in table(spark, sf_dir, "lineitem").select("l_linenumber").distinct().orderBy("l_linenumber").collect()]
 
 
-def site_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def site_columns(spark: SparkSession, sf_dir: str, protein: bool = False) -> DataFrame:
     """(part, site, states): orders are sites, line numbers are taxa; a line's flag and quantity are its state, missing lines gaps.
 
     Lines meet by order, once: cells and columns are aggregated on the same side of that exchange. The taxa are a subquery of the same plan."""
     line = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("taxon"), F.col("l_orderkey").alias("site"), "l_quantity", "l_returnflag")
     taxa = line.agg(F.array_sort(F.collect_set("taxon"))).scalar()
+    gap = GAP
     state = F.when(F.min("l_quantity") > 40, 8).when(F.min("l_returnflag") == "A", 1).when(F.min("l_returnflag") == "N", 2).otherwise(4)
+    if protein:  # twenty states by quantity
+        gap, state = 2**20 - 1, F.expr("CAST(shiftleft(1, CAST(min(l_quantity) AS INT) % 20) AS INT)")
     cells = line.repartition("site").groupBy("site", "taxon").agg(state.alias("mask"))
     by_site = cells.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("taxon", "mask"))).alias("m")).withColumn("taxa", taxa)
-    return by_site.select((F.col("site") % 4).cast("int").alias("part"), "site", F.transform("taxa", lambda t: F.coalesce(F.element_at("m", t), F.lit(GAP))).alias("states"), "taxa")
+    return by_site.select((F.col("site") % 4).cast("int").alias("part"), "site", F.transform("taxa", lambda t: F.coalesce(F.element_at("m", t), F.lit(gap))).alias("states"), "taxa")
 
 
-def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alignment(spark: SparkSession, sf_dir: str, protein: bool = False) -> DataFrame:
     """(taxon, site, part, mask): the cells of `site_columns`."""
-    cell = site_columns(spark, sf_dir).select("part", "site", F.explode(F.arrays_zip("taxa", "states")).alias("c"))
+    cell = site_columns(spark, sf_dir, protein).select("part", "site", F.explode(F.arrays_zip("taxa", "states")).alias("c"))
     return cell.select(F.col("c.taxa").alias("taxon"), "site", "part", F.col("c.states").alias("mask"))
 
 
@@ -74,6 +77,8 @@ def sample_weights(rep: str, ptn: str) -> str:
 CTE = {
     "aln": """cells AS (SELECT l_linenumber AS taxon, l_orderkey AS site, CASE WHEN min(l_quantity) > 40 THEN 8 WHEN min(l_returnflag) = 'A' THEN 1 WHEN min(l_returnflag) = 'N' THEN 2 ELSE 4 END AS mask FROM lineitem GROUP BY ALL),
 aln AS (SELECT t.taxon, s.site, CAST(s.site % 4 AS INTEGER) AS part, coalesce(c.mask, 15) AS mask FROM (SELECT DISTINCT taxon FROM cells) t CROSS JOIN (SELECT DISTINCT site FROM cells) s LEFT JOIN cells c ON c.taxon = t.taxon AND c.site = s.site)""",
+    "protein": """cells AS (SELECT l_linenumber AS taxon, l_orderkey AS site, CAST(1 << (CAST(min(l_quantity) AS INTEGER) % 20) AS INTEGER) AS mask FROM lineitem GROUP BY ALL),
+aln AS (SELECT t.taxon, s.site, CAST(s.site % 4 AS INTEGER) AS part, coalesce(c.mask, 1048575) AS mask FROM (SELECT DISTINCT taxon FROM cells) t CROSS JOIN (SELECT DISTINCT site FROM cells) s LEFT JOIN cells c ON c.taxon = t.taxon AND c.site = s.site)""",
     "ptnlh": """ptnlh AS (SELECT l_linenumber AS tree, l_suppkey AS ptn, -ln(1 + avg(l_extendedprice)) AS lnl, (SELECT count(*) FROM lineitem x WHERE x.l_suppkey = l.l_suppkey) AS freq FROM lineitem l GROUP BY l_linenumber, l_suppkey)""",
     "clades": """clades AS (SELECT event_type AS tree, (user_id + CASE WHEN CAST(floor(sum(value)) AS BIGINT) % 40 = 0 THEN 1 ELSE 0 END) % 8 AS clade, user_id AS taxon, count(*) AS n FROM events GROUP BY event_type, user_id)""",
     "tree": """tree AS (SELECT 'r' || r_regionkey AS node, 'root' AS parent, 1.0::DOUBLE AS brlen FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, (n_nationkey + 1) / 100.0::DOUBLE FROM nation

@@ -115,7 +115,7 @@ def q_jc_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.marginal_symmetry(A.pair_counts(site_columns(spark, sf_dir)))
+    return A.marginal_symmetry(A.pair_counts(site_columns(spark, sf_dir))).select("t1", "t2", F.round("stuart", 4).alias("stuart"), "df")
 
 
 def q_codon_positions(spark: SparkSession, sf_dir: str) -> DataFrame:

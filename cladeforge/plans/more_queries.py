@@ -15,7 +15,7 @@ from cladeforge.operators import splits as S
 from cladeforge.operators import trees as T
 from cladeforge.operators import treetests as P
 from cladeforge.plans.adapters import CTE, alignment, clade_members, presence, site_columns, table, taxa_of, taxonomy
-from cladeforge.plans.alignment_queries import _ALN, _COLS
+from cladeforge.plans.alignment_queries import _ALN, _COLS, _PAIRS
 from cladeforge.plans.kernel_queries import GAMMA, TREE
 from cladeforge.plans.tree_queries import _SP, _UP, _areas, _splits, r
 from cladeforge.sources import readers as R
@@ -230,6 +230,25 @@ def q_site_lnl(spark, sf_dir):
     return at.select("part", "site", F.round("lnl", 6).alias("lnl"), *(F.round(F.col("posterior")[i], 6).alias(f"p{i}") for i in range(5)))
 
 
+def q_protein_summary(spark, sf_dir):
+    return A.partition_summary(site_columns(spark, sf_dir, protein=True).select("part", "site", "states"), 20)
+
+
+def q_protein_distance(spark, sf_dir):
+    d = A.jc_distance(A.observed_distance(site_columns(spark, sf_dir, protein=True).select("part", "site", "states"), 20), 20)
+    return d.select("t1", "t2", r("d"), r("jc"))
+
+
+def q_protein_composition(spark, sf_dir):
+    return A.composition_test(alignment(spark, sf_dir, protein=True), 20).select("taxon", r("chi2"), "df", r("gap_percent"))
+
+
+def q_protein_likelihood(spark, sf_dir):
+    p = A.patterns(site_columns(spark, sf_dir, protein=True).select("part", "site", "states"), n_states=20)
+    scored = L.score_patterns(p, TREE, names(spark, sf_dir), model_of("POISSON", n_states=20))
+    return scored.groupBy("part").agg(F.round(F.sum(F.col("freq") * F.col("lnl")), 3).alias("lnl"))
+
+
 def q_likelihood_search(spark, sf_dir):
     one = pats(spark, sf_dir).groupBy("states").agg(F.sum("freq").alias("freq"))
     return I.likelihood_search(spark, one, names(spark, sf_dir), model_of("JC"), 2, 1).select("seed", "topology", F.round("lnl", 2).alias("lnl"))
@@ -352,6 +371,7 @@ QUERIES = {
     "split_branch_statistics": q_branch_statistics, "split_restrict": q_restrict, "split_constraint": q_constraint, "split_circular": q_circular, "split_tree_nodes": q_tree_nodes, "split_majority_tree": q_majority,
     "tree_distances_from": q_distances_from, "pd_random_sets": q_random_sets, "pd_distribution": q_pd_distribution, "pd_taxa_frequency": q_taxa_frequency, "pd_prune": q_prune,
     "lik_partition": q_partition_likelihood, "lik_unrest": q_unrest, "lik_error": q_error, "lik_mixture": q_mixture, "lik_site_frequencies": q_site_frequencies, "lik_site_lnl": q_site_lnl,
+    "prot_summary": q_protein_summary, "prot_distance": q_protein_distance, "prot_composition": q_protein_composition, "prot_likelihood": q_protein_likelihood,
     "search_likelihood": q_likelihood_search, "quartet_mapping": q_likelihood_mapping, "tree_least_squares": q_least_squares,
     "io_phylip": q_io_phylip, "io_fasta": q_io_fasta, "io_nexus": q_io_nexus, "io_clustal": q_io_clustal, "io_msf": q_io_msf, "io_distances": q_io_distances, "io_presence": q_io_presence, "io_newick": q_io_newick,
     "io_partitions": q_io_partitions, "io_taxonomy": q_io_taxonomy, "io_dates": q_io_dates, "io_site_table": q_site_table,
@@ -418,6 +438,37 @@ def _expected_sql() -> str:
     return f"{_COLS}, {', '.join(steps)} SELECT part, first_site, freq, round(({' + '.join(parts)}) * sum(freq) OVER (PARTITION BY part), 6) AS expected FROM {last}"
 
 
+_PROT = f"""WITH {CTE["protein"]}, cols AS (SELECT part, site, list(mask ORDER BY taxon) AS states, bit_and(mask) AS shared FROM aln GROUP BY part, site),
+pats AS (SELECT part, states, count(*) AS freq, min(site) AS first_site, any_value(shared) <> 0 AS is_const, len(list_filter([1 << i FOR i IN range(20)], lambda s: len(list_filter(states, lambda x: x = s)) >= 2)) >= 2 AS informative FROM cols GROUP BY part, states)"""
+
+
+def _poisson_sql(n: int = 20) -> str:
+    """Under equal rates and frequencies a branch keeps a state with chance e and draws one anew else."""
+    import math
+
+    root, steps, last, where = N.parse(TREE), [], "pats", {}
+    for k, x in enumerate(root.walk()):
+        if not x.children:
+            where[x] = ([f"(CASE WHEN (states[{x.name}] & {1 << s}) <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)" for s in range(n)], f"CAST(bit_count(states[{x.name}]) AS DOUBLE)")
+            continue
+        keep = {c: math.exp(-c.length * n / (n - 1)) for c in x.children}
+        rows = [" * ".join(f"({keep[c]:.17g}::DOUBLE * {where[c][0][s]} + {(1 - keep[c]) / n:.17g}::DOUBLE * {where[c][1]})" for c in x.children) for s in range(n)]
+        steps.append(f"p{k} AS (SELECT *, {', '.join(f'{v} AS v{k}_{s}' for s, v in enumerate(rows))} FROM {last})")
+        last, where[x] = f"p{k}", ([f"v{k}_{s}" for s in range(n)], "(" + " + ".join(f"v{k}_{s}" for s in range(n)) + ")")
+    return f"{_PROT}, {', '.join(steps)} SELECT part, round(sum(freq * ln({where[root][1]} / {n})), 3) AS lnl FROM {last} GROUP BY part"
+
+
+def _site_rates_sql() -> str:
+    model = model_of(GAMMA)
+    steps, last, parts = likelihood_sql(model, TREE, "l", "pats")
+    each, total = ", ".join(f"{p} AS c{i}" for i, p in enumerate(parts)), " + ".join(f"c{i}" for i in range(len(parts)))
+    rate = " + ".join(f"c{i} * {v:.17g}::DOUBLE" for i, v in enumerate(model.rates))
+    near = ", ".join(f"round(c{i} / ({total}), 9)" for i in range(len(parts)))
+    best = f"list_position([{near}], greatest({near}))"
+    return f"{_COLS}, {', '.join(steps)}, cl AS (SELECT part, first_site, {each} FROM {last}) SELECT part, first_site, round(({rate}) / ({total}), 6) AS rate, CAST({best} AS BIGINT) AS category FROM cl"
+
+
+_PSTATES = [1 << i for i in range(20)]
 _LIST = "array_to_string(states, ',') AS states"
 _CONST = "bit_and_all <> 0"
 _STATS = f"""list_reduce(states, lambda a, b: a & b) <> 0 AS is_const, {" + ".join(f"CAST(len(list_filter(states, lambda x: x = {s})) >= 2 AS INT)" for s in A.STATES)} >= 2 AS informative"""
@@ -433,7 +484,25 @@ _FIRST = f"{_ALN}, one AS (SELECT 't' || taxon AS taxon, CAST(dense_rank() OVER
 _PARTD = f"""{_ALN}, rk AS (SELECT *, CAST(dense_rank() OVER (ORDER BY taxon) - 1 AS INTEGER) AS t FROM aln),
 pd AS (SELECT a.part, a.t AS t1, b.t AS t2, count(*) FILTER (bit_count(a.mask) = 1 AND bit_count(b.mask) = 1) AS total, count(*) FILTER (bit_count(a.mask) = 1 AND bit_count(b.mask) = 1 AND a.mask <> b.mask) AS diff FROM rk a JOIN rk b ON a.site = b.site AND a.t < b.t GROUP BY ALL),
 dd AS (SELECT part, t1, t2, CASE WHEN total > 0 AND 1 - 4 * diff / (3 * total) > 0 THEN least(-0.75 * ln(1 - 4 * diff / (3 * total)), 9.0) ELSE 9.0 END AS d FROM pd)"""
+_PRANK = "ranked AS (SELECT *, CAST(dense_rank() OVER (ORDER BY taxon) - 1 AS INTEGER) AS t FROM aln)"
 ORACLES = {
+    "prot_summary": f"{_PROT} SELECT part, CAST(sum(freq) AS BIGINT) AS sites, count(*) AS patterns, CAST(coalesce(sum(freq) FILTER (is_const), 0) AS BIGINT) AS constant, CAST(coalesce(sum(freq) FILTER (informative), 0) AS BIGINT) AS informative, CAST(coalesce(sum(freq) FILTER (NOT is_const), 0) AS BIGINT) AS variable FROM pats GROUP BY ROLLUP (part)",
+    "prot_distance": f"""{_PROT}, k AS (SELECT site, shared <> 0 AS k FROM cols), {_PRANK}, d0 AS (SELECT a.t AS t1, b.t AS t2, count(*) FILTER (NOT k AND bit_count(a.mask) = 1 AND bit_count(b.mask) = 1 AND a.mask <> b.mask) AS diff,
+  count(*) FILTER (k OR (bit_count(a.mask) = 1 AND bit_count(b.mask) = 1)) AS total FROM ranked a JOIN ranked b ON a.site = b.site AND a.t < b.t JOIN k ON k.site = a.site GROUP BY ALL), dd AS (SELECT t1, t2, CASE WHEN total > 0 THEN diff / total ELSE 9.0 END AS d FROM d0)
+SELECT t1, t2, round(d, 6) AS d, round(CASE WHEN 1 - d * 20 / 19.0 > 0 THEN -ln(1 - d * 20 / 19.0) * 19 / 20.0 ELSE 9.0 END, 6) AS jc FROM dd""",
+    "prot_composition": f"""WITH {CTE["protein"]}, n AS (SELECT taxon, {", ".join(f"count(*) FILTER (mask = {s}) AS n{s}" for s in _PSTATES)}, count(*) AS cells FROM aln GROUP BY taxon), o AS (SELECT *, {" + ".join(f"n{s}" for s in _PSTATES)} AS own FROM n),
+a AS (SELECT {", ".join(f"sum(n{s}) AS a{s}" for s in _PSTATES)}, sum(own) AS a FROM o)
+SELECT taxon, round({" + ".join(f"CASE WHEN a{s} > 0 THEN own * (a{s} / a - n{s} / own) * (a{s} / a - n{s} / own) / (a{s} / a) ELSE 0 END" for s in _PSTATES)}, 6) AS chi2,
+CAST({" + ".join(f"CAST(a{s} > 0 AS INT)" for s in _PSTATES)} - 1 AS BIGINT) AS df, round(100 * (cells - own) / cells, 6) AS gap_percent FROM o, a WHERE own > 0""",
+    "prot_likelihood": _poisson_sql(),
+    "lik_site_rates": _site_rates_sql(),
+    "aln_marginal_symmetry": f"""{_PAIRS}, i AS (SELECT t1, t2, CAST(log2(s1) AS INT) AS a, CAST(log2(s2) AS INT) AS b, n FROM pairs),
+m AS (SELECT t1, t2, {", ".join(f"coalesce(sum(n) FILTER (a = {x} AND b = {y}), 0)::DOUBLE AS n{x}{y}" for x in range(4) for y in range(4))} FROM i GROUP BY t1, t2),
+g AS (SELECT t1, t2, {", ".join(f"({' + '.join(f'n{x}{y}' for y in range(4))}) AS r{x}, ({' + '.join(f'n{y}{x}' for y in range(4))}) AS c{x}" for x in range(4))}, {", ".join(f"n{x}{y}" for x in range(4) for y in range(4))} FROM m),
+v AS (SELECT t1, t2, {", ".join(f"r{x} - c{x} AS u{x}" for x in range(3))}, {", ".join(f"r{x} + c{x} - 2 * n{x}{x} AS v{x}{x}" for x in range(3))}, -(n01 + n10) AS v01, -(n02 + n20) AS v02, -(n12 + n21) AS v12 FROM g),
+d AS (SELECT *, v00 * (v11 * v22 - v12 * v12) - v01 * (v01 * v22 - v12 * v02) + v02 * (v01 * v12 - v11 * v02) AS det FROM v)
+SELECT t1, t2, round(CASE WHEN abs(det) > 1e-9 THEN (u0 * u0 * (v11 * v22 - v12 * v12) + u1 * u1 * (v00 * v22 - v02 * v02) + u2 * u2 * (v00 * v11 - v01 * v01)
+  + 2 * u0 * u1 * (v02 * v12 - v01 * v22) + 2 * u0 * u2 * (v01 * v12 - v02 * v11) + 2 * u1 * u2 * (v01 * v02 - v00 * v12)) / det END, 4) AS stuart, 3 AS df FROM d""",
     "aln_add_constant": f"""{_COLS}, more AS (SELECT part, states, freq FROM pats UNION ALL {" UNION ALL ".join(f"SELECT 1, [CAST({s} AS INTEGER) FOR i IN range(7)], {k}" for s, k in CONSTANT.items())}),
 g AS (SELECT part, states, CAST(sum(freq) AS BIGINT) AS freq FROM more GROUP BY part, states) SELECT part, {_LIST}, freq, {_STATS} FROM g""",
     "aln_keep_taxa": f"""{_ALN}, own AS (SELECT * FROM aln WHERE taxon IN ({", ".join(map(str, KEPT))})), s AS (SELECT part, site FROM own GROUP BY part, site HAVING count(*) FILTER (mask <> 15) >= {MIN_CHARS}),
