@@ -16,7 +16,7 @@ numpy lanes, and what stays of the chunk, its head and its tail, is where the bo
 from __future__ import annotations
 
 import re
-import zlib
+import sys
 from collections.abc import Iterator
 from functools import reduce
 from itertools import islice
@@ -170,25 +170,32 @@ class Lattice:
         chars = np.frombuffer("".join(w.ljust(top, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, top).astype(np.int64)
         scores = self._scores
         best = np.full((n, top + 1), -np.inf)
-        last, back = np.full((n, top + 1), -1, np.int64), np.zeros((n, top + 1), np.int16)
-        best[:, 0] = 0.0
+        last, back = np.full((n, top + 1), -2, np.int64), np.zeros((n, top + 1), np.int16)  # -1: nothing before; -2: not reached
+        best[:, 0], last[:, 0] = 0.0, -1
         hashes: list[np.ndarray] = []  # of the strings that end here, by length, shifted along
         for i in range(1, top + 1):
             live = np.flatnonzero(size >= i)
             c = chars[:, i - 1].astype(np.uint64) + np.uint64(1)
             hashes = [c, *(h * self._mul + c for h in hashes[: self.longest - 1])]
-            for k, h in enumerate(hashes, 1):
-                piece = self._find(h[live])
+            for k in range(1, len(hashes) + 1):
+                if not len(live):
+                    break
+                piece = self._find(hashes[k - 1][live])
                 if k == 1:
                     piece = np.where(piece < 0, self.n + chars[live, i - 1], piece)
+                if self.bpe:  # a prefix has one path, so the first that is found is it
+                    has = np.flatnonzero((piece >= 0) & (last[live, i - k] > -2))
+                    has = has[self._together(last[live[has], i - k], piece[has])]
+                    rows = live[has]
+                    best[rows, i], last[rows, i], back[rows, i] = 0.0, piece[has], k
+                    live = np.delete(live, has)
+                    continue
                 has = piece >= 0
                 rows, piece = live[has], piece[has]
                 value = best[rows, i - k] + scores[np.minimum(piece, self.n)]
                 better = value > best[rows, i]
                 rows, piece, value = rows[better], piece[better], value[better]
-                ok = self._together(last[rows, i - k], piece)
-                rows = rows[ok]
-                best[rows, i], last[rows, i], back[rows, i] = value[ok], piece[ok], k
+                best[rows, i], last[rows, i], back[rows, i] = value, piece, k
         at, rows, steps = size.copy(), np.arange(n), []
         while len(rows):
             if (back[rows, at[rows]] <= 0).any():
@@ -418,6 +425,15 @@ class Decoder:
         return [(r[1:] if r[:1] == b" " else r) == t for r, t in zip(raw, texts, strict=True)]
 
 
+def coders(path: str) -> tuple[Lattice, Decoder]:
+    """A model's coders; a worker keeps those of its last model, with the runs and pairs they have met, for its next tasks."""
+    kept = sys.modules.setdefault("_cladeforge_lattices", type(sys)("_cladeforge_lattices"))
+    if getattr(kept, "path", None) != path:
+        kept.coders = Lattice(path), Decoder(path)
+        kept.path = path
+    return kept.coders
+
+
 def combine(a: Matrix, b: Matrix) -> Matrix:
     """The max-plus product; a state of any piece meets any entry that lies as far beyond the boundary."""
     out: Matrix = {}
@@ -481,7 +497,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK,
     giant = F.length(F.coalesce(F.col(text), F.lit(""))) > chunk
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, decoder = Lattice(model), Decoder(model)
+        lattice, decoder = coders(model)
         for b in batches:
             for lo in range(0, b.num_rows, BATCH):
                 part = b.slice(lo, BATCH)
@@ -493,7 +509,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK,
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids) if arrays else pa.array(ids, pa.binary()), *same], names=narrow.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model)
+        lattice, _ = coders(model)
         for b in batches:
             for key, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s, reach = lattice.normalize([raw.as_py()])[0], lattice.longest
@@ -506,7 +522,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK,
         return lo, len(s) if last else lo + chunk
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model)
+        lattice, _ = coders(model)
         for b in batches:
             for key, no, s, lo, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 m = lattice.matrix(s, *bounds(s, lo, last), last)
@@ -530,7 +546,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK,
             yield done(key, rows)
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model)
+        lattice, _ = coders(model)
         for whole in batches:
             for at in range(0, whole.num_rows, 32):
                 rows = list(zip(*(c.to_pylist() for c in whole.slice(at, 32).columns), strict=True))
@@ -571,7 +587,7 @@ def decode(rows: DataFrame, model: str, ids: str = "__ids", out: str = "__decode
     """All rows and columns of `rows`, and the text that its ids stand for; null for null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model)
+        _, decoder = coders(model)
         for whole in batches:
             at = whole.schema.get_field_index(ids)
             for lo in range(0, whole.num_rows, BATCH):
