@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from cladeforge.sources.storage import discard, scratch_path, shared_dir, written as materialize  # noqa: F401
+
 #: The bytes of `[\x20\x09-\x0D]`.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: The same class as a pattern for words, for Java's and RE2's regular expressions.
@@ -52,37 +52,6 @@ def _bytes(size: str) -> int:
     return int(size.lower().rstrip("kmgtb")) << unit
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; a folder of our own only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='cladeforge-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/cladeforge/{what}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write once to the shared folder and read again: lineage ends, a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cladeforge_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a written table that nothing reads any more."""
-    path = getattr(df, "_cladeforge_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def partitions(spark: SparkSession, n_bytes: int, each: int) -> int:
     """Enough partitions that each handles about `each` bytes, and never fewer than the session shuffles to."""
     return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each)))
