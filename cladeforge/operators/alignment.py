@@ -392,3 +392,52 @@ def part_distances(pats: DataFrame, weight: str = "freq", by: str = "part") -> D
     out = x.groupBy(by, F.col("x.i").alias("t1"), F.col("x.j").alias("t2")).agg(F.sum(F.when(both & (F.col("x.a") != F.col("x.b")), F.col("w")).otherwise(0)).alias("diff"), F.sum(F.when(both, F.col("w")).otherwise(0)).alias("total"))
     left = 1 - 4 * F.col("diff") / (3 * F.col("total"))
     return out.select(by, "t1", "t2", F.when((F.col("total") > 0) & (left > 0), F.least(-0.75 * F.log(F.when(left > 0, left)), F.lit(9.0))).otherwise(9.0).alias("d"))
+
+
+def by_characters(pats: DataFrame) -> DataFrame:
+    """Adds place: patterns from the most to the fewest different unambiguous states, then by first site, from 1; numbered by count of states first, so that the order needs no
+    single task."""
+    size = pats.groupBy("num_chars").agg(F.count("*").alias("__n"))
+    start = size.select("num_chars", (F.sum("__n").over(W.orderBy(F.col("num_chars").desc())) - F.col("__n")).alias("__start"))  # a row for each count
+    return ranked(pats, ["num_chars"], "first_site", "place").join(start, "num_chars").withColumn("place", F.col("__start") + F.col("place")).drop("__start")
+
+
+def keep_frequent(pats: DataFrame, least: int, most: int | None = None) -> DataFrame:
+    """Patterns that stand at `least` to `most` sites."""
+    return pats.where((F.col("freq") >= least) & (F.lit(most is None) | (F.col("freq") <= F.lit(most or 0))))
+
+
+def keep_residues(aln: DataFrame, taxon, first: int, last: int) -> DataFrame:
+    """The sites at which a taxon's own residues `first` to `last` stand, its gaps left out; in each partition."""
+    own = residues(aln.where(F.col("taxon") == taxon)).where(F.col("residue").between(first, last)).select("part", "site")
+    return aln.join(own, ["part", "site"], "left_semi")
+
+
+def drop_identical(aln: DataFrame, kept: int = 2) -> DataFrame:
+    """The alignment with `kept` of each group of identical sequences, the first by name."""
+    same = identical_sequences(aln).withColumn("n", F.row_number().over(W.partitionBy("kept_as").orderBy("taxon")))
+    return aln.join(same.where(F.col("n") <= kept).select("taxon"), "taxon", "left_semi")
+
+
+def drop_empty(aln: DataFrame, n_states: int = 4) -> DataFrame:
+    """The alignment without taxa that are gaps only."""
+    return aln.join(aln.where(F.col("mask") != gap_of(n_states)).select("taxon").distinct(), "taxon", "left_semi")
+
+
+def keep_partitions(aln: DataFrame, parts: list[int], remove: bool = False) -> DataFrame:
+    """The given partitions, or all others."""
+    inside = F.col("part").isin(parts)
+    return aln.where(~inside if remove else inside)
+
+
+def codon_frequencies(aln: DataFrame, per_position: bool = True) -> DataFrame:
+    """(codon, share): sense codons' frequencies as products of base frequencies, at each codon position (F3x4) or pooled (F1x4), scaled to sum 1."""
+    f = codon_position_frequencies(aln)
+    f = f.where("position IS NOT NULL") if per_position else f.where("position IS NULL").select(F.explode(F.array(*map(F.lit, range(3)))).alias("position"), "state", "share")
+    m = f.agg(F.map_from_entries(F.collect_list(F.struct((F.col("position") * 16 + F.col("state")).alias("k"), "share"))).alias("m"))  # twelve numbers
+    order = {"T": 8, "C": 2, "A": 1, "G": 4}
+    words = [a + b + c for a in order for b in order for c in order]
+    rows = F.array(*(F.struct(F.lit(w).alias("codon"), *(F.lit(16 * i + order[x]).alias(f"k{i}") for i, x in enumerate(w))) for w, aa in zip(words, CODE, strict=True) if aa != "*"))
+    get = lambda i: F.coalesce(F.element_at("m", F.col(f"c.k{i}")), F.lit(0.0))
+    out = m.select("m", F.explode(rows).alias("c")).select("c.codon", (get(0) * get(1) * get(2)).alias("v"))
+    return out.select("codon", (F.col("v") / F.sum("v").over(W.partitionBy())).alias("share"))  # 61 rows

@@ -303,3 +303,38 @@ def sankoff(root: Node, states: dict[str, int], cost: np.ndarray) -> float:
         else:
             below[x] = sum((cost + below[c][None, :]).min(1) for c in x.children)
     return float(below[root].min())
+
+
+def sankoff_patterns(patterns: DataFrame, tree: str, taxa: list[str], cost: list[list[float]]) -> DataFrame:
+    """Adds score: the least cost of each pattern on a tree under a cost matrix, batch by batch."""
+    schema = T.StructType([*patterns.schema.fields, T.StructField("score", T.DoubleType())])
+    at, c = patterns.columns.index("states"), np.array(cost, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = parse(tree)
+        for b in batches:
+            if b.num_rows:
+                states = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.int64)
+                tips, below = tip_arrays(states, taxa, len(c)), {}
+                for x in root.walk():
+                    below[x] = sum((below[k][:, None, :] + c[None]).min(2) for k in x.children) if x.children else np.where(tips[x.name] > 0, 0.0, np.inf)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(below[root].min(1))], names=schema.names)
+
+    return patterns.mapInArrow(run, schema)
+
+
+def ancestral_states(patterns: DataFrame, tree: str, taxa: list[str], model: Model, node: int = 0) -> DataFrame:
+    """Adds marginal: the posterior probability of each state at an inner node, counted from the root (0) down, and best: the likeliest state's mask."""
+    schema = T.StructType([*patterns.schema.fields, T.StructField("marginal", T.ArrayType(T.DoubleType())), T.StructField("best", T.IntegerType())])
+    at = patterns.columns.index("states")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = parse(tree)
+        inner = [x for x in reversed(list(root.walk())) if x.children]
+        for b in batches:
+            if b.num_rows:
+                states = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.int64)
+                post = ancestral(root, tip_arrays(states, taxa, len(model.freqs)), model, inner[node])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(post.tolist(), pa.list_(pa.float64())), pa.array((1 << post.round(9).argmax(1)).astype(np.int32))], names=schema.names)
+
+    return patterns.mapInArrow(run, schema)

@@ -191,3 +191,38 @@ def majority_tree(splits: DataFrame, taxa: list, threshold: float = 0.5) -> Data
     named = nodes.join(support, "node", "left").select(F.lit(0).alias("tree"), "node", "parent", F.when(F.col("leaves") == 1, F.col("node")).otherwise(F.round("support").cast("int").cast("string")).alias("label"), F.lit(None).cast("double").alias("length"))
     return newick(named)
 
+
+
+def incompatible_between(splits: DataFrame, n: int) -> DataFrame:
+    """(t1, t2, conflicts) for ordered pairs of different trees: the splits of t1 that some split of t2 rules out. A tree's splits are one row."""
+    by = splits.groupBy("tree").agg(F.array_sort(F.collect_set("members")).alias("s"))
+    other = by.agg(F.collect_list(F.struct("tree", "s")).alias("every"))
+    pair = by.join(F.broadcast(other)).select(F.col("tree").alias("t1"), F.col("s").alias("s1"), F.explode("every").alias("o")).where("t1 <> o.tree")  # one row: the trees' pairs are the result
+    clash = F.size(F.filter("s1", lambda x: F.exists("o.s", lambda y: ~compatible(x, y, n))))
+    return pair.select("t1", F.col("o.tree").alias("t2"), clash.cast("long").alias("conflicts"))
+
+
+def branch_lengths(splits: DataFrame, reference: str) -> DataFrame:
+    """(members, tree, own, weight): each branch of a reference tree with its weight in every other tree, null where it is absent."""
+    ref = splits.where(F.col("tree") == reference).select("members", F.col("weight").alias("own"))
+    others = splits.where(F.col("tree") != reference)
+    named = others.select("tree").distinct().agg(F.collect_list("tree").alias("trees"))
+    grid = ref.join(F.broadcast(named)).select("members", "own", F.explode("trees").alias("tree"))  # one row
+    return grid.join(others.select("members", "tree", "weight"), ["members", "tree"], "left")
+
+
+def best_pair(splits: DataFrame) -> DataFrame:
+    """(a, b, pd): the two taxa that the heaviest splits part, the first of several: on a split network the start of a greedy choice.
+
+    The weight between two taxa is their weights to the first taxon less twice what both have in common, so pairs meet only inside a split's other side."""
+    weight = splits.groupBy("members").agg(F.max("weight").alias("weight"))
+    taxa = splits.select(F.explode("members").alias("t")).distinct()
+    every = taxa.agg(F.array_sort(F.collect_set("t")).alias("every"))
+    side = weight.join(F.broadcast(every)).select("weight", F.array_sort(F.array_except("every", "members")).alias("m"))  # one row
+    alone = side.select("weight", F.explode("m").alias("t")).groupBy("t").agg(F.sum("weight").alias("w"))
+    pair = F.expr("flatten(transform(m, (a, i) -> transform(slice(m, i + 2, size(m)), b -> struct(a AS a, b AS b))))")
+    common = side.select("weight", F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.sum("weight").alias("c"))
+    w = taxa.join(alone, "t", "left").select("t", F.coalesce("w", F.lit(0)).alias("w"))
+    grid = w.agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("m")).select(F.explode(pair).alias("p")).select(F.col("p.a.t").alias("a"), F.col("p.b.t").alias("b"), (F.col("p.a.w") + F.col("p.b.w")).alias("both"))
+    far = grid.join(common, ["a", "b"], "left").select("a", "b", (F.col("both") - 2 * F.coalesce("c", F.lit(0))).alias("pd"))
+    return far.orderBy(F.col("pd").desc(), "a", "b").limit(1)

@@ -161,3 +161,10 @@ def approximately_unbiased(patterns: DataFrame, replicates: int = 1000, seed: in
         return pd.DataFrame({"tree": frame["tree"].iloc[:1], "au": [float(au)]})
 
     return shares.groupBy("tree").applyInPandas(fit, f"tree {kind}, au double")
+
+
+def gene_samples(patterns: DataFrame, replicates: int, by_gene: str, by_site: str | None = None) -> DataFrame:
+    """(rep, ptn, w) of patterns with their partition (part): whole partitions drawn `by_gene` times (SQL of rep and part), their sites as they are or, with `by_site`
+    (SQL of rep and ptn), drawn within."""
+    own = patterns.select("ptn", "part", "freq").distinct().select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    return own.select("rep", "ptn", (F.expr(by_gene) * (F.expr(by_site) if by_site else F.col("freq"))).cast("long").alias("w"))

@@ -230,6 +230,91 @@ def q_site_lnl(spark, sf_dir):
     return at.select("part", "site", F.round("lnl", 6).alias("lnl"), *(F.round(F.col("posterior")[i], 6).alias(f"p{i}") for i in range(5)))
 
 
+COSTS = [[0, 2, 1, 2], [2, 0, 2, 1], [1, 2, 0, 2], [2, 1, 2, 0]]
+BY_GENE, BY_SITE = "(rep * 7 + part * 13) % 3", "(rep * 31 + ptn * 17) % 4"
+
+
+def q_by_characters(spark, sf_dir):
+    return A.by_characters(pats(spark, sf_dir).withColumn("first_site", F.col("first_site"))).select("part", "first_site", "num_chars", "place")
+
+
+def q_keep_frequent(spark, sf_dir):
+    return A.keep_frequent(pats(spark, sf_dir), 2, 20).select("part", "first_site", "freq")
+
+
+def q_keep_residues(spark, sf_dir):
+    return A.keep_residues(alignment(spark, sf_dir), 3, 11, 40)
+
+
+def q_drop_identical(spark, sf_dir):
+    aln = alignment(spark, sf_dir)
+    twins = aln.unionByName(aln.where("taxon <= 3").withColumn("taxon", F.col("taxon") + 10)).unionByName(aln.where("taxon <= 2").withColumn("taxon", F.col("taxon") + 20))
+    return A.drop_identical(twins).groupBy("taxon").agg(F.count("*").alias("cells"))
+
+
+def q_drop_empty(spark, sf_dir):
+    aln = alignment(spark, sf_dir)
+    more = aln.where("taxon = 1").withColumns({"taxon": F.lit(99), "mask": F.lit(15)})
+    return A.drop_empty(aln.unionByName(more)).groupBy("taxon").agg(F.count("*").alias("cells"))
+
+
+def q_keep_partitions(spark, sf_dir):
+    aln = alignment(spark, sf_dir)
+    return A.keep_partitions(aln, [0, 3]).select(F.lit("kept").alias("side"), "taxon", "site", "mask").unionByName(A.keep_partitions(aln, [0, 3], remove=True).select(F.lit("rest").alias("side"), "taxon", "site", "mask"))
+
+
+def q_codon_frequencies(spark, sf_dir):
+    aln = alignment(spark, sf_dir)
+    f3, f1 = A.codon_frequencies(aln), A.codon_frequencies(aln, False).withColumnRenamed("share", "pooled")
+    return f3.join(f1, "codon").select("codon", r("share"), r("pooled"))
+
+
+def q_incompatible_between(spark, sf_dir):
+    s, n = _splits(spark, sf_dir)
+    return S.incompatible_between(s, n)
+
+
+def q_branch_lengths(spark, sf_dir):
+    return S.branch_lengths(_splits(spark, sf_dir)[0], "click").select(S.key().alias("members"), "tree", "own", "weight")
+
+
+def q_best_pair(spark, sf_dir):
+    return S.best_pair(_splits(spark, sf_dir)[0])
+
+
+def q_diameter(spark, sf_dir):
+    """The farthest pair of leaves, the first of several, and the mean distance."""
+    d = T.patristic(taxonomy(spark, sf_dir)).withColumn("d", F.round("d", 9))
+    return d.agg(F.round(F.max("d"), 6).alias("diameter"), F.min_by(F.concat_ws(",", "a", "b"), F.struct(-F.col("d"), "a", "b")).alias("pair"), F.round(F.avg("d"), 6).alias("mean"))
+
+
+def q_rf_adjacent(spark, sf_dir):
+    """Trees in the order of their names, each against the next, and every one against the first two."""
+    rf = S.robinson_foulds(_splits(spark, sf_dir)[0])
+    trees = rf.select(F.col("t1").alias("t")).unionByName(rf.select(F.col("t2").alias("t"))).distinct().agg(F.array_sort(F.collect_list("t")).alias("o"))
+    at = rf.join(F.broadcast(trees)).select("t1", "t2", "rf", (F.array_position("o", F.col("t1")) + 1 == F.array_position("o", F.col("t2"))).alias("adjacent"), (F.array_position("o", F.col("t1")) <= 2).alias("with_first_two"))
+    return at.where("adjacent OR with_first_two")
+
+
+def q_sankoff(spark, sf_dir):
+    scored = L.sankoff_patterns(pats(spark, sf_dir), TREE, names(spark, sf_dir), COSTS)
+    return scored.groupBy("part").agg(F.sum(F.col("freq") * F.col("score")).cast("long").alias("score"))
+
+
+def q_ancestral(spark, sf_dir):
+    scored = L.ancestral_states(pats(spark, sf_dir), TREE, names(spark, sf_dir), model_of(GAMMA.replace("+I{0.1}", "")))
+    return scored.select("part", "first_site", *(F.round(F.col("marginal")[i], 6).alias(f"p{s}") for i, s in enumerate(A.STATES)))
+
+
+def q_gene_bootstrap(spark, sf_dir):
+    from cladeforge.plans.adapters import pattern_likelihoods
+
+    p = pattern_likelihoods(spark, sf_dir).withColumn("part", (F.col("ptn") % 5).cast("int"))
+    whole = P.rell(p, P.gene_samples(p, 10, BY_GENE)).withColumnRenamed("lnl", "by_gene")
+    inside = P.rell(p, P.gene_samples(p, 10, BY_GENE, BY_SITE)).withColumnRenamed("lnl", "by_site")
+    return whole.join(inside, ["tree", "rep"]).select("tree", "rep", F.round("by_gene", 3).alias("by_gene"), F.round("by_site", 3).alias("by_site"))
+
+
 def q_protein_summary(spark, sf_dir):
     return A.partition_summary(site_columns(spark, sf_dir, protein=True).select("part", "site", "states"), 20)
 
@@ -371,6 +456,9 @@ QUERIES = {
     "split_branch_statistics": q_branch_statistics, "split_restrict": q_restrict, "split_constraint": q_constraint, "split_circular": q_circular, "split_tree_nodes": q_tree_nodes, "split_majority_tree": q_majority,
     "tree_distances_from": q_distances_from, "pd_random_sets": q_random_sets, "pd_distribution": q_pd_distribution, "pd_taxa_frequency": q_taxa_frequency, "pd_prune": q_prune,
     "lik_partition": q_partition_likelihood, "lik_unrest": q_unrest, "lik_error": q_error, "lik_mixture": q_mixture, "lik_site_frequencies": q_site_frequencies, "lik_site_lnl": q_site_lnl,
+    "aln_by_characters": q_by_characters, "aln_keep_frequent": q_keep_frequent, "aln_keep_residues": q_keep_residues, "aln_drop_identical": q_drop_identical, "aln_drop_empty": q_drop_empty, "aln_keep_partitions": q_keep_partitions,
+    "aln_codon_frequencies": q_codon_frequencies, "split_incompatible_between": q_incompatible_between, "split_branch_lengths": q_branch_lengths, "pd_best_pair": q_best_pair, "tree_diameter": q_diameter, "tree_rf_adjacent": q_rf_adjacent,
+    "parsimony_sankoff": q_sankoff, "lik_ancestral": q_ancestral, "boot_gene": q_gene_bootstrap,
     "prot_summary": q_protein_summary, "prot_distance": q_protein_distance, "prot_composition": q_protein_composition, "prot_likelihood": q_protein_likelihood,
     "search_likelihood": q_likelihood_search, "quartet_mapping": q_likelihood_mapping, "tree_least_squares": q_least_squares,
     "io_phylip": q_io_phylip, "io_fasta": q_io_fasta, "io_nexus": q_io_nexus, "io_clustal": q_io_clustal, "io_msf": q_io_msf, "io_distances": q_io_distances, "io_presence": q_io_presence, "io_newick": q_io_newick,
@@ -468,6 +556,29 @@ def _site_rates_sql() -> str:
     return f"{_COLS}, {', '.join(steps)}, cl AS (SELECT part, first_site, {each} FROM {last}) SELECT part, first_site, round(({rate}) / ({total}), 6) AS rate, CAST({best} AS BIGINT) AS category FROM cl"
 
 
+def _sankoff_sql() -> str:
+    root, steps, last, where = N.parse(TREE), [], "pats", {}
+    for k, x in enumerate(root.walk()):
+        if not x.children:
+            where[x] = [f"(CASE WHEN (states[{x.name}] & {1 << s}) <> 0 THEN 0 ELSE 1000000 END)" for s in range(4)]
+            continue
+        rows = [" + ".join("least(" + ", ".join(f"{where[c][t]} + {COSTS[s][t]}" for t in range(4)) + ")" for c in x.children) for s in range(4)]
+        steps.append(f"k{k} AS (SELECT *, {', '.join(f'{v} AS k{k}_{s}' for s, v in enumerate(rows))} FROM {last})")
+        last, where[x] = f"k{k}", [f"k{k}_{s}" for s in range(4)]
+    return f"{_COLS}, {', '.join(steps)} SELECT part, CAST(sum(freq * least({', '.join(where[root])})) AS BIGINT) AS score FROM {last} GROUP BY part"
+
+
+def _ancestral_sql() -> str:
+    model, root = model_of(GAMMA.replace("+I{0.1}", "")), N.parse(TREE)
+    steps, last, _ = likelihood_sql(model, TREE, "l", "pats")
+    k = len(list(root.walk())) - 1
+    each = [" + ".join(f"{share:.17g}::DOUBLE * lv{c}_{k}_{s}" for c, share in enumerate(model.shares)) for s in range(4)]
+    return f"{_COLS}, {', '.join(steps)}, st AS (SELECT part, first_site, {', '.join(f'{e} AS s{i}' for i, e in enumerate(each))} FROM {last}) SELECT part, first_site, {', '.join(f'round(s{i} / (s0 + s1 + s2 + s3), 6) AS p{s}' for i, s in enumerate(A.STATES))} FROM st"
+
+
+_CODONS = [(a + b + c, aa) for (a, b, c), aa in zip(__import__("itertools").product("TCAG", repeat=3), A.CODE, strict=True) if aa != "*"]
+_BASE = {"T": 8, "C": 2, "A": 1, "G": 4}
+_CLASH2 = "NOT (len(list_intersect(a.m, b.m)) = len(a.m) OR len(list_intersect(a.m, b.m)) = len(b.m) OR len(a.m) + len(b.m) - len(list_intersect(a.m, b.m)) = a.ntaxa)"
 _PSTATES = [1 << i for i in range(20)]
 _LIST = "array_to_string(states, ',') AS states"
 _CONST = "bit_and_all <> 0"
@@ -486,6 +597,27 @@ pd AS (SELECT a.part, a.t AS t1, b.t AS t2, count(*) FILTER (bit_count(a.mask) =
 dd AS (SELECT part, t1, t2, CASE WHEN total > 0 AND 1 - 4 * diff / (3 * total) > 0 THEN least(-0.75 * ln(1 - 4 * diff / (3 * total)), 9.0) ELSE 9.0 END AS d FROM pd)"""
 _PRANK = "ranked AS (SELECT *, CAST(dense_rank() OVER (ORDER BY taxon) - 1 AS INTEGER) AS t FROM aln)"
 ORACLES = {
+    "aln_by_characters": f"{_COLS} SELECT part, first_site, num_chars, row_number() OVER (ORDER BY num_chars DESC, first_site) AS place FROM pats",
+    "aln_keep_frequent": f"{_COLS} SELECT part, first_site, freq FROM pats WHERE freq BETWEEN 2 AND 20",
+    "aln_keep_residues": f"{_ALN}, rr AS (SELECT part, site, mask, sum(CASE WHEN mask <> 15 THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY site) AS k FROM aln WHERE taxon = 3) SELECT aln.* FROM aln JOIN rr USING (part, site) WHERE rr.mask <> 15 AND k BETWEEN 11 AND 40",
+    "aln_drop_identical": f"""{_ALN}, tw AS (SELECT * FROM aln UNION ALL SELECT taxon + 10, site, part, mask FROM aln WHERE taxon <= 3 UNION ALL SELECT taxon + 20, site, part, mask FROM aln WHERE taxon <= 2), s AS (SELECT taxon, list(mask ORDER BY part, site) AS q, count(*) AS cells FROM tw GROUP BY taxon),
+n AS (SELECT taxon, cells, row_number() OVER (PARTITION BY q ORDER BY taxon) AS k FROM s) SELECT taxon, cells FROM n WHERE k <= 2""",
+    "aln_drop_empty": f"{_ALN} SELECT taxon, count(*) AS cells FROM aln GROUP BY taxon HAVING count(*) FILTER (mask <> 15) > 0",
+    "aln_keep_partitions": f"{_ALN} SELECT CASE WHEN part IN (0, 3) THEN 'kept' ELSE 'rest' END AS side, taxon, site, mask FROM aln",
+    "aln_codon_frequencies": f"""{_ALN}, k AS (SELECT (row_number() OVER (PARTITION BY taxon, part ORDER BY site) - 1) % 3 AS p, mask FROM aln), n AS (SELECT p, mask, count(*) AS n FROM k WHERE bit_count(mask) = 1 GROUP BY ALL),
+f AS (SELECT p, mask, n / sum(n) OVER (PARTITION BY p) AS f, sum(n) OVER (PARTITION BY mask) / sum(n) OVER () AS g FROM n), w(codon, a, b, c) AS (VALUES {", ".join(f"('{w}', {_BASE[w[0]]}, {_BASE[w[1]]}, {_BASE[w[2]]})" for w, _ in _CODONS)}),
+v AS (SELECT codon, x.f * y.f * z.f AS v, x.g * y.g * z.g AS u FROM w JOIN f x ON x.p = 0 AND x.mask = a JOIN f y ON y.p = 1 AND y.mask = b JOIN f z ON z.p = 2 AND z.mask = c) SELECT codon, round(v / sum(v) OVER (), 6) AS share, round(u / sum(u) OVER (), 6) AS pooled FROM v""",
+    "split_incompatible_between": f"{_SP}, t AS (SELECT DISTINCT tree FROM sp), c AS (SELECT DISTINCT a.tree AS t1, b.tree AS t2, a.m FROM sp a JOIN sp b ON a.tree <> b.tree WHERE {_CLASH2}) SELECT x.tree AS t1, y.tree AS t2, count(c.m) AS conflicts FROM t x JOIN t y ON x.tree <> y.tree LEFT JOIN c ON c.t1 = x.tree AND c.t2 = y.tree GROUP BY ALL",
+    "split_branch_lengths": f"{_SP}, o AS (SELECT DISTINCT tree FROM sp WHERE tree <> 'click') SELECT array_to_string(a.m, ',') AS members, o.tree, a.weight AS own, b.weight FROM sp a, o LEFT JOIN sp b ON b.tree = o.tree AND b.m = a.m WHERE a.tree = 'click'",
+    "pd_best_pair": f"{_SP}, w AS (SELECT m, max(weight) AS weight FROM sp GROUP BY m), tx AS (SELECT DISTINCT taxon FROM clades), p AS (SELECT a.taxon AS a, b.taxon AS b, CAST(sum(weight) FILTER (list_contains(m, a.taxon) <> list_contains(m, b.taxon)) AS BIGINT) AS pd FROM tx a JOIN tx b ON a.taxon < b.taxon, w GROUP BY ALL) SELECT a, b, coalesce(pd, 0) AS pd FROM p ORDER BY pd DESC NULLS LAST, a, b LIMIT 1",
+    "tree_diameter": f"""{_UP}, dep AS (SELECT leaf, sum(brlen) AS d FROM path GROUP BY leaf), nd AS (SELECT up.node, sum(t.brlen) AS d FROM up JOIN tree t ON t.node = up.above GROUP BY up.node), i AS (SELECT leaf, node, d FROM path JOIN nd USING (node) WHERE leaf <> node),
+m AS (SELECT x.leaf AS a, y.leaf AS b, max(x.d) AS d FROM i x JOIN i y ON x.node = y.node AND x.leaf < y.leaf GROUP BY ALL), e AS (SELECT p.leaf AS a, q.leaf AS b, round(p.d + q.d - 2 * coalesce(m.d, 0), 9) AS d FROM dep p JOIN dep q ON p.leaf < q.leaf LEFT JOIN m ON m.a = p.leaf AND m.b = q.leaf)
+SELECT round(max(d), 6) AS diameter, first(a || ',' || b ORDER BY d DESC, a, b) AS pair, round(avg(d), 6) AS mean FROM e""",
+    "tree_rf_adjacent": f"""{_SP}, n AS (SELECT tree, count(*) AS n, row_number() OVER (ORDER BY tree) AS k FROM sp GROUP BY tree), s AS (SELECT a.tree AS t1, b.tree AS t2, count(*) AS shared FROM sp a JOIN sp b ON a.m = b.m AND a.tree < b.tree GROUP BY ALL)
+SELECT x.tree AS t1, y.tree AS t2, x.n + y.n - 2 * coalesce(shared, 0) AS rf, x.k + 1 = y.k AS adjacent, x.k <= 2 AS with_first_two FROM n x JOIN n y ON x.tree < y.tree LEFT JOIN s ON t1 = x.tree AND t2 = y.tree WHERE x.k + 1 = y.k OR x.k <= 2""",
+    "parsimony_sankoff": _sankoff_sql(),
+    "lik_ancestral": _ancestral_sql(),
+    "boot_gene": f"WITH {CTE['ptnlh']}, b AS (SELECT *, CAST(ptn % 5 AS INTEGER) AS part, CAST(rp AS INTEGER) AS rep FROM ptnlh, range(1, 11) t(rp)) SELECT tree, rep, round(sum(({BY_GENE}) * freq * lnl), 3) AS by_gene, round(sum(({BY_GENE}) * ({BY_SITE}) * lnl), 3) AS by_site FROM b GROUP BY tree, rep",
     "prot_summary": f"{_PROT} SELECT part, CAST(sum(freq) AS BIGINT) AS sites, count(*) AS patterns, CAST(coalesce(sum(freq) FILTER (is_const), 0) AS BIGINT) AS constant, CAST(coalesce(sum(freq) FILTER (informative), 0) AS BIGINT) AS informative, CAST(coalesce(sum(freq) FILTER (NOT is_const), 0) AS BIGINT) AS variable FROM pats GROUP BY ROLLUP (part)",
     "prot_distance": f"""{_PROT}, k AS (SELECT site, shared <> 0 AS k FROM cols), {_PRANK}, d0 AS (SELECT a.t AS t1, b.t AS t2, count(*) FILTER (NOT k AND bit_count(a.mask) = 1 AND bit_count(b.mask) = 1 AND a.mask <> b.mask) AS diff,
   count(*) FILTER (k OR (bit_count(a.mask) = 1 AND bit_count(b.mask) = 1)) AS total FROM ranked a JOIN ranked b ON a.site = b.site AND a.t < b.t JOIN k ON k.site = a.site GROUP BY ALL), dd AS (SELECT t1, t2, CASE WHEN total > 0 THEN diff / total ELSE 9.0 END AS d FROM d0)
