@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from cladeforge.sources.storage import discard, scratch_path, shared_dir, written as materialize  # noqa: F401
@@ -132,6 +133,39 @@ def span_hash(prefix: np.ndarray, powers: Powers, start: np.ndarray, end: np.nda
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+SLICE = 1 << 20
+
+
+def slices(start: np.ndarray, end: np.ndarray, extent: int = SLICE) -> Iterator[tuple[int, int, int, int]]:
+    """(first, after, low, high): runs of spans (in order) that lie within `extent` bytes, and those bytes; a longer span is a run by itself."""
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + extent, "right")))
+        yield i, j, int(start[i]), int(end[j - 1])
+        i = j
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers, extent: int = SLICE) -> np.ndarray:
+    """A hash of each of many spans (in order, none inside another), slice by slice, so that little is held beside the result."""
+    out = np.empty(len(start), np.uint64)
+    for i, j, lo, hi in slices(start, end, extent):
+        if hi - lo > extent:
+            out[i] = xxhash.xxh64_intdigest(data[lo:hi].tobytes())
+        else:
+            out[i:j] = span_hash(prefix_hash(data[lo:hi], powers), powers, start[i:j] - lo, end[i:j] - lo)
+    return out
+
+
+def span_chars(data: np.ndarray, start: np.ndarray, end: np.ndarray, extent: int = SLICE) -> np.ndarray:
+    """The number of code points in each span (in order, none inside another)."""
+    out = np.empty(len(start), np.int64)
+    for i, j, lo, hi in slices(start, end, extent):
+        heads = np.zeros(hi - lo + 1, np.int32)
+        np.cumsum((data[lo:hi] & 0xC0) != 0x80, out=heads[1:])
+        out[i:j] = heads[end[i:j] - lo] - heads[start[i:j] - lo]
+    return out
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document index of every word `[^\\x20\\x09-\\x0D]+`; words end with their document."""
     if not len(data):

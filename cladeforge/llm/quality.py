@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeforge.llm.common import Powers, lean, mix64, prefix_hash, row_blocks, small_batches, span_hash, table, text_bytes, word_spans
+from cladeforge.llm.common import Powers, lean, mix64, row_blocks, small_batches, span_chars, span_hashes, table, text_bytes, word_spans
 
 #: The highest share of characters inside repeated n-grams, by n, and inside repeated lines (Rae et al. 2021).
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -45,16 +45,11 @@ def measure(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> dict[str,
     n_docs = len(offsets) - 1
     start, end, doc = word_spans(data, offsets)
     count = lambda weight: np.bincount(doc, weight, n_docs).astype(np.int64)
-    heads = np.zeros(len(data) + 1, np.int32)
-    np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS.encode())] = True
-    symbols = np.zeros(len(data) + 1, np.int32)
-    np.cumsum(symbol[data], out=symbols[1:])
-    chars = (heads[end] - heads[start]).astype(np.int64)
-    prefix = prefix_hash(data, powers)
-    words = span_hash(prefix, powers, start, end)
-    out = {"n_words": np.bincount(doc, minlength=n_docs).astype(np.int64), "word_chars": count(chars), "n_symbols": (symbols[offsets[1:]] - symbols[offsets[:-1]]).astype(np.int64)}
+    symbols = np.searchsorted(offsets, np.flatnonzero(symbol[data]), "right") - 1
+    chars, words = span_chars(data, start, end), span_hashes(data, start, end, powers)
+    out = {"n_words": np.bincount(doc, minlength=n_docs).astype(np.int64), "word_chars": count(chars), "n_symbols": np.bincount(symbols, minlength=n_docs).astype(np.int64)}
     rolling = words.copy()
     for n in range(2, max(NGRAM_LIMITS) + 1):
         if len(words) < n:
@@ -77,7 +72,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> dict[str,
     has = (first < len(start)) & (np.append(start, len(data) + 1)[np.minimum(first, len(start))] < line_end)
     line_start, line_end = line_start[has], line_end[has]
     line_doc = np.searchsorted(offsets, line_start, "right") - 1
-    keys = mix64(span_hash(prefix, powers, line_start, line_end) + mix64(line_doc.astype(np.uint64)))
+    keys = mix64(span_hashes(data, line_start, line_end, powers) + mix64(line_doc.astype(np.uint64)))
     _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
     again = first[inverse] != np.arange(len(keys)) if len(keys) else np.zeros(0, bool)
     out["n_dup_lines"] = np.bincount(line_doc[again], minlength=n_docs).astype(np.int64)
@@ -110,13 +105,15 @@ def quality_rules(docs: DataFrame, text: str = "text", prefix: str = "q_") -> Da
     """All rows and columns of `docs`, and `<prefix>` + n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     covered_<n> for the n-gram lengths, line_chars (long), base_failed and kept (boolean).
 
-    Null and empty texts have no words and fail the base rule. Repeated rows are judged alike. Columns of `docs`
-    keep their values whatever their names; choose `prefix` so that the new names are free.
+    Null and empty texts have no words and fail the base rule. Repeated rows are judged alike, and a document's measures that lie exactly on a limit pass. Columns of `docs`
+    that are called like new ones give way to them; others keep their values whatever their names. A text is measured as a whole: its bytes pass
+    in slices, its words take about 100 bytes each. An empty table gives an empty result.
     """
     from pyspark.sql import types as T
 
     small_batches(docs.sparkSession)
     names = [*COLUMNS, *(f"covered_{n}" for n in NGRAM_LIMITS), "line_chars", "base_failed", "kept"]
+    docs = docs.drop(*(prefix + c for c in names))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + c, T.BooleanType() if c in ("base_failed", "kept") else T.LongType()) for c in names)])
     at = docs.columns.index(text)
 
@@ -139,7 +136,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that no rule rejects, with their columns."""
+    """The documents that no rule rejects, with their columns and as often as they come; null and short texts are rejected by the base rule, and an empty table stays empty."""
     return quality_rules(docs, prefix="__q_").where("__q_kept").select(*docs.columns)
 
 
