@@ -102,6 +102,23 @@ class Encoder:
             return self._parted(data, offsets, end)
         return self._plain(data, offsets, end)
 
+    def giant(self, data: np.ndarray, limit: int) -> list[np.ndarray]:
+        """The parts of a long text, of about `limit` bytes each, cut where pre-tokens end: before a space that a non-space follows. Added tokens hold no space."""
+        parts, at = [], 0
+        while len(data) - at > limit:
+            cut = at + limit
+            while cut < len(data) - 1:
+                near = data[cut : cut + (1 << 16) + 1]
+                hit = np.flatnonzero((near[:-1] == 32) & _AFTER_SPACE[near[1:]])
+                if len(hit):
+                    break
+                cut += 1 << 16
+            else:
+                break
+            parts.append(data[at : cut + int(hit[0])])
+            at = cut + int(hit[0])
+        return [*parts, data[at:]]
+
     def _plain(self, data: np.ndarray, offsets: np.ndarray, end: bytes = b"") -> list[bytes]:
         """encode_bytes() for texts without added tokens."""
         if not len(data):
@@ -243,7 +260,11 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, ident: str = "doc_id
                 data, offsets = text_bytes(part.column(1))
                 idents = part.column(0).to_pylist()
                 for a, z in row_blocks(offsets, BLOCK_BYTES):
-                    ids = encoder.encode_bytes(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], end)
+                    own = data[offsets[a] : offsets[z]]
+                    if len(own) > BLOCK_BYTES:  # one long text
+                        ids = [b"".join([*(encoder.encode_bytes(p, np.array([0, len(p)]))[0] for p in encoder.giant(own, BLOCK_BYTES)), end])]
+                    else:
+                        ids = encoder.encode_bytes(own, offsets[a : z + 1] - offsets[a], end)
                     for ident, x in zip(idents[a:z], ids, strict=True):
                         held.append((ident, len(x) // 4, pack.compress(x)))
                         size += len(held[-1][2]) + 25
@@ -292,7 +313,7 @@ def store(docs: DataFrame, path: str, tokenizer: str, ident: str = "doc_id", tex
     """Write `docs` and read them back: (doc_id, start, n_tokens, ids_crc32), a row for each row of `docs`.
 
     A null or empty text has only the end id. Rows with a null ident come last; rows that share an ident follow each other, by a hash of their
-    texts. Extra columns are ignored. An empty table writes no document and gives an empty result."""
+    texts. Extra columns are ignored. A long text is encoded in parts; its ids are held once. An empty table writes no document and gives an empty result."""
     return read_files(docs.sparkSession, path, write_files(docs, path, tokenizer, ident, text, end_id))
 
 
