@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 
 from cladeforge.llm.common import WORD, materialize, table
 
-BLOCK, SHARD, BUCKETS, ROUNDS, LIMIT, SLOTS_A_TASK = 128, 4096, 1024, 12, 3, 1 << 16
+BLOCK, SHARD, BUCKETS, ROUNDS, LIMIT, SLOTS_A_TASK, SPAN = 128, 4096, 1024, 12, 3, 1 << 16, 4096
 #: The modulus and multipliers of the hash; weights repeat.
 P, WEIGHTS = 2147483647, (1, 2, 3)
 
@@ -100,8 +100,12 @@ def slots(spark: SparkSession, plan: list[Source], block: int = BLOCK, shard: in
         d += max(0, p.slots - have.get(i, 0))
         short.append(d)
     at = lambda values, i: F.element_at(_array(values), (i + 1).cast("int"))
-    start = F.coalesce(F.sum("c").over(W.partitionBy("s").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    each = drawn.withColumn("start", start).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SLOTS_A_TASK), "s", "shard").select("shard", "s", F.explode(F.expr("sequence(start, start + c - 1)")).alias("n"))
+    # a source's shards count up in spans, and the spans among themselves, so that a source with very many shards is many tasks' work
+    spans = drawn.groupBy("s", F.expr(f"shard div {SPAN}").alias("span")).agg(F.sum("c").alias("n"))
+    before = spans.select("s", "span", (F.sum("n").over(W.partitionBy("s").orderBy("span")) - F.col("n")).alias("before"))
+    inner = F.coalesce(F.sum("c").over(W.partitionBy("s", "span").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = drawn.withColumn("span", F.expr(f"shard div {SPAN}")).withColumn("inner", inner).join(before, ["s", "span"])
+    each = placed.withColumn("start", F.col("before") + F.col("inner")).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SLOTS_A_TASK), "s", "shard").select("shard", "s", F.explode(F.expr("sequence(start, start + c - 1)")).alias("n"))
     facts = spark.range(len(plan)).select(F.col("id").alias("s"), *(at([getattr(p, k) for p in plan], F.col("id")).alias(k) for k in ("size", "blocks", "slots", "last")))
     wanted = facts.select("s", F.col("slots").alias("need"))
     each = each.join(wanted, "s").withColumn("rank", F.when(F.col("n") >= F.col("need"), at(extra, F.col("s")) + F.col("n") - F.col("need")))

@@ -67,6 +67,20 @@ def test_quality_brute(odd):
         assert (r.q_n_words, r.q_word_chars, r.q_n_symbols, r.q_n_dup_lines, r.q_n_repeat_words, r.q_base_failed, r.q_kept) == brute_quality(r.text)
 
 
+@pytest.mark.parametrize("extent", [16, 100, 1 << 20])
+def test_quality_in_slices(monkeypatch, extent):
+    import pyarrow as pa
+
+    from cladeforge.llm import common
+
+    monkeypatch.setattr(common.span_hashes, "__defaults__", (extent,))
+    monkeypatch.setattr(common.span_chars, "__defaults__", (extent,))
+    texts = [*ODD, "é" * 300 + " word " * 20 + "\nsame line\nsame line\n" + "z" * 500, "q r s " * 100]
+    m = quality._batches(pa.array(texts, pa.string()), common.Powers())
+    got = list(zip(*(m[c].tolist() for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")), strict=True))
+    assert got == [brute_quality(t) for t in texts]
+
+
 # SimHash
 
 
@@ -322,6 +336,18 @@ def test_added_tokens_are_the_librarys(spark, tokenizer):
     assert [r.n_tokens for r in got] == [len(w) + 1 for w in want[:8]]
 
 
+def test_long_texts_in_parts(spark, monkeypatch, tokenizer):
+    from tokenizers import Tokenizer
+
+    tok, rnd = Tokenizer.from_file(tokenizer), random.Random(5)
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 3000)
+    parts = ["word", " word", "  two", "\n", " 'tis", "<|endoftext|>", " é", "漢字 ", ".", " 12", "\t"]
+    texts = ["".join(rnd.choice(parts) for _ in range(n)) for n in (10, 4000, 9000, 3)] + ["x" * 20_000, "<|endoftext|> " * 900]
+    got = token_files.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scratch_path(spark, "t"), tokenizer).orderBy("doc_id").collect()
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes() for t in texts]
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(w) // 4, zlib.crc32(w)) for w in want]
+
+
 def test_segment_random_access():
     samples = [np.arange(i, i + 200, dtype="<u4").tobytes() for i in range(300)]
     d = token_files.train_dictionary(samples, 4096)
