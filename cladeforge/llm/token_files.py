@@ -37,6 +37,7 @@ PARTITION_BYTES, SEGMENT_BYTES, BLOCK_BYTES, LEVEL = 24 << 20, 4 << 20, 4 << 20,
 CACHE_PIECES = 1_500_000
 #: Pieces of one word after a space: any, and with marks behind letters.
 _PLAIN, _ENDED = re.compile(rb" ?(?:[!-~]|[\xc3-\xc9][\x80-\xbf])+").fullmatch, re.compile(rb"( ?[a-zA-Z]+)([.,;:!?#$%&*|]+)").fullmatch
+_MARKS = b".,;:!?#$%&*|"
 #: Bytes that may follow a space at which a text is cut: neither white space nor the first byte of one.
 _AFTER_SPACE = np.ones(256, bool)
 _AFTER_SPACE[[*range(33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
@@ -74,7 +75,7 @@ class Encoder:
         plain, rest = [], []
         ended = []
         for p in pieces:
-            if m := _ENDED(p):
+            if p[-1] in _MARKS and (m := _ENDED(p)):
                 ended.append((p, m[1], m[2]))
             elif _PLAIN(p):
                 plain.append(p)
@@ -128,8 +129,10 @@ class Encoder:
             self.known.clear()
             self.known.update(first)
         mark = np.zeros(len(data), bool)
-        np.logical_and(data[:-1] == 32, _AFTER_SPACE[data[1:]], out=mark[:-1])
-        feed = np.flatnonzero((data[1:-1] == 10) & _BEFORE_FEED[data[:-2]] & _AFTER_SPACE[data[2:]]) + 1
+        space = np.flatnonzero(data[:-1] == 32)
+        mark[space[_AFTER_SPACE[data[space + 1]]]] = True
+        feed = np.flatnonzero(data[1:-1] == 10) + 1
+        feed = feed[_BEFORE_FEED[data[feed - 1]] & _AFTER_SPACE[data[feed + 1]]]
         ends = np.zeros(len(data) + 1, bool)
         ends[offsets] = True
         feed = feed[~ends[feed] & ~ends[feed + 1]]
@@ -139,7 +142,10 @@ class Encoder:
         start = np.flatnonzero(mark)
         stop = np.append(start[1:], len(data))
         key = span_hash(prefix_hash(data, self.powers), self.powers, start, stop)
-        _, first, place = np.unique(key, return_index=True, return_inverse=True)
+        order = np.argsort(key)
+        new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+        first, place = order[new], np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
         raw = data.tobytes()
         own = [raw[a:z] for a, z in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
         ids = list(map(self.known.get, own))
