@@ -14,7 +14,11 @@ def register(spark: SparkSession) -> None:
 
     @F.pandas_udf("double")
     def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(v) or pd.isna(k) else float(numerics.chi2_sf(v, k)[0]) for v, k in zip(x, df, strict=True)], dtype="float64")
+        out = pd.Series(float("nan"), index=x.index, dtype="float64")
+        for k in df.dropna().unique():  # a batch has few degrees of freedom, and the kernel takes many values at once
+            own = (df == k) & x.notna()
+            out[own] = numerics.chi2_sf(x[own].to_numpy(), float(k))
+        return out.astype("Float64").mask(x.isna() | df.isna())
 
     def of_tree(kind, f):
         @F.pandas_udf(kind)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cladeforge.functions.models import Model
 from cladeforge.functions.numerics import minimise
 from cladeforge.operators.likelihood import log_likelihoods, sweep, tip_arrays
-from cladeforge.operators.newick import Node, parse, topology, write
+from cladeforge.operators.newick import Node, parse, prune, reroot, topology, write
 from cladeforge.operators.search import stepwise_addition
 
 
@@ -232,3 +232,92 @@ def weibull_stop(improvements: list[int], confidence: float = 0.95, latest: int
     v = min(max(v, 1e-3), 10.0)
     c = (-np.log(1 - confidence) / k) ** -v
     return float(t[0] + (t[0] - t[-1]) / max(c - 1, 1e-9)) if c > 1 else float("inf")
+
+
+# regrafting
+
+
+def unrooted(root: Node) -> str:
+    """The one topology of an unrooted tree: its root is the node at the first leaf."""
+    first = min(root.leaves())
+    tree = reroot(parse(write(root, lengths=False)), first)
+    rest = prune(tree, set(root.leaves()) - {first})  # nodes of one child are joined on the way
+    return topology(Node("", None, "", [Node(first), *rest.children]))
+
+
+def regrafts(root: Node) -> Iterator[str]:
+    """The topologies one subtree pruning and regrafting away: every subtree, on every branch outside it, each topology once."""
+    tree = parse(write(root, lengths=False))
+    taxa = sorted(tree.leaves())
+    seen = {unrooted(tree)}
+    text = write(tree, lengths=False)
+    sides = {frozenset(x.leaves()) for x in tree.walk() if x is not tree}
+    every = frozenset(taxa)
+    for part in sorted(sides | {every - s for s in sides}, key=lambda s: (len(s), sorted(s))):
+        if len(every) - len(part) < 3:
+            continue
+        seen_from = reroot(parse(text), min(every - part))  # there the part is a clade, and its top is where it hangs
+        rest, own = prune(seen_from, set(every - part)), prune(seen_from, set(part))
+        for i, x in enumerate(list(rest.walk())):
+            for j in range(len(x.children)):
+                other = parse(write(rest, lengths=False))
+                y = list(other.walk())[i]
+                y.children[j] = Node("", None, "", [y.children[j], _rooted(own)])
+                if (t := unrooted(other)) not in seen:
+                    seen.add(t)
+                    yield t
+
+
+def _rooted(own: Node) -> Node:
+    """A subtree to hang up; a lone leaf is itself."""
+    kids = [c for c in own.children]
+    return Node(own.name, None, "", kids) if kids else Node(own.name or own.leaves()[0])
+
+
+# partitions
+
+
+def merge_partitions(patterns: DataFrame, tree: str, taxa: list[str], models: list[str], freqs: list[float]) -> DataFrame:
+    """(parts, model, lnl, k, n) of the partition scheme that greedy merging by BIC finds: every partition is fitted by itself, then as long as the whole scheme gets better the
+    pair whose union helps most becomes one partition. `patterns` is (part, states, freq).
+
+    A candidate set is one task with its own patterns; a round fits only sets it has not seen. The driver holds a row for each set (partitions are few)."""
+    from cladeforge.operators.selection import fit
+
+    spark = patterns.sparkSession
+    known: dict[tuple, tuple] = {}
+
+    def evaluate(sets: list[tuple]) -> None:
+        jobs = spark.createDataFrame([(",".join(map(str, s)), p) for s in sets for p in s], "job string, part int")
+
+        def run(frame):
+            import pandas as pd
+
+            cols: dict[tuple, float] = {}
+            for st, f in zip(frame["states"], frame["freq"], strict=True):
+                cols[tuple(st)] = cols.get(tuple(st), 0.0) + f
+            m, w = np.array(sorted(cols), np.int64), np.array([cols[c] for c in sorted(cols)], float)
+            tips, best = tip_arrays(m, taxa), None
+            for name in models:
+                lnl, k, _, filled = fit(name, tree, tips, w, np.array(freqs))
+                bic = -2 * lnl + k * np.log(w.sum())
+                if best is None or bic < best[0]:
+                    best = (bic, filled, lnl, k)
+            return pd.DataFrame([(frame["job"].iloc[0], best[1], float(best[2]), int(best[3]), int(w.sum()))], columns=["job", "model", "lnl", "k", "n"])
+
+        rows = patterns.select("part", "states", "freq").join(F.broadcast(jobs), "part").groupBy("job").applyInPandas(run, "job string, model string, lnl double, k long, n long").collect()
+        known.update({tuple(map(int, r.job.split(","))): (r.model, r.lnl, r.k, r.n) for r in rows})
+
+    scheme = [(int(r[0]),) for r in patterns.select("part").distinct().orderBy("part").collect()]
+    evaluate(scheme)
+    total = sum(known[s][3] for s in scheme)
+    score = lambda sets: sum(-2 * known[s][1] + known[s][2] * np.log(total) for s in sets)
+    while len(scheme) > 1:
+        unions = {tuple(sorted(a + b)): (a, b) for a, b in itertools.combinations(scheme, 2)}
+        if new := [u for u in unions if u not in known]:
+            evaluate(new)
+        best = min(unions, key=lambda u: (score([u]) - score(unions[u]), u))
+        if score([best]) >= score(unions[best]):
+            break
+        scheme = [s for s in scheme if s not in unions[best]] + [best]
+    return spark.createDataFrame([(list(s), *known[s]) for s in sorted(scheme)], "parts array<int>, model string, lnl double, k long, n long")

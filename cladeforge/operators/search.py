@@ -171,8 +171,10 @@ MAX_PATTERNS = 200_000
 
 
 def random_tree(n: int, kind: str, seed: int, mean: float = 0.1) -> str:
-    """A tree of taxa T1..Tn: uniform, yule, caterpillar, balanced or star; exponential branch lengths."""
+    """A tree of taxa T1..Tn: uniform, yule, caterpillar, balanced or star with exponential branch lengths, or birth-death (`death` half as often as birth) with times."""
     g = np.random.Generator(np.random.PCG64(seed))
+    if kind == "birth-death":
+        return write(_birth_death(n, g, mean))
     make = lambda i: Node(f"T{i + 1}")
     if kind == "star":
         root = Node("", None, "", [make(i) for i in range(n)])
@@ -195,6 +197,46 @@ def random_tree(n: int, kind: str, seed: int, mean: float = 0.1) -> str:
     return write(root)
 
 
+def _birth_death(n: int, g: np.random.Generator, mean: float, death: float = 0.5) -> Node:
+    """Lineages split at rate 1 and end at rate `death` until n are alive; those that ended are left out, and the mean branch length is set to `mean`."""
+    while True:
+        root = Node("", 0.0)
+        alive = [root]
+        while 0 < len(alive) < n:
+            step = float(g.exponential(1 / (len(alive) * (1 + death))))
+            for x in alive:
+                x.length += step
+            x = alive.pop(int(g.integers(len(alive))))
+            if g.random() < 1 / (1 + death):
+                x.children = [Node("", 0.0), Node("", 0.0)]
+                alive += x.children
+            else:
+                x.name = "gone"
+        if len(alive) == n:
+            break
+    step = float(g.exponential(1 / (n * (1 + death))))
+    for i, x in enumerate(alive):
+        x.length, x.name = x.length + step, f"T{i + 1}"
+
+    def trim(x: Node) -> Node | None:
+        if not x.children:
+            return None if x.name == "gone" else x
+        kids = [k for c in x.children if (k := trim(c))]
+        if len(kids) == 1:
+            kids[0].length += x.length
+            return kids[0]
+        x.children = kids
+        return x if kids else None
+
+    out = trim(root)
+    inner = [x for x in out.walk() if x is not out]
+    factor = mean * len(inner) / max(sum(x.length for x in inner), 1e-300)
+    for x in inner:
+        x.length *= factor
+    out.length = None
+    return out
+
+
 def random_trees(spark: SparkSession, count: int, n: int, kind: str = "yule", seed: int = 1) -> DataFrame:
     """(tree, newick): independent of partitions, as each tree has its own seed."""
 

@@ -118,46 +118,46 @@ SCALES = tuple(i / 10 for i in range(5, 15))
 
 def approximately_unbiased(patterns: DataFrame, replicates: int = 1000, seed: int = 1) -> DataFrame:
     """(tree, au): the multiscale bootstrap test. At each scale the share of samples in which a tree is best, then a weighted fit of
-    d sqrt(r) + c / sqrt(r) to its normal quantile; p = 1 - Phi(d - c).
+    d sqrt(r) + c / sqrt(r) to its normal quantile, over the scales at which it is best neither always nor never; p = 1 - Phi(d - c), and with less than two such scales
+    1 or 0.
 
-    A scale is one task: its samples are multinomial over the patterns, drawn with the scale's own seed. Patterns of one alignment are few, and
-    are sent to each scale's task whole."""
+    A scale is one task, which has the trees' pattern likelihoods; its samples are multinomial over the patterns, drawn with the scale's own seed, a bounded number at a time."""
     import numpy as np
 
-    trees = [r[0] for r in patterns.select("tree").distinct().orderBy("tree").collect()]
-    wide = patterns.groupBy("ptn", "freq").pivot("tree", trees).agg(F.first("lnl")).orderBy("ptn").toPandas()
-    lnl, freq = wide[[str(t) for t in trees] if str(trees[0]) in wide.columns else trees].to_numpy(float), wide["freq"].to_numpy(float)
-    lnl = np.nan_to_num(lnl)
-    spark = patterns.sparkSession
-    sent = spark.sparkContext.broadcast((lnl, freq / freq.sum(), int(freq.sum())))
+    kind = patterns.schema["tree"].dataType.simpleString()
 
-    def run(frames):
+    def run(frame):
         import pandas as pd
 
-        values, p, n = sent.value
-        for f in frames:
-            for i in f["id"]:
-                g = np.random.Generator(np.random.PCG64([seed, int(i)]))
-                w = g.multinomial(max(1, round(n * SCALES[i])), p, replicates)
-                best = (w @ values).argmax(1)
-                yield pd.DataFrame({"scale": SCALES[i], "tree": trees, "bp": np.bincount(best, minlength=len(trees)) / replicates})
+        wide = frame.pivot(index=["ptn", "freq"], columns="tree", values="lnl").sort_index()
+        trees, values = list(wide.columns), np.nan_to_num(wide.to_numpy(float))
+        freq, scale = wide.index.get_level_values("freq").to_numpy(float), float(frame["scale"].iloc[0])
+        g, wins, left = np.random.Generator(np.random.PCG64([seed, round(10 * scale)])), np.zeros(len(trees)), replicates
+        while left:
+            k = min(left, max(1, (1 << 22) // len(freq)))
+            w = g.multinomial(max(1, round(freq.sum() * scale)), freq / freq.sum(), k)
+            wins += np.bincount((w @ values).argmax(1), minlength=len(trees))
+            left -= k
+        return pd.DataFrame({"scale": scale, "tree": trees, "bp": wins / replicates})
 
-    kind = patterns.schema["tree"].dataType.simpleString()
-    shares = spark.range(len(SCALES)).repartition(len(SCALES)).mapInPandas(run, f"scale double, tree {kind}, bp double")
+    each = patterns.select("tree", "ptn", "lnl", "freq", F.explode(F.array(*map(F.lit, SCALES))).alias("scale"))
+    shares = each.groupBy("scale").applyInPandas(run, f"scale double, tree {kind}, bp double")
 
     def fit(frame):
         import pandas as pd
 
         from cladeforge.functions.numerics import norm_cdf, norm_ppf
 
-        bp = frame["bp"].clip(0.5 / replicates, 1 - 0.5 / replicates).to_numpy()
-        r = frame["scale"].to_numpy()
+        told = frame[(frame["bp"] > 0) & (frame["bp"] < 1)]  # a tree that always or never wins at a scale tells nothing about the slope
+        if len(told) < 2:
+            return pd.DataFrame({"tree": frame["tree"].iloc[:1], "au": [float(frame["bp"].mean() > 0.5)]})
+        bp, r = told["bp"].to_numpy(), told["scale"].to_numpy()
         z = np.array([-norm_ppf(b) for b in bp])
         density = np.exp(-(z**2) / 2) / np.sqrt(2 * np.pi)
         weight = density**2 * replicates / (bp * (1 - bp))
         x = np.stack([np.sqrt(r), 1 / np.sqrt(r)], 1)
         d, c = np.linalg.lstsq(x * np.sqrt(weight)[:, None], z * np.sqrt(weight), rcond=None)[0]
-        au = 0.0 if (frame["bp"] == 0).all() else 1 - norm_cdf(d - c)
+        au = 1 - norm_cdf(d - c)
         return pd.DataFrame({"tree": frame["tree"].iloc[:1], "au": [float(au)]})
 
     return shares.groupBy("tree").applyInPandas(fit, f"tree {kind}, au double")

@@ -344,6 +344,12 @@ def q_likelihood_mapping(spark, sf_dir):
     return I.mapping_summary(mapped, len(names(spark, sf_dir)))
 
 
+def q_merge_partitions(spark, sf_dir):
+    p = pats(spark, sf_dir)
+    out = I.merge_partitions(p, TREE, names(spark, sf_dir), ["JC"], [0.25] * 4)
+    return out.select(text_of("parts").alias("parts"), "model", F.round("lnl", 2).alias("lnl"), "k", "n")
+
+
 def q_least_squares(spark, sf_dir):
     """The fixed tree's least-squares lengths for each partition's distances."""
     d = A.part_distances(pats(spark, sf_dir)).withColumns({"t1": F.col("t1") + 1, "t2": F.col("t2") + 1})
@@ -460,7 +466,7 @@ QUERIES = {
     "aln_codon_frequencies": q_codon_frequencies, "split_incompatible_between": q_incompatible_between, "split_branch_lengths": q_branch_lengths, "pd_best_pair": q_best_pair, "tree_diameter": q_diameter, "tree_rf_adjacent": q_rf_adjacent,
     "parsimony_sankoff": q_sankoff, "lik_ancestral": q_ancestral, "boot_gene": q_gene_bootstrap,
     "prot_summary": q_protein_summary, "prot_distance": q_protein_distance, "prot_composition": q_protein_composition, "prot_likelihood": q_protein_likelihood,
-    "search_likelihood": q_likelihood_search, "quartet_mapping": q_likelihood_mapping, "tree_least_squares": q_least_squares,
+    "search_likelihood": q_likelihood_search, "quartet_mapping": q_likelihood_mapping, "tree_least_squares": q_least_squares, "model_merge_partitions": q_merge_partitions,
     "io_phylip": q_io_phylip, "io_fasta": q_io_fasta, "io_nexus": q_io_nexus, "io_clustal": q_io_clustal, "io_msf": q_io_msf, "io_distances": q_io_distances, "io_presence": q_io_presence, "io_newick": q_io_newick,
     "io_partitions": q_io_partitions, "io_taxonomy": q_io_taxonomy, "io_dates": q_io_dates, "io_site_table": q_site_table,
 }

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written since the scopes that are open began.
+_SCOPES: list[list[DataFrame]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`. Without that setting a folder of this machine, in local mode only."""
@@ -29,9 +34,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cladeforge_path = path
+    for scope in _SCOPES:
+        scope.append(out)
     return out
 
 
+@contextlib.contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Deletes at its end the tables written within it, but for those put into the list it gives. What is kept must itself be written: nothing lazy may read the others."""
+    made, kept = [], []
+    _SCOPES.append(made)
+    try:
+        yield kept
+    finally:
+        _SCOPES.remove(made)
+        names = {getattr(k, "_cladeforge_path", None) for k in kept}
+        for table in made:
+            if table._cladeforge_path not in names:
+                discard(table)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a written table that nothing reads any more."""
     path = getattr(df, "_cladeforge_path", None)

@@ -143,3 +143,40 @@ def test_weibull_stop():
     assert I.weibull_stop([3, 5]) == float("inf")
     early, late = I.weibull_stop([1, 2, 3, 4, 5, 6, 7]), I.weibull_stop([1, 2, 3, 4, 50, 60, 70])
     assert 7 < early < late
+
+
+@pytest.mark.parametrize("n", [5, 6, 7])
+def test_regrafts_are_all(n):
+    """An unrooted tree of n leaves has 2 (n - 3) (2 n - 7) others one regrafting away."""
+    root = N.parse("(a,b,c);")
+    for t in "defg"[: n - 3]:
+        root.children[0] = N.Node("", None, "", [root.children[0], N.Node(t)])
+    got = list(I.regrafts(root))
+    assert len(got) == len(set(got)) == 2 * (n - 3) * (2 * n - 7)
+    key = lambda t: frozenset(s for s, _ in N.splits(N.parse(t)))
+    assert {key(t) for t in N.neighbours(root)} <= {key(t) for t in got} and len({key(t) for t in got}) == len(got)
+
+
+def test_birth_death_trees():
+    from cladeforge.operators.search import random_tree
+
+    for seed in range(5):
+        root = N.parse(random_tree(8, "birth-death", seed))
+        assert sorted(root.leaves()) == sorted(f"T{i}" for i in range(1, 9))
+        depth = {root: 0.0}
+        for x in reversed(list(root.walk())):
+            for c in x.children:
+                depth[c] = depth[x] + c.length
+        tips = [d for x, d in depth.items() if not x.children]
+        assert max(tips) - min(tips) < 1e-6 and all(len(x.children) in (0, 2) for x in root.walk())
+
+
+def test_merging_partitions(spark):
+    """Two partitions of one process and one of quite another: the two become one."""
+    rows = []
+    for part, (scale, seed) in enumerate(((0.3, 1), (0.3, 2), (6.0, 3))):
+        taxa, cols, w = drawn(L.scaled(TREE, scale), model_of("JC"), 600, seed)
+        rows += [(part, c, int(k)) for c, k in zip(cols.tolist(), w, strict=True)]
+    df = spark.createDataFrame(rows, "part int, states array<int>, freq long")
+    got = [r.parts for r in I.merge_partitions(df, TREE, taxa, ["JC"], [0.25] * 4).collect()]
+    assert got == [[0, 1], [2]]
