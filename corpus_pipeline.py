@@ -10,6 +10,7 @@ from cladeforge.llm.pieces import stage_pieces
 from cladeforge.llm.quality import stage_quality
 from cladeforge.llm.simhash import stage_simhash
 from cladeforge.llm.suffixes import stage_suffixes
+from cladeforge.sources.storage import discard, scope
 
 STAGES = [
     ("quality rules", stage_quality),
@@ -21,9 +22,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scope() as keep:  # what a stage wrote on its way goes when its result is written, and then the result before it
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep.append(docs)
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
 
 
