@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cladeforge.sources.storage import written
+
 #: Nucleotide symbols and the sets of states (A 1, C 2, G 4, T 8) they stand for; all else is a gap.
 DNA = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "R": 5, "Y": 10, "W": 9, "S": 6, "M": 3, "K": 12, "B": 14, "H": 11, "D": 13, "V": 7}
 GAP, STATES = 15, (1, 2, 4, 8)
@@ -66,7 +68,9 @@ def patterns(aln: DataFrame, by: tuple[str, ...] = ("part",), n_states: int = 4)
 def ranked(df: DataFrame, by: list[str], key: str, name: str, buckets: int = 1024) -> DataFrame:
     """Adds `name`: the place of each row by an integer column in its group, from 1, ties in any order.
 
-    Rows are numbered in buckets of the key's range, and a bucket starts where those before it end, so that one group is many tasks' work."""
+    Rows are numbered in buckets of the key's range, and a bucket starts where those before it end, so that one group is many tasks' work. The table is read three times, so
+    it is written to the shared folder first."""
+    df = written(df, "ranked")
     span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
     cut = df.join(F.broadcast(span)).withColumn("__b", F.expr(f"CAST(({key} - lo) * {buckets}D / (hi - lo + 1) AS INT)")).drop("lo", "hi")  # one row
     size = cut.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
