@@ -11,13 +11,15 @@ a bucket the next digits are the minimizer's place in the window, then the windo
 group by its next bytes and drops groups that come from one document only.
 
 Equal strings are reduced to the smallest ident's, the others being known to be repeated: in a block of documents before the shuffle, and
-again while a bucket takes its strings in, so that what a bucket holds is different text. A minimizer with more than `HOT` strings in the whole
+again while a bucket takes its strings in, so that what a bucket holds is different text. A task deals out the strings of many blocks at once, in parcels, as
+the number of pieces that travel grows with the number of parcels times that of buckets. A minimizer with more than `HOT` strings in the whole
 table is hot: its windows travel one by one, in the bucket of the window, so that a passage which a third of all documents share, with different words
 around it, fills no bucket. The first pass counts this exactly, for all blocks alike.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -33,6 +35,8 @@ from cladeforge.llm.common import lean, mix64, partitions, small_batches, table
 WIDTH, K = 50, 16
 BLOCK = 2 << 20  # positions must fit 22 bits
 BUCKET_BYTES, GROUP_BYTES, CHUNK, SLICE = 6 << 20, 12 << 20, 1 << 18, 512
+#: Bytes of blocks, and places of strings, that a task holds before it deals them out; bytes of text to a list of minimizers; repeated ranges that a bucket holds.
+PARCEL, PLACES, LIST_BYTES, RANGES = 16 << 20, 1 << 20, 16 << 20, 1 << 18
 #: Bytes of strings that a bucket takes in before it reduces them; strings that make a minimizer hot; bytes of a radix pass.
 HOLD, HOT, DIGIT = 8 << 20, 1 << 14, 5
 RESERVED = ("__n_bytes", "__n_removed", "__n_spans", "__kept")
@@ -94,8 +98,11 @@ def _content(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """data[s : s + n] of each pair, one after the other."""
-    raw = data.tobytes()
-    return np.frombuffer(b"".join([raw[a:b] for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)]), np.uint8)
+    return np.frombuffer(_pieces(data.tobytes(), start, size), np.uint8)
+
+
+def _pieces(raw: bytes, start: np.ndarray, size: np.ndarray) -> bytes:
+    return b"".join([raw[a:b] for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)])
 
 
 def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +111,18 @@ def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
 
 
+@functools.cache
+def _coder() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=5), zstandard.ZstdDecompressor()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(len(a) for a in arrays)], "<i8").tobytes() + "".join(f"{a.dtype.str:4}" for a in arrays).encode()
-    return zstandard.ZstdCompressor(level=5).compress(head + b"".join(a.tobytes() for a in arrays))
+    return _coder()[0].compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = _coder()[1].decompress(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     lens, at = np.frombuffer(raw, "<i8", n, 8).tolist(), 8 + 8 * n
     kinds = [raw[at + 4 * i : at + 4 * i + 4].decode().strip() for i in range(n)]
@@ -122,20 +134,23 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 
 
 class Mapper:
-    """Turns blocks of documents into strings for the buckets, and marks what repeats inside a block."""
+    """Turns blocks of documents into strings for the buckets, and marks what repeats inside a block. `n_lists`: lists that minimizers are dealt to."""
 
-    def __init__(self, n_buckets: int, n_groups: int, width: int = WIDTH) -> None:
-        self.n_buckets, self.n_groups, self.width = n_buckets, n_groups, width
+    def __init__(self, n_buckets: int, n_groups: int, width: int = WIDTH, n_lists: int | None = None) -> None:
+        self.n_buckets, self.n_groups, self.width, self.n_lists = n_buckets, n_groups, width, n_lists or n_buckets
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.ranges: list[tuple[np.ndarray, ...]] = []
+        self.size = self.places = 0
 
     def digits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of minimizers: the different (bucket, 32-bit value) in order, as one number; where each bucket begins; and each one's place."""
+        """Of minimizers: the different (list, 32-bit value) in order, as one number; where each list begins; and each one's place."""
         q = mix64(h + np.uint64(1)) >> np.uint64(16)
-        n = np.uint64(self.n_buckets)
+        n = np.uint64(self.n_lists)
         code, place = np.unique((q % n << np.uint64(32)) | (q // n & np.uint64(0xFFFFFFFF)), return_inverse=True)
         return code, np.flatnonzero(np.diff((code >> np.uint64(32)).astype(np.int64), prepend=-1)), place
 
     def announce(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(bucket, blob of the minimizers' values and how many strings have them) of a block."""
+        """(list, blob of the minimizers' values and how many strings have them) of a block."""
         code, first, place = self.digits(strings(data, offsets, self.width)[3])
         count = np.minimum(np.bincount(place, minlength=len(code)), 65_535).astype("<u2")
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=False):
@@ -158,9 +173,17 @@ class Mapper:
         return (ok | (low < high))[place], hot[place], open_[place]
 
     def block(self, data: np.ndarray, offsets: np.ndarray, ident: np.ndarray, key: np.ndarray, shift: np.ndarray, replies: dict[int, np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-        """(kind, bucket or group, blob) of a block; shift: where in its document each part of a block starts.
+        """(kind, bucket or group, blob) of a block by itself."""
+        self.take(data, offsets, ident, key, shift, replies)
+        yield from self.flush()
+
+    def full(self) -> bool:
+        return self.size >= PARCEL or self.places >= PLACES
+
+    def take(self, data: np.ndarray, offsets: np.ndarray, ident: np.ndarray, key: np.ndarray, shift: np.ndarray, replies: dict[int, np.ndarray]) -> None:
+        """Holds a block's strings and repeated ranges until `flush`; shift: where in its document each part of a block starts.
 
-        A bucket without a reply (its block was cut otherwise when it was announced, as after the loss of an executor) may hold hot minimizers: its
+        A list without a reply (its block was cut otherwise when it was announced, as after the loss of an executor) may hold hot minimizers: its
         strings travel both whole and window by window, so that they meet the others either way."""
         found = strings(data, offsets, self.width)
         if not len(found[0]):
@@ -188,23 +211,43 @@ class Mapper:
         later = ident[doc] > least
         pos = start - offsets[doc] + shift[doc]
         if later.any():
-            yield from spans(ident[doc[later]], key[doc[later]], pos[later], pos[later] + size[later], self.n_groups)
+            self.ranges.append((ident[doc[later]], key[doc[later]], pos[later], pos[later] + size[later]))
         # of equal strings one is sent, with every place where the smallest ident has it
         keep = order[~later[order]]
-        group = np.cumsum(np.concatenate([[True], same[keep][1:] != same[keep][:-1]])) - 1 if len(keep) else keep
-        head = np.flatnonzero(np.diff(group, prepend=-1)) if len(keep) else keep
-        refs = np.diff(np.append(head, len(keep)))
-        by = np.argsort(bucket[keep[head]], kind="stable")
-        cut = np.flatnonzero(np.diff(bucket[keep[head]][by], prepend=-1))
-        for lo, hi in zip(cut, np.append(cut[1:], len(by)), strict=True):
-            own = by[lo:hi]
-            lead = keep[head[own]]
-            which, j = _spread(refs[own])
-            ref = keep[head[own][which] + j]
-            docs, idx = np.unique(doc[ref], return_inverse=True)
-            yield 0, int(bucket[lead[0]]), _pack(
-                _gather(data, start[lead], size[lead]), size[lead].astype("<u4" if size[lead].max() > 65535 else "<u2"), (place[lead] - start[lead]).astype("<u2"), refs[own].astype("<u4"),
-                ident[docs], key[docs], idx.astype("<u4"), pos[ref].astype("<i8"),
+        head = np.flatnonzero(np.diff(same[keep], prepend=~same[keep[0]])) if len(keep) else keep
+        lead, refs = keep[head], np.diff(np.append(head, len(keep)))
+        docs, idx = np.unique(doc[keep], return_inverse=True)
+        self.held.append((data, start[lead], size[lead].astype(np.int32), (place[lead] - start[lead]).astype("<u2"), refs.astype(np.int32), bucket[lead].astype(np.int32), idx.astype(np.int32), pos[keep], ident[docs], key[docs]))
+        self.size += len(data)
+        self.places += len(keep) + int(later.sum())
+
+    def flush(self) -> Iterator[tuple[int, int, bytes]]:
+        """(kind, bucket or group, blob) of the blocks held: one piece for each bucket, the ranges joined."""
+        held, ranges = self.held, self.ranges
+        self.held, self.ranges, self.size, self.places = [], [], 0, 0
+        if ranges:
+            yield from spans(*(np.concatenate(x) for x in zip(*ranges, strict=True)), self.n_groups)
+        if not held:
+            return
+        parts = list(zip(*held, strict=True))
+        before = lambda of: np.cumsum([0, *map(len, of)]).tolist()
+        start = np.concatenate([x + n for x, n in zip(parts[1], before(parts[0]), strict=False)])
+        doc = np.concatenate([x + np.int32(n) for x, n in zip(parts[6], before(parts[8]), strict=False)])
+        raw = b"".join(x.tobytes() for x in parts[0])
+        size, place, refs, bucket, pos, ident, key = (np.concatenate(parts[i]) for i in (2, 3, 4, 5, 7, 8, 9))
+        del held, parts
+        by, refs = np.argsort(bucket, kind="stable"), refs.astype(np.int64)
+        which, j = _spread(refs[by])
+        ref = (np.cumsum(refs) - refs)[by][which] + j
+        start, size, place, refs, bucket, doc, pos = start[by], size[by], place[by], refs[by], bucket[by], doc[ref], pos[ref]
+        ends = np.cumsum(refs)
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(by)], strict=False):
+            a, z = int(ends[lo] - refs[lo]), int(ends[hi - 1])
+            docs, idx = np.unique(doc[a:z], return_inverse=True)
+            yield 0, int(bucket[lo]), _pack(
+                np.frombuffer(_pieces(raw, start[lo:hi], size[lo:hi]), np.uint8), size[lo:hi].astype("<u4" if size[lo:hi].max() > 65535 else "<u2"), place[lo:hi], refs[lo:hi].astype("<u4"),
+                ident[docs], key[docs], idx.astype("<u4"), pos[a:z].astype("<i8"),
             )
 
 
@@ -240,15 +283,24 @@ class Bucket:
         self.n_groups, self.width = n_groups, width
         self.held: list[list[np.ndarray]] = []
         self.blobs: list[bytes] = []
+        self.ranges: list[tuple[np.ndarray, ...]] = []
         self.waiting = self.size = 0
 
     def add(self, blob: bytes) -> Iterator[tuple[int, int, bytes]]:
         self.blobs.append(blob)
         self.waiting += zstandard.frame_content_size(blob)
         if self.waiting > max(HOLD, self.size):
-            yield from self._reduce()
+            self._reduce()
+            if sum(len(x[0]) for x in self.ranges) > RANGES:
+                yield from self._dealt()
+
+    def _dealt(self) -> Iterator[tuple[int, int, bytes]]:
+        """The ranges found so far, in one piece for each group of documents."""
+        if self.ranges:
+            ranges, self.ranges = self.ranges, []
+            yield from spans(*(np.concatenate(x) for x in zip(*ranges, strict=True)), self.n_groups)
 
-    def _reduce(self) -> Iterator[tuple[int, int, bytes]]:
+    def _reduce(self) -> None:
         parts = self.held + [_unpack(b) for b in self.blobs]
         docs = np.cumsum([0] + [len(p[4]) for p in parts])
         text, size, place, refs, ids, keys = (np.concatenate([p[i] for p in parts]) for i in range(6))
@@ -269,7 +321,7 @@ class Bucket:
         if later.any():
             which, j = _spread(refs[later])
             ref, end = ref_at[later][which] + j, size[later][which]
-            yield from spans(ids[ref_doc[ref]], keys[ref_doc[ref]], ref_pos[ref], ref_pos[ref] + end, self.n_groups)
+            self.ranges.append((ids[ref_doc[ref]], keys[ref_doc[ref]], ref_pos[ref], ref_pos[ref] + end))
             stay = ~later
             which, j = _spread(refs[stay])
             ref = ref_at[stay][which] + j
@@ -282,18 +334,20 @@ class Bucket:
     def finish(self) -> Iterator[tuple[int, int, bytes]]:
         """The repeated ranges that the bucket's strings still show, as `spans` gives them."""
         if self.blobs:
-            yield from self._reduce()
+            self._reduce()
         text, size, place, refs, ids, keys, ref_doc, ref_pos = self.held[0]
         ref_at = np.cumsum(refs) - refs
         e, j = repeated_windows(text, size, place, ids[ref_doc[ref_at]], self.width)
         if not len(e):
+            yield from self._dealt()
             return
         a = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (j[1:] != j[:-1] + 1)]))
         z = np.append(a[1:], len(e)) - 1
         run_e, run_lo, run_hi = e[a], j[a], j[z] + self.width
         which, k = _spread(refs[run_e])
         ref = ref_at[run_e][which] + k
-        yield from spans(ids[ref_doc[ref]], keys[ref_doc[ref]], ref_pos[ref] + run_lo[which], ref_pos[ref] + run_hi[which], self.n_groups)
+        self.ranges.append((ids[ref_doc[ref]], keys[ref_doc[ref]], ref_pos[ref] + run_lo[which], ref_pos[ref] + run_hi[which]))
+        yield from self._dealt()
 
 
 def _many(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -359,6 +413,19 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["__kind", "__g", "__blob"])
 
 
+def _some(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows in portions of some megabytes, as they come."""
+    own, size = [], 0
+    for row in rows:
+        own.append(row)
+        size += len(row[2])
+        if size > 4 << 20:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Blocks of rows (ident, key, text), each with a name made of what is in it: (name, [bytes, offsets, idents, keys, shifts])."""
 
@@ -421,12 +488,12 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     names = docs.columns
     docs, ident, text = docs.toDF(*(f"c{i}" for i in range(len(names)))), f"c{names.index(ident)}", f"c{names.index(text)}"
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
-    n_buckets, n_groups = partitions(spark, n_bytes, BUCKET_BYTES), partitions(spark, n_bytes, GROUP_BYTES)
+    n_buckets, n_groups, n_lists, n_parcels = (partitions(spark, n_bytes, each) for each in (BUCKET_BYTES, GROUP_BYTES, LIST_BYTES, PARCEL))
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     slim = docs.select(F.col(ident).cast("long").alias("i"), key.alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapper = Mapper(n_buckets, n_groups, width)
+        mapper = Mapper(n_buckets, n_groups, width, n_lists)
         for name, part in _blocks(batches, width):
             rows = [(bucket, name, blob) for bucket, blob in mapper.announce(part[0], part[1])]
             if rows:
@@ -453,15 +520,18 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([1], pa.int64()), pa.array([0], pa.int64()), pa.array([_pack(*part)], pa.binary())], names=["name", "kind", "bucket", "blob"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapper, own, replies = Mapper(n_buckets, n_groups, width), None, {}
+        mapper, own, replies = Mapper(n_buckets, n_groups, width, n_lists), None, {}
         for b in batches:  # by name, a block's replies before the block
             for name, kind, bucket, blob in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
                 if name != own:
                     own, replies = name, {}
                 if kind == 0:
                     replies[bucket] = np.frombuffer(blob.as_py(), np.uint8)
-                elif out := list(mapper.block(*_unpack(blob.as_py()), replies)):
-                    yield _rows(out)
+                else:
+                    mapper.take(*_unpack(blob.as_py()), replies)
+                    if mapper.full():
+                        yield from map(_rows, _some(mapper.flush()))
+        yield from map(_rows, _some(mapper.flush()))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, bucket = None, None
@@ -481,9 +551,9 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
             yield _rows(out)
 
     schema = "__kind long, __g long, __blob binary"
-    replies = slim.mapInArrow(lean(announce), "bucket long, name long, blob binary").repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(reply), "name long, kind long, bucket long, blob binary")
+    replies = slim.mapInArrow(lean(announce), "bucket long, name long, blob binary").repartition(n_lists, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(reply), "name long, kind long, bucket long, blob binary")
     wrapped = slim.mapInArrow(lean(wrap), "name long, kind long, bucket long, blob binary").unionByName(replies)
-    found = wrapped.repartition(n_groups, "name").sortWithinPartitions("name", "kind").mapInArrow(lean(cut), schema).repartition(n_buckets, "__kind", "__g").sortWithinPartitions("__kind", "__g").mapInArrow(lean(sort), schema)
+    found = wrapped.repartition(n_parcels, "name").sortWithinPartitions("name", "kind").mapInArrow(lean(cut), schema).repartition(n_buckets, "__kind", "__g").sortWithinPartitions("__kind", "__g").mapInArrow(lean(sort), schema)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

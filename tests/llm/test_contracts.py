@@ -467,6 +467,34 @@ def test_blocks_without_replies_meet_the_others():
     assert want and all(removed(hot, known) == want for hot in (5, 10**9) for known in itertools.product((True, False), repeat=2))
 
 
+def test_many_blocks_travel_as_one_piece_a_bucket():
+    """What travels grows with parcels times buckets, not with blocks times buckets, and shows the same ranges."""
+    g = np.random.default_rng(1)
+    base = g.choice(np.frombuffer(b"abcdefgh ", np.uint8), 40_000)
+    blocks = [[base[(lo := int(g.integers(0, 39_000))) : lo + 400] for _ in range(5)] for _ in range(24)]
+
+    def removed(together):
+        mapper, rows = suffixes.Mapper(16, 4), []
+        for n, texts in enumerate(blocks):
+            ids = np.arange(5) + 5 * n
+            block = (np.concatenate(texts), np.cumsum([0, *map(len, texts)]), ids, ids * 7, np.zeros(5, np.int64), {})
+            if together:
+                mapper.take(*block)
+            else:
+                rows += mapper.block(*block)
+        rows += mapper.flush()
+        buckets, out = {}, [x for kind, _, x in rows if kind == 1]
+        for kind, to, x in rows:
+            if kind == 0:
+                out += [y for _, _, y in buckets.setdefault(to, suffixes.Bucket(4)).add(x)]
+        out += [y for b in buckets.values() for _, _, y in b.finish()]
+        return sum(kind == 0 for kind, _, _ in rows), {(int(i), p) for x in out for i, _, at, n in zip(*suffixes._unpack(x), strict=True) for p in range(int(at), int(at + n))}
+
+    pieces_of_blocks, want = removed(False)
+    pieces_of_a_parcel, got = removed(True)
+    assert want and got == want and pieces_of_a_parcel <= 16 < pieces_of_blocks
+
+
 @pytest.mark.parametrize("width", [24, 40, 100])
 def test_suffixes_other_widths(spark, width):
     rnd = random.Random(width)
