@@ -679,6 +679,24 @@ def test_host_decides(spark, hosts, monkeypatch):
     assert all(NOTICE in got[i] for i in [*range(1, 12), *range(100, 112)])
 
 
+def test_all_words_tell_pages_apart(spark):
+    """Hosts of three pages that are menu for the most part: the least windows of two may all be the menu's. And near copies beside a page that quotes them."""
+    rnd, rows, want = random.Random(8), [], {}
+    for h in range(30):
+        menu = words_of(rnd, 120)
+        for i in range(3):
+            want[10 * h + i] = words_of(rnd, 60)
+            rows.append((10 * h + i, f"http://m{h}.example/{i}", f"<div>{menu}</div><p>{want[10 * h + i]}</p>"))
+        near, more = words_of(rnd, 40).split(), words_of(rnd, 60)
+        for i in range(6):
+            text = " ".join([*near[: 4 * i], f"changed{i}", *near[4 * i + 1 :]])
+            parts = [words_of(rnd, 50), more, words_of(rnd, 30)] if i == 5 else [text, more]
+            want[1000 + 10 * h + i] = "\n\n".join(parts)
+            rows.append((1000 + 10 * h + i, f"http://n{h}.example/{i}", "<article>" + "".join(f"<p>{x}</p>" for x in parts) + "</article>"))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [i for i in want if got[i] != want[i]] == []
+
+
 def test_names_of_classes():
     apart = lambda attrs, tag="div": html.blocks(f"<article><p>text</p><{tag} {attrs}>inner</{tag}></article>") == [(html.ARTICLE, "text"), (html.OTHER, "inner")]
     assert all(apart(f'class="{c}"') for c in ("ad", "cookie-notice", "x comments", "site-footer", "related-posts", "share", "newsletter_box"))
