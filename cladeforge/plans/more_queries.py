@@ -425,11 +425,11 @@ def q_io_newick(spark, sf_dir):
 
 def q_io_partitions(spark, sf_dir):
     """The four strided partitions as a NEXUS sets block, read back and joined to the sites."""
-    last = cols(spark, sf_dir).agg(F.max("site").alias("n"))
+    n = int(table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0])
+    last = spark.range(1).select(F.lit(n).cast("long").alias("n"))
     sets = last.select("n", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k")).select((F.col("k") - 1).alias("part"), F.concat(F.lit("p"), F.col("k").cast("string")).alias("name"), F.col("k").cast("long").alias("lower"), F.col("n").alias("upper"), F.lit(4).cast("long").alias("step"))
     lines = O.partition_lines(sets).select(F.xxhash64("value").alias("order"), "value")
     ends = spark.createDataFrame([(-(2**63), "#nexus\nbegin sets;"), (2**63 - 1, "end;")], "order long, value string")
-    n = int(last.first()[0])
     back = R.read_partitions(spark, _through(spark, lines.unionByName(ends), "sets"), n)
     return R.assign_partitions(alignment(spark, sf_dir).select("taxon", "site", "mask"), back.withColumn("part", (F.substring("name", 2, 9).cast("int") % 4).cast("int"))).select("taxon", "site", "part", "mask")
 

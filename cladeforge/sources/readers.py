@@ -180,10 +180,17 @@ def read_partitions(spark: SparkSession, path: str, last_site: int) -> DataFrame
     return _parse(_whole(spark, path), rows, "part int, name string, lower long, upper long, step long, seq_type string, model string")
 
 
+#: Sites that meet the ranges of one bucket.
+SPAN = 4096
+
+
 def assign_partitions(aln: DataFrame, charsets: DataFrame) -> DataFrame:
-    """`aln` (taxon, site, mask) with part, by a join on the sites of each range; a site in no range is left out."""
-    sites = charsets.select("part", F.explode(F.expr("sequence(lower, upper, step)")).alias("site"))
-    return aln.join(sites, "site").select("taxon", "site", "part", "mask")
+    """`aln` (taxon, site, mask) with part, by a join on the ranges that hold the site; a site in no range is left out.
+
+    A range is a row for each bucket of sites it reaches into, not for each site, so what may be broadcast is a small part of the alignment."""
+    ranges = charsets.select("part", "lower", "upper", "step", F.explode(F.expr(f"sequence(lower div {SPAN}, upper div {SPAN})")).alias("__span"))
+    cells = aln.withColumn("__span", F.expr(f"CAST(site AS LONG) div {SPAN}"))
+    return cells.join(ranges, "__span").where("site BETWEEN lower AND upper AND (site - lower) % step = 0").select("taxon", "site", "part", "mask")
 
 
 def parse_matrix(text: str) -> list[tuple[str, str, float]]:
