@@ -279,7 +279,7 @@ def q_branch_lengths(spark, sf_dir):
 
 
 def q_best_pair(spark, sf_dir):
-    return S.best_pair(_splits(spark, sf_dir)[0])
+    return S.best_pair(_splits(spark, sf_dir)[0], clade_members(spark, sf_dir).select("taxon"))
 
 
 def q_diameter(spark, sf_dir):

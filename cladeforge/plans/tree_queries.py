@@ -9,6 +9,7 @@ from cladeforge.operators import splits as S
 from cladeforge.operators import trees as T
 from cladeforge.operators import treetests as P
 from cladeforge.plans.adapters import CTE, clade_members, pattern_likelihoods, presence, sample_weights, taxonomy
+from cladeforge.sources.storage import written
 
 REPLICATES, REFERENCE = 99, "click"
 
@@ -18,9 +19,9 @@ def r(c: str, digits: int = 6) -> F.Column:
 
 
 def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The splits, written: a row each, whose members are read more than once; and the number of taxa."""
     c = clade_members(spark, sf_dir)
-    taxa = S.all_taxa(c)
-    return S.canonical(c, taxa), len(taxa)
+    return written(S.canonical(c), "splits"), c.select("taxon").distinct().count()
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +168,7 @@ def q_au(spark, sf_dir):
 
 def q_network(spark, sf_dir):
     c = clade_members(spark, sf_dir)
-    s = S.canonical(c, S.all_taxa(c))
+    s = S.canonical(c)
     return S.network_diversity(s, c.select((F.col("taxon") % 5).alias("area"), "taxon"))
 
 

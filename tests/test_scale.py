@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cladeforge.operators import splits as S
 from cladeforge.sources import readers as R
 
 
@@ -12,3 +13,27 @@ def test_partitions_without_a_row_for_each_site(spark):
     want = [(s, p) for s in (0, 1, 4, 5, 6, 4096, 4097, 2**33, 2**33 + 1) for p, lo, hi, step in ((0, 1, 2**33, 3), (1, 2, 2**33, 3), (1, 5, 5, 1)) if lo <= s <= hi and (s - lo) % step == 0]
     assert sorted((r.site, r.part) for r in R.assign_partitions(aln, sets).collect()) == sorted(want)
     assert "__span" not in R.assign_partitions(aln.withColumn("more", F.lit(1)), sets).columns
+
+
+def splits_of(spark, clades):
+    rows = [(tree, i, t) for tree, sides in clades.items() for i, side in enumerate(sides) for t in side]
+    return S.canonical(spark.createDataFrame(rows, "tree string, clade int, taxon int").withColumn("n", F.col("clade") + 1))
+
+
+def test_best_pair_against_all_pairs(spark):
+    """Also a taxon (3) that is on no split's side of the first taxon."""
+    clades = {"x": [[0, 1, 2, 4, 5], [3]], "y": [[0, 4], [1, 5, 2, 3]], "z": [[5], [0, 1, 2, 4, 3]]}
+    taxa = spark.createDataFrame([(t,) for t in range(6)], "taxon int")
+    for chosen in (clades, {"x": clades["x"]}, {"y": [[0, 1, 2, 3, 4, 5]]}):
+        s = splits_of(spark, chosen)
+        heavy = {tuple(r.members): max(q.weight for q in s.collect() if q.members == r.members) for r in s.collect()}
+        pairs = [(-sum(w for m, w in heavy.items() if (a in m) != (b in m)), a, b) for a in range(6) for b in range(a + 1, 6)] if heavy else []
+        assert [(-r.pd, r.a, r.b) for r in S.best_pair(s, taxa).collect()] == sorted(pairs)[:1]
+
+
+def test_no_row_holds_all_pairs_of_taxa(spark):
+    """4,000 taxa of two kinds: eight million pairs, none made; the plan names no taxon."""
+    c = spark.range(8000).selectExpr("concat('t', id % 2) AS tree", "CAST(id % 3 AS INT) AS clade", "id div 2 AS taxon", "1L AS n")
+    assert len(S.canonical(c)._jdf.queryExecution().analyzed().toString()) < 20_000
+    got = S.best_pair(S.canonical(c), c.select("taxon")).first()
+    assert got.pd > 0 and got.a == 0
