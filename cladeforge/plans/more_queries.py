@@ -284,8 +284,8 @@ def q_best_pair(spark, sf_dir):
 
 def q_diameter(spark, sf_dir):
     """The farthest pair of leaves, the first of several, and the mean distance."""
-    d = T.patristic(taxonomy(spark, sf_dir)).withColumn("d", F.round("d", 9))
-    return d.agg(F.round(F.max("d"), 6).alias("diameter"), F.min_by(F.concat_ws(",", "a", "b"), F.struct(-F.col("d"), "a", "b")).alias("pair"), F.round(F.avg("d"), 6).alias("mean"))
+    d = T.diameter(taxonomy(spark, sf_dir))
+    return d.select(F.round("d", 6).alias("diameter"), F.concat("a", F.lit(","), "b").alias("pair"), r("mean"))
 
 
 def q_rf_adjacent(spark, sf_dir):

@@ -1,8 +1,13 @@
 """What the queries hold at once, and rows that sit on an edge."""
 
+import itertools
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from cladeforge.operators import splits as S
+from cladeforge.operators import trees as T
 from cladeforge.sources import readers as R
 
 
@@ -45,3 +50,35 @@ def test_network_sends_no_member_lists_with_taxa(spark):
     d = S.network_diversity(S.canonical(c), c.selectExpr("taxon % 5 AS area", "taxon"))
     assert "concat_ws" not in d._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, d.collect())) == [(a, 3000) for a in range(5)]
+
+
+def drawn_tree(spark, seed, n=60):
+    """A tree of random shape with lengths of a few values, so that many paths are equally long."""
+    g = random.Random(seed)
+    edges, inner = [("n0", "root", 1.0)], ["root", "n0"]
+    for i in range(1, n):
+        edges.append((f"n{i}", g.choice(inner if seed % 2 else inner[-3:]), g.choice([0.0, 0.1, 0.2, 0.3])))
+        inner.append(f"n{i}")
+    parent, length = {a: p for a, p, _ in edges}, {a: v for a, _, v in edges}
+    tips = sorted(set(parent) - set(parent.values()))
+
+    def path(x):
+        return {x} | path(parent[x]) if x in parent else set()
+
+    pairs = {(a, b): sum(length[x] for x in path(a) ^ path(b)) for a, b in itertools.combinations(tips, 2)}
+    return spark.createDataFrame(edges, "node string, parent string, brlen double"), pairs
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_diameter_and_tiles_against_all_pairs(spark, seed):
+    tree, pairs = drawn_tree(spark, seed)
+    got = T.diameter(tree).first()
+    d, a, b = min((-round(v, 9), *k) for k, v in pairs.items())
+    assert (got.d, got.a, got.b) == (-d, a, b) and got.mean == pytest.approx(sum(pairs.values()) / len(pairs))
+
+
+def test_diameter_makes_no_pairs(spark):
+    """A star of 30,000 equal leaves: 450 million pairs."""
+    star = spark.range(30_000).selectExpr("concat('l', id) AS node", "'root' AS parent", "0.5D AS brlen")
+    assert tuple(T.diameter(star).first()) == (1.0, "l0", "l1", 1.0)
+    assert tuple(T.diameter(star.where("node = 'l0'")).first()) == (None, None, None, None)
