@@ -75,6 +75,9 @@ def test_diameter_and_tiles_against_all_pairs(spark, seed):
     got = T.diameter(tree).first()
     d, a, b = min((-round(v, 9), *k) for k, v in pairs.items())
     assert (got.d, got.a, got.b) == (-d, a, b) and got.mean == pytest.approx(sum(pairs.values()) / len(pairs))
+    for block in (3, 512):
+        rows = T.patristic(tree, block).collect()
+        assert len(rows) == len(pairs) and all(r.d == pytest.approx(pairs[r.a, r.b]) for r in rows)
 
 
 def test_diameter_makes_no_pairs(spark):
@@ -82,3 +85,12 @@ def test_diameter_makes_no_pairs(spark):
     star = spark.range(30_000).selectExpr("concat('l', id) AS node", "'root' AS parent", "0.5D AS brlen")
     assert tuple(T.diameter(star).first()) == (1.0, "l0", "l1", 1.0)
     assert tuple(T.diameter(star.where("node = 'l0'")).first()) == (None, None, None, None)
+
+
+def test_patristic_holds_one_tile(spark):
+    """No row of what is exploded is longer than a block."""
+    star = spark.range(3000).selectExpr("concat('l', id) AS node", "'root' AS parent", "0.5D AS brlen")
+    d = T.patristic(star, 100)
+    assert d.count() == 3000 * 2999 // 2
+    blocks = [p for p in d.inputFiles() if "/blocks-" in p]
+    assert blocks and max(r.n for r in spark.read.parquet(*blocks).selectExpr("size(l) AS n").collect()) < 200
