@@ -1,6 +1,7 @@
 """What the queries hold at once, and rows that sit on an edge."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cladeforge.operators import splits as S
 from cladeforge.operators import trees as T
+from cladeforge.plans.adapters import clade_members
 from cladeforge.sources import readers as R
 
 
@@ -94,3 +96,22 @@ def test_patristic_holds_one_tile(spark):
     assert d.count() == 3000 * 2999 // 2
     blocks = [p for p in d.inputFiles() if "/blocks-" in p]
     assert blocks and max(r.n for r in spark.read.parquet(*blocks).selectExpr("size(l) AS n").collect()) < 200
+
+
+def test_values_are_added_in_the_order_of_events(spark, tmp_path):
+    """Each user's values come to 40, or by their order to a bit less; the table holds the last event first."""
+    g, rows = random.Random(5), []
+    for user in range(400):
+        cents = [g.randrange(1, 900) for _ in range(6)]
+        cents.append(4000 - sum(cents)) if sum(cents) < 4000 else None
+        rows += [(len(rows) + i, user, "click", c / 100) for i, c in enumerate(cents)]
+    spark.createDataFrame(rows[::-1], "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    total, back = {}, {}
+    for i, user, _, v in rows:
+        total[user] = total.get(user, 0.0) + v
+    for i, user, _, v in rows[::-1]:
+        back[user] = back.get(user, 0.0) + v
+    want = {u: (u + (math.floor(v) % 40 == 0)) % 8 for u, v in total.items()}
+    assert want != {u: (u + (math.floor(v) % 40 == 0)) % 8 for u, v in back.items()}
+    got = clade_members(spark, str(tmp_path)).collect()
+    assert {r.taxon: r.clade for r in got} == want and sum(r.n for r in got) == len(rows)
