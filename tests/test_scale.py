@@ -115,3 +115,26 @@ def test_values_are_added_in_the_order_of_events(spark, tmp_path):
     assert want != {u: (u + (math.floor(v) % 40 == 0)) % 8 for u, v in back.items()}
     got = clade_members(spark, str(tmp_path)).collect()
     assert {r.taxon: r.clade for r in got} == want and sum(r.n for r in got) == len(rows)
+
+
+def test_tree_of_splits_names_clades_once(spark):
+    """Nested clades against the written rule, the taxa a list or a table; with a table the plan names no taxon."""
+    clades = {"x": [[5, 6], [5, 6, 7, 8], [2, 3], [5, 6, 7, 8, 2, 3], [9]]}
+    s, taxa = splits_of(spark, {"x": [*clades["x"], [*range(10)]]}), spark.createDataFrame([(t,) for t in range(10)], "taxon int")
+    parents = {",".join(map(str, sorted(c))): set(c) for c in clades["x"]} | {str(t): {t} for t in range(10)}
+    want = sorted((k, min((",".join(map(str, sorted(u))) for u in parents.values() if u > v), key=lambda u: (len(parents[u]), u), default="root"), len(v)) for k, v in parents.items())
+    for given in (taxa, list(range(10))):
+        assert sorted(map(tuple, S.tree_nodes(s, given).collect())) == want
+    c = spark.range(4000).selectExpr("'t' AS tree", "CAST(id % 3 AS INT) AS clade", "id AS taxon", "1L AS n")
+    nodes = S.tree_nodes(S.canonical(c), c.select("taxon"))
+    assert len(nodes._jdf.queryExecution().analyzed().toString()) < 20_000 and nodes.count() == 4003
+
+
+def test_circular_orders_and_restriction_of_many_taxa(spark):
+    """9,000 taxa: hashes are made of a split, not of a split for each of its taxa."""
+    n = 9000
+    c = spark.range(n).selectExpr("'t' AS tree", "CAST(id div 3000 AS INT) AS clade", "id AS taxon", "1L AS n").unionByName(spark.range(n).selectExpr("'u' AS tree", "CAST(id % 2 AS INT) AS clade", "id AS taxon", "1L AS n"))
+    order = spark.range(n).selectExpr("id AS taxon", f"(id + 1500) % {n} + 1 AS place")
+    got = S.circular(S.canonical(c), order)
+    assert sorted((r.tree, r.circular) for r in got.select("tree", "circular").collect()) == [("t", True), ("t", True), ("t", True), ("u", False)]
+    assert [r.circular for r in S.circular(S.canonical(c.where("taxon < 9")), list(range(9))).select("circular").collect()] == [False]
