@@ -25,16 +25,21 @@ ALPHABETS = {
 STATES_OF = {"DNA": 4, "BIN": 2, "AA": 20, "MORPH": 20}
 
 
+#: Letters of a sequence that are taken apart at once.
+STRETCH = 4096
+
+
 def gap_of(n_states: int) -> int:
     """The mask of a cell that may be any state."""
     return (1 << n_states) - 1
 
 
 def encode(sequences: DataFrame, taxon: str = "taxon", seq: str = "seq", kind: str = "DNA") -> DataFrame:
-    """(taxon, site, mask) of sequences of a kind (DNA, AA, BIN, MORPH), sites from 1; symbols in either case, unknown ones gaps."""
+    """(taxon, site, mask) of sequences of a kind (DNA, AA, BIN, MORPH), sites from 1; symbols in either case, unknown ones gaps. A long sequence is dealt out in stretches."""
     codes = F.create_map(*(x for k, v in ALPHABETS[kind].items() for x in (F.lit(k), F.lit(v))))
-    cells = sequences.select(taxon, F.posexplode(F.split(F.upper(seq), "")).alias("pos", "c")).where("c <> ''")
-    return cells.select(taxon, (F.col("pos") + 1).cast("long").alias("site"), F.coalesce(F.element_at(codes, F.col("c")), F.lit(gap_of(STATES_OF[kind]))).alias("mask"))
+    pieces = sequences.select(taxon, F.posexplode(F.regexp_extract_all(F.upper(seq), F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))).alias("__k", "__piece")).repartition(taxon, "__k")
+    cells = pieces.select(taxon, "__k", F.posexplode(F.split("__piece", "")).alias("pos", "c")).where("c <> ''")
+    return cells.select(taxon, (F.col("__k").cast("long") * STRETCH + F.col("pos") + 1).alias("site"), F.coalesce(F.element_at(codes, F.col("c")), F.lit(gap_of(STATES_OF[kind]))).alias("mask"))
 
 
 def columns(aln: DataFrame) -> DataFrame:

@@ -37,18 +37,18 @@ def parse_phylip(text: str) -> list[tuple[str, str]]:
     names, seqs = [], []
     if len(body) >= n and all(len(x.split(None, 1)) == 2 for x in body[:n]):
         names = [x.split(None, 1)[0] for x in body[:n]]
-        seqs = [re.sub(r"\s", "", x.split(None, 1)[1]) for x in body[:n]]
-        for i, x in enumerate(body[n:]):
-            seqs[i % n] += re.sub(r"\s", "", x)
+        seqs = ["".join(re.sub(r"\s", "", x) for x in [body[i].split(None, 1)[1], *body[n + i :: n]]) for i in range(n)]
     if not seqs or any(len(s) != sites for s in seqs):  # sequential: a record may span lines
-        names, seqs = [], []
+        names, own, size = [], [], sites
         for x in body:
-            if not seqs or len(seqs[-1]) >= sites:
-                name, _, rest = x.strip().partition(" ")
+            if not own or size >= sites:
+                name, _, x = x.strip().partition(" ")
                 names.append(name)
-                seqs.append("")
-                x = rest
-            seqs[-1] += re.sub(r"\s", "", x)
+                own.append([])
+                size = 0
+            own[-1].append(re.sub(r"\s", "", x))
+            size += len(own[-1][-1])
+        seqs = ["".join(v) for v in own]
     _check(names, seqs, sites)
     return list(zip(names, map(str.upper, seqs), strict=True))
 
@@ -75,35 +75,41 @@ def parse_nexus_data(text: str) -> list[tuple[str, str]]:
     m = re.search(r"(?is)\bmatrix\b(.*?);", re.sub(r"\[[^\]]*\]", "", text))
     if not m:
         return []
-    seqs: dict[str, str] = {}
+    seqs: dict[str, list[str]] = {}
     for line in m[1].splitlines():
         parts = re.match(r"\s*('(?:[^']|'')*'|\S+)\s+(.*\S)\s*$", line)
         if parts:
-            seqs[parts[1].strip("'")] = seqs.get(parts[1].strip("'"), "") + re.sub(r"\s", "", parts[2])
+            seqs.setdefault(parts[1].strip("'"), []).append(re.sub(r"\s", "", parts[2]))
+    return _joined(seqs)
+
+
+def _joined(pieces: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """(name, sequence) of the pieces found for each name, joined once."""
+    seqs = {k: "".join(v).upper() for k, v in pieces.items()}
     _check(list(seqs), list(seqs.values()))
-    return [(k, v.upper()) for k, v in seqs.items()]
+    return list(seqs.items())
 
 
 def parse_clustal(text: str) -> list[tuple[str, str]]:
-    seqs: dict[str, str] = {}
+    seqs: dict[str, list[str]] = {}
     for line in text.splitlines()[1:]:
         m = re.match(r"(\S+)\s+([A-Za-z.~*?-]+)(?:\s+\d+)?\s*$", line)
         if m:
-            seqs[m[1]] = seqs.get(m[1], "") + m[2]
-    _check(list(seqs), list(seqs.values()))
-    return [(k, v.upper()) for k, v in seqs.items()]
+            seqs.setdefault(m[1], []).append(m[2])
+    return _joined(seqs)
 
 
 def parse_msf(text: str) -> list[tuple[str, str]]:
     head, _, body = text.partition("//")
     names = re.findall(r"(?m)^\s*Name:\s*(\S+)", head)
-    seqs = dict.fromkeys(names, "")
+    if len(set(names)) < len(names):
+        raise ValueError("a sequence name occurs twice")
+    seqs: dict[str, list[str]] = {k: [] for k in names}
     for line in body.splitlines():
         parts = line.split(None, 1)
         if len(parts) == 2 and parts[0] in seqs:
-            seqs[parts[0]] += re.sub(r"[\s\d]", "", parts[1])
-    _check(names, list(seqs.values()))
-    return [(k, v.upper()) for k, v in seqs.items()]
+            seqs[parts[0]].append(re.sub(r"[\s\d]", "", parts[1]))
+    return _joined(seqs)
 
 
 def detect(text: str) -> str:

@@ -17,9 +17,15 @@ def letter(mask: str = "mask") -> Column:
     return out
 
 
+#: Sites whose letters are put together before the sequences are.
+STRETCH = 4096
+
+
 def sequences(aln: DataFrame) -> DataFrame:
-    """(taxon, seq) of an alignment, sites in order."""
-    return aln.groupBy("taxon").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site", letter().alias("c")))), lambda x: x["c"]), "").alias("seq"))
+    """(taxon, seq) of an alignment, sites in order: letters are joined to stretches, stretches to sequences, so that no task sorts a sequence's cells."""
+    joined = lambda key, what: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), what.alias("v")))), lambda x: x["v"]), "")
+    stretch = aln.groupBy("taxon", F.expr(f"CAST(floor(site / {STRETCH}) AS BIGINT)").alias("stretch")).agg(joined(F.col("site"), letter()).alias("piece"))
+    return stretch.groupBy("taxon").agg(joined(F.col("stretch"), F.col("piece")).alias("seq"))
 
 
 def fasta(aln: DataFrame) -> DataFrame:
@@ -77,9 +83,10 @@ def nexus(aln: DataFrame) -> DataFrame:
 
 
 def _blocks(aln: DataFrame, width: int) -> DataFrame:
-    """(block, taxon, piece): sequences in pieces of `width` letters."""
-    s = sequences(aln)
-    return s.select("taxon", "seq", F.explode(F.expr(f"sequence(0, greatest(0, (length(seq) - 1) div {width}))")).alias("block")).select("block", F.col("taxon").cast("string").alias("taxon"), F.expr(f"substring(seq, CAST(block * {width} + 1 AS INT), {width})").alias("piece"))
+    """(block, taxon, piece): sequences in pieces of `width` letters, a sequence gone through once; an empty one is one empty piece."""
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    s = sequences(aln).select(F.col("taxon").cast("string").alias("taxon"), F.posexplode(F.when(F.col("seq") == "", F.array(F.lit(""))).otherwise(pieces)).alias("block", "piece"))
+    return s.select("block", "taxon", "piece")
 
 
 def clustal(aln: DataFrame, width: int = 60) -> DataFrame:

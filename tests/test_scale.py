@@ -3,14 +3,17 @@
 import itertools
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from cladeforge.operators import alignment as A
 from cladeforge.operators import splits as S
 from cladeforge.operators import trees as T
 from cladeforge.plans.adapters import clade_members
 from cladeforge.sources import readers as R
+from cladeforge.sources import writers as O
 
 
 def test_partitions_without_a_row_for_each_site(spark):
@@ -138,3 +141,33 @@ def test_circular_orders_and_restriction_of_many_taxa(spark):
     got = S.circular(S.canonical(c), order)
     assert sorted((r.tree, r.circular) for r in got.select("tree", "circular").collect()) == [("t", True), ("t", True), ("t", True), ("u", False)]
     assert [r.circular for r in S.circular(S.canonical(c.where("taxon < 9")), list(range(9))).select("circular").collect()] == [False]
+
+
+def test_interleaved_files_in_linear_time(spark):
+    """A million sites in blocks of 50: pieces are joined once, and sequences cut in one pass."""
+    n = 1_000_000
+    seq = "ACGT-" * (n // 5)
+    clustal = "CLUSTAL\n\n" + "\n".join(f"{t}   {seq[i : i + 5]}" + ("\n" if t == "t2" else "") for i in range(0, n, 5) for t in ("t1", "t2"))
+    msf = "PileUp\n MSF: 1\n Name: t1 Len: 1\n Name: t2 Len: 1\n//\n" + "\n".join(f" {t} {seq[i : i + 5]}" for i in range(0, n, 5) for t in ("t1", "t2"))
+    phylip = f"2 {n}\n" + "\n".join((f"{t} " if i == 0 else "") + seq[i : i + 5] for i in range(0, n, 5) for t in ("t1", "t2"))
+    for parse, text in ((R.parse_clustal, clustal), (R.parse_msf, msf), (R.parse_phylip, phylip)):
+        began = time.process_time()
+        assert parse(text) == [("t1", seq), ("t2", seq)]
+        assert time.process_time() - began < 8
+    with pytest.raises(ValueError, match="twice"):
+        R.parse_msf("PileUp\n Name: a Len: 1\n Name: a Len: 1\n//\n a A\n a A\n")
+    assert R.parse_phylip("2 6\nt1 ACG\nTAC\nt2 AC-\nTAN\n") == [("t1", "ACGTAC"), ("t2", "AC-TAN")]
+
+
+def test_sequences_beyond_a_stretch(spark):
+    """Sites with holes, over two stretches; written in blocks and taken apart again."""
+    sites = [3, 4090, 4095, 4096, 4097, 9000]
+    aln = spark.createDataFrame([(t, s, 0, 1 << ((s + k) % 4)) for k, t in enumerate(("a", "b")) for s in sites], "taxon string, site long, part int, mask int")
+    want = {t: "".join("ACGT"[(s + k) % 4] for s in sites) for k, t in enumerate(("a", "b"))}
+    assert {r.taxon: r.seq for r in O.sequences(aln).collect()} == want
+    assert sorted(map(tuple, O._blocks(aln, 4).collect())) == sorted((i, t, v[4 * i : 4 * i + 4]) for t, v in want.items() for i in (0, 1))
+    long = "ACGTN-" * 2000
+    cells = A.encode(spark.createDataFrame([("x", long), ("y", "")], "taxon string, seq string")).collect()
+    assert sorted((r.taxon, r.site, r.mask) for r in cells) == [("x", i + 1, {"A": 1, "C": 2, "G": 4, "T": 8}.get(c, 15)) for i, c in enumerate(long)]
+    plan = A.encode(spark.createDataFrame([("x", long)], "taxon string, seq string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan
