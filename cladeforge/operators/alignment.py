@@ -228,6 +228,12 @@ def concatenate(parts: DataFrame) -> DataFrame:
 
 def consensus(aln: DataFrame) -> DataFrame:
     """(part, site, state): the commonest unambiguous state of each site, the smallest of several; null if there is none."""
+    if "states" in aln.columns:  # a site is a row already
+        none, more = ", ".join(f"0 AS n{x}" for x in STATES), ", ".join(f"a.n{x} + if(x = {x}, 1, 0) AS n{x}" for x in STATES)
+        kinds = ", ".join(f"struct(a.n{x} * 16 - {x} AS w, {x} AS s)" for x in STATES)
+        # the states are named once: Spark makes an array anew wherever it is named
+        best = F.expr(f"aggregate(states, struct({none}), (a, x) -> struct({more}), a -> array_max(filter(array({kinds}), c -> c.w > 0)))")
+        return aln.select("part", "site", best["s"].alias("state"))
     n = aln.groupBy("part", "site", F.when(single(F.col("mask")), F.col("mask")).alias("s")).agg(F.count("*").alias("n"))
     return n.groupBy("part", "site").agg(F.max_by("s", F.when(F.col("s").isNotNull(), F.col("n") * 16 - F.col("s"))).alias("state"))
 
@@ -425,7 +431,7 @@ def keep_residues(aln: DataFrame, taxon, first: int, last: int) -> DataFrame:
 def drop_identical(aln: DataFrame, kept: int = 2) -> DataFrame:
     """The alignment with `kept` of each group of identical sequences, the first by name."""
     same = identical_sequences(aln).withColumn("n", F.row_number().over(W.partitionBy("kept_as").orderBy("taxon")))
-    return aln.join(same.where(F.col("n") <= kept).select("taxon"), "taxon", "left_semi")
+    return aln.join(F.broadcast(same.where(F.col("n") <= kept).select("taxon")), "taxon", "left_semi")  # names of taxa
 
 
 def drop_empty(aln: DataFrame, n_states: int = 4) -> DataFrame:

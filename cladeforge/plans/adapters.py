@@ -20,17 +20,30 @@ def taxa_of(spark: SparkSession, sf_dir: str) -> list[int]:
     return [r[0] for r in table(spark, sf_dir, "lineitem").select("l_linenumber").distinct().orderBy("l_linenumber").collect()]
 
 
+#: Bytes of files for each task that rows are dealt out to.
+SHARE = 4 << 20
+
+
+def by_bytes(table: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
+    """Rows of a table dealt out by keys to a task for each SHARE of its files, so that a task's memory does not grow with the table; small tables as Spark sees fit."""
+    tasks = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SHARE
+    return rows.repartition(tasks, *key) if tasks > table.sparkSession.sparkContext.defaultParallelism else rows.repartition(*key)
+
+
 def site_columns(spark: SparkSession, sf_dir: str, protein: bool = False) -> DataFrame:
     """(part, site, states): orders are sites, line numbers are taxa; a line's flag and quantity are its state, missing lines gaps.
 
     Lines meet by order, once: cells and columns are aggregated on the same side of that exchange. The taxa are a subquery of the same plan."""
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("taxon"), F.col("l_orderkey").alias("site"), "l_quantity", "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem")
+    flag = F.col("l_returnflag")  # as a number that keeps the order of flags: a text would have every line sorted
+    code = F.when(flag < "A", 0).when(flag == "A", 1).when(flag < "N", 2).when(flag == "N", 3).when(flag > "N", 4)
+    line = rows.select(F.col("l_linenumber").alias("taxon"), F.col("l_orderkey").alias("site"), "l_quantity", code.alias("flag"))
     taxa = line.agg(F.array_sort(F.collect_set("taxon"))).scalar()
     gap = GAP
-    state = F.when(F.min("l_quantity") > 40, 8).when(F.min("l_returnflag") == "A", 1).when(F.min("l_returnflag") == "N", 2).otherwise(4)
+    state = F.when(F.min("l_quantity") > 40, 8).when(F.min("flag") == 1, 1).when(F.min("flag") == 3, 2).otherwise(4)
     if protein:  # twenty states by quantity
         gap, state = 2**20 - 1, F.expr("CAST(shiftleft(1, CAST(min(l_quantity) AS INT) % 20) AS INT)")
-    cells = line.repartition("site").groupBy("site", "taxon").agg(state.alias("mask"))
+    cells = by_bytes(rows, line, "site").groupBy("site", "taxon").agg(state.alias("mask"))
     by_site = cells.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("taxon", "mask"))).alias("m")).withColumn("taxa", taxa)
     return by_site.select((F.col("site") % 4).cast("int").alias("part"), "site", F.transform("taxa", lambda t: F.coalesce(F.element_at("m", t), F.lit(gap))).alias("states"), "taxa")
 

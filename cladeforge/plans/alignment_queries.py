@@ -93,7 +93,7 @@ def q_concatenate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.consensus(alignment(spark, sf_dir))
+    return A.consensus(site_columns(spark, sf_dir))
 
 
 def q_translate(spark: SparkSession, sf_dir: str) -> DataFrame:

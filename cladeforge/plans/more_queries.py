@@ -15,7 +15,7 @@ from cladeforge.operators import search as H
 from cladeforge.operators import splits as S
 from cladeforge.operators import trees as T
 from cladeforge.operators import treetests as P
-from cladeforge.plans.adapters import CTE, alignment, clade_members, presence, site_columns, table, taxa_of, taxonomy
+from cladeforge.plans.adapters import CTE, alignment, by_bytes, clade_members, presence, site_columns, table, taxa_of, taxonomy
 from cladeforge.plans.alignment_queries import _ALN, _COLS, _PAIRS
 from cladeforge.plans.kernel_queries import GAMMA, TREE
 from cladeforge.plans.tree_queries import _SP, _UP, _areas, _splits, r
@@ -67,8 +67,8 @@ def q_supermatrix(spark, sf_dir):
 
 def q_copy_gaps(spark, sf_dir):
     aln = alignment(spark, sf_dir)
-    other = aln.withColumn("taxon", (F.col("taxon") % 7 + 1).cast("int"))
-    return A.copy_gaps(aln, other).select("taxon", "site", "part", "mask")
+    other, line = aln.withColumn("taxon", (F.col("taxon") % 7 + 1).cast("int")), table(spark, sf_dir, "lineitem")
+    return A.copy_gaps(by_bytes(line, aln, "taxon", "site"), by_bytes(line, other, "taxon", "site")).select("taxon", "site", "part", "mask")
 
 
 def q_shuffled(spark, sf_dir):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cladeforge.operators import alignment as A
 from cladeforge.operators import splits as S
 from cladeforge.operators import trees as T
-from cladeforge.plans.adapters import clade_members
+from cladeforge.plans.adapters import clade_members, site_columns
 from cladeforge.sources import readers as R
 from cladeforge.sources import writers as O
 
@@ -171,3 +171,33 @@ def test_sequences_beyond_a_stretch(spark):
     assert sorted((r.taxon, r.site, r.mask) for r in cells) == [("x", i + 1, {"A": 1, "C": 2, "G": 4, "T": 8}.get(c, 15)) for i, c in enumerate(long)]
     plan = A.encode(spark.createDataFrame([("x", long)], "taxon string, seq string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" in plan
+
+
+def test_consensus_of_columns_and_cells(spark):
+    g = random.Random(2)
+    cells = [(t, s, 0, g.choice([1, 2, 4, 8, 3, 15])) for s in range(300) for t in range(5)]
+    aln = spark.createDataFrame(cells, "taxon int, site long, part int, mask int")
+    own = A.consensus(A.columns(aln))
+    assert own.schema["state"].dataType == A.consensus(aln).schema["state"].dataType
+    assert sorted(map(str, own.collect())) == sorted(map(str, A.consensus(aln).collect()))
+    assert "Generate" not in own._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_grow_with_the_table(spark, monkeypatch):
+    """A file of many shares has as many tasks; flags of any text come in their order, null ones left out."""
+    from cladeforge.plans import adapters
+    from tests.conftest import DATA
+
+    before = sorted(map(str, adapters.site_columns(spark, DATA).collect()))
+    monkeypatch.setattr(adapters, "SHARE", 4000)
+    cols = adapters.site_columns(spark, DATA)
+    assert cols.rdd.getNumPartitions() > 10 and sorted(map(str, cols.collect())) == before
+
+
+def test_states_by_the_first_flag(spark, tmp_path):
+    flags = [["A", "N"], ["N", "R"], ["R"], [None, "N"], [None], ["", "A"], ["B", "N"], ["Nx"], ["a"], ["A", None]]
+    rows = [(i, 1, float(q), f) for i, own in enumerate(flags) for q, f in enumerate(own)] + [(99, 1, 41.0, "A"), (98, 1, 41.0, "N"), (98, 1, 40.0, "R")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    low = {i: min((f for f in own if f is not None), default=None) for i, own in enumerate(flags)}
+    want = {i: {"A": 1, "N": 2}.get(f, 4) for i, f in low.items()} | {99: 8, 98: 2}
+    assert {r.site: r.states for r in site_columns(spark, str(tmp_path)).collect()} == {k: [v] for k, v in want.items()}
